@@ -11,7 +11,14 @@ from pyspark.sql import functions as F
 DIR_KEY = "spark.checkpoint.dir"
 
 
+def bound_batches(spark: SparkSession, rows: int = 1000, size: str = "8m") -> None:
+    """Bounds what a Python worker gets at once: with the usual 10,000 rows, long texts fill its memory."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -28,6 +35,7 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     """Write df as a table in the shared folder and read it again: the lineage ends there, and a lost executor costs
     no more than the tasks it ran."""
     spark = df.sparkSession
+    bound_batches(spark)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -38,7 +38,7 @@ LENGTH, GRAM = 100, 32
 #: Bytes of a text worked on at a time; positions within fit in 20 bits.
 CHUNK = 1 << 19
 #: Anchors that a scan task gathers before it sends them.
-FLUSH = 1 << 20
+FLUSH = 1 << 18
 #: Spans of one gram, in a scan task's block or in all, from which the gram is split.
 HOT, SPLIT = 512, 4096
 #: Bits of the map of documents with repeats.
