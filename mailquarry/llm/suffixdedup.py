@@ -107,7 +107,8 @@ def anchors(data: np.ndarray, length: int = LENGTH, gram: int = GRAM):
         last = np.concatenate((first[1:], [len(place)])) - 1
         pos = place[first]
         span = mix(prefix.of(first, last + length) ^ mix(((pos - first) * 256 + last - first).astype(np.uint64)))
-        out.append((grams[pos], span, pos + at, first + at, last + at))
+        # least hashes are small numbers; mixed anew they spread over the buckets evenly
+        out.append((mix(grams[pos] + np.uint64(0x632BE59BD9B4E019)), span, pos + at, first + at, last + at))
     return [np.concatenate(x) for x in zip(*out)] if out else None
 
 
