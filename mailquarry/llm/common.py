@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
@@ -50,6 +51,14 @@ def drop_cut(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def trim() -> None:
+    """Give the memory that a Python worker has freed back to the machine: workers live on between stages."""
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except OSError:
+        pass
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

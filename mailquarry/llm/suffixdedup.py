@@ -32,15 +32,17 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from mailquarry.llm.common import cut, table, utf8
+from mailquarry.llm.common import cut, table, trim, utf8
 
 LENGTH, GRAM = 100, 32
 #: Bytes of a text worked on at a time; positions within fit in 20 bits.
 CHUNK = 1 << 19
 #: Anchors that a scan task gathers before it sends them.
-FLUSH = 1 << 18
+FLUSH = 1 << 17
+#: Windows sorted at a time, but for those of one gram.
+WINDOWS = 1 << 16
 #: Spans of one gram, in a scan task's block or in all, from which the gram is split.
-HOT, SPLIT = 512, 4096
+HOT, SPLIT = 512, 1024
 #: Bits of the map of documents with repeats.
 MAP_BITS = 1 << 24
 
@@ -216,8 +218,10 @@ def _scan(buckets: int, length: int, hot_spans: int):
                 if n >= FLUSH:
                     yield from send(held)
                     held, n = [], 0
+                    trim()
         if n:
             yield from send(held)
+        trim()
 
     return run
 
@@ -246,6 +250,7 @@ def _meet(length: int, split_spans: int):
             fine["h"], fine["salt"], fine["all"] = h[many], (nth // split_spans)[many], (told | (size > split_spans))[many]
             fine["pos"], fine["back"], fine["ahead"] = pos[many], back[many], ahead[many]
             out.append(_rows(2, doc[many], fine))
+        trim()
         return pa.concat_tables([kept, *[pa.Table.from_batches([x]).cast(kept.schema) for x in out]])
 
     return run
@@ -327,10 +332,7 @@ def _sorted(length: int):
     """Of occurrences with the bytes of their spans: ranges of the windows that some earlier one equals (kind 0), and of
     split grams a row for each class (kind 3)."""
 
-    def run(group: pa.Table) -> pa.Table:
-        meta = np.frombuffer(b"".join(group.column("meta").to_pylist()), _FINE)
-        doc = group.column("doc").to_numpy()
-        spans = group.column("span").to_pylist()
+    def part(meta, doc, spans):
         data = np.frombuffer(b"".join(spans), np.uint8)
         starts = np.cumsum([0, *map(len, spans)])[:-1]
         pos, back, ahead = (meta[c].astype(np.int64) for c in ("pos", "back", "ahead"))
@@ -347,14 +349,27 @@ def _sorted(length: int):
         lead = order[np.flatnonzero(head)[np.cumsum(head) - 1]]
         later = (doc[row[order]] != doc[row[lead]]) | (p[order] != p[lead])
         x = order[later]
-        out = [_ranges(doc[row[x]], p[x], p[x] + length)]
+        yield _ranges(doc[row[x]], p[x], p[x] + length)
         reps = order[head]
         reps = reps[whole[reps]]
         if len(reps):
             rows = np.zeros(len(reps), _REP)
             rows["w1"], rows["w2"] = (mix(Prefix(data, name).of(at[reps], at[reps] + length)) for name in (b"one", b"two"))
             rows["p"] = p[reps]
-            out.append(_rows(3, doc[row[reps]], rows))
+            yield _rows(3, doc[row[reps]], rows)
+
+    def run(group: pa.Table) -> pa.Table:
+        meta = np.frombuffer(b"".join(group.column("meta").to_pylist()), _FINE)
+        order = np.lexsort((meta["salt"], meta["h"]))
+        meta, doc, spans = meta[order], group.column("doc").to_numpy()[order], group.column("span")
+        new = np.flatnonzero(np.concatenate(([True], (meta["h"][1:] != meta["h"][:-1]) | (meta["salt"][1:] != meta["salt"][:-1]))))
+        windows = np.cumsum(np.concatenate(([0], meta["back"].astype(np.int64) - meta["ahead"] + 1)))
+        out, at, ends = [], 0, np.concatenate((new[1:], [len(meta)])).tolist()
+        for k, end in enumerate(ends):
+            if k + 1 == len(ends) or windows[ends[k + 1]] - windows[at] > WINDOWS:
+                out.extend(part(meta[at:end], doc[at:end], spans.take(pa.array(order[at:end])).to_pylist()))
+                at = end
+        trim()
         return pa.Table.from_batches(out)
 
     return run
