@@ -39,10 +39,10 @@ LENGTH, GRAM = 100, 32
 CHUNK = 1 << 19
 #: Anchors that a scan task gathers before it sends them.
 FLUSH = 1 << 17
-#: Windows sorted at a time, but for those of one gram.
+#: Windows sorted at a time, but for those of one gram at one offset.
 WINDOWS = 1 << 16
 #: Spans of one gram, in a scan task's block or in all, from which the gram is split.
-HOT, SPLIT = 512, 1024
+HOT, SPLIT = 512, 1 << 16
 #: Bits of the map of documents with repeats.
 MAP_BITS = 1 << 24
 
@@ -195,7 +195,7 @@ def _scan(buckets: int, length: int, hot_spans: int):
         if hot.any():
             x = [c[hot] for c in first]
             fine = np.zeros(len(x[0]), _FINE)
-            fine["h"], fine["salt"], fine["all"], fine["pos"], fine["back"], fine["ahead"] = x[0], -1 - (x[2] & 0xFFFF), 1, x[3], x[4], x[5]
+            fine["h"], fine["salt"], fine["all"], fine["pos"], fine["back"], fine["ahead"] = x[0], -1 - (int(doc.min()) & 0xFFFFFF), 1, x[3], x[4], x[5]
             yield _rows(2, x[2], fine)
             mark = hot & new
             marks = [np.where(mark, v, c)[mark | ~hot] for c, v in zip(first, (h, np.uint64(0), first[2], first[3], np.uint8(0), np.int8(-128)))]
@@ -332,13 +332,17 @@ def _sorted(length: int):
     """Of occurrences with the bytes of their spans: ranges of the windows that some earlier one equals (kind 0), and of
     split grams a row for each class (kind 3)."""
 
-    def part(meta, doc, spans):
+    def part(meta, doc, spans, low=0, high=length):
+        """The windows at offsets from low to high from their anchors."""
         data = np.frombuffer(b"".join(spans), np.uint8)
         starts = np.cumsum([0, *map(len, spans)])[:-1]
         pos, back, ahead = (meta[c].astype(np.int64) for c in ("pos", "back", "ahead"))
-        n = back - ahead + 1
+        skip = np.maximum(back - high, 0)
+        n = np.maximum(back - skip - np.maximum(ahead, low) + 1, 0)
         row = np.repeat(np.arange(len(meta)), n)
-        step = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+        if not len(row):
+            return
+        step = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + skip[row]
         p, at, d = (pos - back)[row] + step, starts[row] + step, back[row] - step
         key = np.lexsort((p, doc[row], d, meta["salt"][row], meta["h"][row]))
         row, p, at, d = row[key], p[key], at[key], d[key]
@@ -367,7 +371,10 @@ def _sorted(length: int):
         out, at, ends = [], 0, np.concatenate((new[1:], [len(meta)])).tolist()
         for k, end in enumerate(ends):
             if k + 1 == len(ends) or windows[ends[k + 1]] - windows[at] > WINDOWS:
-                out.extend(part(meta[at:end], doc[at:end], spans.take(pa.array(order[at:end])).to_pylist()))
+                here = spans.take(pa.array(order[at:end])).to_pylist()
+                each = max(1, WINDOWS // (end - at)) if windows[end] - windows[at] > WINDOWS else length
+                for low in range(0, length, each):
+                    out.extend(part(meta[at:end], doc[at:end], here, low, low + each - 1))
                 at = end
         trim()
         return pa.Table.from_batches(out)
