@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 DIR_KEY = "spark.checkpoint.dir"
 
 
-def bound_batches(spark: SparkSession, rows: int = 1000, size: str = "8m") -> None:
-    """Bounds what a Python worker gets at once: with the usual 10,000 rows, long texts fill its memory."""
+def bound_batches(spark: SparkSession, rows: int = 500, size: str = "2m") -> None:
+    """Bounds what a Python worker gets at once: with the usual 10,000 rows, long texts fill its memory and the buffers on the JVM side."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
