@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from mailquarry.plans import evaluation, search
+
+QUERIES = {**search.QUERIES, **evaluation.QUERIES}
+ORACLE_SQL = {**search.ORACLE_SQL, **evaluation.ORACLE_SQL}
