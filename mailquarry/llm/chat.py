@@ -26,45 +26,34 @@ _NO_TURN = -(1 << 63)
 def rotate(turns: DataFrame) -> DataFrame:
     """One row for each turn and perspective of turns (conv_id, turn, role, text)."""
     said = turns.select("conv_id", F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("unknown")).alias("name"), F.coalesce("text", F.lit("")).alias("text"))
+    said = said.withColumn("c", F.coalesce(F.col("conv_id").cast("string"), F.lit(""))).withColumn("named", F.col("conv_id").isNotNull())
     said = said.withColumn("mark", F.sha2(F.concat_ws(":", "name", "text"), 256)).withColumn("t", F.coalesce("turn", F.lit(_NO_TURN)))
     said = said.withColumn("a", F.shiftright("t", 8)).withColumn("b", F.struct(F.col("t").bitwiseAND(255).alias("t"), F.substring("mark", 1, 2).alias("m")))
-    who = said.where("name <> 'system'").select(F.col("conv_id").alias("c"), F.col("name").alias("perspective")).distinct()
-    rows = said.join(who, F.col("conv_id").eqNullSafe(F.col("c"))).drop("c")
+    who = said.where("name <> 'system'").select("c", "named", F.col("name").alias("perspective")).distinct()
     mine = F.col("name") == F.col("perspective")
     role = F.when(mine, "assistant").when(F.col("name") == "system", "system").otherwise("user")
     head = F.when(role == "user", F.concat(F.lit("<|user name="), "name", F.lit("|>\n"))).otherwise(F.concat(F.lit("<|"), role, F.lit("|>\n")))
-    rows = cut(rows.withColumn("speaks_as", role).withColumn("train", mine).withColumn("head_chars", F.length(head).cast("long")).withColumn("rendered", F.concat(head, "text", F.lit(END))).withColumn("chars", F.length("rendered").cast("long")).drop("text"), "turns")
+    rows = said.join(who, ["c", "named"]).withColumn("speaks_as", role).withColumn("train", mine).withColumn("head_chars", F.length(head).cast("long"))
+    rows = cut(rows.withColumn("rendered", F.concat(head, "text", F.lit(END))).withColumn("chars", F.length("rendered").cast("long")).drop("text"), "turns")
 
-    keys = ["conv_id", "perspective"]
+    keys = ["c", "named", "perspective"]
     blocks = rows.groupBy(*keys, "a", "b").agg(F.count(F.lit(1)).alias("n"), F.sum("chars").alias("m"))
     outer = blocks.groupBy(*keys, "a").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
     before = lambda c, *by: F.sum(c).over(Window.partitionBy(*keys, *by[:-1]).orderBy(by[-1])) - F.col(c)
-    outer = outer.select(*_as(keys, "o"), F.col("a").alias("oa"), before("n", "a").alias("n0"), before("m", "a").alias("m0"))
-    inner = blocks.select(*_as(keys, "i"), F.col("a").alias("ia"), F.col("b").alias("ib"), before("n", "a", "b").alias("n1"), before("m", "a", "b").alias("m1"))
-    starts = inner.join(outer, _same("i", "o", 2) & (F.col("ia") == F.col("oa")))
-    starts = starts.select("i0", "i1", "ia", "ib", (F.col("n0") + F.col("n1")).alias("n0"), (F.col("m0") + F.col("m1")).alias("m0"))
+    outer = outer.select(*keys, "a", before("n", "a").alias("n0"), before("m", "a").alias("m0"))
+    inner = blocks.select(*keys, "a", "b", before("n", "a", "b").alias("n1"), before("m", "a", "b").alias("m1"))
+    starts = inner.join(outer, [*keys, "a"]).select(*keys, "a", "b", (F.col("n0") + F.col("n1")).alias("n0"), (F.col("m0") + F.col("m1")).alias("m0"))
+    # the join and the window want rows of a block together: one shuffle serves both
     w = Window.partitionBy(*keys, "a", "b").orderBy("t", "mark", "name").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    numbered = rows.withColumn("rn", F.count(F.lit(1)).over(w) - 1).withColumn("upto", F.sum("chars").over(w))
-    joined = numbered.join(starts, F.col("conv_id").eqNullSafe(F.col("i0")) & (F.col("perspective") == F.col("i1")) & (F.col("a") == F.col("ia")) & (F.col("b") == F.col("ib")))
+    placed = rows.join(starts, [*keys, "a", "b"]).withColumn("rn", F.count(F.lit(1)).over(w) - 1).withColumn("upto", F.sum("chars").over(w))
     end = F.col("m0") + F.col("upto")
-    return joined.select(
+    return placed.select(
         "conv_id", "perspective", (F.col("n0") + F.col("rn")).alias("position"), "turn", "speaks_as", "name", "rendered", "train",
         (end - F.col("chars")).alias("start"), end.alias("end"),
         F.when(F.col("train"), end - F.col("chars") + F.col("head_chars")).alias("mask_start"), F.when(F.col("train"), end).alias("mask_end"),
     )
 
 
-def _as(keys: list[str], prefix: str):
-    return [F.col(k).alias(f"{prefix}{i}") for i, k in enumerate(keys)]
-
-
-def _same(p: str, q: str, n: int):
-    out = F.lit(True)
-    for i in range(n):
-        out = out & F.col(f"{p}{i}").eqNullSafe(F.col(f"{q}{i}"))
-    return out
-
-
 def op8_perspective_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rotate(table(spark, sf_dir, "conversations"))
 

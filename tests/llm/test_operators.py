@@ -1,0 +1,485 @@
+"""Each operator against brute force, and at the edges: nulls, empty and long texts, ties, repeated rows, empty tables and
+further columns."""
+
+import hashlib
+import random
+import zlib
+
+import pytest
+import xxhash
+from conftest import DATA, same_rows
+from pyspark.sql import functions as F
+
+from mailquarry.llm import bpe, chat, common, decontaminate, graph, htmltext, langid, media, registry, sharding, simhash, suffixdedup, warc
+
+EDGES = [
+    (None, "no id here", "x", "s", 1), (1, None, None, None, None), (2, "", "en", "s", 0), (3, " \t\n ", "en", "s", 4), (4, "the same text of some words", "en", "s", 27),
+    (5, "the same text of some words", "en", "s", 27), (5, "the same text of some words", "en", "s", 27), (6, "word " * 30_000, "en", "s", 150_000), (7, "é" * 300, "fr", None, 300), (-8, "12 34 !!", "en", "s", 8),
+]
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+EXTRA = "component_id string, lang_pred string, score string, ranges string, key string, runs string"
+
+
+@pytest.fixture(scope="module")
+def edges(spark):
+    docs = spark.createDataFrame(EDGES, SCHEMA)
+    for c in EXTRA.split(", "):
+        docs = docs.withColumn(c.split()[0], F.lit("clash"))
+    return docs
+
+
+@pytest.fixture(scope="module")
+def sf(spark, tmp_path_factory):
+    """A folder of tables with the edge rows, and one of empty tables."""
+    at = tmp_path_factory.mktemp("edges")
+    pages = spark.createDataFrame([(1, "u", "<p>x"), (1, "u", "<p>x"), (None, None, None), (2, "u", ""), (3, "u", "<" * 500 + "a" * 50_000)], "page_id long, url string, html string")
+    turns = spark.createDataFrame([(1, 0, "user", "a"), (1, 1, "assistant", "b"), (1, 1, "assistant", "b"), (None, None, None, None), (2, 0, "system", "s"), (3, 5, "user", ""), (3, 5, "bot", "z" * 9000)], "conv_id long, turn long, role string, text string")
+    for name, df in {"documents": spark.createDataFrame(EDGES, SCHEMA), "pages": pages, "conversations": turns, "benchmark": spark.createDataFrame([(None, None), (1, "12 34"), (2, "")], "item_id long, text string")}.items():
+        df.withColumn("clash", F.lit(1)).coalesce(2).write.parquet(f"{at}/full/{name}.parquet")
+        df.limit(0).write.parquet(f"{at}/empty/{name}.parquet")
+    return str(at)
+
+
+@pytest.mark.parametrize("name", list(registry.QUERIES))
+def test_edge_and_empty_tables(spark, sf, name):
+    empty = registry.QUERIES[name](spark, f"{sf}/empty")
+    assert empty.collect() == []
+    full = registry.QUERIES[name](spark, f"{sf}/full")
+    assert full.columns == empty.columns
+    n = len(full.collect())
+    if name.startswith(("op1_", "op4_", "op5_", "op6_", "op7_", "op9_", "op10_")):
+        assert n == len(EDGES)
+    elif name.startswith(("op2_", "op3_")):
+        assert n == 5
+
+
+@pytest.mark.parametrize("name", list(registry.ORACLE_SQL))
+def test_sql(spark, duck, name):
+    same_rows(registry.QUERIES[name](spark, DATA), duck.sql(registry.ORACLE_SQL[name]))
+
+
+# ---- 1
+
+
+def brute_fingerprint(text):
+    words = [w for w in (text or "").encode().lower().replace(b"\x0b", b" ").replace(b"\x0c", b" ").split() if w]
+    grams = [b" ".join(words[i : i + 4]) for i in range(max(1, len(words) - 3))] if words else []
+    hashes = [xxhash.xxh64_intdigest(g, 42) for g in grams]
+    return sum(1 << b for b in range(64) if sum(h >> b & 1 for h in hashes) * 2 > len(hashes))
+
+
+def brute_components(rows):
+    root = {d: d for d, _ in rows}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, (a, f) in enumerate(rows):
+        for b, g in rows[:i]:
+            if (f ^ g).bit_count() <= 4 and find(a) != find(b):
+                lo, hi = sorted((find(a), find(b)))
+                root[hi] = lo
+    return {d: find(d) for d in root}
+
+
+def test_simhash_against_brute_force(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    fps = {r.doc_id: brute_fingerprint(r.text) for r in docs.collect()}
+    want = brute_components(list(fps.items()))
+    got = {r.doc_id: (r.fingerprint, r.component_id) for r in registry.QUERIES["op1_simhash_near_dedup"](spark, DATA).collect()}
+    assert got == {d: (f"{f:016x}", want[d]) for d, f in fps.items()}
+
+
+@pytest.mark.parametrize("hot", [simhash.HOT, 3])
+def test_links_of_dense_and_sparse_fingerprints(spark, monkeypatch, hot):
+    monkeypatch.setattr(simhash, "HOT", hot)
+    monkeypatch.setattr(simhash, "BLOCK", 16)
+    rnd = random.Random(3)
+    fps = {rnd.getrandbits(64) for _ in range(150)}
+    for _ in range(3):
+        centre = rnd.getrandbits(64)
+        fps |= {centre ^ sum(1 << b for b in rnd.sample(range(64), rnd.randint(0, 5))) for _ in range(60)}
+    rows = [(f - (1 << 64) if f >> 63 else f,) for f in fps]
+    found = graph.components(simhash.links(common.cut(spark.createDataFrame(rows, "fp long"), "fps")))
+    got = {r.node & (1 << 64) - 1: r.root for r in found.collect()}
+    want = brute_components([(f, f) for f in sorted(fps)])
+    groups = {}
+    for f, r in want.items():
+        groups.setdefault(r, set()).add(f)
+    mine = {}
+    for f in fps:
+        mine.setdefault(got.get(f, f), set()).add(f)
+    assert sorted(map(sorted, mine.values())) == sorted(map(sorted, groups.values()))
+
+
+def test_thresholds_cover_the_distance():
+    import numpy as np
+
+    for n in (10, 10**5, 10**8, 10**11):
+        together = np.full((64, 64), n / 4.0)
+        np.fill_diagonal(together, n / 2)
+        for m in range(2, 6):
+            groups = simhash.group_bits(n, together, m)
+            assert sorted(b for g in groups for b in g) == list(range(64))
+            _, ts = simhash.allocate(n, together.diagonal() / n, groups)
+            assert sum(ts) == simhash.TAU - m + 1 and min(ts) >= -1
+
+
+def test_components_of_paths_and_stars(spark):
+    edges = [(i, i + 1) for i in range(100, 140)] + [(1000, i) for i in range(2000, 2300)] + [(7, 8), (8, 7), (9, 9)]
+    got = {r.node: r.root for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert {got[i] for i in range(100, 141)} == {100} and {got[i] for i in range(2000, 2300)} == {1000} and got[8] == 7
+
+
+# ---- 2
+
+
+def test_made_pages_that_the_field_has_not_seen():
+    field, rnd = htmltext.trained(), random.Random(99)
+    right = wrong = 0
+    for _ in range(150):
+        page, main = htmltext.labelled_page(rnd)
+        rows = htmltext.labelled_blocks(page, main)
+        for row, label in zip(rows, field.decode([field.score(*r[:3]) for r in rows])):
+            right, wrong = right + (row[3] == label), wrong + (row[3] != label)
+    assert right / (right + wrong) > 0.96
+
+
+def test_viterbi_is_the_best_labelling():
+    import itertools
+
+    import numpy as np
+
+    rnd = random.Random(1)
+    for _ in range(30):
+        field = htmltext.Field({}, np.array([rnd.gauss(0, 1), rnd.gauss(0, 1)]), np.array([[rnd.gauss(0, 1) for _ in range(2)] for _ in range(2)]))
+        scores = [rnd.gauss(0, 2) for _ in range(rnd.randint(1, 6))]
+
+        def value(y):
+            return field.start[y[0]] + sum(s for s, k in zip(scores, y) if k) + sum(field.step[a][b] for a, b in zip(y, y[1:]))
+
+        best = max(itertools.product([0, 1], repeat=len(scores)), key=value)
+        assert field.decode(scores) == [bool(k) for k in best]
+
+
+def test_blocks():
+    page = "<!-- <p>no --><body><p class=a>x &amp;\n y<b>z<p>q <i>r</i><script>'<p>'</script><ul><li>1<li>2</ul>t<br>u"
+    assert [(b[0][-1].split("|")[0], b[1]) for b in htmltext.blocks(page)] == [("p", "x & yz"), ("p", "q r"), ("li", "1"), ("li", "2"), ("body", "t u")]
+    assert htmltext.blocks('<p title="a > b">x</p><p title="unclosed>y')[0][1] == "x"
+
+
+# ---- 3
+
+
+def test_audit_finds_exactly_the_faults(spark):
+    records = warc.archive(spark.createDataFrame([(i, f"u{i}", f"<p>{i}") for i in range(2500)], "page_id long, url string, html string"))
+    one = common.cut(warc.leaves(records), "a")
+    assert warc.audit(one, one).count() == 0
+    other = common.cut(warc.leaves(warc.with_faults(records, 500)), "b")
+    got = {(r.file, r.leaf) for r in warc.audit(one, other).collect()}
+    want = {(r.file, r.leaf) for r in one.where("page_id % 500 = 0").collect()}
+    assert got == want and len(want) == 5
+    short = common.cut(warc.leaves(records.where("page_id <> 2499")), "c")
+    assert warc.audit(one, short).count() == 1
+
+
+# ---- 4
+
+
+def test_language_held_out(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    got = registry.QUERIES["op4_language_id"](spark, DATA).join(docs.select("doc_id", "lang"), "doc_id").collect()
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) and 0 <= r.score <= 1 for r in got)
+    held = [r for r in got if r.held_out]
+    assert sum(r.lang == r.lang_pred for r in held) / len(held) > 0.93
+
+
+def test_language_of_texts_without_letters(spark, edges):
+    got = {(r.doc_id, r.text): r for r in langid.identify(edges.drop("lang_pred", "score"), langid.fit(edges)).collect()}
+    for text in (None, "", " \t\n ", "12 34 !!"):
+        assert {(r.lang_pred, r.score) for (_, t), r in got.items() if t == text} == {("und", 0.0)}
+    assert got[7, "é" * 300].lang_pred in ("en", "fr")
+
+
+def test_kernel_is_a_blended_presence_spectrum():
+    model = langid.Model(["abc abd", "abc abd", "xyz xyw", "xyz xyw"], ["p", "p", "q", "q"])
+    k = model.kernel(model.landmarks)
+    assert abs(k.diagonal() - 1).max() < 1e-5 and abs(k - k.T).max() < 1e-6 and model.languages == ["p", "q"]
+
+
+# ---- 5
+
+
+def test_shards(spark):
+    rows = [(i, f"text {i % 40 if i < 900 else i}") for i in range(3000)] + [(10_000 + i, "hot") for i in range(1500)] + [(None, None)]
+    assigned = sharding.assign(spark.createDataFrame(rows, "doc_id long, text string"))
+    sizes = [r["count"] for r in assigned.groupBy("shard").count().collect()]
+    assert len(sizes) == 8 and max(sizes) - min(sizes) <= 1 and sum(sizes) == len(rows)
+    of = {}
+    for r in assigned.collect():
+        of.setdefault((r.g1, r.g2), []).append(r.shard)
+    assert sum(len(set(s)) == 1 for s in of.values() if 2 <= len(s) < 100) >= 38
+    assert len(set(max(of.values(), key=len))) <= 4
+    edges, cut = sharding.cut_edges(assigned).first()
+    assert cut < 0.7 * edges
+
+
+def test_shards_of_nothing_but_copies(spark):
+    assigned = sharding.assign(spark.createDataFrame([(i, "same") for i in range(101)], "doc_id long, text string"))
+    sizes = [r["count"] for r in assigned.groupBy("shard").count().collect()]
+    assert len(sizes) == 8 and max(sizes) - min(sizes) <= 1
+
+
+def test_slots_and_digests(spark):
+    got = registry.QUERIES["op5_balanced_sharding"](spark, DATA).collect()
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
+    by = {}
+    for r in got:
+        by.setdefault(r.shard, []).append(r.slot)
+        assert (r.size, r.text_crc32, r.law, r.grown_shard) == (len(texts[r.doc_id].encode()) + 1, zlib.crc32(texts[r.doc_id].encode()), "rows", None)
+    assert all(sorted(s) == list(range(len(s))) for s in by.values()) and len(by) == 8
+
+
+# ---- 6
+
+
+@pytest.fixture(scope="module")
+def library():
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(bpe.tokenizer_path())
+
+
+def test_bpe_against_the_library(spark, library):
+    got = {r.doc_id: r for r in registry.QUERIES["op6_bpe"](spark, DATA).collect()}
+    for r in spark.read.parquet(f"{DATA}/documents.parquet").collect():
+        ids = library.encode(r.text, add_special_tokens=False).ids
+        packed = b"".join(i.to_bytes(4, "little") for i in ids)
+        back = library.decode(ids, skip_special_tokens=False)
+        assert tuple(got[r.doc_id])[1:] == (len(ids), hashlib.sha256(packed).hexdigest(), hashlib.sha256(back.encode()).hexdigest())
+
+
+def test_bpe_cut_anywhere(library):
+    import numpy as np
+
+    codec, rnd = bpe.Codec(bpe.tokenizer_path(), keep=10_000), random.Random(1)
+    parts = ["a", "B", " ", "  ", "\n", "é", "ß", "'s", "<|endoftext|>", "1", "!", " ", "日本", "\t", "I'll ", "x y", "🙂", "́"]
+    for k in range(1500):
+        text = "".join(rnd.choice(parts) if k % 2 else chr(rnd.randint(0, 0x24F)) for _ in range(rnd.randint(0, 60)))
+        ids = codec.encode([text.encode()], bits=rnd.randint(0, 4))[0]
+        want = library.encode(text, add_special_tokens=False).ids
+        assert ids.tolist() == want and codec.decode(ids.astype(np.int64)) == library.decode(want, skip_special_tokens=False)
+
+
+def test_both_implementations_read_characters_alike(library):
+    quick = bpe.Codec(bpe.tokenizer_path()).quick
+    for x in range(0x250):
+        for text in (chr(x), "a" + chr(x) + "b", " " + chr(x) + "1 " + chr(x), chr(x) * 3 + " a", "! " + chr(x) * 2 + "\n "):
+            assert quick(text) == library.encode(text, add_special_tokens=False).ids
+
+
+def test_encode_and_decode_documents(spark, edges):
+    texts = {(r.doc_id, r.text or "") for r in edges.collect()}
+    encoded = bpe.encode_documents(edges)
+    assert {(r.doc_id, r.text) for r in bpe.decode_documents(encoded).collect()} == texts
+
+
+def test_shared_passages_share_chunks():
+    rnd = random.Random(2)
+    passage = " ".join("".join(rnd.choice("abcdefgh") for _ in range(6)) for _ in range(4000)).encode()
+    a, b = passage, b"other start " + passage[100:]
+    cut = lambda t: {t[x:y] for x, y in bpe.segments(t)}
+    assert sum(map(len, cut(a) & cut(b))) > 0.7 * len(a)
+
+
+# ---- 7
+
+
+def test_container_round_trip():
+    rnd = random.Random(1)
+    for n in (0, 1, 63, 64, 65, 1024, 1025, 5000, 70_000):
+        payload = media.pad(rnd.randbytes(n))
+        data = media.write_container(payload)
+        (track,) = media.read_container(data)
+        assert media.payload_of(data, track) == payload and len(payload) % 64 == 0 and len(payload) >= 64
+        assert track["codec"] == "raw " and track["duration"] == len(payload) and len(track["keyframes"]) == -(-len(payload) // 1024)
+        assert all(data[o : o + s] == payload[i * 1024 : i * 1024 + 64] for i, (o, s) in enumerate(track["keyframes"]))
+
+
+def test_container_forms_and_faults():
+    import struct
+
+    data = media.write_container(bytes(range(64)) * 40)
+    moved = struct.pack(">I4sQ", 1, b"free", 16) + data[:-1]
+    with pytest.raises(ValueError):
+        media.read_container(moved)
+    with pytest.raises(ValueError):
+        media.read_container(data[:300])
+    assert media.read_container(b"") == []
+    open_end = data.replace(struct.pack(">I4s", 8 + 2560, b"mdat"), struct.pack(">I4s", 0, b"mdat"))
+    assert media.payload_of(open_end, media.read_container(open_end)[0]) == bytes(range(64)) * 40
+
+
+def test_media_columns(spark, edges):
+    held = media.probe_media(media.contain(edges), "media_bytes").collect()
+    assert all(r.media.codec == "raw " for r in held) and len(held) == len(EDGES)
+    bad = media.probe_media(spark.createDataFrame([(b"junk",), (None,)], "m binary"), "m").collect()
+    assert [r.media for r in bad] == [None, None]
+    got = {r.doc_id: r for r in registry.QUERIES["op7_media_columns"](spark, DATA).collect()}
+    for r in spark.read.parquet(f"{DATA}/documents.parquet").collect():
+        padded = media.pad(r.text.encode())
+        assert (got[r.doc_id].payload_sha256, got[r.doc_id].tail_crc32) == (hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-64:]))
+
+
+# ---- 8
+
+
+def test_rotation_renders_each_dialogue(spark):
+    turns = [(1, 0, "system", "be kind"), (1, 1, "ann", "hi"), (1, 2, "bob", "yo"), (1, 300, "ann", "bye"), (1, 300, "cy", "x"), (None, None, None, None), (2, 0, "system", "alone")]
+    got = chat.rotate(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")).collect()
+    views = {}
+    for r in got:
+        views.setdefault((r.conv_id, r.perspective), []).append(r)
+    assert set(views) == {(1, "ann"), (1, "bob"), (1, "cy"), (None, "unknown")}
+    for (_, who), rows in views.items():
+        rows.sort(key=lambda r: r.position)
+        whole = "".join(r.rendered for r in rows)
+        assert [r.position for r in rows] == list(range(len(rows)))
+        for r in rows:
+            assert whole[r.start : r.end] == r.rendered and r.train == (r.name == who)
+            assert (r.mask_start is None) == (not r.train) and (not r.train or whole[r.mask_start : r.mask_end].endswith("<|end|>\n"))
+    ann = sorted(views[1, "ann"], key=lambda r: r.position)
+    assert "".join(r.rendered for r in ann)[:75] == "<|system|>\nbe kind<|end|>\n<|assistant|>\nhi<|end|>\n<|user name=bob|>\nyo<|end"
+
+
+# ---- 9
+
+
+def brute_hits(text, items):
+    import re
+
+    of = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    words, hit, found = of(text), set(), set()
+    for item, t in items:
+        w = of(t)
+        n = min(13, len(w))
+        for i in range(len(w) - n + 1 if n else 0):
+            for p in range(len(words) - n + 1):
+                if words[p : p + n] == w[i : i + n]:
+                    hit |= set(range(p, p + n))
+                    found.add(str(item))
+    return len(words), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), len(hit) > 0 and 20 * len(hit) >= len(words)
+
+
+@pytest.mark.parametrize("max_bytes", [decontaminate.MAX_BYTES, 200])
+def test_decontamination_against_brute_force(spark, max_bytes):
+    rnd = random.Random(4)
+    vocabulary = ["aa", "Bb", "cé", "d4", "ee", "ff"]
+    items = [(i, " ".join(rnd.choice(vocabulary) for _ in range(rnd.choice([0, 1, 3, 5, 13, 14, 30])))) for i in range(30)]
+    items = [(i, t) for i, t in items if len(t.split()) not in (1,)] + [(99, None)]
+    docs = []
+    for d in range(60):
+        parts = [" ".join(rnd.choice([*vocabulary, f"w{rnd.randint(0, 99)}"]) for _ in range(rnd.randint(0, 30)))]
+        parts += [rnd.choice(items)[1] or "" for _ in range(rnd.randint(0, 2))]
+        docs.append((d, ", ".join(rnd.sample(parts, len(parts))) or None))
+    got = decontaminate.judge(decontaminate.scan(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), max_bytes=max_bytes))
+    got = {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in got.collect()}
+    assert got == {d: brute_hits(t, items) for d, t in docs}
+
+
+def test_removal_of_documents_and_spans(spark):
+    item = " ".join(f"b{i}" for i in range(13))
+    docs = spark.createDataFrame([(1, "clean text"), (2, f"Start here, {item.upper()}! and on"), (3, None)], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    assert {r.doc_id for r in decontaminate.decontaminate(docs, bench).collect()} == {1, 3}
+    assert {r.doc_id: r.text for r in decontaminate.decontaminate(docs, bench, "spans").collect()} == {1: "clean text", 2: "Start here, ! and on", 3: None}
+
+
+# ---- 10
+
+
+def brute_repeats(rows, length=100):
+    seen, out = set(), {}
+    for d, t in sorted(rows):
+        data = (t or "").encode()
+        gone = bytearray(len(data))
+        for p in range(len(data) - length + 1):
+            if data[p : p + length] in seen:
+                gone[p : p + length] = b"\1" * length
+            seen.add(data[p : p + length])
+        runs = sum(1 for i in range(len(data)) if gone[i] and not (i and gone[i - 1]))
+        out[d] = (len(data), sum(gone), runs, hashlib.sha256(bytes(x for x, g in zip(data, gone) if not g)).hexdigest())
+    return out
+
+
+def digests(found):
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+    rest = found.rest.select("doc_id", common.utf8("text").alias("t")).mapInArrow(suffixdedup._digest, schema)
+    judged = found.judged().select("doc_id", common.utf8("text").alias("t"), "ranges").mapInArrow(suffixdedup._digest, schema)
+    return rest.union(judged).collect()
+
+
+def test_repeats_of_real_documents(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    got = {r[0]: tuple(r)[1:] for r in registry.QUERIES["op10_suffix_array_dedup"](spark, DATA).collect()}
+    assert got == brute_repeats([(r.doc_id, r.text) for r in docs.collect()])
+
+
+@pytest.mark.parametrize(("hot", "split"), [(suffixdedup.HOT, suffixdedup.SPLIT), (2, 3)])
+def test_repeats_of_made_documents(spark, hot, split):
+    rnd = random.Random(5)
+    passages = ["".join(rnd.choice("abc é") for _ in range(rnd.choice([60, 99, 100, 101, 150, 400]))) for _ in range(12)]
+    rows = [(i * 7 - 50, "".join(rnd.choice([*passages, "x" * rnd.randint(0, 250), "ab" * rnd.randint(0, 150), str(rnd.random())]) for _ in range(rnd.randint(0, 6))) or None) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert {r[0]: tuple(r)[1:] for r in digests(suffixdedup.Repeats(docs, hot=hot, split=split))} == brute_repeats(rows)
+
+
+def test_repeated_and_missing_ids(spark):
+    a, b = "one text " * 20 + "tail", (hashlib.sha512(b"b").hexdigest() + hashlib.sha512(b"c").hexdigest())[:133]
+    rows = [(1, a), (1, a), (None, b), (2, b), (3, b), (3, "short")]
+    got = sorted((r.doc_id is not None, r.doc_id or 0, r.n_bytes, r.n_removed) for r in digests(suffixdedup.Repeats(spark.createDataFrame(rows, "doc_id long, text string"))))
+    once = brute_repeats([(1, a)])[1][1]
+    assert got == [(False, 0, 133, 0), (True, 1, 184, once), (True, 1, 184, once), (True, 2, 133, 133), (True, 3, 5, 0), (True, 3, 133, 133)]
+
+
+def test_mergesort_of_suffixes():
+    import numpy as np
+
+    rnd = random.Random(6)
+    data = np.frombuffer("".join(rnd.choice("ab") for _ in range(700)).encode(), np.uint8)
+    at = np.array(rnd.sample(range(550), 300))
+    segment = np.sort(np.array([rnd.randint(0, 5) for _ in at]))
+    raw = [data[x : x + 100].tobytes() for x in at.tolist()]
+    order, head = suffixdedup.classes(data, at, segment)
+    assert order.tolist() == sorted(range(len(at)), key=lambda i: (segment[i], raw[i]))
+    assert head.tolist() == [True] + [(segment[x], raw[x]) != (segment[y], raw[y]) for x, y in zip(order[:-1], order[1:])]
+
+
+# ---- pipeline
+
+
+def test_pipeline_against_brute_force(spark, library):
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
+    kept = {d: t for d, t in docs.items() if any(c.isalpha() for c in t or "")}
+    fps = {d: brute_fingerprint(t) for d, t in kept.items()}
+    kept = {d: kept[d] for d, root in brute_components(list(fps.items())).items() if d == root}
+    cutter = {}
+    seen = set()
+    for d in sorted(kept):
+        data, gone = kept[d].encode(), bytearray(len(kept[d].encode()))
+        for p in range(len(data) - 99):
+            if data[p : p + 100] in seen:
+                gone[p : p + 100] = b"\1" * 100
+            seen.add(data[p : p + 100])
+        cutter[d] = bytes(x for x, g in zip(data, gone) if not g).decode("utf-8", "ignore")
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()]
+    windows = decontaminate.Windows([(str(i), t.encode()) for i, t in items])
+    clean = {}
+    for d, t in cutter.items():
+        hit, _ = windows.scan(decontaminate.words_of(t.encode()))
+        if t and not (hit.any() and 20 * int(hit.sum()) >= len(hit)):
+            clean[d] = t
+    got = {r.doc_id: r.n_tokens for r in registry.QUERIES["pipeline"](spark, DATA).collect()}
+    assert got == {d: len(library.encode(t, add_special_tokens=False).ids) for d, t in clean.items()}
