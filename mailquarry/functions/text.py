@@ -114,7 +114,7 @@ def is_clean_prose(c: Column | str) -> Column:
 def receipt(c: Column | str) -> Column:
     """The short receipt that a body is, on one line; null if it is none. Of two or more lines a last bare name is dropped."""
     lines = F.filter(F.transform(F.split(_text(c), "\\n"), lambda x: F.trim(F.regexp_replace(x, "[\\t\\r\\f]", " "))), lambda x: x != "")
-    last = F.element_at(lines, -1)
+    last = F.coalesce(F.try_element_at(lines, F.lit(-1)), F.lit(""))
     signed = (F.size(lines) >= 2) & last.rlike(BARE_NAME) & ~last.rlike(RECEIPT_START)
     kept = F.when(signed, F.slice(lines, F.lit(1), F.greatest(F.size(lines) - 1, F.lit(0)))).otherwise(lines)
     line = F.trim(F.regexp_replace(F.array_join(kept, " "), "[ \\t]{2,}", " "))
