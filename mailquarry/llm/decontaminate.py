@@ -134,7 +134,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", n: int = N,
     start = F.expr("cast(array() as array<struct<a:bigint,b:bigint>>)")
 
     def merge(done, x):
-        last = F.element_at(done, -1)
+        last = F.try_element_at(done, F.lit(-1))
         joined = F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(F.struct(last["a"].alias("a"), F.greatest(last["b"], x["b"]).alias("b"))))
         return F.when((F.size(done) > 0) & (x["a"] <= F.get(done, F.size(done) - 1)["b"]), joined).otherwise(F.concat(done, F.array(x)))
 
