@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Sequence
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The stop words that ranked search leaves out.
@@ -63,8 +63,7 @@ def words(c: Column | str) -> Column:
 
 def tokenize(c: Column | str, stop: Sequence[str] = STOPWORDS) -> Column:
     """words() less stop words."""
-    banned = F.array(*map(F.lit, sorted(set(stop))))
-    return F.filter(words(c), lambda w: ~F.array_contains(banned, w))
+    return F.filter(words(c), lambda w: ~w.isin(*sorted(set(stop))))
 
 
 def query_tokens(c: Column | str) -> Column:
@@ -187,19 +186,19 @@ def output_after(c: Column | str, marker: str, opener: str | None = None) -> Col
 STYLE = ("log_chars", "log_words", "word_chars", "lines", "line_chars", "punctuation", "digits", "capitals", "commas", "enders", "caps_words", "function_words", "header", "sentence_words", "types")
 
 
-def stylometrics(c: Column | str, stop: Sequence[str] = STOPWORDS) -> list[Column]:
-    """15 features of style, named as in STYLE. Letters are ASCII letters."""
-    s = _text(c)
-    w = words(s)
+def stylometrics(df: DataFrame, c: str, stop: Sequence[str] = STOPWORDS) -> DataFrame:
+    """df with 15 features of style, named as in STYLE. Letters are ASCII letters. What several features need is computed in
+    a projection of its own."""
+    s = F.col("_s")
     count = lambda p: F.regexp_count(s, F.lit(p)).cast("double")
-    n, chars = F.size(w).cast("double"), F.length(s).cast("double")
-    nw, nc, lines = F.greatest(n, F.lit(1.0)), F.greatest(chars, F.lit(1.0)), count("\\n") + 1
-    sentences = F.greatest(count("[.!?]+"), F.lit(1.0))
-    banned = F.array(*map(F.lit, sorted(set(stop))))
+    base = df.withColumn("_s", _text(c)).withColumn("_w", words("_s")).withColumn("_lines", count("\\n") + 1).withColumn("_ends", F.greatest(count("[.!?]+"), F.lit(1.0))).withColumn("_capitals", count("[A-Z]"))
+    base = base.withColumn("_n", F.size("_w").cast("double"))
+    w, n, chars, lines, sentences = F.col("_w"), F.col("_n"), F.length(s).cast("double"), F.col("_lines"), F.col("_ends")
+    nw, nc = F.greatest(n, F.lit(1.0)), F.greatest(chars, F.lit(1.0))
     values = (
-        F.log1p(chars), F.log1p(n), F.when(n > 0, F.aggregate(w, F.lit(0.0), lambda a, x: a + F.length(x)) / nw).otherwise(0.0), lines, chars / lines,
-        count("[^A-Za-z0-9 \\t\\r\\n\\f]") / nc, count("[0-9]") / nc, count("[A-Z]") / F.greatest(count("[A-Za-z]"), F.lit(1.0)), count(",") / nw, sentences / nw,
+        F.log1p(chars), F.log1p(n), F.when(n > 0, F.length(F.array_join(w, "")) / nw).otherwise(0.0), lines, chars / lines,
+        count("[^A-Za-z0-9 \\t\\r\\n\\f]") / nc, count("[0-9]") / nc, F.col("_capitals") / F.greatest(count("[A-Za-z]"), F.lit(1.0)), count(",") / nw, sentences / nw,
         F.size(F.filter(F.regexp_extract_all(s, F.lit("[A-Za-z]{2,}"), F.lit(0)), lambda x: x == F.upper(x))) / nw,
-        F.size(F.filter(w, lambda x: F.array_contains(banned, x))) / nw, s.rlike("Forwarded by|-----|Original Message|@ECT|cc:").cast("double"), n / sentences, F.size(F.array_distinct(w)) / nw,
+        F.size(F.filter(w, lambda x: x.isin(*sorted(set(stop))))) / nw, s.rlike("Forwarded by|-----|Original Message|@ECT|cc:").cast("double"), n / sentences, F.size(F.array_distinct(w)) / nw,
     )
-    return [v.alias(name) for v, name in zip(values, STYLE)]
+    return base.select(*df.columns, *[v.alias(name) for v, name in zip(values, STYLE)])

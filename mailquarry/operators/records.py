@@ -25,12 +25,17 @@ def similar_sets(rows: DataFrame, least: float) -> DataFrame:
     their rarest tokens: two that similar share one of the first |s| - ceil(least * |s|) + 1 in any common order."""
     sets = rows.where(F.size("toks") > 0).groupBy(F.array_sort("toks").alias("toks")).agg(F.min("id").alias("id"))
     df = sets.select(F.explode("toks").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n"))
-    ranked = sets.select("id", F.explode("toks").alias("t")).join(df, "t").groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "t"))), lambda x: x["t"]).alias("toks"))
-    size = F.size("toks")
-    keyed = ranked.select("id", "toks", F.explode(F.slice("toks", F.lit(1), (size - F.ceil(least * size) + 1).cast("int"))).alias("t"))
-    a, b = keyed.select(F.col("id").alias("a"), F.col("toks").alias("x"), "t"), keyed.select(F.col("id").alias("b"), F.col("toks").alias("y"), "t")
-    near = (F.size("x") * least <= F.size("y")) & (F.size("y") * least <= F.size("x"))
-    return a.join(b, "t").where((F.col("a") < F.col("b")) & near).select("a", "b", T.jaccard(F.col("x"), F.col("y")).alias("jaccard")).where(F.col("jaccard") >= least).distinct()
+    ranked = sets.select("id", F.explode("toks").alias("t")).join(df, "t").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("n", "t"))).alias("r"))
+    size = F.size("r")
+    prefix = ranked.select("id", size.alias("size"), F.explode(F.slice("r", F.lit(1), (size - F.ceil(least * size) + 1).cast("int"))).alias("r"))
+    keyed = prefix.where(F.col("r.n") > 1).select("id", "size", F.col("r.t").alias("t"))
+    a, b = keyed.toDF("a", "m", "t"), keyed.toDF("b", "n", "t")
+    near = (F.col("m") * least <= F.col("n")) & (F.col("n") * least <= F.col("m"))
+    # a pair meets on many tokens but is compared once
+    pairs = a.join(b, "t").where((F.col("a") < F.col("b")) & near).select("a", "b").distinct()
+    whole = sets.select("id", "toks")
+    both = pairs.join(whole.toDF("a", "x"), "a").join(whole.toDF("b", "y"), "b")
+    return both.select("a", "b", T.jaccard(F.col("x"), F.col("y")).alias("jaccard")).where(F.col("jaccard") >= least)
 
 
 def hash_order(key: Column, seed: int) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from mailquarry.functions import text as T
 from mailquarry.operators import measures as M
 from mailquarry.operators import records as R
-from mailquarry.plans.search import _ASCII, _STOP, read
+from mailquarry.plans.search import _ASCII, _STOP, read, spread
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -218,8 +218,8 @@ _STYLE_SQL = {
 @query(f"WITH a AS (SELECT doc_id, {_ASCII} AS s FROM documents), b AS (SELECT doc_id, s, regexp_extract_all(lower(s), '[a-z0-9]{{2,}}') AS w FROM a), c AS (SELECT *, len(w)::DOUBLE AS n FROM b) SELECT doc_id, "
        + ", ".join(f"round({v}, 6) AS {k}" for k, v in _STYLE_SQL.items()) + " FROM c")
 def stylometrics(spark, d):
-    docs = read(spark, d, "documents").select("doc_id", F.regexp_replace(F.coalesce("text", F.lit("")), "[^\\x00-\\x7F]", "x").alias("s"))
-    return docs.select("doc_id", *T.stylometrics("s")).select("doc_id", *[F.round(c, 6).alias(c) for c in T.STYLE])
+    docs = spread(read(spark, d, "documents").select("doc_id", "text")).select("doc_id", F.regexp_replace(F.coalesce("text", F.lit("")), "[^\\x00-\\x7F]", "x").alias("s"))
+    return T.stylometrics(docs, "s").select("doc_id", *[F.round(c, 6).alias(c) for c in T.STYLE])
 
 
 @query("WITH m AS (SELECT avg(n_chars) AS m, stddev_pop(n_chars) + 1e-9 AS s FROM documents) SELECT doc_id, round((n_chars - m) / s, 6) AS z FROM documents, m")

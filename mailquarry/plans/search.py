@@ -27,6 +27,13 @@ def read(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df in as many partitions as there are cores, if the scan has fewer: one small file would keep all but one idle. Large
+    inputs have more and are left alone."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 _STOP = ", ".join("'" + w.replace("'", "''") + "'" for w in T.STOPWORDS)
 _WORDS = "regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]{2,}')"
 _TOKENS = f"list_filter({_WORDS}, lambda x: x NOT IN ({_STOP}))"
@@ -34,7 +41,7 @@ _SPACE = "regexp_replace({}, '[ \\t\\r\\n\\f]+', ' ', 'g')"
 
 
 def _docs(spark, d):
-    return read(spark, d, "documents").select(F.col("doc_id").alias("doc"), T.tokenize("text").alias("tokens"))
+    return spread(read(spark, d, "documents").select("doc_id", "text")).select(F.col("doc_id").alias("doc"), T.tokenize("text").alias("tokens"))
 
 
 def _asks(spark, d):
@@ -219,7 +226,7 @@ e AS (SELECT id, unnest(toks) AS t FROM s), p AS (SELECT x.id AS a, y.id AS b, c
 SELECT a, b, round(shared::DOUBLE / (len(s1.toks) + len(s2.toks) - shared), 6) AS jaccard FROM p JOIN s s1 ON s1.id = a JOIN s s2 ON s2.id = b
 WHERE shared::DOUBLE / (len(s1.toks) + len(s2.toks) - shared) >= 0.8""")
 def jaccard_pairs(spark, d):
-    rows = read(spark, d, "documents").select(F.col("doc_id").alias("id"), F.array_distinct(T.tokenize("text")).alias("toks"))
+    rows = spread(read(spark, d, "documents").select("doc_id", "text")).select(F.col("doc_id").alias("id"), F.array_distinct(T.tokenize("text")).alias("toks"))
     return R.similar_sets(rows, 0.8).select("a", "b", F.round("jaccard", 6).alias("jaccard"))
 
 

@@ -92,5 +92,5 @@ def test_steps(spark):
 
 
 def test_style_of_nothing(spark):
-    row = spark.range(1).select(F.lit("").alias("t")).select(*T.stylometrics("t")).first()
+    row = T.stylometrics(spark.range(1).select(F.lit("").alias("t")), "t").first()
     assert row.log_chars == 0 and row.lines == 1 and row.types == 0
