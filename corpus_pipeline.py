@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from mailquarry.llm import bpe, decontaminate, langid, simhash, suffixdedup
-from mailquarry.llm.common import cut, table
+from mailquarry.llm.common import cut, drop_cut, table
 
 STAGES = [
     ("language_id", langid.stage),
@@ -21,7 +21,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of the documents that all stages keep."""
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         docs = cut(stage(spark, docs, sf_dir), f"stage-{name}")
+        if before is not None:
+            drop_cut(before)
+        before = docs
     return docs
