@@ -202,3 +202,24 @@ def stylometrics(df: DataFrame, c: str, stop: Sequence[str] = STOPWORDS) -> Data
         F.size(F.filter(w, lambda x: x.isin(*sorted(set(stop))))) / nw, s.rlike("Forwarded by|-----|Original Message|@ECT|cc:").cast("double"), n / sentences, F.size(F.array_distinct(w)) / nw,
     )
     return base.select(*df.columns, *[v.alias(name) for v, name in zip(values, STYLE)])
+
+
+def scrub_labels(c: Column | str) -> Column:
+    """Label residue out of file names and handles: PersonC, _H., H_ before a capital; doubled separators are one."""
+    rules = (("[_-]?Person[ _]?[A-J](?![A-Za-z])", ""), ("[_-]([A-J])(?=[_.])", ""), ("\\b([A-J])[_-](?=[A-Z])", ""), ("[_-]{2,}", "_"))
+    return replace_all(_text(c), rules)
+
+
+def leaks(c: Column | str, names: Sequence[str]) -> Column:
+    """Which of the names, as whole words, a text still has."""
+    s = _text(c)
+    found = [F.when(s.rlike("(^|[^A-Za-z0-9])\\Q" + n + "\\E([^A-Za-z0-9]|$)"), F.lit(n)) for n in names]
+    return F.array_compact(F.array(*found))
+
+
+def resolve_type(register: Column, kind: Column, legacy: dict[str, tuple[str, str]], registers: Sequence[str], kinds: Sequence[str]) -> Column:
+    """(register, mechanism): a legacy kind carries both; else an unknown register is casual, an unknown kind commission."""
+    out = F.struct(F.when(register.isin(*registers), register).otherwise("casual").alias("register"), F.when(kind.isin(*kinds), kind).otherwise("commission").alias("mechanism"))
+    for name, (r, m) in legacy.items():
+        out = F.when(kind == name, F.struct(F.lit(r).alias("register"), F.lit(m).alias("mechanism"))).otherwise(out)
+    return out

@@ -185,3 +185,53 @@ def deferred_final(spark, d):
     found = (F.col("o_orderstatus") == "F").cast("double")
     return read(spark, d, "orders").select("o_orderkey", F.round(found * (F.col("o_custkey") % 5) / 4, 6).alias("final"))
 
+
+
+@query("SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'Audit.pdf' WHEN 1 THEN 'Med_Oct.pdf' WHEN 2 THEN 'Status_x' ELSE 'PersonCx' END AS name FROM part")
+def scrub_labels(spark, d):
+    given = F.element_at(F.array(*map(F.lit, ["Audit_H.pdf", "Med_PersonC_Oct.pdf", "H_Status__x", "PersonCx"])), (F.col("p_partkey") % 4 + 1).cast("int"))
+    return read(spark, d, "part").select("p_partkey", T.scrub_labels(given).alias("name"))
+
+
+@query("SELECT conv_id, turn, array_to_string(list_filter(['The', 'Onth', 'Is'], lambda n: regexp_matches(text, '(^|[^A-Za-z0-9])' || n || '([^A-Za-z0-9]|$)')), ',') AS leaks FROM conversations")
+def anonymisation_leaks(spark, d):
+    return read(spark, d, "conversations").select("conv_id", "turn", F.array_join(T.leaks("text", ["The", "Onth", "Is"]), ",").alias("leaks"))
+
+
+@query("""SELECT l_orderkey, l_linenumber, CASE WHEN l_linestatus = 'F' AND l_returnflag = 'R' THEN 'work' WHEN l_returnflag = 'A' THEN 'work' ELSE 'casual' END AS register,
+CASE WHEN l_linestatus = 'F' AND l_returnflag = 'R' THEN 'omission' WHEN l_linenumber = 2 THEN 'paltering' ELSE 'commission' END AS mechanism FROM lineitem""")
+def type_resolution(spark, d):
+    kind = F.when((F.col("l_linestatus") == "F") & (F.col("l_returnflag") == "R"), "old").when(F.col("l_linenumber") == 2, "paltering").otherwise("?")
+    register = F.when(F.col("l_returnflag") == "A", "work").otherwise("unknown")
+    t = T.resolve_type(register, kind, {"old": ("work", "omission")}, ["work", "casual"], ["commission", "paltering"])
+    return read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", t.alias("t")).select("l_orderkey", "l_linenumber", "t.register", "t.mechanism")
+
+
+@query("""WITH m AS (SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS j FROM conversations)
+SELECT conv_id, count(*) AS n_messages, 'clue-' || conv_id || '-0' AS first_id, max_by(replace(role, '.', ' '), j) AS last_from, array_to_string(list_sort(list_distinct(list(role))), ',') AS participants,
+'2001-10-13T09:00:00' AS date_first, '2001-10-13T' || printf('%02d', least(9 + 4 * (count(*) - 1), 21)) || ':00:00' AS date_last FROM m GROUP BY conv_id""")
+def clue_threads(spark, d):
+    """A dialogue as a thread: dates in order on one clamped day, ids that reply to one another."""
+    one = F.struct("turn", "role")
+    c = read(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(one)).alias("m"))
+    day = T.clamp_era(F.lit("2024-10-13"))
+    at = lambda j: F.concat(day, F.lit("T"), F.format_string("%02d", F.least(9 + 4 * j, F.lit(21))), F.lit(":00:00"))
+    n = F.size("m")
+    return c.select(
+        "conv_id", n.cast("long").alias("n_messages"), F.concat_ws("-", F.lit("clue"), "conv_id", F.lit("0")).alias("first_id"), F.replace(F.element_at("m", -1)["role"], F.lit("."), F.lit(" ")).alias("last_from"),
+        F.array_join(F.array_sort(F.array_distinct(F.transform("m", lambda m: m["role"]))), ",").alias("participants"), at(F.lit(0)).alias("date_first"), at(n - 1).alias("date_last"),
+    )
+
+
+@query("""WITH e AS (SELECT source, doc_id, length(text) - length(replace(text, ' ', '')) + 1 AS words, lower(substr(regexp_replace(text, '[ \\t\\r\\n\\f]+', ' ', 'g'), 1, 40)) AS sig FROM documents),
+f AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY source, sig ORDER BY doc_id) = 1), g AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY source ORDER BY doc_id) <= 14)
+SELECT source, doc_id FROM g QUALIFY row_number() OVER (PARTITION BY source ORDER BY abs(words - 55), doc_id) <= 2""")
+def style_bank(spark, d):
+    """For each source the first 14 texts of different openings, of which the two nearest to 55 words."""
+    docs = read(spark, d, "documents")
+    words = F.length("text") - F.length(F.replace("text", F.lit(" "), F.lit(""))) + 1
+    sig = F.lower(F.substring(F.regexp_replace("text", "[ \\t\\r\\n\\f]+", " "), 1, 40))
+    first = docs.groupBy("source", sig.alias("sig")).agg(F.min_by(F.struct("doc_id", words.alias("words")), "doc_id").alias("r")).select("source", "r.*")
+    some = first.withColumn("n", F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))).where("n <= 14")
+    near = F.row_number().over(Window.partitionBy("source").orderBy(F.abs(F.col("words") - 55), "doc_id"))
+    return some.withColumn("k", near).where("k <= 2").select("source", "doc_id")
