@@ -20,11 +20,13 @@ def haystacks(cases: DataFrame, corpus: DataFrame, taken: DataFrame, noise: int,
 
     cases (case, thread) are clue threads, taken (case, thread) what is too near to a case. The noise of all cases is one
     seeded order of the corpus, of which a case takes the first threads that it may: those before the place `noise` plus the
-    number of its own exclusions. Only these are met with cases, so the cost is cases x noise, not cases x corpus."""
+    number of its own exclusions, clue threads included. Only these are met with cases, so
+    the cost is cases x noise, not cases x corpus."""
     clues = cases.select("case", "thread").distinct()
-    most = taken.groupBy("case").count().agg(F.coalesce(F.max("count"), F.lit(0)).alias("m")).first()["m"]
+    shut = taken.select("case", "thread").union(clues).distinct()
+    most = shut.groupBy("case").count().agg(F.coalesce(F.max("count"), F.lit(0)).alias("m")).first()["m"]
     pool = corpus.select("thread").distinct().orderBy(hash_order(F.col("thread"), seed), "thread").limit(noise + int(most))
-    pairs = clues.select("case").distinct().crossJoin(pool).join(taken.select("case", "thread").union(clues), ["case", "thread"], "left_anti")
+    pairs = clues.select("case").distinct().crossJoin(pool).join(shut, ["case", "thread"], "left_anti")
     nth = F.row_number().over(Window.partitionBy("case").orderBy(hash_order(F.col("thread"), seed), "thread"))
     kept = pairs.withColumn("n", nth).where(F.col("n") <= noise).select("case", "thread", F.lit(False).alias("clue"))
     both = clues.withColumn("clue", F.lit(True)).unionByName(kept)

@@ -57,3 +57,24 @@ def nearest(queries: DataFrame, rows: DataFrame, k: int = 1) -> DataFrame:
     pairs = rows.select("id", "v").crossJoin(queries.select("qid", F.col("v").alias("q"))).where("qid <> id").select("qid", "id", F.sqrt(d2).alias("distance"))
     w = Window.partitionBy("qid").orderBy(F.round("distance", 9), "id")
     return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def principal(rows: DataFrame, key: str, vector: str, k: int = 2) -> DataFrame:
+    """(key, p1..pk): each centred vector along the k directions of most variance; a direction's largest weight is positive,
+    so signs are the same on every engine. Only the covariances, one number for each two dimensions, reach the driver."""
+    from pyspark.ml.feature import PCA
+    from pyspark.ml.functions import array_to_vector
+
+    known = rows.where(F.col(vector).isNotNull()).select(key, F.col(vector).cast("array<double>").alias("_v"))
+    names = [f"p{i + 1}" for i in range(k)]
+    if known.isEmpty():
+        return known.select(key, *[F.lit(None).cast("double").alias(n) for n in names])
+    pc = PCA(k=k, inputCol="x", outputCol="y").fit(known.select(array_to_vector("_v").alias("x"))).pc.toArray()
+    width = len(pc)
+    means = known.agg(*[F.avg(F.get("_v", F.lit(i))).alias(f"m{i}") for i in range(width)]).first()
+    out = []
+    for name, w in zip(names, pc.T):
+        w = w if w[abs(w).argmax()] > 0 else -w
+        along = F.aggregate(F.zip_with("_v", F.array(*map(F.lit, w.tolist())), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+        out.append((along - float(sum(m * x for m, x in zip(means, w)))).alias(name))
+    return known.select(key, *out)

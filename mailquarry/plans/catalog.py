@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from mailquarry.plans import evaluation, records, search
+from mailquarry.plans import evaluation, records, search, threads
 
-QUERIES = {**search.QUERIES, **evaluation.QUERIES, **records.QUERIES}
-ORACLE_SQL = {**search.ORACLE_SQL, **evaluation.ORACLE_SQL, **records.ORACLE_SQL}
+QUERIES = {**search.QUERIES, **evaluation.QUERIES, **records.QUERIES, **threads.QUERIES}
+ORACLE_SQL = {**search.ORACLE_SQL, **evaluation.ORACLE_SQL, **records.ORACLE_SQL, **threads.ORACLE_SQL}

@@ -178,3 +178,27 @@ def test_raw_mail(spark, tmp_path):
     (tmp_path / "1.").write_bytes(b"From: ada@x.example\n\nbody here\n-----Original Message-----\nold")
     got = mail.read_maildir(spark, str(tmp_path)).first()
     assert (got.sender, got.body) == ("ada@x.example", "body here")
+
+
+def test_haystacks_are_full_where_clues_come_first(spark):
+    from mailquarry.operators.records import hash_order
+
+    corpus = spark.range(40).withColumnRenamed("id", "thread")
+    first = [r.thread for r in corpus.orderBy(hash_order(corpus.thread, 3)).limit(4).collect()]
+    cases = spark.createDataFrame([(1, t) for t in first[:2]], "case long, thread long")
+    taken = spark.createDataFrame([(1, t) for t in first[2:]], "case long, thread long")
+    got = A.haystacks(cases, corpus, taken, 10, 3).collect()
+    assert sum(not r.clue for r in got) == 10 and sorted(r.place for r in got) == list(range(1, 13))
+
+
+def test_principal_directions_are_those_of_the_covariance(spark):
+    import numpy as np
+
+    x = np.random.default_rng(5).normal(size=(60, 6)) * [5, 1, 3, 1, 1, 0.5]
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)] + [(99, None)], "id long, v array<float>")
+    got = {r.id: (r.p1, r.p2) for r in M.principal(df, "id", "v").collect()}
+    c = x - x.mean(0)
+    _, _, vt = np.linalg.svd(c, full_matrices=False)
+    w = np.array([v if v[abs(v).argmax()] > 0 else -v for v in vt[:2]])
+    assert len(got) == 60 and np.allclose([got[i] for i in range(60)], c @ w.T, atol=1e-4)
+    assert M.principal(df.where("v is null"), "id", "v").count() == 0
