@@ -22,15 +22,18 @@ def keep_first(df: DataFrame, key: Column, order: str) -> DataFrame:
 
 def similar_sets(rows: DataFrame, least: float) -> DataFrame:
     """(a, b, jaccard) of distinct token sets (id, toks) with at least that similarity, a < b, once a pair. Sets meet on one of
-    their rarest tokens: two that similar share one of the first |s| - ceil(least * |s|) + 1 in any common order."""
+    their rarest tokens: two that similar share one of the first |s| - ceil(least * |s|) + 1 in any common order. At the first
+    one they share, what is left of either must hold all they need in common; meetings that cannot are dropped before pairs are
+    shuffled."""
     sets = rows.where(F.size("toks") > 0).groupBy(F.array_sort("toks").alias("toks")).agg(F.min("id").alias("id"))
     df = sets.select(F.explode("toks").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n"))
     ranked = sets.select("id", F.explode("toks").alias("t")).join(df, "t").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("n", "t"))).alias("r"))
     size = F.size("r")
-    prefix = ranked.select("id", size.alias("size"), F.explode(F.slice("r", F.lit(1), (size - F.ceil(least * size) + 1).cast("int"))).alias("r"))
-    keyed = prefix.where(F.col("r.n") > 1).select("id", "size", F.col("r.t").alias("t"))
-    a, b = keyed.toDF("a", "m", "t"), keyed.toDF("b", "n", "t")
+    prefix = ranked.select("id", size.alias("size"), F.posexplode(F.slice("r", F.lit(1), (size - F.ceil(least * size) + 1).cast("int"))).alias("at", "r"))
+    keyed = prefix.where(F.col("r.n") > 1).select("id", "size", (F.col("size") - F.col("at")).alias("left"), F.col("r.t").alias("t"))
+    a, b = keyed.toDF("a", "m", "p", "t"), keyed.toDF("b", "n", "q", "t")
     near = (F.col("m") * least <= F.col("n")) & (F.col("n") * least <= F.col("m"))
+    near = near & (F.least("p", "q") >= least / (1 + least) * (F.col("m") + F.col("n")) - 1e-9)
     # a pair meets on many tokens but is compared once
     pairs = a.join(b, "t").where((F.col("a") < F.col("b")) & near).select("a", "b").distinct()
     whole = sets.select("id", "toks")
