@@ -232,6 +232,15 @@ def test_shards_of_nothing_but_copies(spark):
     assert len(sizes) == 8 and max(sizes) - min(sizes) <= 1
 
 
+@pytest.mark.parametrize("copies", [2, 3])
+def test_small_groups_are_not_cut_where_there_is_room(spark, copies):
+    rows = [(i, f"text {i // copies if i < 200 * copies else i}") for i in range(2000)]
+    assigned = sharding.assign(spark.createDataFrame(rows, "doc_id long, text string"))
+    sizes = [r["count"] for r in assigned.groupBy("shard").count().collect()]
+    assert len(sizes) == 8 and max(sizes) - min(sizes) <= 1 and sum(sizes) == len(rows)
+    assert tuple(sharding.cut_edges(assigned).first()) == (200 * copies * (copies - 1) // 2, 0)
+
+
 def test_slots_and_digests(spark):
     got = registry.QUERIES["op5_balanced_sharding"](spark, DATA).collect()
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
