@@ -20,8 +20,16 @@ def keep_first(df: DataFrame, key: Column, order: str) -> DataFrame:
     return df.groupBy(key.alias("_key")).agg(F.min(order).alias(order), least).select(order, *[f"r.{c}" for c in columns])
 
 
+def set_classes(rows: DataFrame) -> DataFrame:
+    """(id, class) of each row (id, toks) with tokens: class is the least id with an equal token set, the one by which
+    similar_sets names the set. Empty sets are like nothing and have no class."""
+    sets = rows.where(F.size("toks") > 0).select("id", F.array_sort("toks").alias("toks"))
+    return sets.join(sets.groupBy("toks").agg(F.min("id").alias("class")), "toks").select("id", "class")
+
+
 def similar_sets(rows: DataFrame, least: float) -> DataFrame:
-    """(a, b, jaccard) of distinct token sets (id, toks) with at least that similarity, a < b, once a pair. Sets meet on one of
+    """(a, b, jaccard) of distinct token sets (id, toks) with at least that similarity, a < b, once a pair; a and b stand for
+    all rows of their classes (set_classes). Sets meet on one of
     their rarest tokens: two that similar share one of the first |s| - ceil(least * |s|) + 1 in any common order. At the first
     one they share, what is left of either must hold all they need in common; meetings that cannot are dropped before pairs are
     shuffled."""

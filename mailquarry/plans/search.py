@@ -48,6 +48,11 @@ def _asks(spark, d):
     return read(spark, d, "benchmark").select(F.col("item_id").alias("qid"), T.tokenize("text").alias("tokens"))
 
 
+def _token_sets(spark, d):
+    rows = spread(read(spark, d, "documents").select("doc_id", "text"))
+    return rows.select(F.col("doc_id").alias("id"), F.array_distinct(T.tokenize("text")).alias("toks"))
+
+
 @query("SELECT lang, source, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS chars FROM documents WHERE n_chars >= 25 GROUP BY ALL")
 def scan_documents(spark, d):
     return read(spark, d, "documents").where("n_chars >= 25").groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"), F.sum("n_chars").alias("chars"))
@@ -226,8 +231,13 @@ e AS (SELECT id, unnest(toks) AS t FROM s), p AS (SELECT x.id AS a, y.id AS b, c
 SELECT a, b, round(shared::DOUBLE / (len(s1.toks) + len(s2.toks) - shared), 6) AS jaccard FROM p JOIN s s1 ON s1.id = a JOIN s s2 ON s2.id = b
 WHERE shared::DOUBLE / (len(s1.toks) + len(s2.toks) - shared) >= 0.8""")
 def jaccard_pairs(spark, d):
-    rows = spread(read(spark, d, "documents").select("doc_id", "text")).select(F.col("doc_id").alias("id"), F.array_distinct(T.tokenize("text")).alias("toks"))
-    return R.similar_sets(rows, 0.8).select("a", "b", F.round("jaccard", 6).alias("jaccard"))
+    return R.similar_sets(_token_sets(spark, d), 0.8).select("a", "b", F.round("jaccard", 6).alias("jaccard"))
+
+
+@query(f"""SELECT doc_id, min(doc_id) OVER (PARTITION BY toks) AS class_id FROM (SELECT doc_id, list_sort(list_distinct({_TOKENS})) AS toks FROM documents) WHERE len(toks) > 0""")
+def jaccard_members(spark, d):
+    """The documents that each id of jaccard_pairs stands for."""
+    return R.set_classes(_token_sets(spark, d)).select(F.col("id").alias("doc_id"), F.col("class").alias("class_id"))
 
 
 @query("""WITH n AS (SELECT DISTINCT 2 AS n UNION ALL SELECT 3 UNION ALL SELECT 4), m AS (SELECT n, unnest(range(1, (1 << n) - 1)) AS mask FROM n)

@@ -62,6 +62,12 @@ def test_similar_sets_miss_no_pair(spark):
         assert got == want
 
 
+def test_every_document_of_a_set_has_its_class(spark):
+    rows = [(4, ["b", "a"]), (2, ["a", "b"]), (9, ["a", "b"]), (5, ["c"]), (7, []), (8, None)]
+    got = R.set_classes(spark.createDataFrame(rows, "id long, toks array<string>"))
+    assert sorted(map(tuple, got.collect())) == [(2, 2), (4, 2), (5, 5), (9, 2)]
+
+
 def test_keep_first_and_upsert_and_latest(spark):
     df = spark.createDataFrame([(1, "A b"), (2, "a  B"), (3, None)], "id long, t string")
     assert {r.id for r in R.keep_first(df, R.signature("t"), "id").collect()} == {1, 3}
