@@ -20,6 +20,20 @@ def keep_first(df: DataFrame, key: Column, order: str) -> DataFrame:
     return df.groupBy(key.alias("_key")).agg(F.min(order).alias(order), least).select(order, *[f"r.{c}" for c in columns])
 
 
+def holding(docs: DataFrame, passages: DataFrame) -> DataFrame:
+    """doc_id of each of docs (doc_id, text) that contains one of the passages (passage). The pieces of a passage between
+    spaces, but for the first and the last, are whole pieces of any text that contains it: they meet on the first three of
+    those. Passages with fewer are looked for in every text."""
+    pieces = F.split("passage", "\\s+")
+    key = lambda w, i: F.concat_ws(" ", F.get(w, i), F.get(w, i + 1), F.get(w, i + 2))
+    asked = passages.distinct().withColumn("w", pieces)
+    long, short = asked.where(F.size("w") >= 5).select("passage", key(F.col("w"), F.lit(1)).alias("k")), asked.where(F.size("w") < 5).select("passage")
+    triples = F.transform(F.sequence(F.lit(0), F.greatest(F.size("w") - 3, F.lit(0))), lambda i: key(F.col("w"), i))
+    grams = docs.select("doc_id", "text", F.split("text", "\\s+").alias("w")).select("doc_id", "text", F.explode(F.array_distinct(triples)).alias("k"))
+    met = grams.join(long, "k").where(F.contains("text", "passage")).select("doc_id")
+    return met.union(docs.join(short, F.contains("text", "passage")).select("doc_id")).distinct()
+
+
 def set_classes(rows: DataFrame) -> DataFrame:
     """(id, class) of each row (id, toks) with tokens: class is the least id with an equal token set, the one by which
     similar_sets names the set. Empty sets are like nothing and have no class."""

@@ -273,13 +273,7 @@ def latest_row(spark, d):
 def noise_pool_anti(spark, d):
     docs = read(spark, d, "documents").select("doc_id", "text")
     toxic = read(spark, d, "labels").where("toxic = 1").select("doc_id")
-    # a passage and a text that has it share the passage's first word pair that is rare enough to meet on
-    items = read(spark, d, "benchmark").select(F.col("text").alias("passage"))
-    key = lambda w, i: F.concat_ws(" ", F.get(w, i), F.get(w, i + 1), F.get(w, i + 2))
-    w = F.split("passage", " ")
-    asked = items.select("passage", key(w, F.lit(1)).alias("k"))
-    grams = docs.select("doc_id", "text", F.split("text", "[ \\n]").alias("w")).select("doc_id", "text", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest(F.size("w") - 3, F.lit(0))), lambda i: key(F.col("w"), i)))).alias("k"))
-    planted = grams.join(asked, "k").where(F.contains("text", "passage")).select("doc_id").distinct()
+    planted = R.holding(docs, read(spark, d, "benchmark").select(F.col("text").alias("passage")))
     return docs.select("doc_id").join(toxic, "doc_id", "left_anti").join(planted, "doc_id", "left_anti")
 
 

@@ -62,6 +62,14 @@ def test_similar_sets_miss_no_pair(spark):
         assert got == want
 
 
+def test_passages_are_found_wherever_they_stand(spark):
+    passages = ["one two\nthree four five six", "a b c d", "two words", "x", "  lead\t\tby spaces and  more ", "cut at both ends he", None]
+    texts = [*[f"so {p}, and" for p in passages[:4]], f"({passages[4]})", "we{}re".format(passages[5]), "one two three four five six", "two  words", None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id for r in R.holding(docs, spark.createDataFrame([(p,) for p in passages], "passage string")).collect()}
+    assert got == {i for i, t in enumerate(texts) if any(p in t for p in passages if p is not None and t is not None)}
+
+
 def test_every_document_of_a_set_has_its_class(spark):
     rows = [(4, ["b", "a"]), (2, ["a", "b"]), (9, ["a", "b"]), (5, ["c"]), (7, []), (8, None)]
     got = R.set_classes(spark.createDataFrame(rows, "id long, toks array<string>"))
