@@ -5,14 +5,14 @@ same document at an earlier start. Judged on the input, exactly.
 
 Which suffixes must be compared: each LENGTH-byte window has an anchor, the least of its GRAM-byte hashes (leftmost of equal
 ones), so equal windows have equal anchors at equal offsets, and on average 35 windows in a row share one. An anchor
-occurrence is described by the hash of its gram and that of the whole span of its windows. Occurrences with equal spans are
-settled by that: all but the earliest go. Only where one gram stands in different spans, at the ends of repeats, are
-suffixes sorted: a mergesort in which two suffixes are compared in logarithmic time, by a binary search for their common
+occurrence is described by the hash of its gram and that of the whole span of its windows. Occurrences with equal spans, by
+their hashes and then byte by byte, are settled by that: all but the earliest go. Only where one gram stands in different
+spans, at the ends of repeats, are suffixes sorted: a mergesort in which two suffixes are compared in logarithmic time, by a binary search for their common
 extension over polynomial prefix hashes. Neighbours with a common extension of LENGTH are one class, verified byte by byte; all
 but its earliest go.
 
 At scale: anchors are pre-aggregated in each block of the scan (an occurrence with an earlier equal one in the block is
-settled there), then shuffled as packed columns by gram. A gram with very many spans is split: its occurrences are sorted in
+settled there, while the block's texts are at hand), then shuffled as packed columns by gram. A gram with very many spans is split: its occurrences are sorted in
 blocks, and the blocks' classes are merged by a 128-bit hash of the window. Texts without repeats never leave the scan; which
 those are is told by a bit map of fixed size, whose false hits cost time only.
 
@@ -39,9 +39,11 @@ LENGTH, GRAM = 100, 32
 CHUNK = 1 << 19
 #: Anchors that a scan task gathers before it sends them.
 FLUSH = 1 << 17
+#: Bits of a span's hash. Fewer cost time only: bytes decide.
+SPAN_BITS = 48
 #: Windows sorted at a time, but for those of one gram at one offset.
 WINDOWS = 1 << 16
-#: Spans of one gram, in a scan task's block or in all, from which the gram is split.
+#: Spans of one gram in a scan task's block, or its occurrences in all, from which the gram is split.
 HOT, SPLIT = 512, 1 << 16
 #: Bits of the map of documents with repeats.
 MAP_BITS = 1 << 24
@@ -134,7 +136,7 @@ def unpack(blob: bytes) -> list[np.ndarray]:
     return out
 
 
-_FINE = np.dtype([("h", "<u8"), ("salt", "<i4"), ("all", "u1"), ("pos", "<u4"), ("back", "u1"), ("ahead", "i1")])
+_FINE = np.dtype([("h", "<u8"), ("s", "<u8"), ("salt", "<i4"), ("all", "u1"), ("pos", "<u4"), ("back", "u1"), ("ahead", "i1")])
 _REP = np.dtype([("w1", "<u8"), ("w2", "<u8"), ("p", "<i8")])
 
 
@@ -168,26 +170,36 @@ def _ranges(docs: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.zeros(len(first), np.int32)), pa.array(docs[first].astype(np.int64)), blob], ["kind", "doc", "data"])
 
 
-def _settle(h, s, doc, pos, back, ahead, length: int):
-    """The earliest occurrence of each (h, s), in the order of h, and the ranges of all later ones."""
+def _order(h, s, doc, pos, *rest):
+    """The columns in the order of h, s and place, each occurrence once."""
     order = np.lexsort((pos, doc, s, h))
-    h, s, doc, pos, back, ahead = (x[order] for x in (h, s, doc, pos, back, ahead))
-    new = np.concatenate(([True], (h[1:] != h[:-1]) | (s[1:] != s[:-1])))
+    columns = [x[order] for x in (h, s, doc, pos, *rest)]
+    return [x[np.concatenate(([True], np.any([c[1:] != c[:-1] for c in columns[:4]], axis=0)))] for x in columns] if len(order) else columns
+
+
+def _settled(group: np.ndarray, back: np.ndarray, ahead: np.ndarray, span) -> np.ndarray:
+    """Which occurrences have the bytes, span(i), of the first of their group: groups stand together, each in the order of
+    places. One whose hashes are equal but not its bytes is not settled."""
+    new = np.concatenate(([True], group[1:] != group[:-1]))
     head = np.flatnonzero(new)[np.cumsum(new) - 1]
-    again = (doc != doc[head]) | (pos != pos[head])
-    at = pos.astype(np.int64)
-    ranges = doc[again], at[again] - back[again], at[again] - ahead[again] + length
-    return [x[new] for x in (h, s, doc, pos, back, ahead)], ranges
+    out = ~new & (back == back[head]) & (ahead == ahead[head])
+    at = np.flatnonzero(out)
+    out[at] = [span(i) == span(j) for i, j in zip(at.tolist(), head[at].tolist())]
+    return out
 
 
-def _scan(buckets: int, length: int, hot_spans: int):
+def _scan(buckets: int, length: int, hot_spans: int, span_bits: int = SPAN_BITS):
     """Of a block of texts: packed anchors by bucket (kind 1), ranges (kind 0) and occurrences of hot grams (kind 2)."""
 
-    def send(held):
-        h, s, doc, pos, back, ahead = (np.concatenate(x) for x in zip(*held))
-        first, ranges = _settle(h, s, doc, pos, back, ahead, length)
-        if len(ranges[0]):
-            yield _ranges(*ranges)
+    def send(held, texts):
+        *first, base = _order(*(np.concatenate(x) for x in zip(*held)))
+        h, s, doc, pos, back, ahead = first
+        data, at = b"".join(texts), pos.astype(np.int64)
+        a, b = (base + at - back).tolist(), (base + at - ahead + length).tolist()
+        again = _settled(np.cumsum(np.concatenate(([True], (h[1:] != h[:-1]) | (s[1:] != s[:-1])))), back, ahead, lambda i: data[a[i] : b[i]])
+        if again.any():
+            yield _ranges(doc[again], (at - back)[again], (at - ahead)[again] + length)
+        first = [x[~again] for x in first]
         h = first[0]
         new = np.concatenate(([True], h[1:] != h[:-1]))
         group = np.cumsum(new) - 1
@@ -195,7 +207,7 @@ def _scan(buckets: int, length: int, hot_spans: int):
         if hot.any():
             x = [c[hot] for c in first]
             fine = np.zeros(len(x[0]), _FINE)
-            fine["h"], fine["salt"], fine["all"], fine["pos"], fine["back"], fine["ahead"] = x[0], -1 - (int(doc.min()) & 0xFFFFFF), 1, x[3], x[4], x[5]
+            fine["h"], fine["s"], fine["salt"], fine["all"], fine["pos"], fine["back"], fine["ahead"] = x[0], x[1], -1 - (int(doc.min()) & 0xFFFFFF), 1, x[3], x[4], x[5]
             yield _rows(2, x[2], fine)
             mark = hot & new
             marks = [np.where(mark, v, c)[mark | ~hot] for c, v in zip(first, (h, np.uint64(0), first[2], first[3], np.uint8(0), np.int8(-128)))]
@@ -206,28 +218,30 @@ def _scan(buckets: int, length: int, hot_spans: int):
         yield pa.RecordBatch.from_arrays([pa.array([1] * len(packed), pa.int32()), pa.array([k for k, _ in packed], pa.int64()), pa.array([p for _, p in packed], pa.binary())], ["kind", "doc", "data"])
 
     def run(batches):
-        held, n = [], 0
+        held, texts, n, base = [], [], 0, 0
         for batch in batches:
             for doc, text in zip(batch.column("doc").to_pylist(), batch.column("t")):
                 found = anchors(np.frombuffer(text.as_buffer(), np.uint8), length)
                 if found is None:
                     continue
                 h, s, pos, first, last = found
-                held.append((h >> np.uint64(16), s >> np.uint64(16), np.full(len(h), doc, np.int64), pos.astype(np.uint32), (pos - first).astype(np.uint8), (pos - last).astype(np.int8)))
+                held.append((h >> np.uint64(16), s >> np.uint64(64 - span_bits), np.full(len(h), doc, np.int64), pos.astype(np.uint32), (pos - first).astype(np.uint8), (pos - last).astype(np.int8), np.full(len(h), base, np.int64)))
+                texts.append(text.as_py())
+                base += len(texts[-1])
                 n += len(h)
                 if n >= FLUSH:
-                    yield from send(held)
-                    held, n = [], 0
+                    yield from send(held, texts)
+                    held, texts, n, base = [], [], 0, 0
                     trim()
         if n:
-            yield from send(held)
+            yield from send(held, texts)
         trim()
 
     return run
 
 
-def _meet(length: int, split_spans: int):
-    """Of a bucket's packed anchors: ranges of later occurrences (kind 0), and occurrences to be sorted (kind 2)."""
+def _meet(split_spans: int):
+    """Of a bucket's packed anchors: those of grams that occur again, to be compared by their bytes (kind 2)."""
 
     def run(group: pa.Table) -> pa.Table:
         out = []
@@ -237,9 +251,7 @@ def _meet(length: int, split_spans: int):
             h, s, doc, pos, back, ahead = (np.concatenate(x) for x in zip(*map(unpack, blobs)))
             marks = ahead == -128
             split = np.unique(h[marks])
-            (h, s, doc, pos, back, ahead), ranges = _settle(*(x[~marks] for x in (h, s, doc, pos, back, ahead)), length)
-            if len(ranges[0]):
-                out.append(_ranges(*ranges))
+            h, s, doc, pos, back, ahead = _order(*(x[~marks] for x in (h, s, doc, pos, back, ahead)))
             new = np.concatenate(([True], h[1:] != h[:-1])) if len(h) else np.zeros(0, bool)
             group_of = np.cumsum(new) - 1
             size = np.bincount(group_of)[group_of] if len(h) else np.zeros(0, np.int64)
@@ -247,7 +259,7 @@ def _meet(length: int, split_spans: int):
             many = (size > 1) | told
             nth = np.arange(len(h)) - np.flatnonzero(new)[group_of] if len(h) else size
             fine = np.zeros(int(many.sum()), _FINE)
-            fine["h"], fine["salt"], fine["all"] = h[many], (nth // split_spans)[many], (told | (size > split_spans))[many]
+            fine["h"], fine["s"], fine["salt"], fine["all"] = h[many], s[many], (nth // split_spans)[many], (told | (size > split_spans))[many]
             fine["pos"], fine["back"], fine["ahead"] = pos[many], back[many], ahead[many]
             out.append(_rows(2, doc[many], fine))
         trim()
@@ -364,7 +376,7 @@ def _sorted(length: int):
 
     def run(group: pa.Table) -> pa.Table:
         meta = np.frombuffer(b"".join(group.column("meta").to_pylist()), _FINE)
-        order = np.lexsort((meta["salt"], meta["h"]))
+        order = np.lexsort((meta["pos"], group.column("doc").to_numpy(), meta["s"], meta["salt"], meta["h"]))
         meta, doc, spans = meta[order], group.column("doc").to_numpy()[order], group.column("span")
         new = np.flatnonzero(np.concatenate(([True], (meta["h"][1:] != meta["h"][:-1]) | (meta["salt"][1:] != meta["salt"][:-1]))))
         windows = np.cumsum(np.concatenate(([0], meta["back"].astype(np.int64) - meta["ahead"] + 1)))
@@ -372,9 +384,17 @@ def _sorted(length: int):
         for k, end in enumerate(ends):
             if k + 1 == len(ends) or windows[ends[k + 1]] - windows[at] > WINDOWS:
                 here = spans.take(pa.array(order[at:end])).to_pylist()
-                each = max(1, WINDOWS // (end - at)) if windows[end] - windows[at] > WINDOWS else length
+                m, d = meta[at:end], doc[at:end]
+                group_of = np.cumsum(np.concatenate(([True], np.any([m[c][1:] != m[c][:-1] for c in ("h", "salt", "s")], axis=0))))
+                again = _settled(group_of, m["back"], m["ahead"], here.__getitem__)
+                if again.any():
+                    p = m["pos"][again].astype(np.int64)
+                    out.append(_ranges(d[again], p - m["back"][again], p - m["ahead"][again] + length))
+                m, d, here = m[~again], d[~again], [x for x, settled in zip(here, again.tolist()) if not settled]
+                n = int((m["back"].astype(np.int64) - m["ahead"] + 1).sum())
+                each = max(1, WINDOWS // len(m)) if n > WINDOWS else length
                 for low in range(0, length, each):
-                    out.extend(part(meta[at:end], doc[at:end], here, low, low + each - 1))
+                    out.extend(part(m, d, here, low, low + each - 1))
                 at = end
         trim()
         return pa.Table.from_batches(out)
@@ -413,16 +433,16 @@ def _marks(batches):
 class Repeats:
     """What a corpus repeats: `rest`, rows without any; `flagged`, rows with some or falsely marked; `ranges` (doc, data)."""
 
-    def __init__(self, docs: DataFrame, length: int = LENGTH, hot: int = HOT, split: int = SPLIT):
+    def __init__(self, docs: DataFrame, length: int = LENGTH, hot: int = HOT, split: int = SPLIT, span_bits: int = SPAN_BITS):
         if length <= GRAM or length - GRAM > 120:
             raise ValueError("length must be from 33 to 152")
         spark = docs.sparkSession
         docs = _numbered(docs)
         rows = docs.select(F.col("_doc").alias("doc"), utf8("text").alias("t"))
         buckets = min(60_000, max(64, 4 * rows.rdd.getNumPartitions()))
-        sent = rows.mapInArrow(_scan(buckets, length, hot), _KINDS)
+        sent = rows.mapInArrow(_scan(buckets, length, hot, span_bits), _KINDS)
         sent = sent.withColumn("to", F.when(F.col("kind") == 1, F.col("doc")).otherwise(F.pmod(F.xxhash64("doc"), F.lit(buckets))))
-        met = cut(sent.groupBy("to").applyInArrow(_meet(length, split), _KINDS), "met")
+        met = cut(sent.groupBy("to").applyInArrow(_meet(split), _KINDS), "met")
 
         marks = met.select("doc").mapInArrow(_marks, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
         words = np.zeros(MAP_BITS // 64, np.uint64)

@@ -445,6 +445,16 @@ def test_repeats_of_made_documents(spark, hot, split):
     assert {r[0]: tuple(r)[1:] for r in digests(suffixdedup.Repeats(docs, hot=hot, split=split))} == brute_repeats(rows)
 
 
+@pytest.mark.parametrize("parts", [1, 4])
+def test_spans_of_equal_hashes_are_told_apart_by_their_bytes(spark, parts):
+    rnd = random.Random(8)
+    lines = ["".join(rnd.choice("abcdefgh ") for _ in range(n)) for n in (40, 70, 110)]
+    rows = [(i, "".join(str(rnd.random()) * rnd.randint(0, 4) + rnd.choice(lines) for _ in range(4)) if i % 5 or not i else None) for i in range(90)]
+    rows += [(100 + i, t) for i, t in rows[:30]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+    assert {r[0]: tuple(r)[1:] for r in digests(suffixdedup.Repeats(docs, span_bits=1))} == brute_repeats(rows)
+
+
 def test_repeated_and_missing_ids(spark):
     a, b = "one text " * 20 + "tail", (hashlib.sha512(b"b").hexdigest() + hashlib.sha512(b"c").hexdigest())[:133]
     rows = [(1, a), (1, a), (None, b), (2, b), (3, b), (3, "short")]
