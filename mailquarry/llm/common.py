@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import ctypes
+import re
 import tempfile
 import uuid
 
@@ -13,7 +15,8 @@ DIR_KEY = "spark.checkpoint.dir"
 
 
 def bound_batches(spark: SparkSession, rows: int = 500, size: str = "2m") -> None:
-    """Bounds what a Python worker gets at once: with the usual 10,000 rows, long texts fill its memory and the buffers on the JVM side."""
+    """Bounds what a Python worker gets at once: with the usual 10,000 rows, long texts fill its memory and the buffers on the
+    JVM side. Spark has these two settings for a session only, so the caller's session keeps them."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
@@ -24,31 +27,72 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one where none is named, as in tests."""
+    """The folder that driver and executors share. Where none is named, a temporary one for a local master, as in tests;
+    on a cluster that would scatter the files over machines, so it is an error."""
     named = spark.conf.get(DIR_KEY, None)
     if not named:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError(f"{DIR_KEY} must name a folder that driver and executors share")
         named = f"file://{tempfile.mkdtemp(prefix='mailquarry-')}"
         spark.conf.set(DIR_KEY, named)
     return named
 
 
+#: Folders that cut() has made and nothing has deleted yet, each with the configuration that reaches it.
+_MADE: dict[str, tuple] = {}
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder for a table or files; sweep() deletes it if nothing else does."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _MADE[path] = spark._jvm, spark._jsc.hadoopConfiguration()
+    return path
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write df as a table in the shared folder and read it again: the lineage ends there, and a lost executor costs
     no more than the tasks it ran."""
     spark = df.sparkSession
     bound_batches(spark)
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = new_folder(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cut_at = path
+    return out
 
 
-def drop_cut(df: DataFrame) -> None:
-    """Delete the files of a table made by cut() that nothing will read again."""
-    spark = df.sparkSession
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(conf).delete(path, True)
+def drop_cut(*tables: DataFrame) -> None:
+    """Delete the files of tables made by cut() that nothing will read again."""
+    for df in tables:
+        drop_folder(df._cut_at)
+
+
+def drop_folder(path: str) -> None:
+    jvm, conf = _MADE.pop(path)
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(conf).delete(at, True)
+
+
+def sweep() -> None:
+    """Delete the tables that results still read. To be called when no result is read any more; at the latest it is as the
+    driver ends."""
+    for path in list(_MADE):
+        try:
+            drop_folder(path)
+        except Exception:  # noqa: BLE001  the JVM may be gone already
+            _MADE.pop(path, None)
+
+
+atexit.register(sweep)
+
+
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """Names like these that no column of df has, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    stem = "_"
+    while any(f"{stem}{x}".lower() in taken or f"{stem}{x}_k".lower() in taken for x in names):
+        stem += "_"
+    return [f"{stem}{x}" for x in names]
 
 
 def trim() -> None:

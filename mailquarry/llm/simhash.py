@@ -20,13 +20,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mailquarry.llm.common import cut, table, utf8
+from mailquarry.llm.common import cut, drop_cut, free_names, table, utf8
 from mailquarry.llm.graph import components
 
 BITS, TAU, SHINGLE, SEED = 64, 4, 4, 42
-#: A bucket of more fingerprints than this is searched by blocks in numpy, a smaller one by a join.
-HOT = 64
-#: Fingerprints of a hot bucket that one block holds.
+#: A bucket of more rows than this is dealt out further, a smaller one searched by a join.
+HOT = 256
+#: Fingerprints of a crowd that one block holds.
 BLOCK = 2048
 #: Shingles hashed at a time, which bounds the memory for a very long text.
 SLICE = 1 << 16
@@ -54,12 +54,18 @@ def fingerprint(text: bytes, size: int = SHINGLE) -> int:
 def _fingerprints(batches):
     for batch in batches:
         fps = [fingerprint(x) for x in batch.column("t").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps, pa.int64())], ["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "t1", "t2")), pa.array(fps, pa.int64())], ["doc_id", "t1", "t2", "fp"])
+
+
+def _text_key() -> tuple[Column, Column]:
+    """128 bits that stand for the text; null is as empty."""
+    return F.xxhash64(utf8("text")), F.xxhash64(F.lit("second"), utf8("text"))
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp) for each row."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8("text").alias("t")).mapInArrow(_fingerprints, "doc_id long, fp long")
+    """(doc_id, t1, t2, fp) for each row: fp is the fingerprint, t1 and t2 stand for the text."""
+    t1, t2 = _text_key()
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), t1.alias("t1"), t2.alias("t2"), utf8("text").alias("t")).mapInArrow(_fingerprints, "doc_id long, t1 long, t2 long, fp long")
 
 
 def _together(batches):
@@ -144,21 +150,45 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
+def _bits(bits: list[int]) -> Column:
+    return F.lit(_signed(sum(1 << b for b in bits)))
+
+
+def _flipped(part: int, key: Column, group: list[int], t: int) -> Column:
+    """(part, key) of each key above `key` that differs in 1 to t bits of the group."""
+    flips = F.array(*[_bits(list(c)) for k in range(1, t + 1) for c in combinations(group, k)])
+    near = F.filter(F.transform(flips, lambda f: key.bitwiseXOR(f)), lambda x: x > key)
+    return F.transform(near, lambda x: F.struct(F.lit(part).alias("part"), x.alias("key")))
+
+
 def _keys(parts: list[tuple[list[int], int]], probes: bool) -> Column:
     """An array of (part, key): the group's own bits, or those and each key above it that differs in at most t bits. Of two
     fingerprints that differ there, the one with the lower key finds the other."""
     out = []
-    for i, (group, t) in enumerate(parts):
-        key = F.col("fp").bitwiseAND(F.lit(_signed(sum(1 << b for b in group))))
-        own = F.array(F.struct(F.lit(i).alias("part"), key.alias("key")))
+    for part, (group, t) in enumerate(parts):
+        key = F.col("fp").bitwiseAND(_bits(group))
+        out.append(F.array(F.struct(F.lit(part).alias("part"), key.alias("key"))))
         if probes and t > 0:
-            flips = [_signed(sum(1 << b for b in c)) for k in range(1, t + 1) for c in combinations(group, k)]
-            near = F.filter(F.transform(F.array(*map(F.lit, flips)), lambda f, key=key: key.bitwiseXOR(f)), lambda x, key=key: x > key)
-            own = F.concat(own, F.transform(near, lambda x, i=i: F.struct(F.lit(i).alias("part"), x.alias("key"))))
-        out.append(own)
+            out.append(_flipped(part, key, group, t))
     return F.concat(*out)
 
 
+def _deal(bits: list[int], m: int) -> list[list[int]]:
+    """The bits in m groups of about equal size."""
+    return [g for g in (bits[k::m] for k in range(m)) if g]
+
+
+def _finer(rows: DataFrame, parts: list[tuple[list[int], int]], tau: int) -> DataFrame:
+    """rows (part, key, fp) under finer keys: the bits outside the group are dealt into tau + 1 groups, on one of which at
+    least two fingerprints within tau agree."""
+    of = []
+    for group, _ in parts:
+        outside = [b for b in range(BITS) if b not in group]
+        of.append(F.array(*[F.struct(F.lit(j).alias("sub"), F.col("fp").bitwiseAND(_bits(g)).alias("subkey")) for j, g in enumerate(_deal(outside, tau + 1))]))
+    subs = F.explode(F.element_at(F.array(*of), F.col("part") + 1)).alias("s")
+    return rows.select("part", "key", "fp", subs).select("part", "key", "s.sub", "s.subkey", "fp")
+
+
 def _forest(key, pdf, tau: int):
     """Edges that join all fingerprints of a block pair which links of tau bits join: at most one fewer than there are."""
     left = np.unique(pdf["fp"].to_numpy(np.int64)).view(np.uint64)
@@ -179,39 +209,65 @@ def _forest(key, pdf, tau: int):
     return pd.DataFrame({"a": np.array(a, np.uint64).view(np.int64), "b": np.array(b, np.uint64).view(np.int64)})
 
 
-def links(distinct: DataFrame, tau: int = TAU) -> DataFrame:
+def _meet(near: DataFrame, base: DataFrame, by: list[str], masks: list[Column], tau: int) -> DataFrame:
+    """Verified links (a, b) of rows that share `by`: a of near, b of base. A pair with equal keys is given once."""
+    close = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= tau
+    mask = F.element_at(F.array(*masks), F.col("part") + 1)
+    once = (F.col("a").bitwiseAND(mask) != F.col("b").bitwiseAND(mask)) | (F.col("a") < F.col("b"))
+    return near.withColumnRenamed("fp", "a").join(base.withColumnRenamed("fp", "b"), by).where(close & once).select("a", "b")
+
+
+def links(distinct: DataFrame, tau: int = TAU, parts: list[tuple[list[int], int]] | None = None, spent: list[DataFrame] | None = None) -> DataFrame:
     """Edges (a, b) between the fingerprints of `distinct` (column fp, no repeats, a table): all pairs within tau bits that
-    meet in a bucket of at most HOT fingerprints, and in larger buckets as many as join the same fingerprints."""
+    meet in a bucket of at most HOT rows. A larger bucket is dealt out by the bits outside its group; where that still
+    leaves over HOT, as among very many near copies, it is searched in blocks, which give as many edges as join the same
+    fingerprints. parts: groups of bits with thresholds, else those of plan(). Tables that the edges are read from are added
+    to `spent`."""
     n, together = bit_counts(distinct)
     if not n:
         return distinct.select(F.col("fp").alias("a"), F.col("fp").alias("b"))
-    parts = plan(n, together, tau)
+    parts = parts or plan(n, together, tau)
+    masks = [_bits(group) for group, _ in parts]
     base = distinct.select("fp", F.explode(_keys(parts, False)).alias("k")).select("k.part", "k.key", "fp")
     near = distinct.select("fp", F.explode(_keys(parts, True)).alias("k")).select("k.part", "k.key", "fp")
-    sizes = base.groupBy("part", "key").agg(F.count(F.lit(1)).alias("n"))
-    hot = cut(sizes.where(F.col("n") > HOT), "hot-buckets")
-    cold = base.join(hot, ["part", "key"], "left_anti").withColumnRenamed("fp", "b")
-    close = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= tau
-    mask = F.element_at(F.array(*[F.lit(_signed(sum(1 << b for b in g))) for g, _ in parts]), F.col("part") + 1)
-    once = (F.col("a").bitwiseAND(mask) != F.col("b").bitwiseAND(mask)) | (F.col("a") < F.col("b"))
-    found = near.withColumnRenamed("fp", "a").join(cold, ["part", "key"]).where(close & once).select("a", "b")
+    key = ["part", "key"]
+    # probes land in a bucket beside its own rows, so both count
+    hot = cut(near.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT), "hot-buckets")
+    spent = [] if spent is None else spent
+    spent.append(hot)
+    found = _meet(near, base.join(hot, key, "left_anti"), key, masks, tau)
     if hot.isEmpty():
         return found
+    fine = [*key, "sub", "subkey"]
+    near, base = (_finer(x.join(hot, key, "left_semi"), parts, tau) for x in (near, base))
+    crowds = cut(near.groupBy(*fine).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT), "hot-buckets")
+    spent.append(crowds)
+    found = found.union(_meet(near, base.join(crowds, fine, "left_anti"), fine, masks, tau))
+    if crowds.isEmpty():
+        return found
     blocks = F.ceil(F.col("n") / F.lit(BLOCK)).cast("int")
-    crowd = near.join(hot, ["part", "key"]).withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("fp"), "blocks").cast("int"))
+    crowd = near.join(crowds, fine).withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("fp"), "blocks").cast("int"))
     pairs = crowd.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    pairs = pairs.select("part", "key", "fp", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    dense = pairs.groupBy("part", "key", "i", "j").applyInPandas(lambda key, pdf: _forest(key, pdf, tau), "a long, b long")
+    pairs = pairs.select(*fine, "fp", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    dense = pairs.groupBy(*fine, "i", "j").applyInPandas(lambda key, pdf: _forest(key, pdf, tau), "a long, b long")
     return found.union(dense)
 
 
+def _components(rows: DataFrame, tau: int) -> DataFrame:
+    """(fp, root) of a table with a column fp: root is the smallest fingerprint reachable over links."""
+    distinct = cut(rows.select("fp").distinct(), "classes")
+    spent: list[DataFrame] = []
+    roots = components(links(distinct, tau, spent=spent))
+    drop_cut(*spent)
+    return distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, tau: int = TAU) -> DataFrame:
     """(doc_id, fp, component_id) for each row of docs (doc_id, text): component_id is the smallest doc_id reachable over
     fingerprints at most tau bits apart."""
-    rows = cut(fingerprints(docs), "fingerprints")
-    classes = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
-    roots = components(links(classes.select("fp"), tau))
-    joined = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    rows = cut(fingerprints(docs).select("doc_id", "fp"), "fingerprints")
+    least = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    joined = cut(least.join(_components(rows, tau), "fp"), "roots")
     named = joined.groupBy("root").agg(F.min("least").alias("component_id"))
     of = joined.select("fp", "root").join(named, "root").select("fp", "component_id")
     return rows.join(of, "fp", "left").select("doc_id", "fp", "component_id")
@@ -223,11 +279,18 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group, that with the smallest doc_id, and of rows that repeat that id one. Of rows without
-    a doc_id, one of each text stays."""
-    keep = near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.where("doc_id is not null").join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.select(*docs.columns).union(docs.where("doc_id is null").dropDuplicates(["text"]))
+    """Keeps one document of each group: that with the smallest doc_id, of several texts under one id that with the smallest
+    text hash, and a document without an id only where no other has one. Of rows that repeat an id and its text one stays."""
+    rows = cut(fingerprints(docs), "fingerprints")
+    order = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col("t1"), F.col("t2"))
+    keep = rows.join(_components(rows, TAU), "fp").groupBy("root").agg(F.min(order).alias("k")).select("k.d", "k.t1", "k.t2")
+    names = free_names(docs, "d", "t1", "t2")
+    t1, t2 = _text_key()
+    keyed = docs.withColumns({names[0]: F.col("doc_id").cast("long"), names[1]: t1, names[2]: t2})
+    on = [F.col(mine).eqNullSafe(F.col(f"{mine}_k")) for mine in names]
+    left = keyed.join(keep.toDF(*[f"{x}_k" for x in names]), on, "left_semi")
+    repeated = rows.groupBy("doc_id", "t1", "t2").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return (left if repeated.isEmpty() else left.dropDuplicates(names)).select(*docs.columns)
 
 
 QUERIES = {"op1_simhash_near_dedup": op1_simhash_near_dedup}

@@ -92,26 +92,73 @@ def test_simhash_against_brute_force(spark):
     assert got == {d: (f"{f:016x}", want[d]) for d, f in fps.items()}
 
 
-@pytest.mark.parametrize("hot", [simhash.HOT, 3])
-def test_links_of_dense_and_sparse_fingerprints(spark, monkeypatch, hot):
+def group_sets(fps, root_of):
+    out = {}
+    for f in fps:
+        out.setdefault(root_of(f), set()).add(f)
+    return sorted(map(sorted, out.values()))
+
+
+def dealt(*thresholds):
+    """Groups of bits in order, with these thresholds; -1 takes bits and searches nothing."""
+    m = len(thresholds)
+    return [(list(range(64 * k // m, 64 * (k + 1) // m)), t) for k, t in enumerate(thresholds) if t >= 0]
+
+
+@pytest.mark.parametrize("parts", [None, dealt(1, 0, 1), dealt(1, 2), dealt(2, -1, 1)], ids=str)
+@pytest.mark.parametrize(("hot", "block"), [(simhash.HOT, simhash.BLOCK), (3, 16)])
+def test_links_of_dense_and_sparse_fingerprints(spark, monkeypatch, hot, block, parts):
     monkeypatch.setattr(simhash, "HOT", hot)
-    monkeypatch.setattr(simhash, "BLOCK", 16)
+    monkeypatch.setattr(simhash, "BLOCK", block)
     rnd = random.Random(3)
     fps = {rnd.getrandbits(64) for _ in range(150)}
     for _ in range(3):
         centre = rnd.getrandbits(64)
         fps |= {centre ^ sum(1 << b for b in rnd.sample(range(64), rnd.randint(0, 5))) for _ in range(60)}
     rows = [(f - (1 << 64) if f >> 63 else f,) for f in fps]
-    found = graph.components(simhash.links(common.cut(spark.createDataFrame(rows, "fp long"), "fps")))
-    got = {r.node & (1 << 64) - 1: r.root for r in found.collect()}
+    found = simhash.links(common.cut(spark.createDataFrame(rows, "fp long"), "fps"), parts=parts).distinct().collect()
+    root = {f: f for f in fps}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for r in found:
+        a, b = r.a & (1 << 64) - 1, r.b & (1 << 64) - 1
+        assert 0 < (a ^ b).bit_count() <= 4
+        root[find(a)] = find(b)
     want = brute_components([(f, f) for f in sorted(fps)])
-    groups = {}
-    for f, r in want.items():
-        groups.setdefault(r, set()).add(f)
-    mine = {}
-    for f in fps:
-        mine.setdefault(got.get(f, f), set()).add(f)
-    assert sorted(map(sorted, mine.values())) == sorted(map(sorted, groups.values()))
+    assert group_sets(fps, find) == group_sets(fps, want.get)
+
+
+def test_probes_are_the_keys_above_within_the_threshold(spark):
+    rows = spark.createDataFrame([(0b1000,)], "fp long")
+    got = rows.select(F.explode(simhash._keys([([0, 1], 1), ([2, 3], 1)], True)).alias("k")).select("k.*").collect()
+    assert sorted(map(tuple, got)) == [(0, 0), (0, 1), (0, 2), (1, 8), (1, 12)]
+
+
+def test_no_function_given_to_spark_has_a_default_argument():
+    import ast
+    from pathlib import Path
+
+    for path in Path(common.__file__).parent.glob("*.py"):
+        for call in ast.walk(ast.parse(path.read_text())):
+            if isinstance(call, ast.Call) and getattr(call.func, "attr", "") in ("transform", "filter", "aggregate", "exists", "forall", "zip_with", "array_sort"):
+                assert not any(isinstance(x, ast.Lambda) and x.args.defaults for x in call.args), (path.name, call.lineno)
+
+
+def test_near_dedup_stage_keeps_one_of_each_group(spark):
+    rnd = random.Random(4)
+    long = " ".join(str(rnd.random()) for _ in range(400))
+    near = long.replace(" ", " x ", 1)
+    rows = [(5, "one text of its own kind"), (5, "quite another that has nothing to do with it"), (None, "no id but text"), (None, "no id but text"), (7, long), (8, near), (None, long), (9, "again"), (9, "again"), (None, "again"), (None, None), (3, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for c in ("fp", "t", "t1", "_t1", "k", "d", "n", "root", "_d_k", "component_id", "part", "key", "least"):
+        docs = docs.withColumn(c, F.lit("clash"))
+    got = simhash.stage(spark, docs, "")
+    assert got.columns == docs.columns
+    assert sorted((str(r.doc_id), str(r.text)[:9]) for r in got.collect()) == [("3", ""), ("5", "one text "), ("5", "quite ano"), ("7", long[:9]), ("9", "again"), ("None", "no id but")]
 
 
 def test_thresholds_cover_the_distance():
