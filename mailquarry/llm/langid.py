@@ -6,11 +6,16 @@ into vectors, on which one ridge regression for each language is fitted against
 a time, as products of a 0/1 matrix of n-grams with the landmarks' and then with the regression's weights.
 
 Letters are lower-cased; a run of anything else is one boundary. The n-grams are those of the training sample in at least
-`MIN_DF` texts, the most frequent `MAX_GRAMS`. The fit uses a bounded sample: at most PER_LANGUAGE labelled texts of each of the
-MAX_LANGUAGES most frequent languages, chosen by a hash of doc_id, and LANDMARKS of them as landmarks; prediction reads every
-text. A text that is null or has no letter is `und` with score 0, as is every text where nothing was learnt. Rows with a null
+MIN_DF texts, for each n the most frequent MAX_GRAMS or GRAMS_A_LANGUAGE for each language, whichever is more; all letters of
+the sample are told apart, however many there are. The fit uses a bounded sample: of each language at most PER_LANGUAGE
+labelled texts, fewer where MAX_SAMPLE texts in all would be passed, but one at least, chosen by a hash of doc_id. A sampled
+text is read whole, and reaches the driver as its different n-grams (for each n at most TEXT_GRAMS, those of least hash).
+About LANDMARKS of the texts are landmarks, one at least for each language. Prediction reads every text.
+
+A text that is null or has no letter is `und` with score 0, as is every text where nothing was learnt. Rows with a null
 doc_id are scored and not held out, and never learnt from. Ties go to the language that sorts first. Repeated rows give equal
-rows, an empty table an empty result, and further columns are ignored.
+rows, an empty table an empty result; further columns are ignored, or kept by identify(), which replaces columns named
+lang_pred and score.
 """
 
 from __future__ import annotations
@@ -19,12 +24,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from mailquarry.llm.common import table
 
 NS = (1, 2, 3)
-PER_LANGUAGE, MAX_LANGUAGES, LANDMARKS = 250, 128, 160
-MIN_DF, MAX_GRAMS, RIDGE = 2, 6000, 1e-2
+PER_LANGUAGE, MAX_SAMPLE, LANDMARKS = 250, 8000, 160
+MIN_DF, MAX_GRAMS, GRAMS_A_LANGUAGE, TEXT_GRAMS, RIDGE = 2, 2000, 100, 1 << 16, 1e-2
+#: Code points take so many bits in an n-gram's key.
+POINT_BITS = 21
+#: n-grams of few letters are looked up in a table of this size at most, others by binary search.
+TABLE = 1 << 22
 _TABLES: list[np.ndarray] = []
 
 
@@ -42,36 +52,64 @@ def _letters() -> np.ndarray:
 
 
 def letters(text: str) -> np.ndarray:
-    """The text's letters as code points, with one 0 before, after and for each run of anything else."""
+    """The text's letters as code points, with a 0 before, after and for each run of anything else within."""
     points = _letters()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
     keep = points > 0
     keep[1:] |= keep[:-1]
-    return np.concatenate((np.zeros(1, np.int32), points[keep] if len(keep) else points, np.zeros(1, np.int32)))
+    points = points[keep]
+    return np.concatenate((np.zeros(1, np.int32), points, np.zeros(0 if len(points) and points[-1] == 0 else 1, np.int32)))
 
 
-class Grams:
-    """The n-grams of a model: letters are numbered, an n-gram is a number in the base of how many there are."""
+def gram_keys(points: np.ndarray, n: int) -> np.ndarray:
+    """The different n-grams of a text's letters, as sorted numbers of POINT_BITS bits a letter."""
+    out = points[: max(0, len(points) - n + 1)].astype(np.int64)
+    for k in range(1, n):
+        out = out << POINT_BITS | points[k : len(points) - n + 1 + k]
+    out = np.unique(out)
+    if len(out) > TEXT_GRAMS:
+        mixed = out.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        out = np.sort(out[np.argsort(mixed ^ mixed >> np.uint64(29), kind="stable")[:TEXT_GRAMS]])
+    return out
 
-    def __init__(self, alphabet: np.ndarray, keys: dict[int, np.ndarray]):
-        self.alphabet, self.keys = alphabet, keys
-        self.base = len(alphabet) + 2  # 0: boundary; last: another letter
-        self.code = np.full(0x110000, self.base - 1, np.int32)
+
+class Grams:
+    """The n-grams of a model, numbered. keys: for each n their sorted keys."""
+
+    def __init__(self, keys: dict[int, np.ndarray]):
+        letters = [keys[n] >> POINT_BITS * k & (1 << POINT_BITS) - 1 for n in NS for k in range(n)]
+        alphabet = np.unique(np.concatenate(letters))
+        alphabet = alphabet[alphabet > 0]
+        self.base = len(alphabet) + 2  # 0: boundary; last: a letter of no n-gram here
+        self.code = np.full(0x110000, self.base - 1, np.int64 if self.base > 1000 else np.int32)
         self.code[alphabet] = np.arange(1, len(alphabet) + 1)
         self.code[0] = 0
         self.size = sum(map(len, keys.values()))
-        self.slices, self.tables, at = {}, {}, 0
+        self.slices, self.tables, self.sorted, at = {}, {}, {}, 0
         for n in NS:
-            place = np.full(self.base**n, self.size, np.int16)
-            place[keys[n]] = np.arange(at, at + len(keys[n]))
-            self.tables[n], self.slices[n] = place, slice(at, at + len(keys[n]))
-            at += len(keys[n])
-
-    @staticmethod
-    def of(codes: np.ndarray, base: int, n: int) -> np.ndarray:
-        out = codes[: len(codes) - n + 1]
+            number = np.zeros(len(keys[n]), np.int64)
+            for k in reversed(range(n)):
+                number = number * self.base + self.code[keys[n] >> POINT_BITS * k & (1 << POINT_BITS) - 1]
+            if self.base**n <= TABLE:
+                place = np.full(self.base**n, self.size, np.int32)
+                place[number] = np.arange(at, at + len(number))
+                self.tables[n] = place
+            else:
+                self.sorted[n] = number  # as the keys are: letters are numbered in order
+            self.slices[n] = slice(at, at + len(number))
+            at += len(number)
+
+    def of(self, codes: np.ndarray, n: int) -> np.ndarray:
+        """The number of the n-gram at each place, `size` where the model has none."""
+        out = codes[: max(0, len(codes) - n + 1)]
         for k in range(1, n):
-            out = out * base + codes[k : len(codes) - n + 1 + k]
-        return out
+            out = out * self.base + codes[k : len(codes) - n + 1 + k]
+        if n in self.tables:
+            return self.tables[n][out]
+        known = self.sorted[n]
+        if not len(known):
+            return np.full(len(out), self.size)
+        at = np.minimum(np.searchsorted(known, out), len(known) - 1)
+        return np.where(known[at] == out, self.slices[n].start + at, self.size)
 
     def matrix(self, texts: list[np.ndarray]) -> np.ndarray:
         """A row of zeros and ones for each text."""
@@ -79,31 +117,34 @@ class Grams:
         for row, points in zip(out, texts):
             codes = self.code[points]
             for n in NS:
-                row[self.tables[n][self.of(codes, self.base, n)]] = 1
+                row[self.of(codes, n)] = 1
         return out[:, : self.size]
 
+    def matrix_of_keys(self, keys: dict[int, np.ndarray], texts: list[dict[int, np.ndarray]]) -> np.ndarray:
+        """The same of texts given as their n-grams' keys."""
+        out = np.zeros((len(texts), self.size), np.float32)
+        for row, text in zip(out, texts):
+            for n in NS:
+                row[self.slices[n]] = np.isin(keys[n], text[n], assume_unique=True)
+        return out
+
 
 class Model:
-    """A fitted classifier. texts and languages: the training sample."""
+    """A fitted classifier. texts and languages: the training sample; a text may be given as its n-grams' keys by n."""
 
-    def __init__(self, texts: list[str], languages: list[str]):
-        rows = [(letters(t), g) for t, g in zip(texts, languages)]
-        rows = [(p, g) for p, g in rows if p.any()]
+    def __init__(self, texts: list, languages: list[str]):
+        rows = [(t if isinstance(t, dict) else {n: gram_keys(letters(t), n) for n in NS}, g) for t, g in zip(texts, languages)]
+        rows = [(t, g) for t, g in rows if t[1].any()]
         self.languages = sorted({g for _, g in rows})
         if not rows:
             return
-        points = [p for p, _ in rows]
-        found, counts = np.unique(np.concatenate(points), return_counts=True)
-        alphabet = np.sort(found[found > 0][np.argsort(-counts[found > 0], kind="stable")[:100]])
-        code = Grams(alphabet, {n: np.zeros(0, np.int64) for n in NS})
-        keys = {}
+        most, keys = max(MAX_GRAMS, GRAMS_A_LANGUAGE * len(self.languages)), {}
         for n in NS:
-            grams = np.concatenate([np.unique(Grams.of(code.code[p], code.base, n)) for p in points])
-            found, counts = np.unique(grams, return_counts=True)
-            often = np.argsort(-counts, kind="stable")[: MAX_GRAMS // len(NS)]
-            keys[n] = np.sort(found[often[counts[often] >= min(MIN_DF, len(points))]])
-        self.grams = Grams(alphabet, keys)
-        x = self.grams.matrix(points)
+            found, counts = np.unique(np.concatenate([t[n] for t, _ in rows]), return_counts=True)
+            often = np.argsort(-counts, kind="stable")[:most]
+            keys[n] = np.sort(found[often[counts[often] >= min(MIN_DF, len(rows))]])
+        self.grams = Grams(keys)
+        x = self.grams.matrix_of_keys(keys, [t for t, _ in rows])
         by: dict[str, list[int]] = {}
         for i, (_, g) in enumerate(rows):
             by.setdefault(g, []).append(i)
@@ -152,23 +193,36 @@ def held_out(key: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
-    """A model of the documents that are not held out and have text, lang and doc_id. The driver gets per_language texts
-    of a language at most."""
+def _keys_of(batches):
+    for batch in batches:
+        found = [[gram_keys(p, n) for n in NS] for p in map(letters, batch.column("text").to_pylist())]
+        columns = [pa.array([f[i] for f in found], pa.list_(pa.int64())) for i in range(len(NS))]
+        yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("r"), *columns], ["lang", "r", *[f"k{n}" for n in NS]])
+
+
+def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, most: int = MAX_SAMPLE) -> Model:
+    """A model of the documents that are not held out and have text, lang and doc_id. The driver gets the n-grams of
+    per_language texts of a language at most, of `most` texts in all unless there are more languages."""
     known = docs.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
-    counts = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()
+    known = known.select("doc_id", F.col("lang").cast("string").alias("lang"), "text")
+    counts = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy("lang").collect()
     if not counts:
         return Model([], [])
+    each = max(1, min(per_language, most // len(counts)))
     slots = 1 << 24
-    most = F.create_map(*[x for r in counts for x in (F.lit(r.lang), F.lit(min(slots, 1 + 2 * per_language * slots // r.n)))])
-    likely = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(slots)) < most[F.col("lang")])
+    most_of = F.create_map(*[x for r in counts for x in (F.lit(r.lang), F.lit(min(slots, 1 + 2 * each * slots // r.n)))])
+    likely = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(slots)) < most_of[F.col("lang")])
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "text"))
-    rows = likely.select("lang", "text", "doc_id", rank.alias("r")).where(F.col("r") <= per_language).orderBy("lang", "r").collect()
-    return Model([r.text for r in rows], [r.lang for r in rows])
+    chosen = likely.select("lang", "text", rank.alias("r")).where(F.col("r") <= each)
+    rows = chosen.mapInArrow(_keys_of, "lang string, r int, " + ", ".join(f"k{n} array<long>" for n in NS)).toArrow()
+    order = sorted(range(rows.num_rows), key=list(zip(rows.column("lang").to_pylist(), rows.column("r").to_pylist())).__getitem__)
+    languages, columns = rows.column("lang").to_pylist(), {n: rows.column(f"k{n}") for n in NS}
+    return Model([{n: np.asarray(columns[n][i].values, np.int64) for n in NS} for i in order], [languages[i] for i in order])
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """docs with lang_pred and score; only the column text is looked at."""
+    docs = docs.drop("lang_pred", "score")
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
@@ -176,8 +230,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
             names, scores = held.value.predict(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*batch.schema.names, "lang_pred", "score"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, f"{fields}, lang_pred string, score double")
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())]))
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -187,10 +240,15 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, `und`, go; one in several languages has one of them and stays."""
-    names = docs.columns
-    found = identify(docs, fit(docs))
-    return found.where(F.col("lang_pred") != "und").select(*names)
+    """Documents without a letter, `und`, go; one in several languages has one of them and stays. Rows keep their columns."""
+    held = spark.sparkContext.broadcast(fit(docs))
+
+    def run(batches):
+        for batch in batches:
+            names, _ = held.value.predict(batch.column("text").to_pylist())
+            yield batch.filter(pa.array([x != "und" for x in names], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 QUERIES = {"op4_language_id": op4_language_id}
