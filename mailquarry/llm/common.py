@@ -73,6 +73,12 @@ def drop_folder(path: str) -> None:
     at.getFileSystem(conf).delete(at, True)
 
 
+def release(spark: SparkSession) -> None:
+    """To be called after a large cut(): Spark deletes the shuffle files of a finished job only when the driver's collector
+    finds its plan unreachable, which on a driver with little to do may be long after the disks are full."""
+    spark._jvm.System.gc()
+
+
 def sweep() -> None:
     """Delete the tables that results still read. To be called when no result is read any more; at the latest it is as the
     driver ends."""

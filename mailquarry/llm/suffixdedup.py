@@ -7,18 +7,19 @@ Which suffixes must be compared: each LENGTH-byte window has an anchor, the leas
 ones), so equal windows have equal anchors at equal offsets, and on average 35 windows in a row share one. An anchor
 occurrence is described by the hash of its gram and that of the whole span of its windows. Occurrences with equal spans, by
 their hashes and then byte by byte, are settled by that: all but the earliest go. Only where one gram stands in different
-spans, at the ends of repeats, are suffixes sorted: a mergesort in which two suffixes are compared in logarithmic time, by a binary search for their common
-extension over polynomial prefix hashes. Neighbours with a common extension of LENGTH are one class, verified byte by byte; all
+spans, at the ends of repeats, are suffixes sorted: a mergesort in which two suffixes are compared in logarithmic time, by a
+binary search for their common extension over polynomial prefix hashes. Neighbours with a common extension of LENGTH are one class, verified byte by byte; all
 but its earliest go.
 
 At scale: anchors are pre-aggregated in each block of the scan (an occurrence with an earlier equal one in the block is
-settled there, while the block's texts are at hand), then shuffled as packed columns by gram. A gram with very many spans is split: its occurrences are sorted in
-blocks, and the blocks' classes are merged by a 128-bit hash of the window. Texts without repeats never leave the scan; which
-those are is told by a bit map of fixed size, whose false hits cost time only.
+settled there, while the block's texts are at hand), then shuffled as packed columns by gram. A gram with very many spans is
+split: its occurrences are sorted in blocks, and the blocks' classes are merged by a 128-bit hash of the window and then by
+its bytes. Texts without repeats never leave the scan; which those are is told by a bit map of fixed size, whose false hits
+cost time only, or by a join where half of its bits are set.
 
 Nulls are empty texts, and texts under LENGTH bytes have no windows. A null doc_id comes before all others. Rows of one doc_id
 with different texts are ordered by the hash of the text; rows that repeat both are one document, judged once, and each has
-its result. An empty table gives an empty result; further columns are ignored.
+its result. An empty table gives an empty result; further columns are ignored or kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from mailquarry.llm.common import cut, table, trim, utf8
+from mailquarry.llm.common import cut, drop_cut, free_names, release, table, trim, utf8
 
 LENGTH, GRAM = 100, 32
 #: Bytes of a text worked on at a time; positions within fit in 20 bits.
@@ -44,7 +45,9 @@ SPAN_BITS = 48
 #: Windows sorted at a time, but for those of one gram at one offset.
 WINDOWS = 1 << 16
 #: Spans of one gram in a scan task's block, or its occurrences in all, from which the gram is split.
-HOT, SPLIT = 512, 1 << 16
+HOT, SPLIT = 512, 1 << 14
+#: Bytes of spans that a task gathers before it sends them.
+SPANS = 8 << 20
 #: Bits of the map of documents with repeats.
 MAP_BITS = 1 << 24
 
@@ -212,9 +215,9 @@ def _scan(buckets: int, length: int, hot_spans: int, span_bits: int = SPAN_BITS)
             mark = hot & new
             marks = [np.where(mark, v, c)[mark | ~hot] for c, v in zip(first, (h, np.uint64(0), first[2], first[3], np.uint8(0), np.int8(-128)))]
             first = marks
-        bucket = ((first[0] * np.uint64(buckets)) >> np.uint64(48)).astype(np.int64)
-        edges = np.searchsorted(bucket, np.arange(buckets + 1))
-        packed = [(k, pack([c[a:b] for c in first])) for k, (a, b) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist())) if b > a]
+        bucket = (((first[0] >> np.uint64(16)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
+        edges = np.concatenate((np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))), [len(bucket)])).tolist() if len(bucket) else [0]
+        packed = [(int(bucket[a]), pack([c[a:b] for c in first])) for a, b in zip(edges[:-1], edges[1:])]
         yield pa.RecordBatch.from_arrays([pa.array([1] * len(packed), pa.int32()), pa.array([k for k, _ in packed], pa.int64()), pa.array([p for _, p in packed], pa.binary())], ["kind", "doc", "data"])
 
     def run(batches):
@@ -375,15 +378,17 @@ def _sorted(length: int):
             yield _rows(3, doc[row[reps]], rows)
 
     def run(group: pa.Table) -> pa.Table:
-        meta = np.frombuffer(b"".join(group.column("meta").to_pylist()), _FINE)
-        order = np.lexsort((meta["pos"], group.column("doc").to_numpy(), meta["s"], meta["salt"], meta["h"]))
-        meta, doc, spans = meta[order], group.column("doc").to_numpy()[order], group.column("span")
+        metas, docs, sizes, parts = zip(*map(unpack_spans, group.column("data").to_pylist()))
+        meta, doc, spans = np.concatenate(metas), np.concatenate(docs), b"".join(parts)
+        upto = np.cumsum(np.concatenate(sizes), dtype=np.int64)
+        order = np.lexsort((meta["pos"], doc, meta["s"], meta["salt"], meta["h"]))
+        meta, doc, upto, since = meta[order], doc[order], upto[order].tolist(), (upto - np.concatenate(sizes))[order].tolist()
         new = np.flatnonzero(np.concatenate(([True], (meta["h"][1:] != meta["h"][:-1]) | (meta["salt"][1:] != meta["salt"][:-1]))))
         windows = np.cumsum(np.concatenate(([0], meta["back"].astype(np.int64) - meta["ahead"] + 1)))
         out, at, ends = [], 0, np.concatenate((new[1:], [len(meta)])).tolist()
         for k, end in enumerate(ends):
             if k + 1 == len(ends) or windows[ends[k + 1]] - windows[at] > WINDOWS:
-                here = spans.take(pa.array(order[at:end])).to_pylist()
+                here = [spans[a:b] for a, b in zip(since[at:end], upto[at:end])]
                 m, d = meta[at:end], doc[at:end]
                 group_of = np.cumsum(np.concatenate(([True], np.any([m[c][1:] != m[c][:-1] for c in ("h", "salt", "s")], axis=0))))
                 again = _settled(group_of, m["back"], m["ahead"], here.__getitem__)
@@ -402,18 +407,33 @@ def _sorted(length: int):
     return run
 
 
+def pack_spans(metas: list[bytes], docs: list[int], spans: list[bytes]) -> bytes:
+    sizes = np.array([len(x) for x in spans], "<u4")
+    return zstandard.ZstdCompressor(level=1).compress(b"".join((struct.pack("<q", len(spans)), *metas, np.array(docs, "<i8").tobytes(), sizes.tobytes(), *spans)))
+
+
+def unpack_spans(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, bytes]:
+    data = zstandard.ZstdDecompressor().decompress(blob)
+    (n,) = struct.unpack_from("<q", data)
+    width = _FINE.itemsize
+    at = 8 + n * width
+    return np.frombuffer(data, _FINE, n, 8), np.frombuffer(data, "<i8", n, at), np.frombuffer(data, "<u4", n, at + 8 * n), data[at + 12 * n :]
+
+
 _KINDS = "kind int, doc long, data binary"
 
 
-def _numbered(docs: DataFrame) -> DataFrame:
-    """docs with _doc, a number in the order of documents: doc_id where each row has its own, else a number made for it."""
+def _numbered(docs: DataFrame, doc: str, spent: list[DataFrame]) -> DataFrame:
+    """docs with a column `doc`, a number in the order of documents: doc_id where each row has its own, else one made for it."""
     clash = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 or doc_id is null")
     if clash.isEmpty():
-        return docs.withColumn("_doc", F.col("doc_id").cast("long"))
-    keyed = docs.withColumn("_key", F.sha2(utf8("text"), 256))
-    ids = keyed.select(F.col("doc_id").alias("_id"), F.col("_key").alias("_k")).distinct().orderBy(F.asc_nulls_first("_id"), "_k")
-    ids = cut(ids.withColumn("_doc", F.monotonically_increasing_id()), "ids")
-    return cut(keyed.join(ids, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_k"))).drop("_key", "_id", "_k"), "numbered")
+        return docs.withColumn(doc, F.col("doc_id").cast("long"))
+    key, of, id_ = free_names(docs, "key", "of", "id")
+    keyed = docs.withColumn(key, F.sha2(utf8("text"), 256))
+    ids = keyed.select(F.col("doc_id").alias(id_), F.col(key).alias(of)).distinct().orderBy(F.asc_nulls_first(id_), of)
+    ids = cut(ids.withColumn(doc, F.monotonically_increasing_id()), "ids")
+    spent += [ids, numbered := cut(keyed.join(ids, F.col("doc_id").eqNullSafe(F.col(id_)) & (F.col(key) == F.col(of))).drop(key, id_, of), "numbered")]
+    return numbered
 
 
 def _bit(docs: np.ndarray) -> np.ndarray:
@@ -431,79 +451,107 @@ def _marks(batches):
 
 
 class Repeats:
-    """What a corpus repeats: `rest`, rows without any; `flagged`, rows with some or falsely marked; `ranges` (doc, data)."""
+    """What a corpus repeats: `rest`, rows without any; `flagged`, rows with some or falsely marked; `ranges`, of each
+    document with repeats the ranges to remove."""
 
-    def __init__(self, docs: DataFrame, length: int = LENGTH, hot: int = HOT, split: int = SPLIT, span_bits: int = SPAN_BITS):
+    def __init__(self, docs: DataFrame, length: int = LENGTH, hot: int = HOT, split: int = SPLIT, span_bits: int = SPAN_BITS, filled: float = 0.5):
         if length <= GRAM or length - GRAM > 120:
             raise ValueError("length must be from 33 to 152")
-        spark = docs.sparkSession
-        docs = _numbered(docs)
-        rows = docs.select(F.col("_doc").alias("doc"), utf8("text").alias("t"))
-        buckets = min(60_000, max(64, 4 * rows.rdd.getNumPartitions()))
+        spark, spent = docs.sparkSession, []
+        self.doc, self.found, there = free_names(docs, "doc", "ranges", "there")
+        docs = _numbered(docs, self.doc, spent)
+        rows = docs.select(F.col(self.doc).alias("doc"), utf8("text").alias("t"))
+        parts = rows.rdd.getNumPartitions()
+        # few rows for each block of the scan while there are few blocks; then a bucket for each, so that none outgrows a task
+        buckets = max(64, min(4 * parts, 60_000), parts)
         sent = rows.mapInArrow(_scan(buckets, length, hot, span_bits), _KINDS)
         sent = sent.withColumn("to", F.when(F.col("kind") == 1, F.col("doc")).otherwise(F.pmod(F.xxhash64("doc"), F.lit(buckets))))
         met = cut(sent.groupBy("to").applyInArrow(_meet(split), _KINDS), "met")
+        release(spark)
 
         marks = met.select("doc").mapInArrow(_marks, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
         words = np.zeros(MAP_BITS // 64, np.uint64)
         words[marks.column("word").to_numpy()] = marks.column("bits").to_numpy().view(np.uint64)
-        held = spark.sparkContext.broadcast(words)
-
-        def pick(marked: bool):
-            def run(batches):
-                for batch in batches:
-                    bits = _bit(batch.column("_doc").to_numpy())
-                    on = (held.value[bits >> 6] >> (bits & 63).astype(np.uint64)) & np.uint64(1)
-                    yield batch.filter(pa.array((on == 1) == marked))
-
-            return run
-
-        self.rest = docs.mapInArrow(pick(False), docs.schema)
-        self.flagged = cut(docs.mapInArrow(pick(True), docs.schema), "flagged")
+        if int(np.bitwise_count(words).sum()) > filled * MAP_BITS:
+            ids = met.select(F.col("doc").alias(there)).distinct()
+            marked = cut(docs.join(ids, F.col(self.doc) == F.col(there), "left"), "marked")
+            self.rest = marked.where(F.col(there).isNull()).drop(there)
+            self.flagged = marked.where(F.col(there).isNotNull()).drop(there)
+        else:
+            held, key = spark.sparkContext.broadcast(words), self.doc
+
+            def pick(marked: bool):
+                def run(batches):
+                    for batch in batches:
+                        bits = _bit(batch.column(key).to_numpy())
+                        on = (held.value[bits >> 6] >> (bits & 63).astype(np.uint64)) & np.uint64(1)
+                        yield batch.filter(pa.array((on == 1) == marked))
+
+                return run
+
+            self.rest = docs.mapInArrow(pick(False), docs.schema)
+            self.flagged = cut(docs.mapInArrow(pick(True), docs.schema), "flagged")
 
         want = met.where("kind = 2").groupBy("doc").agg(F.collect_list("data").alias("want"))
-        texts = self.flagged.select(F.col("_doc").alias("doc"), utf8("text").alias("t")).dropDuplicates(["doc"])
+        texts = self.flagged.select(F.col(self.doc).alias("doc"), utf8("text").alias("t")).dropDuplicates(["doc"])
 
         def extract(batches):
+            held, size = {}, 0
             for batch in batches:
-                to, docs_, metas, spans = [], [], [], []
                 for doc, text, want in zip(*(batch.column(c).to_pylist() for c in ("doc", "t", "want"))):
-                    for m in want:
-                        (x,) = np.frombuffer(m, _FINE)
-                        pos, back, ahead = int(x["pos"]), int(x["back"]), int(x["ahead"])
-                        to.append((int(x["h"]) * 31 + int(x["salt"]) * 7919) % buckets)
-                        docs_.append(doc)
-                        metas.append(m)
-                        spans.append(text[pos - back : pos - ahead + length])
-                yield pa.RecordBatch.from_arrays([pa.array(to, pa.int64()), pa.array(docs_, pa.int64()), pa.array(metas, pa.binary()), pa.array(spans, pa.binary())], ["to", "doc", "meta", "span"])
-
-        spans = texts.join(want, "doc").mapInArrow(extract, "to long, doc long, meta binary, span binary")
+                    for m, x in zip(want, np.frombuffer(b"".join(want), _FINE)[["h", "salt", "pos", "back", "ahead"]].tolist()):
+                        h, salt, pos, back, ahead = x
+                        to = held.setdefault((h * 31 + salt * 7919) % buckets, ([], [], []))
+                        for column, value in zip(to, (m, doc, text[pos - back : pos - ahead + length])):
+                            column.append(value)
+                        size += length + back - ahead
+                    if size > SPANS:
+                        yield sent_spans(held)
+                        held, size = {}, 0
+            if held:
+                yield sent_spans(held)
+            trim()
+
+        def sent_spans(held):
+            return pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array([pack_spans(*x) for x in held.values()], pa.binary())], ["to", "data"])
+
+        spans = texts.join(want, "doc").mapInArrow(extract, "to long, data binary")
         fine = cut(spans.groupBy("to").applyInArrow(_sorted(length), _KINDS), "sorted")
-        found = [met.where("kind = 0").select("doc", "data"), fine.where("kind = 0").select("doc", "data")]
+        release(spark)
+        ranges = met.where("kind = 0").select("doc", "data").union(fine.where("kind = 0").select("doc", "data"))
         reps = fine.where("kind = 3")
         if not reps.isEmpty():
+            ranges = ranges.union(self._merged(reps, texts, length))
+        self.ranges = cut(ranges.groupBy("doc").agg(F.collect_list("data").alias("ranges")), "ranges")
+        drop_cut(met, fine)
+        self.spent = spent
 
-            def decode(batches):
-                for batch in batches:
-                    x = np.frombuffer(b"".join(batch.column("data").to_pylist()), _REP)
-                    yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(x["w1"].view(np.int64)), pa.array(x["w2"].view(np.int64)), pa.array(x["p"])], ["doc", "w1", "w2", "p"])
+    @staticmethod
+    def _merged(reps: DataFrame, texts: DataFrame, length: int) -> DataFrame:
+        """(doc, data): the ranges of classes, of different blocks of a gram, that an earlier class equals. Equal hashes bring
+        them together, the windows' bytes decide."""
 
-            def encode(batches):
-                for batch in batches:
-                    p = batch.column("p").to_numpy()
-                    yield _ranges(batch.column("doc").to_numpy(), p, p + length).select(["doc", "data"])
+        def decode(batches):
+            for batch in batches:
+                x = np.frombuffer(b"".join(batch.column("data").to_pylist()), _REP)
+                yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(x["w1"].view(np.int64)), pa.array(x["w2"].view(np.int64)), pa.array(x["p"])], ["doc", "w1", "w2", "p"])
+
+        def encode(batches):
+            for batch in batches:
+                p = batch.column("p").to_numpy()
+                yield _ranges(batch.column("doc").to_numpy(), p, p + length).select(["doc", "data"])
 
-            every = reps.mapInArrow(decode, "doc long, w1 long, w2 long, p long").distinct()
-            nth = F.row_number().over(Window.partitionBy("w1", "w2").orderBy("doc", "p"))
-            found.append(every.withColumn("nth", nth).where("nth > 1").mapInArrow(encode, "doc long, data binary"))
-        ranges = found[0]
-        for x in found[1:]:
-            ranges = ranges.union(x)
-        self.ranges = ranges.groupBy("doc").agg(F.collect_list("data").alias("ranges"))
+        every = reps.mapInArrow(decode, "doc long, w1 long, w2 long, p long").distinct()
+        again = every.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        alike = every.join(again, ["w1", "w2"], "left_semi")
+        shown = alike.join(texts, "doc").select("doc", "p", F.substring("t", F.col("p").cast("int") + 1, F.lit(length)).alias("w"))
+        nth = F.row_number().over(Window.partitionBy("w").orderBy("doc", "p"))
+        return shown.withColumn("nth", nth).where("nth > 1").mapInArrow(encode, "doc long, data binary")
 
     def judged(self) -> DataFrame:
-        """The flagged rows with their ranges, null where there are none."""
-        return self.flagged.join(self.ranges, F.col("_doc") == F.col("doc"), "left").drop("doc")
+        """The flagged rows with their ranges in the column `found`, null where there are none."""
+        doc = f"{self.doc}_k"
+        return self.flagged.join(self.ranges.toDF(doc, self.found), F.col(self.doc) == F.col(doc), "left").drop(doc)
 
 
 def runs_of(ranges: list[bytes] | None) -> list[tuple[int, int]]:
@@ -536,26 +584,31 @@ def _digest(batches):
 def deduplicate(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """docs with what repeats cut out of text. A character of which some bytes go goes whole. Null texts stay null."""
     found = Repeats(docs, length)
+    ranges_of, key = found.found, found.doc
     kind = [f for f in docs.schema.fields if f.name == "text"][0].dataType
 
     def edit(batches):
         for batch in batches:
             texts = []
-            for text, ranges in zip(batch.column("text").to_pylist(), batch.column("ranges").to_pylist()):
+            for text, ranges in zip(batch.column("text").to_pylist(), batch.column(ranges_of).to_pylist()):
                 runs = runs_of(ranges)
                 texts.append(without(text.encode(), runs).decode("utf-8", "ignore") if runs else text)
             at = batch.schema.get_field_index("text")
-            yield batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type)).drop_columns(["ranges", "_doc"])
+            yield batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type)).drop_columns([ranges_of, key])
 
     assert kind.simpleString() == "string"
-    return found.rest.drop("_doc").union(found.judged().mapInArrow(edit, docs.schema))
+    return found.rest.drop(key).union(found.judged().mapInArrow(edit, docs.schema))
 
 
-def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = Repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+def digests(found: Repeats) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of each row."""
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     whole = found.rest.select("doc_id", utf8("text").alias("t")).mapInArrow(_digest, schema)
-    return whole.union(found.judged().select("doc_id", utf8("text").alias("t"), "ranges").mapInArrow(_digest, schema))
+    return whole.union(found.judged().select("doc_id", utf8("text").alias("t"), F.col(found.found).alias("ranges")).mapInArrow(_digest, schema))
+
+
+def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digests(Repeats(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

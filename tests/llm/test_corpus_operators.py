@@ -519,10 +519,7 @@ def brute_repeats(rows, length=100):
 
 
 def digests(found):
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-    rest = found.rest.select("doc_id", common.utf8("text").alias("t")).mapInArrow(suffixdedup._digest, schema)
-    judged = found.judged().select("doc_id", common.utf8("text").alias("t"), "ranges").mapInArrow(suffixdedup._digest, schema)
-    return rest.union(judged).collect()
+    return suffixdedup.digests(found).collect()
 
 
 def test_repeats_of_real_documents(spark):
@@ -550,6 +547,27 @@ def test_spans_of_equal_hashes_are_told_apart_by_their_bytes(spark, parts):
     assert {r[0]: tuple(r)[1:] for r in digests(suffixdedup.Repeats(docs, span_bits=1))} == brute_repeats(rows)
 
 
+def test_full_map_of_documents_with_repeats(spark):
+    rnd = random.Random(3)
+    lines = ["".join(rnd.choice("abcdefgh ") for _ in range(150)) for _ in range(9)]
+    rows = [(i, rnd.choice(lines) + str(rnd.random()) if i % 3 else f"of its own {i}" * 9) for i in range(60)]
+    assert {r[0]: tuple(r)[1:] for r in digests(suffixdedup.Repeats(spark.createDataFrame(rows, "doc_id long, text string"), filled=-1))} == brute_repeats(rows)
+
+
+def test_suffix_stage_of_clashing_columns(spark):
+    rnd = random.Random(12)
+    text = "".join(rnd.choice("abcdefgh ") for _ in range(300))
+    for ids in ((1, 2, 3), (1, 1, None)):
+        docs = spark.createDataFrame([(ids[0], text, 0), (ids[1], "other " + text, 0), (ids[2], "short", 0)], "doc_id long, text string, n_chars long")
+        for c in ("doc", "ranges", "_doc", "_ranges", "_key", "_id", "_k", "t", "kind", "data", "want", "there", "_there", "to", "word", "__doc_k"):
+            docs = docs.withColumn(c, F.lit("clash"))
+        got = suffixdedup.stage(spark, docs, "")
+        assert got.columns == docs.columns
+        if ids[1] == 2:
+            assert sorted(r.text for r in got.collect()) == sorted((text, "other ", "short"))
+        assert sum(r.n_chars for r in got.collect()) == len(text) + 6 + 5
+
+
 def test_repeated_and_missing_ids(spark):
     a, b = "one text " * 20 + "tail", (hashlib.sha512(b"b").hexdigest() + hashlib.sha512(b"c").hexdigest())[:133]
     rows = [(1, a), (1, a), (None, b), (2, b), (3, b), (3, "short")]
