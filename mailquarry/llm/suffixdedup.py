@@ -13,8 +13,8 @@ but its earliest go.
 
 At scale: anchors are pre-aggregated in each block of the scan (an occurrence with an earlier equal one in the block is
 settled there, while the block's texts are at hand), then shuffled as packed columns by gram. A gram with very many spans is
-split: its occurrences are sorted in blocks, and the blocks' classes are merged by a 128-bit hash of the window and then by
-its bytes. Texts without repeats never leave the scan; which those are is told by a bit map of fixed size, whose false hits
+split: the offsets of its windows are dealt into PIECES ranges, and an occurrence goes, for each range, to the sort of the bytes
+that all windows of the range have in common. Equal windows have those bytes, so they still meet. Texts without repeats never leave the scan; which those are is told by a bit map of fixed size, whose false hits
 cost time only, or by a join where half of its bits are set.
 
 Nulls are empty texts, and texts under LENGTH bytes have no windows. A null doc_id comes before all others. Rows of one doc_id
@@ -29,8 +29,9 @@ import struct
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mailquarry.llm.common import cut, drop_cut, free_names, release, table, trim, utf8
@@ -46,6 +47,8 @@ SPAN_BITS = 48
 WINDOWS = 1 << 16
 #: Spans of one gram in a scan task's block, or its occurrences in all, from which the gram is split.
 HOT, SPLIT = 512, 1 << 14
+#: Ranges of offsets that a split gram's windows are dealt into.
+PIECES = 8
 #: Bytes of spans that a task gathers before it sends them.
 SPANS = 8 << 20
 #: Bits of the map of documents with repeats.
@@ -139,8 +142,9 @@ def unpack(blob: bytes) -> list[np.ndarray]:
     return out
 
 
-_FINE = np.dtype([("h", "<u8"), ("s", "<u8"), ("salt", "<i4"), ("all", "u1"), ("pos", "<u4"), ("back", "u1"), ("ahead", "i1")])
-_REP = np.dtype([("w1", "<u8"), ("w2", "<u8"), ("p", "<i8")])
+#: salt: 0, or in a split gram what stands for the bytes that its windows share; split: whether the gram is.
+_FINE = np.dtype([("h", "<u8"), ("s", "<u8"), ("salt", "<u4"), ("split", "u1"), ("pos", "<u4"), ("back", "u1"), ("ahead", "i1")])
+_META = "<QQIBIBb"
 
 
 def _rows(kind: int, docs: np.ndarray, data: np.ndarray) -> pa.RecordBatch:
@@ -210,7 +214,7 @@ def _scan(buckets: int, length: int, hot_spans: int, span_bits: int = SPAN_BITS)
         if hot.any():
             x = [c[hot] for c in first]
             fine = np.zeros(len(x[0]), _FINE)
-            fine["h"], fine["s"], fine["salt"], fine["all"], fine["pos"], fine["back"], fine["ahead"] = x[0], x[1], -1 - (int(doc.min()) & 0xFFFFFF), 1, x[3], x[4], x[5]
+            fine["h"], fine["s"], fine["split"], fine["pos"], fine["back"], fine["ahead"] = x[0], x[1], 1, x[3], x[4], x[5]
             yield _rows(2, x[2], fine)
             mark = hot & new
             marks = [np.where(mark, v, c)[mark | ~hot] for c, v in zip(first, (h, np.uint64(0), first[2], first[3], np.uint8(0), np.int8(-128)))]
@@ -260,9 +264,8 @@ def _meet(split_spans: int):
             size = np.bincount(group_of)[group_of] if len(h) else np.zeros(0, np.int64)
             told = np.isin(h, split)
             many = (size > 1) | told
-            nth = np.arange(len(h)) - np.flatnonzero(new)[group_of] if len(h) else size
             fine = np.zeros(int(many.sum()), _FINE)
-            fine["h"], fine["s"], fine["salt"], fine["all"] = h[many], s[many], (nth // split_spans)[many], (told | (size > split_spans))[many]
+            fine["h"], fine["s"], fine["split"] = h[many], s[many], (told | (size > split_spans))[many]
             fine["pos"], fine["back"], fine["ahead"] = pos[many], back[many], ahead[many]
             out.append(_rows(2, doc[many], fine))
         trim()
@@ -344,8 +347,7 @@ def classes(data: np.ndarray, at: np.ndarray, segment: np.ndarray, length: int =
 
 
 def _sorted(length: int):
-    """Of occurrences with the bytes of their spans: ranges of the windows that some earlier one equals (kind 0), and of
-    split grams a row for each class (kind 3)."""
+    """Of occurrences with the bytes of their spans: the ranges of windows that some earlier one equals."""
 
     def part(meta, doc, spans, low=0, high=length):
         """The windows at offsets from low to high from their anchors."""
@@ -361,7 +363,7 @@ def _sorted(length: int):
         p, at, d = (pos - back)[row] + step, starts[row] + step, back[row] - step
         key = np.lexsort((p, doc[row], d, meta["salt"][row], meta["h"][row]))
         row, p, at, d = row[key], p[key], at[key], d[key]
-        h, salt, whole = meta["h"][row], meta["salt"][row], meta["all"][row] == 1
+        h, salt = meta["h"][row], meta["salt"][row]
         new = np.concatenate(([True], (h[1:] != h[:-1]) | (salt[1:] != salt[:-1]) | (d[1:] != d[:-1])))
         segment = np.cumsum(new)
         order, head = classes(data, at, segment, length)
@@ -369,13 +371,6 @@ def _sorted(length: int):
         later = (doc[row[order]] != doc[row[lead]]) | (p[order] != p[lead])
         x = order[later]
         yield _ranges(doc[row[x]], p[x], p[x] + length)
-        reps = order[head]
-        reps = reps[whole[reps]]
-        if len(reps):
-            rows = np.zeros(len(reps), _REP)
-            rows["w1"], rows["w2"] = (mix(Prefix(data, name).of(at[reps], at[reps] + length)) for name in (b"one", b"two"))
-            rows["p"] = p[reps]
-            yield _rows(3, doc[row[reps]], rows)
 
     def run(group: pa.Table) -> pa.Table:
         metas, docs, sizes, parts = zip(*map(unpack_spans, group.column("data").to_pylist()))
@@ -402,11 +397,27 @@ def _sorted(length: int):
                     out.extend(part(m, d, here, low, low + each - 1))
                 at = end
         trim()
-        return pa.Table.from_batches(out)
+        return pa.Table.from_batches(out, _NOTHING.schema)
 
     return run
 
 
+_NOTHING = _rows(0, np.zeros(0, np.int64), np.zeros(0, _FINE))
+
+
+def _pieces(h: int, split: int, pos: int, back: int, ahead: int, text: bytes, length: int):
+    """(salt, back, ahead) of the parts in which an occurrence is sorted."""
+    if not split:
+        yield 0, back, ahead
+        return
+    most = length - GRAM + 1
+    for k in range(PIECES):
+        low, high = most * k // PIECES, most * (k + 1) // PIECES - 1
+        if max(ahead, low) <= min(back, high):
+            shared = text[pos - low : pos - high + length]
+            yield xxhash.xxh32_intdigest(shared, k), min(back, high), max(ahead, low)
+
+
 def pack_spans(metas: list[bytes], docs: list[int], spans: list[bytes]) -> bytes:
     sizes = np.array([len(x) for x in spans], "<u4")
     return zstandard.ZstdCompressor(level=1).compress(b"".join((struct.pack("<q", len(spans)), *metas, np.array(docs, "<i8").tobytes(), sizes.tobytes(), *spans)))
@@ -499,12 +510,14 @@ class Repeats:
             held, size = {}, 0
             for batch in batches:
                 for doc, text, want in zip(*(batch.column(c).to_pylist() for c in ("doc", "t", "want"))):
-                    for m, x in zip(want, np.frombuffer(b"".join(want), _FINE)[["h", "salt", "pos", "back", "ahead"]].tolist()):
-                        h, salt, pos, back, ahead = x
-                        to = held.setdefault((h * 31 + salt * 7919) % buckets, ([], [], []))
-                        for column, value in zip(to, (m, doc, text[pos - back : pos - ahead + length])):
-                            column.append(value)
-                        size += length + back - ahead
+                    for x in np.frombuffer(b"".join(want), _FINE):
+                        h, s, _, split, pos, *edges = x.tolist()
+                        for salt, back, ahead in _pieces(h, split, pos, *edges, text, length):
+                            to = held.setdefault((h * 31 + salt * 7919) % buckets, ([], [], []))
+                            to[0].append(struct.pack(_META, h, s, salt, split, pos, back, ahead))
+                            to[1].append(doc)
+                            to[2].append(text[pos - back : pos - ahead + length])
+                            size += length + back - ahead
                     if size > SPANS:
                         yield sent_spans(held)
                         held, size = {}, 0
@@ -518,36 +531,11 @@ class Repeats:
         spans = texts.join(want, "doc").mapInArrow(extract, "to long, data binary")
         fine = cut(spans.groupBy("to").applyInArrow(_sorted(length), _KINDS), "sorted")
         release(spark)
-        ranges = met.where("kind = 0").select("doc", "data").union(fine.where("kind = 0").select("doc", "data"))
-        reps = fine.where("kind = 3")
-        if not reps.isEmpty():
-            ranges = ranges.union(self._merged(reps, texts, length))
+        ranges = met.where("kind = 0").select("doc", "data").union(fine.select("doc", "data"))
         self.ranges = cut(ranges.groupBy("doc").agg(F.collect_list("data").alias("ranges")), "ranges")
         drop_cut(met, fine)
         self.spent = spent
 
-    @staticmethod
-    def _merged(reps: DataFrame, texts: DataFrame, length: int) -> DataFrame:
-        """(doc, data): the ranges of classes, of different blocks of a gram, that an earlier class equals. Equal hashes bring
-        them together, the windows' bytes decide."""
-
-        def decode(batches):
-            for batch in batches:
-                x = np.frombuffer(b"".join(batch.column("data").to_pylist()), _REP)
-                yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(x["w1"].view(np.int64)), pa.array(x["w2"].view(np.int64)), pa.array(x["p"])], ["doc", "w1", "w2", "p"])
-
-        def encode(batches):
-            for batch in batches:
-                p = batch.column("p").to_numpy()
-                yield _ranges(batch.column("doc").to_numpy(), p, p + length).select(["doc", "data"])
-
-        every = reps.mapInArrow(decode, "doc long, w1 long, w2 long, p long").distinct()
-        again = every.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        alike = every.join(again, ["w1", "w2"], "left_semi")
-        shown = alike.join(texts, "doc").select("doc", "p", F.substring("t", F.col("p").cast("int") + 1, F.lit(length)).alias("w"))
-        nth = F.row_number().over(Window.partitionBy("w").orderBy("doc", "p"))
-        return shown.withColumn("nth", nth).where("nth > 1").mapInArrow(encode, "doc long, data binary")
-
     def judged(self) -> DataFrame:
         """The flagged rows with their ranges in the column `found`, null where there are none."""
         doc = f"{self.doc}_k"
