@@ -61,6 +61,18 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def bucketed(df: DataFrame, key: str, buckets: int, name: str) -> DataFrame:
+    """Like cut(), dealt into buckets of the column `key`: later joins and groups by it move no row of this table again."""
+    spark = df.sparkSession
+    bound_batches(spark)
+    path = new_folder(spark, name)
+    called = path.rpartition("/")[2].replace("-", "_")
+    df.repartition(buckets, key).write.format("parquet").bucketBy(buckets, key).option("path", path).saveAsTable(called)
+    out = spark.table(called)
+    out._cut_at = path
+    return out
+
+
 def drop_cut(*tables: DataFrame) -> None:
     """Delete the files of tables made by cut() that nothing will read again."""
     for df in tables:

@@ -34,7 +34,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mailquarry.llm.common import cut, drop_cut, free_names, release, table, trim, utf8
+from mailquarry.llm.common import bucketed, cut, drop_cut, free_names, partitions, release, table, trim, utf8
 
 LENGTH, GRAM = 100, 32
 #: Bytes of a text worked on at a time; positions within fit in 20 bits.
@@ -487,7 +487,7 @@ class Repeats:
             ids = met.select(F.col("doc").alias(there)).distinct()
             marked = cut(docs.join(ids, F.col(self.doc) == F.col(there), "left"), "marked")
             self.rest = marked.where(F.col(there).isNull()).drop(there)
-            self.flagged = marked.where(F.col(there).isNotNull()).drop(there)
+            flagged = marked.where(F.col(there).isNotNull()).drop(there)
         else:
             held, key = spark.sparkContext.broadcast(words), self.doc
 
@@ -501,7 +501,10 @@ class Repeats:
                 return run
 
             self.rest = docs.mapInArrow(pick(False), docs.schema)
-            self.flagged = cut(docs.mapInArrow(pick(True), docs.schema), "flagged")
+            flagged = docs.mapInArrow(pick(True), docs.schema)
+        # texts are dealt out once, for the two joins that need them
+        self.flagged = bucketed(flagged, self.doc, max(parts, partitions(spark)), "flagged")
+        release(spark)
 
         want = met.where("kind = 2").groupBy("doc").agg(F.collect_list("data").alias("want"))
         texts = self.flagged.select(F.col(self.doc).alias("doc"), utf8("text").alias("t")).dropDuplicates(["doc"])
