@@ -327,13 +327,22 @@ def test_shards_of_nothing_but_copies(spark):
     assert len(sizes) == 8 and max(sizes) - min(sizes) <= 1
 
 
-@pytest.mark.parametrize("copies", [2, 3])
-def test_small_groups_are_not_cut_where_there_is_room(spark, copies):
-    rows = [(i, f"text {i // copies if i < 200 * copies else i}") for i in range(2000)]
+def brute_cut(assigned):
+    of = {}
+    for r in assigned.collect():
+        of.setdefault((r.g1, r.g2), []).append(r.shard)
+    pairs = [(x, y) for s in of.values() for i, x in enumerate(s) for y in s[:i]]
+    return len(pairs), sum(x != y for x, y in pairs), sum(len(set(s)) > 1 for s in of.values())
+
+
+@pytest.mark.parametrize(("copies", "groups", "alone", "most"), [(2, 200, 1600, 0), (3, 200, 1400, 0), (4, 300, 0, 7), (4, 300, 1, 7), (4, 300, 5, 7), (4, 300, 1200, 0), (7, 13, 0, 7), (300, 2, 3, 2)])
+def test_few_groups_are_cut_however_full_the_shards(spark, copies, groups, alone, most):
+    rows = [(i, f"text {i // copies if i < groups * copies else i}") for i in range(groups * copies + alone)]
     assigned = sharding.assign(spark.createDataFrame(rows, "doc_id long, text string"))
     sizes = [r["count"] for r in assigned.groupBy("shard").count().collect()]
     assert len(sizes) == 8 and max(sizes) - min(sizes) <= 1 and sum(sizes) == len(rows)
-    assert tuple(sharding.cut_edges(assigned).first()) == (200 * copies * (copies - 1) // 2, 0)
+    edges, cut_, split = brute_cut(assigned)
+    assert split <= most and tuple(sharding.cut_edges(assigned).first()) == (edges, cut_) and edges == groups * copies * (copies - 1) // 2
 
 
 def test_slots_and_digests(spark):
