@@ -4,28 +4,32 @@ Words are runs of digits, lower-cased Latin letters and characters above ASCII.
 or the whole of a shorter item that has words. Documents are scanned for windows whose words all occur in the benchmark,
 each is looked up by a rolling hash, and each hit is verified word for word.
 
-The set is broadcast only below `max_bytes` of benchmark text; a larger benchmark is dealt into blocks by item, each under
-the bound, and the documents are scanned once a block. Null or word-less texts have no words and are never contaminated; a
-null item_id counts as the string `null`; items with equal texts are all reported. Repeated rows give equal rows. An empty
-benchmark hits nothing, an empty table gives an empty result, and further columns are ignored.
+The set is broadcast only below `max_bytes` of benchmark text. It is held in flat arrays, at most 12 bytes for each byte of
+text in the driver and in each Python worker (60 while it is built). A larger benchmark is dealt into blocks by
+item, each under the bound unless one item alone is over it, and the documents are scanned once for each block, one block
+after the other. Null or word-less texts have no words and are never contaminated; a null item_id counts as the string
+`null`; items with equal texts are all reported. Repeated rows give equal rows. An empty benchmark hits nothing, an empty
+table gives an empty result, and further columns are ignored or kept, whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from functools import partial
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from mailquarry.llm.common import table, utf8
+from mailquarry.llm.common import cut, free_names, table, utf8
 
 N = 13
 #: Bytes of benchmark text in one broadcast set.
-MAX_BYTES = 16 << 20
+MAX_BYTES = 2 << 20
 _WORD_BYTES = bytes(x if 0x30 <= x <= 0x39 or 0x61 <= x <= 0x7A or x >= 0x80 else x + 32 if 0x41 <= x <= 0x5A else 0x20 for x in range(256))
 _RUN = re.compile(rb"[^\x20]+")
 
@@ -40,61 +44,87 @@ def _odd(n: int) -> np.ndarray:
 
 
 class Windows:
-    """The windows of some items: by length, sorted hashes with the windows that have them."""
+    """The windows of some items: by length, sorted hashes, where in the items' words each window stands, and its items."""
 
     def __init__(self, items: list[tuple[str, bytes]], n: int = N):
         self.vocabulary: dict[bytes, int] = {}
-        found: dict[int, dict[tuple[int, ...], list[str]]] = {}
-        for item, text in items:
-            ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words_of(text)]
-            size = min(n, len(ids))
-            for i in range(len(ids) - size + 1 if size else 0):
-                owners = found.setdefault(size, {}).setdefault(tuple(ids[i : i + size]), [])
-                if item not in owners:
-                    owners.append(item)
+        self.items = sorted({item for item, _ in items})
+        number = {item: i for i, item in enumerate(self.items)}
+        texts = [np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words_of(text)], np.int32) for _, text in items]
+        self.words = np.concatenate([np.zeros(0, np.int32), *texts])
+        starts = np.cumsum([0, *map(len, texts)])
+        found: dict[int, list[tuple[np.ndarray, int]]] = {}
+        for (item, _), ids, start in zip(items, texts, starts.tolist()):
+            if size := min(n, len(ids)):
+                found.setdefault(size, []).append((np.arange(start, start + len(ids) - size + 1), number[item]))
         self.sets = []
-        for size, windows in sorted(found.items()):
-            grid = np.array(list(windows), np.uint64)
-            by_hash: dict[int, list[tuple[tuple[int, ...], list[str]]]] = {}
-            for h, w in zip(((grid * grid) * _odd(size) + grid * _odd(size)[::-1]).sum(1, dtype=np.uint64).tolist(), windows):
-                by_hash.setdefault(h, []).append((w, windows[w]))
-            self.sets.append((size, _odd(size), np.array(sorted(by_hash), np.uint64), by_hash))
+        for size, of in sorted(found.items()):
+            at = np.concatenate([x for x, _ in of])
+            owner = np.repeat(np.array([i for _, i in of], np.int32), [len(x) for x, _ in of])
+            odd = _odd(size)
+            hashes = self._hash(self.words, at, odd)
+            # by hash and then by words, so that equal windows stand together
+            order = np.lexsort((owner, *(self.words[at + k] for k in reversed(range(size))), hashes))
+            at, owner, hashes = at[order], owner[order], hashes[order]
+            new = np.concatenate(([True], hashes[1:] != hashes[:-1]))
+            for k in range(size):
+                new[1:] |= self.words[at[1:] + k] != self.words[at[:-1] + k]
+            once = new | np.concatenate(([True], owner[1:] != owner[:-1]))
+            first = np.flatnonzero(new)
+            bounds = np.concatenate(([0], np.cumsum(once)))[np.concatenate((first, [len(at)]))]
+            self.sets.append((size, odd, hashes[first], at[first], bounds, owner[once]))
+
+    @staticmethod
+    def _hash(ids: np.ndarray, at: np.ndarray, odd: np.ndarray) -> np.ndarray:
+        """Of the window at each place."""
+        hashes, each = np.zeros(len(at), np.uint64), ids.astype(np.uint64)
+        for k in range(len(odd)):
+            x = each[at + k]
+            hashes += x * x * odd[k] + x * odd[len(odd) - 1 - k]
+        return hashes
 
     def scan(self, words: list[bytes]) -> tuple[np.ndarray, set[str]]:
         """Which words are hit, and the items whose windows occur."""
         hit, items = np.zeros(len(words), bool), set()
-        ids = np.fromiter(map(self.vocabulary.get, words, repeat(0)), np.int64, len(words))
+        ids = np.fromiter(map(self.vocabulary.get, words, repeat(0)), np.int32, len(words))
         known = np.concatenate(([0], np.cumsum(ids > 0)))
-        for size, odd, keys, by_hash in self.sets:
+        for size, odd, keys, where, bounds, owners in self.sets:
             if len(ids) < size:
                 continue
             at = np.flatnonzero(known[size:] - known[:-size] == size)
             if not len(at):
                 continue
-            hashes, each = np.zeros(len(at), np.uint64), ids.astype(np.uint64)
-            for k in range(size):
-                x = each[at + k]
-                hashes += x * x * odd[k] + x * odd[size - 1 - k]
-            place = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
-            for i in np.flatnonzero(keys[place] == hashes).tolist():
-                p = int(at[i])
-                window = tuple(ids[p : p + size].tolist())
-                for w, owners in by_hash[int(hashes[i])]:
-                    if w == window:
-                        hit[p : p + size] = True
-                        items.update(owners)
-        return hit, items
+            hashes = self._hash(ids, at, odd)
+            place = np.searchsorted(keys, hashes)
+            while True:
+                # windows of one hash stand together: each is compared, word by word
+                live = np.flatnonzero(place < len(keys))
+                live = live[keys[place[live]] == hashes[live]]
+                if not len(live):
+                    break
+                at, hashes, place = at[live], hashes[live], place[live]
+                same = np.ones(len(at), bool)
+                for k in range(size):
+                    same &= self.words[where[place] + k] == ids[at + k]
+                for k in range(size):
+                    hit[at[same] + k] = True
+                for w in np.unique(place[same]).tolist():
+                    items.update(owners[bounds[w] : bounds[w + 1]].tolist())
+                place = place + 1
+        return hit, {self.items[i] for i in items}
 
 
 def _blocks(benchmark: DataFrame, n: int, max_bytes: int):
-    """Broadcast Windows, each of at most about max_bytes of text."""
-    spark = benchmark.sparkSession
+    """Functions that give Windows, each of about max_bytes of text at most."""
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"), utf8("text").alias("t"))
     total = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    blocks = total // max_bytes + 1
-    for k in range(blocks):
-        rows = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == k)
-        yield spark.sparkContext.broadcast(Windows([(r.item, bytes(r.t)) for r in rows.collect()], n))
+    blocks = -(-2 * total // max_bytes) if total > max_bytes else 1
+
+    def block(k: int) -> Windows:
+        rows = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item", "t"), F.lit(blocks)) == k)
+        return Windows([(r.item, bytes(r.t)) for r in rows.toLocalIterator()], n)
+
+    return [partial(block, k) for k in range(blocks)]
 
 
 def _runs(hit: np.ndarray) -> list[tuple[int, int]]:
@@ -119,17 +149,20 @@ def scan(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", n: int = N,
 
         return run
 
+    context = docs.sparkSession.sparkContext
     rows = docs.select(F.col(key).alias("k"), utf8("text").alias("t"))
-    blocks = list(_blocks(benchmark, n, max_bytes))
+    blocks = _blocks(benchmark, n, max_bytes)
     if len(blocks) > 1:
         rows = rows.withColumn("k", F.struct("k", F.sha2("t", 256).alias("of")))
-    kind = rows.schema["k"].dataType.simpleString()
-    found = [rows.mapInArrow(scanner(b), f"k {kind}, n_words long, runs array<struct<a:long,b:long>>, items array<string>") for b in blocks]
-    if len(found) == 1:
-        return found[0].withColumnRenamed("k", key)
-    every = found[0]
-    for f in found[1:]:
-        every = every.union(f)
+    schema = StructType([rows.schema["k"], *StructType.fromDDL("n_words long, runs array<struct<a:long,b:long>>, items array<string>").fields])
+    if len(blocks) == 1:
+        return rows.mapInArrow(scanner(context.broadcast(blocks[0]())), schema).withColumnRenamed("k", key)
+    every = None
+    for block in blocks:
+        held = context.broadcast(block())
+        found = cut(rows.mapInArrow(scanner(held), schema), "hits")
+        held.destroy()
+        every = found if every is None else every.union(found)
     together = every.groupBy("k", "n_words").agg(F.array_sort(F.flatten(F.collect_list("runs"))).alias("runs"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), (F.count(F.lit(1)) / len(blocks)).cast("int").alias("rows"))
     start = F.expr("cast(array() as array<struct<a:bigint,b:bigint>>)")
 
@@ -162,26 +195,39 @@ def without_runs(text: str, runs: list[tuple[int, int]]) -> str:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "documents", n: int = N, max_bytes: int = MAX_BYTES) -> DataFrame:
     """docs without contaminated documents (remove="documents"), or with the hit words of contaminated ones cut out
-    (remove="spans"). One scan beside the rows: nothing is joined or shuffled unless the benchmark needs several blocks."""
+    (remove="spans"). Nothing is joined or shuffled unless the benchmark needs several blocks: then each different text is
+    scanned a block at a time, and what was found is joined back by a hash of the text."""
     if remove not in ("documents", "spans"):
         raise ValueError(remove)
-    blocks = list(_blocks(benchmark, n, max_bytes))
+    blocks = _blocks(benchmark, n, max_bytes)
+    names, several = free_names(docs, "text_key", "runs"), len(blocks) > 1
+    if not several:
+        held = docs.sparkSession.sparkContext.broadcast(blocks[0]())
+        marked, runs_of = docs, lambda batch: [_contaminating(held.value.scan(words_of((t or "").encode()))[0]) for t in batch.column("text").to_pylist()]
+    else:
+        found = judge(scan(docs.select(F.sha2(utf8("text"), 256).alias("k"), "text").dropDuplicates(["k"]), benchmark, "k", n, max_bytes))
+        found = found.where("contaminated").select(F.col("k").alias(f"{names[0]}_k"), F.col("runs").alias(names[1]))
+        keyed = docs.withColumn(names[0], F.sha2(utf8("text"), 256))
+        marked, runs_of = keyed.join(found, F.col(names[0]) == F.col(f"{names[0]}_k"), "left").drop(f"{names[0]}_k", names[0]), lambda batch: [[(r["a"], r["b"]) for r in x or []] for x in batch.column(names[1]).to_pylist()]
 
     def run(batches):
         for batch in batches:
-            keep, texts = [], []
-            for text in batch.column("text").to_pylist():
-                words = words_of((text or "").encode())
-                hit = np.zeros(len(words), bool)
-                for b in blocks:
-                    hit |= b.value.scan(words)[0]
-                bad = hit.any() and 20 * int(hit.sum()) >= len(words)
-                keep.append(not (bad and remove == "documents"))
-                texts.append(without_runs(text, _runs(hit)) if bad and remove == "spans" else text)
-            at = batch.schema.get_field_index("text")
-            yield batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type)).filter(pa.array(keep, pa.bool_()))
-
-    return docs.mapInArrow(run, docs.schema)
+            runs = runs_of(batch)
+            if several:
+                batch = batch.drop_columns([names[1]])
+            if remove == "documents":
+                yield batch.filter(pa.array([not x for x in runs], pa.bool_()))
+            else:
+                texts = [without_runs(t, x) if x else t for t, x in zip(batch.column("text").to_pylist(), runs)]
+                at = batch.schema.get_field_index("text")
+                yield batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
+
+    return marked.mapInArrow(run, docs.schema)
+
+
+def _contaminating(hit: np.ndarray) -> list[tuple[int, int]]:
+    """The runs of hit words, none if they are under a twentieth of the text."""
+    return _runs(hit) if hit.any() and 20 * int(hit.sum()) >= len(hit) else []
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -470,13 +470,16 @@ def test_rotation_renders_each_dialogue(spark):
 # ---- 9
 
 
-def brute_hits(text, items):
+def brute_words(text):
     import re
 
-    of = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
-    words, hit, found = of(text), set(), set()
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+
+
+def brute_hits(text, items):
+    words, hit, found = brute_words(text), set(), set()
     for item, t in items:
-        w = of(t)
+        w = brute_words(t)
         n = min(13, len(w))
         for i in range(len(w) - n + 1 if n else 0):
             for p in range(len(words) - n + 1):
@@ -502,6 +505,51 @@ def test_decontamination_against_brute_force(spark, max_bytes):
     assert got == {d: brute_hits(t, items) for d, t in docs}
 
 
+def test_many_equal_items_and_colliding_hashes(monkeypatch):
+    import time
+
+    text = " ".join(f"w{i}" for i in range(40)).encode()
+    began = time.time()
+    windows = decontaminate.Windows([(str(i), text) for i in range(4000)])
+    hit, items = windows.scan(decontaminate.words_of(b"x " + text[:200]))
+    assert len(items) == 4000 and hit.sum() > 30 and time.time() - began < 10
+    monkeypatch.setattr(decontaminate.Windows, "_hash", staticmethod(lambda ids, at, odd: ids[at].astype("u8") % 2))
+    rnd = random.Random(9)
+    items = [(str(i), " ".join(rnd.choice("abcd") for _ in range(rnd.randint(1, 20)))) for i in range(40)]
+    windows = decontaminate.Windows([(i, t.encode()) for i, t in items])
+    for _ in range(40):
+        doc = " ".join(rnd.choice("abcde") for _ in range(60))
+        hit, found = windows.scan(decontaminate.words_of(doc.encode()))
+        n, n_hit, n_items, _, _ = brute_hits(doc, items)
+        assert (int(hit.sum()), len(found)) == (n_hit, n_items)
+
+
+def test_windows_take_bounded_memory():
+    import tracemalloc
+
+    rnd = random.Random(1)
+    text = " ".join(chr(rnd.randint(0xC0, 0x24F)) for _ in range(90_000)).encode()
+    tracemalloc.start()
+    windows = decontaminate.Windows([("a", text)])
+    held, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert windows.sets and held < 12 * len(text) and peak < 60 * len(text)
+
+
+@pytest.mark.parametrize("remove", ["documents", "spans"])
+def test_decontamination_in_blocks(spark, remove):
+    items = [(i, " ".join(f"{chr(97 + i)}{k}" for k in range(20))) for i in range(6)]
+    docs = [(i, f"some words {items[i % 6][1] if i % 2 else ''} and more") for i in range(12)] + [(1, None), (None, items[0][1]), (None, items[0][1])]
+    docs = spark.createDataFrame(docs, "doc_id long, text string")
+    for c in ("k", "runs", "_runs", "_text_key", "items", "t"):
+        docs = docs.withColumn(c, F.lit("clash"))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    one = decontaminate.decontaminate(docs, bench, remove)
+    many = decontaminate.decontaminate(docs, bench, remove, max_bytes=100)
+    assert one.columns == many.columns == docs.columns
+    assert sorted(map(str, one.collect())) == sorted(map(str, many.collect()))
+
+
 def test_removal_of_documents_and_spans(spark):
     item = " ".join(f"b{i}" for i in range(13))
     docs = spark.createDataFrame([(1, "clean text"), (2, f"Start here, {item.upper()}! and on"), (3, None)], "doc_id long, text string")
@@ -616,11 +664,19 @@ def test_pipeline_against_brute_force(spark, library):
             seen.add(data[p : p + 100])
         cutter[d] = bytes(x for x, g in zip(data, gone) if not g).decode("utf-8", "ignore")
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()]
-    windows = decontaminate.Windows([(str(i), t.encode()) for i, t in items])
+    grams = {}
+    for _, t in items:
+        words = brute_words(t)
+        for i in range(max(1, len(words) - 12) if words else 0):
+            grams.setdefault(min(13, len(words)), set()).add(tuple(words[i : i + 13]))
     clean = {}
     for d, t in cutter.items():
-        hit, _ = windows.scan(decontaminate.words_of(t.encode()))
-        if t and not (hit.any() and 20 * int(hit.sum()) >= len(hit)):
+        words, hit = brute_words(t), set()
+        for n, known in grams.items():
+            for p in range(len(words) - n + 1):
+                if tuple(words[p : p + n]) in known:
+                    hit |= set(range(p, p + n))
+        if t and not (hit and 20 * len(hit) >= len(words)):
             clean[d] = t
     got = {r.doc_id: r.n_tokens for r in registry.QUERIES["pipeline"](spark, DATA).collect()}
     assert got == {d: len(library.encode(t, add_special_tokens=False).ids) for d, t in clean.items()}
