@@ -9,7 +9,9 @@ lengths and words vary, and each block's label is known as it is written.
 
 Blocks labelled article are joined in page order by a newline, with character references decoded and white space turned into
 single spaces; a headline inside the article belongs to it. Null or empty html, and pages without text, give the empty text.
-Whole pages are read; unclosed tags, comments and quotes do no harm. Rows are independent: repeated rows give equal rows, an
+Whole pages are read. Tags that are missing, unclosed, self-closed or of unknown names do no harm: an element without blocks
+is passed over only up to its own end tag, and where it has none only its tag is; but a script or style without an end, and a
+comment, reach to the end of the page. Rows are independent: repeated rows give equal rows, an
 empty table an empty result, and further columns are ignored.
 """
 
@@ -18,6 +20,7 @@ from __future__ import annotations
 import html as _html
 import random
 import re
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,11 +29,11 @@ from pyspark.sql import functions as F
 
 from mailquarry.llm.common import table
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|math|textarea|select|button|iframe|object|canvas|audio|video|head)\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</\1\s*>|(?=<body\b)|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[!?/a-zA-Z][^>]*+>",
-    re.S | re.I,
-)
+_TOKEN = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[!?/a-zA-Z][^>]*+>", re.S)
+_SELF_CLOSED = re.compile(r"(?:^|[\s\"'])/\s*$")
+#: Elements whose content is not markup, and those whose content is but has no blocks.
+_RAW = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>", re.I) for t in "script style textarea title iframe noscript noembed noframes".split()}
+_SKIPPED = frozenset("template svg math select button object canvas audio video".split())
 _NAMED = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 BLOCKS = frozenset(
@@ -41,6 +44,38 @@ _ENDS = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"
 _ENDS_P = BLOCKS - {"html", "body", "caption", "td", "th", "tr", "tbody", "thead", "tfoot", "title", "legend", "summary"}
 
 
+def tokens(page: str) -> list[tuple[int, int, str, str, str]]:
+    """(from, to, slash of an end tag, tag, attributes) of each piece of markup, whole elements without blocks being one piece
+    without a tag."""
+    out: list[tuple[int, int, str, str, str]] = []
+    opened: dict[str, list[int]] = {}
+    endless, at = set(), 0
+    while m := _TOKEN.search(page, at):
+        start, at = m.span()
+        slash, tag, rest = m.groups()
+        tag = tag.lower() if tag else ""
+        if tag in _RAW and not slash and tag not in endless and not _SELF_CLOSED.search(rest):
+            end = _RAW[tag].search(page, at)
+            if end or tag in ("script", "style"):
+                at = end.end() if end else len(page)
+                tag = ""
+            else:
+                endless.add(tag)
+        elif tag in _SKIPPED and not _SELF_CLOSED.search(rest):
+            if not slash:
+                opened.setdefault(tag, []).append(len(out))
+            elif opened.get(tag):
+                first = opened[tag].pop()
+                start = out[first][0]
+                for held in opened.values():
+                    while held and held[-1] >= first:
+                        held.pop()
+                del out[first:]
+                tag = ""
+        out.append((start, at, slash or "", tag, rest or ""))
+    return out
+
+
 def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
     """(ancestor names from the root, text, characters of it in links) of each leaf block that is not empty. A name is a tag
     and, behind a bar, the words of its class, id and role."""
@@ -57,26 +92,22 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
                 out.append((tuple(name for _, name in stack), text, min(linked, len(text))))
             parts, linked = [], 0
 
-    for m in _TOKEN.finditer(page):
-        if m.start() > at:
-            piece = page[at : m.start()]
+    for start, end, slash, tag, attributes in tokens(page):
+        if start > at:
+            piece = page[at:start]
             parts.append(piece)
             if in_link:
                 linked += len(piece.strip())
-        at = m.end()
-        tag = m[3]
-        if not tag:
-            continue
-        tag = tag.lower()
+        at = end
         if tag == "a":
-            in_link = not m[2]
+            in_link = not slash
         elif tag == "br":
             parts.append(" ")
         if tag not in BLOCKS:
             continue
         close()
         in_link = False
-        if m[2]:
+        if slash:
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == tag:
                     del stack[i:]
@@ -93,7 +124,7 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
                     del stack[i:]
                     break
         if tag != "hr":
-            words = sorted({w.lower() for a in _NAMED.finditer(m[4]) for w in _PART.findall(a[2] or a[3] or a[4] or "")}) if m[4] and "=" in m[4] else []
+            words = sorted({w.lower() for a in _NAMED.finditer(attributes) for w in _PART.findall(a[2] or a[3] or a[4] or "")}) if "=" in attributes else []
             stack.append((tag, f"{tag}|{' '.join(words)}"))
     if at < len(page):
         parts.append(page[at:])
@@ -324,8 +355,9 @@ def labelled_blocks(page: str, main: str) -> list[tuple[tuple[str, ...], str, in
     return out
 
 
+@cache
 def trained(n: int = 500, seed: int = 7) -> Field:
-    """The field trained on n made pages."""
+    """The field trained on n made pages, once in a process."""
     rnd = random.Random(seed)
     return train([b for b in (labelled_blocks(*labelled_page(rnd)) for _ in range(n)) if b])
 

@@ -217,6 +217,73 @@ def test_blocks():
     assert htmltext.blocks('<p title="a > b">x</p><p title="unclosed>y')[0][1] == "x"
 
 
+def texts_of(page):
+    return [b[1] for b in htmltext.blocks(page)]
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<p>a<button-bar>b</button-bar><p>c<video-player src=x><p>d", ["ab", "c", "d"]),
+        ("<p>a<svg/><p>b<svg viewBox='0 0'/> c<iframe src=\"x\" /><p>d", ["a", "b c", "d"]),
+        ("<p>a<button>b<p>c<iframe><p>d<select><option>e<p>f", ["ab", "c", "de", "f"]),
+        ("<title>no</title><p>a<p>b", ["a", "b"]),
+        ("<html><head><meta charset=utf-8><title>no</title><style>p{}</style><p>a<p>b", ["a", "b"]),
+        ("<p>a<svg><title>no</title><svg>no</svg>no</svg>b<svg>no</svg><p>c", ["ab", "c"]),
+        ("<p>a<button>no</button><button>no</button>b", ["ab"]),
+        ("<p>a<!--> b<!-- no -->c<script>'</p><p>'</script >d<script>no <p>no", ["a bcd"]),
+        ("<p>a<textarea>no <p> no</textarea><header-x>b</header-x><p>c<object><p>no<object>no</object></object>", ["ab", "c"]),
+        ("<button>" * 3000 + "<p>a", ["a"]),
+        ("<template><p>no</template><p>a</template></svg><p>b", ["a", "b"]),
+    ],
+    ids=range(11),
+)
+def test_blocks_of_odd_markup(page, want):
+    assert texts_of(page) == want
+
+
+def article_of(page):
+    """The article's text by another parser."""
+    from html.parser import HTMLParser
+
+    class Article(HTMLParser):
+        inside, hidden, out, parts = 0, 0, (), ()
+
+        def flush(self):
+            text = " ".join("".join(self.parts).split())
+            self.parts, self.out = (), (*self.out, text) if text else self.out
+
+        def handle_starttag(self, tag, attrs):
+            if tag == "br":
+                self.parts = (*self.parts, " ")
+            elif tag in htmltext.BLOCKS:
+                self.flush()
+            self.inside += tag == "article"
+
+        def handle_endtag(self, tag):
+            if tag in htmltext.BLOCKS:
+                self.flush()
+            self.inside -= tag == "article"
+
+        def handle_data(self, data):
+            if self.inside and self.lasttag not in ("script", "style"):
+                self.parts = (*self.parts, data)
+
+    parser = Article()
+    parser.feed(page)
+    parser.close()
+    parser.flush()
+    return "\n".join(parser.out)
+
+
+def test_text_of_each_given_page_is_that_of_its_article(spark):
+    at = DATA.replace("sf0.001", "sf0.01")
+    pages = {r.page_id: r.html for r in spark.read.parquet(f"{at}/pages.parquet").collect()}
+    got = {r.page_id: (r.text, r.n_chars) for r in registry.QUERIES["op2_html_extraction"](spark, at).collect()}
+    want = {k: article_of(h) for k, h in pages.items()}
+    assert len(got) == len(pages) and got == {k: (t, len(t)) for k, t in want.items()}
+
+
 # ---- 3
 
 
