@@ -483,34 +483,114 @@ def test_container_round_trip():
         payload = media.pad(rnd.randbytes(n))
         data = media.write_container(payload)
         (track,) = media.read_container(data)
-        assert media.payload_of(data, track) == payload and len(payload) % 64 == 0 and len(payload) >= 64
-        assert track["codec"] == "raw " and track["duration"] == len(payload) and len(track["keyframes"]) == -(-len(payload) // 1024)
-        assert all(data[o : o + s] == payload[i * 1024 : i * 1024 + 64] for i, (o, s) in enumerate(track["keyframes"]))
+        assert track.payload() == payload and len(payload) % 64 == 0 and len(payload) >= 64
+        frames = track.keyframes()
+        assert track.codec == "raw " and track.duration == len(payload) and len(frames) == -(-len(payload) // 1024)
+        assert all(data[o : o + s] == payload[i * 1024 : i * 1024 + 64] and t == i * 1024 for i, (o, s, t) in enumerate(frames))
+
+
+def made_box(kind, *parts):
+    import struct
+
+    body = b"".join(parts)
+    return struct.pack(">I4s", 8 + len(body), kind) + body
+
+
+def made_track(tables, sizes, chunks, extra=b"", codec=b"tst1"):
+    """A trak box; tables: stts, ctts, stss ... as bytes behind version and flags; chunks: (offset, samples) of each."""
+    import struct
+
+    u = lambda *x: struct.pack(f">{len(x)}I", *x)
+    full = lambda kind, body, version=0: made_box(kind, bytes([version, 0, 0, 0]), body)
+    stbl = [full(b"stsd", u(1) + made_box(codec, bytes(20))), full(b"stsz", u(0, len(sizes), *sizes)) if b"stz2" not in tables else b""]
+    stbl += [full(b"stsc", u(len(chunks), *[x for i, (_, n) in enumerate(chunks) for x in (i + 1, n, 1)])), full(b"co64", u(len(chunks)) + struct.pack(f">{len(chunks)}Q", *[o for o, _ in chunks]))]
+    stbl += [full(k, b, 1 if k == b"ctts" else 0) for k, b in tables.items()]
+    mdhd = made_box(b"mdhd", bytes([1, 0, 0, 0]), bytes(16), struct.pack(">IQ", 90, 1234), bytes(4))
+    return made_box(b"trak", extra, made_box(b"mdia", mdhd, made_box(b"minf", made_box(b"stbl", *stbl))))
+
+
+def test_tables_of_times_and_sizes_sample_by_sample():
+    import struct
+
+    u = lambda *x: struct.pack(f">{len(x)}I", *x)
+    rnd = random.Random(2)
+    payload = rnd.randbytes(4000)
+    mvhd = made_box(b"mvhd", bytes(12), u(600), bytes(80))
+    edits = made_box(b"edts", made_box(b"elst", bytes(4), u(2), struct.pack(">IiI", 1200, -1, 1 << 16), struct.pack(">IiI", 999, 7, 1 << 16)))
+    for trial in range(30):
+        sizes = [rnd.randint(0, 15) for _ in range(rnd.randint(1, 60))]
+        counts, left = [], len(sizes)
+        while left:
+            counts.append(rnd.randint(1, left))
+            left -= counts[-1]
+        places = sorted(rnd.sample(range(0, 3000), len(counts)))
+        deltas = [rnd.randint(1, 9) for _ in counts]
+        shifts = [rnd.randint(-20, 20) for _ in counts]
+        keys = sorted(rnd.sample(range(1, len(sizes) + 1), rnd.randint(1, len(sizes))))
+        tables = {b"stts": u(len(counts), *[x for c, d in zip(counts, deltas) for x in (c, d)]), b"stss": u(len(keys), *keys)}
+        tables[b"ctts"] = u(len(counts)) + b"".join(struct.pack(">Ii", c, s) for c, s in zip(counts, shifts))
+        if trial % 3:
+            field = (4, 8, 16)[trial % 3]
+            packed = bytes(a << 4 | b for a, b in zip(sizes[::2], [*sizes[1::2], 0])) if field == 4 else b"".join(x.to_bytes(field // 8, "big") for x in sizes)
+            tables[b"stz2"] = u(field, len(sizes)) + packed
+        track = made_track(tables, sizes, list(zip(places, counts)), edits if trial % 2 else b"")
+        other = made_track({}, [5, 6], [(10, 2)], codec=b"tst2")
+        data = made_box(b"mdat", payload) + made_box(b"moov", mvhd, track, other)
+        one, two = media.read_container(data)
+        want, at, time = [], 0, 0
+        for place, c, d, s in zip(places, counts, deltas, shifts):
+            for size in sizes[at : at + c]:
+                want.append((place, size, time + s + (1200 * 90 // 600 - 7 if trial % 2 else 0)))
+                place, time = place + size, time + d
+            at += c
+        assert one.keyframes() == [want[k - 1] for k in keys] and one.payload() == b"".join(data[o : o + s] for o, s, _ in want)
+        assert (one.codec, one.timescale, one.duration, one.n) == ("tst1", 90, 1234, len(sizes))
+        assert two.codec == "tst2" and two.keyframes() == [(10, 5, 0), (15, 6, 0)]
 
 
 def test_container_forms_and_faults():
     import struct
+    import tracemalloc
 
     data = media.write_container(bytes(range(64)) * 40)
     moved = struct.pack(">I4sQ", 1, b"free", 16) + data[:-1]
-    with pytest.raises(ValueError):
-        media.read_container(moved)
-    with pytest.raises(ValueError):
-        media.read_container(data[:300])
+    u = lambda *x: struct.pack(f">{len(x)}I", *x)
+    hostile = [moved, data[:300], made_box(b"moov", made_track({b"stss": u(1, 0)}, [4, 4], [(8, 2)]), bytes(0)), made_box(b"moov", made_track({b"stss": u(1, 3)}, [4, 4], [(8, 2)]))]
+    for table in (b"stsz", b"stts", b"stss", b"stsc", b"stco"):
+        at = data.index(table) + (12 if table == b"stsz" else 8)
+        for count in (20_000_000, (1 << 32) - 1):
+            hostile.append(data[:at] + u(count) + data[at + 4 :])
+    deep = b""
+    for _ in range(5000):
+        deep = made_box(b"moov", deep)
+    hostile.append(deep)
+    tracemalloc.start()
+    for x in hostile:
+        with pytest.raises(ValueError):
+            media.read_container(x)
+    assert tracemalloc.get_traced_memory()[1] < 4 << 20
+    tracemalloc.stop()
     assert media.read_container(b"") == []
     open_end = data.replace(struct.pack(">I4s", 8 + 2560, b"mdat"), struct.pack(">I4s", 0, b"mdat"))
-    assert media.payload_of(open_end, media.read_container(open_end)[0]) == bytes(range(64)) * 40
+    assert media.read_container(open_end)[0].payload() == bytes(range(64)) * 40
 
 
 def test_media_columns(spark, edges):
-    held = media.probe_media(media.contain(edges), "media_bytes").collect()
-    assert all(r.media.codec == "raw " for r in held) and len(held) == len(EDGES)
-    bad = media.probe_media(spark.createDataFrame([(b"junk",), (None,)], "m binary"), "m").collect()
-    assert [r.media for r in bad] == [None, None]
+    held = media.probe_media(media.contain(edges).withColumn("media", F.lit("clash")), "media_bytes").collect()
+    assert all([t.codec for t in r.media] == ["raw "] for r in held) and len(held) == len(EDGES)
+    bad = media.probe_media(spark.createDataFrame([(b"junk",), (None,)], "media binary"), "media").collect()
+    assert [r.media for r in bad] == [None, []]
     got = {r.doc_id: r for r in registry.QUERIES["op7_media_columns"](spark, DATA).collect()}
     for r in spark.read.parquet(f"{DATA}/documents.parquet").collect():
-        padded = media.pad(r.text.encode())
-        assert (got[r.doc_id].payload_sha256, got[r.doc_id].tail_crc32) == (hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-64:]))
+        x, padded = got[r.doc_id], media.pad(r.text.encode())
+        whole = media.write_container(padded)
+        assert (x.n_bytes, x.payload_bytes, x.payload_sha256, x.tail_crc32) == (len(r.text.encode()), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-64:]))
+        assert (x.media_bytes, x.media_sha256, x.codec, x.duration) == (len(whole), hashlib.sha256(whole).hexdigest(), "raw", len(padded))
+        base = whole.index(b"mdat") + 4
+        frames = [(base + o, 64, o) for o in range(0, len(padded), 1024)]
+        ranges = ",".join(f"{o}+{s}" for o, s, _ in frames)
+        assert [tuple(k) for k in x.keyframes] == frames
+        assert x.feature == f"codec=raw;timescale=8000;duration={len(padded)};samples={len(padded) // 64};keyframes={len(frames)};ranges_crc32={zlib.crc32(ranges.encode()):08x}"
 
 
 # ---- 8
