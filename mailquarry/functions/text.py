@@ -223,3 +223,46 @@ def resolve_type(register: Column, kind: Column, legacy: dict[str, tuple[str, st
     for name, (r, m) in legacy.items():
         out = F.when(kind == name, F.struct(F.lit(r).alias("register"), F.lit(m).alias("mechanism"))).otherwise(out)
     return out
+
+
+# A bare capital after one of these words is a part of a document or a thing, not a person.
+NO_PERSON_AFTER = tuple(
+    "plan exhibit section schedule part phase option type class grade appendix annex clause figure table item note tier group category model series version round level column track "
+    "attachment addendum building gate route line form".split()
+)
+TITLES = ("candidate\\s+", "Mr\\.?\\s+", "Mrs\\.?\\s+", "Ms\\.?\\s+", "Dr\\.?\\s+")
+
+
+def bare_labels(c: Column | str, names: dict[str, str]) -> Column:
+    """A single capital in a person's place (A's, Mr A, candidate A, A candidacy) by its name; A's behind a word like Exhibit
+    stays."""
+    thing = f"(?<!(?i:\\b(?:{'|'.join(NO_PERSON_AFTER)})\\s{{1,40}}))"
+    rules = [(f"\\b(?={x}'s\\b){thing}{x}(?='s\\b)", n) for x, n in names.items()]
+    rules += [(f"\\b({'|'.join(TITLES)}){x}\\b", f"$1{n}") for x, n in names.items()]
+    rules += [(f"\\b{x}(?=\\s+candidacy\\b)", n) for x, n in names.items()]
+    return replace_all(_text(c), rules)
+
+
+def reground(c: Column | str, names: dict[str, str], firm: Sequence[tuple[str, str]] = ()) -> Column:
+    """Labels like Person D, person_d or PersonD by names: as the local part of an address before an @. Placeholders of the
+    firm come first, bare labels last. names: label to name; those that could match within another go first."""
+    out = _text(c)
+    for a, b in firm:
+        out = F.replace(out, F.lit(a), F.lit(b))
+    rules = []
+    for label, name in names.items():
+        spelt = f"(?i)\\bperson[\\s_-]*{label.split()[-1]}\\b"
+        rules += [(spelt + "(?=@)", name.lower().replace(" ", ".")), (spelt, name)]
+    return bare_labels(replace_all(out, rules), {label.split()[-1].upper(): name for label, name in names.items()})
+
+
+def labels_in(c: Column | str) -> Column:
+    """The different labels Person A to Person J of a text, in order."""
+    return F.array_sort(F.array_distinct(F.regexp_extract_all(_text(c), F.lit("\\bPerson [A-J]\\b"), F.lit(0))))
+
+
+def labels_left(c: Column | str) -> Column:
+    """Bare labels in a person's place, for a check after reground()."""
+    thing = f"(?<!(?i:\\b(?:{'|'.join(NO_PERSON_AFTER)})\\s{{1,40}}))"
+    found = [f"\\b(?=[A-J]'s\\b){thing}[A-J]'s\\b", "\\bcandidate\\s+[A-J]\\b|\\b(?:Mr|Mrs|Ms|Dr)\\.?\\s+[A-J]\\b|\\b[A-J]\\s+candidacy\\b"]
+    return F.concat(*[F.regexp_extract_all(_text(c), F.lit(x), F.lit(0)) for x in found])

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import email
 import email.policy
+import itertools
 import json
 import re
 import textwrap
@@ -12,10 +13,13 @@ import unicodedata
 
 import pandas as pd
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
-# Typographic characters and what they become before others are dropped.
-PUNCTUATION = {"‘": "'", "’": "'", "“": '"', "”": '"', "–": "-", "—": "-", "…": "...", " ": " ", "•": "*"}
+# Typographic characters and what they become before others are folded or dropped.
+PUNCTUATION = {
+    "\u2014": "--", "\u2013": "-", "\u2012": "-", "\u2015": "--", "\u2018": "'", "\u2019": "'", "\u201c": '"', "\u201d": '"',
+    "\u2026": "...", "\u2022": "-", "\u00b7": "-", "\u2010": "-", "\u2011": "-", "\u00a0": " ", "\u2009": " ", "\u202f": " ", "\u200b": "", "\ufeff": "",
+}
 _QUOTE = re.compile(r"^\s*(>|-{3,}|_{3,}|from:|to:|sent:|subject:|cc:|original message|forwarded)", re.I)
 
 
@@ -33,28 +37,72 @@ def wrapped(s: str | None, width: int = 75) -> str:
     return "\n".join(out)
 
 
+_JSON = re.compile(r'\s*+(?:([{}\[\],:])|("(?:[^"\\\x00-\x1f]|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))*+")|(-?(?:0|[1-9]\d*+)(?:\.\d++)?(?:[eE][+-]?\d++)?|true|false|null))')
+
+
+def _objects(s: str, start: int) -> tuple[list[tuple[int, int]], list[int]]:
+    """What reading JSON from the brace at `start` finds, to its end or the first error: (from, to) of each complete object, and
+    where those begin that were open at an error."""
+    done, opened, at, want = [], [], start, "v"  # v: value, k: key or end, K: key, e: value or end, c: colon, n: comma or end
+    while m := _JSON.match(s, at):
+        at = m.end()
+        mark = m[1]
+        if want in "ve" and mark != "]" and mark not in (",", ":", "}"):
+            if mark in ("{", "["):
+                opened.append((m.start(1), mark))
+                want = "k" if mark == "{" else "e"
+                continue
+        elif want in "kK" and m[2] is not None:
+            want = "c"
+            continue
+        elif want == "c" and mark == ":":
+            want = "v"
+            continue
+        elif want == "n" and mark == ",":
+            want = "K" if opened[-1][1] == "{" else "v"
+            continue
+        elif want in "kn" and mark == "}" and opened[-1][1] == "{" or want in "en" and mark == "]" and opened[-1][1] == "[":
+            begun, kind = opened.pop()
+            if kind == "{":
+                done.append((begun, at))
+        else:
+            break
+        if not opened:
+            break
+        want = "n"
+    return done, [x for x, _ in opened]
+
+
 def first_json(s: str | None) -> dict | None:
-    """The first balanced {...} that is a JSON object; braces in strings do not count, and a broken one is passed over."""
-    s, start = s or "", 0
-    decoder = json.JSONDecoder()
-    while (start := s.find("{", start)) >= 0:
-        try:
-            found, _ = decoder.raw_decode(s, start)
-            if isinstance(found, dict):
-                return found
-        except ValueError:
-            pass
-        start += 1
+    """The first {...} that is a JSON object; braces in strings do not count, and a broken one is passed over, but not what
+    it holds. Each piece is read about once. Null too for an object nested deeper than Python's parser goes."""
+    s, at, broken = s or "", 0, set()
+    while (at := s.find("{", at)) >= 0:
+        if at not in broken:
+            done, opened = _objects(s, at)
+            if done:
+                a, b = min(done)
+                before = s.find("{", at + 1, a) if a > at else -1
+                while before >= 0 and before in opened:
+                    before = s.find("{", before + 1, a)
+                if before < 0:
+                    try:
+                        return json.loads(s[a:b])
+                    except (ValueError, RecursionError):
+                        return None
+            broken.update(opened)
+        at += 1
     return None
 
 
-def bare_labels(s: str | None, names: dict[str, str]) -> str:
-    """A bare letter label in a person's place (A's, Mr A, candidate A, A candidacy) by its name, unless it is an exhibit's."""
-    kinds, s = r"(?<!Plan )(?<!Exhibit )(?<!Option )(?<!Schedule )(?<!Section )", s or ""
-    letter = "([" + "".join(sorted(names)) + "])" if names else "(?!)"
-    s = re.sub(kinds + r"\b" + letter + r"(?='s\b)", lambda m: names[m[1]], s)
-    s = re.sub(r"\b(candidate|Mr\.?|Ms\.?|Mrs\.?) " + letter + r"\b", lambda m: f"{m[1]} {names[m[2]]}", s)
-    return re.sub(kinds + r"\b" + letter + r"(?= (?:candidacy|application)\b)", lambda m: names[m[1]], s)
+def mail_lines(text: str | None) -> list[str]:
+    """The lines of a plain mail file behind its header, the part to the first blank line, up to a quoted or forwarded line,
+    without blank lines at either end."""
+    lines = (text or "").splitlines()
+    start = next((i for i, x in enumerate(lines) if not x.strip()), len(lines))
+    kept = list(itertools.takewhile(lambda x: not _QUOTE.match(x), lines[start + 1 :]))
+    full = [i for i, x in enumerate(kept) if x.strip()]
+    return kept[full[0] : full[-1] + 1] if full else []
 
 
 def mime_body(raw: bytes | None) -> tuple[str, str]:
@@ -78,6 +126,11 @@ def to_ascii(s: pd.Series) -> pd.Series:
     return s.map(ascii_of)
 
 
+@F.pandas_udf(ArrayType(StringType()))
+def header_skip(text: pd.Series) -> pd.Series:
+    return text.map(mail_lines)
+
+
 @F.pandas_udf(StringType())
 def ascii_wrap(s: pd.Series) -> pd.Series:
     return s.map(wrapped)
@@ -92,11 +145,3 @@ def extract_json(s: pd.Series) -> pd.Series:
 @F.pandas_udf(StructType([StructField("sender", StringType()), StructField("body", StringType())]))
 def mail_body(raw: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([mime_body(x) for x in raw], columns=["sender", "body"])
-
-
-def reground_labels(names: dict[str, str]):
-    @F.pandas_udf(StringType())
-    def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: bare_labels(x, names))
-
-    return run

@@ -4,6 +4,7 @@ the generator, and tests bring a deterministic one."""
 from __future__ import annotations
 
 import hashlib
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -13,20 +14,24 @@ from pyspark.sql import functions as F
 Generate = Callable[[list[str]], list[str]]
 
 
-def generated(make: Callable[[], Generate], prompt: Column, tries: int = 3) -> Column:
-    """A column of generated texts. The generator is made once a task; a failing batch is tried again, then prompt by prompt,
-    and what still fails is the empty text."""
+#: What a service raises when it is busy or away. Anything else is a fault of the program and ends the job.
+SERVICE_ERRORS = (OSError, TimeoutError, ConnectionError)
+
+
+def generated(make: Callable[[], Generate], prompt: Column, tries: int = 3, errors: tuple[type[Exception], ...] = SERVICE_ERRORS, wait: float = 0.0) -> Column:
+    """A column of generated texts. The generator is made once a task; a batch that fails with one of `errors` is tried again
+    after `wait` seconds, twice as long each time, then prompt by prompt, and what still fails is the empty text."""
 
     @F.pandas_udf("string")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         generate = make()
 
         def attempt(prompts: list[str]) -> list[str] | None:
-            for _ in range(tries):
+            for n in range(tries):
                 try:
                     return list(generate(prompts))
-                except Exception:  # noqa: BLE001  whatever the service raises
-                    continue
+                except errors:
+                    time.sleep(wait * 2**n)
             return None
 
         for batch in batches:

@@ -29,8 +29,9 @@ def holding(docs: DataFrame, passages: DataFrame) -> DataFrame:
     asked = passages.distinct().withColumn("w", pieces)
     long, short = asked.where(F.size("w") >= 5).select("passage", key(F.col("w"), F.lit(1)).alias("k")), asked.where(F.size("w") < 5).select("passage")
     triples = F.transform(F.sequence(F.lit(0), F.greatest(F.size("w") - 3, F.lit(0))), lambda i: key(F.col("w"), i))
-    grams = docs.select("doc_id", "text", F.split("text", "\\s+").alias("w")).select("doc_id", "text", F.explode(F.array_distinct(triples)).alias("k"))
-    met = grams.join(long, "k").where(F.contains("text", "passage")).select("doc_id")
+    # the text stays behind while its pieces are met: only ids travel, and a text is joined back once
+    grams = docs.select("doc_id", F.split("text", "\\s+").alias("w")).select("doc_id", F.explode(F.array_distinct(triples)).alias("k"))
+    met = grams.join(long, "k").select("doc_id", "passage").distinct().join(docs, "doc_id").where(F.contains("text", "passage")).select("doc_id")
     return met.union(docs.join(short, F.contains("text", "passage")).select("doc_id")).distinct()
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -15,10 +16,12 @@ from mailquarry.operators import assembly as A
 from mailquarry.operators import models
 from mailquarry.operators import records as R
 from mailquarry.plans.evaluation import _LOG, _ROWS, _log, _rows
+from mailquarry.plans.search import ORACLE_SQL as _SEARCH
 from mailquarry.plans.search import read
 from mailquarry.sources import mail
 from mailquarry.streaming import sessions
 
+ORACLE_PROSE = _SEARCH["clean_prose_filter"]
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 
@@ -38,6 +41,18 @@ def ascii_wrap(spark, d):
     return read(spark, d, "documents").select("doc_id", U.ascii_wrap("text").alias("wrapped"))
 
 
+_FOLDED = "text"
+for _a, _b in U.PUNCTUATION.items():
+    _FOLDED = f"replace({_FOLDED}, chr({ord(_a)}), '{_b.replace(chr(39), chr(39) * 2)}')"
+
+
+@query(f"SELECT doc_id, regexp_replace(strip_accents({_FOLDED.replace('text', 'said')}), '[^\\x00-\\x7F]', '', 'g') AS folded FROM (SELECT doc_id, chr(8212) || replace(replace(text, '. ', chr(8230) || chr(160) || chr(8226)), 'e ', 'e' || chr(8217) || chr(8203)) AS said FROM documents)")
+def ascii_fold(spark, d):
+    """Whole texts with typographic marks planted in them."""
+    said = F.concat(F.lit("\u2014"), F.replace(F.replace("text", F.lit(". "), F.lit("\u2026\u00a0\u2022")), F.lit("e "), F.lit("e\u2019\u200b")))
+    return read(spark, d, "documents").select("doc_id", U.to_ascii(said).alias("folded"))
+
+
 @query("SELECT event_id, '{\"k\": ' || json_extract_string(props, '$.k') || '}' AS found FROM events")
 def json_in_prose(spark, d):
     said = F.concat(F.lit("Well {not json} then "), F.col("props"), F.lit(" and {more}"))
@@ -176,7 +191,11 @@ def model_judge(spark, d):
 @query(f"""WITH {_LOG} SELECT user_id, count(*) AS n_tool_calls, count(*) FILTER (tool = 'READ') AS reads, count(*) FILTER (tool = 'SEARCH') AS searches,
 count(DISTINCT CASE WHEN tool = 'READ' THEN k END) AS opened, count(k) FILTER (tool = 'READ') - count(DISTINCT CASE WHEN tool = 'READ' THEN k END) AS redundant FROM log GROUP BY user_id""")
 def stream_session_metrics(spark, d):
-    named = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='mailquarry-')}"
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        named = f"file://{tempfile.mkdtemp(prefix='mailquarry-')}"
     return sessions.replay(spark, _log(spark, d), f"{named}/sessions-{uuid.uuid4().hex}")
 
 
@@ -209,13 +228,14 @@ def type_resolution(spark, d):
 
 @query("""WITH m AS (SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS j FROM conversations)
 SELECT conv_id, count(*) AS n_messages, 'clue-' || conv_id || '-0' AS first_id, max_by(replace(role, '.', ' '), j) AS last_from, array_to_string(list_sort(list_distinct(list(role))), ',') AS participants,
-'2001-10-13T09:00:00' AS date_first, '2001-10-13T' || printf('%02d', least(9 + 4 * (count(*) - 1), 21)) || ':00:00' AS date_last FROM m GROUP BY conv_id""")
+'2001-10-13T09:00:00' AS date_first, '2001-10-13T' || printf('%02d', 9 + 4 * (count(*) - 1)) || ':00:00' AS date_last FROM m GROUP BY conv_id""")
 def clue_threads(spark, d):
-    """A dialogue as a thread: dates in order on one clamped day, ids that reply to one another."""
+    """A dialogue as a thread: dates in order on one clamped day, ids that reply to one another. The hour counts on past the
+    day's end, so that longer threads keep their order."""
     one = F.struct("turn", "role")
     c = read(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(one)).alias("m"))
     day = T.clamp_era(F.lit("2024-10-13"))
-    at = lambda j: F.concat(day, F.lit("T"), F.format_string("%02d", F.least(9 + 4 * j, F.lit(21))), F.lit(":00:00"))
+    at = lambda j: F.concat(day, F.lit("T"), F.format_string("%02d", 9 + 4 * j), F.lit(":00:00"))
     n = F.size("m")
     return c.select(
         "conv_id", n.cast("long").alias("n_messages"), F.concat_ws("-", F.lit("clue"), "conv_id", F.lit("0")).alias("first_id"), F.replace(F.element_at("m", -1)["role"], F.lit("."), F.lit(" ")).alias("last_from"),
@@ -223,12 +243,15 @@ def clue_threads(spark, d):
     )
 
 
-@query("""WITH e AS (SELECT source, doc_id, length(text) - length(replace(text, ' ', '')) + 1 AS words, lower(substr(regexp_replace(text, '[ \\t\\r\\n\\f]+', ' ', 'g'), 1, 40)) AS sig FROM documents),
+@query("""WITH e AS (SELECT source, doc_id, length(text) - length(replace(text, ' ', '')) + 1 AS words, lower(substr(regexp_replace(text, '[ \\t\\r\\n\\f]+', ' ', 'g'), 1, 40)) AS sig FROM documents
+ WHERE doc_id IN ("""
+    + ORACLE_PROSE
+    + """)),
 f AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY source, sig ORDER BY doc_id) = 1), g AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY source ORDER BY doc_id) <= 14)
 SELECT source, doc_id FROM g QUALIFY row_number() OVER (PARTITION BY source ORDER BY abs(words - 55), doc_id) <= 2""")
 def style_bank(spark, d):
-    """For each source the first 14 texts of different openings, of which the two nearest to 55 words."""
-    docs = read(spark, d, "documents")
+    """For each source the first 14 texts of clean prose with different openings, of which the two nearest to 55 words."""
+    docs = read(spark, d, "documents").where(T.is_clean_prose("text"))
     words = F.length("text") - F.length(F.replace("text", F.lit(" "), F.lit(""))) + 1
     sig = F.lower(F.substring(F.regexp_replace("text", "[ \\t\\r\\n\\f]+", " "), 1, 40))
     first = docs.groupBy("source", sig.alias("sig")).agg(F.min_by(F.struct("doc_id", words.alias("words")), "doc_id").alias("r")).select("source", "r.*")

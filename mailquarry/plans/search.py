@@ -297,11 +297,11 @@ def assign_handles(spark, d):
     return R.handles(read(spark, d, "conversations").select("conv_id", "turn"), "conv_id", "turn").select("conv_id", "turn", "handle")
 
 
-@query("SELECT conv_id, turn, lag(conv_id || '-' || turn) OVER w AS in_reply_to, printf('T%02d:00:00', least(9 + 4 * (row_number() OVER w - 1), 21)) AS clock FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)")
+@query("SELECT conv_id, turn, lag(conv_id || '-' || turn) OVER w AS in_reply_to, printf('T%02d:00:00', 9 + 4 * (row_number() OVER w - 1)) AS clock FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)")
 def reply_chain_lag(spark, d):
     w = Window.partitionBy("conv_id").orderBy("turn")
     c = read(spark, d, "conversations").select("conv_id", "turn", F.concat_ws("-", "conv_id", "turn").alias("id"))
-    return c.select("conv_id", "turn", F.lag("id").over(w).alias("in_reply_to"), F.format_string("T%02d:00:00", F.least(9 + 4 * (F.row_number().over(w) - 1), F.lit(21))).alias("clock"))
+    return c.select("conv_id", "turn", F.lag("id").over(w).alias("in_reply_to"), F.format_string("T%02d:00:00", 9 + 4 * (F.row_number().over(w) - 1)).alias("clock"))
 
 
 @query(f"""SELECT conv_id, count(*) AS n_messages, min(turn) AS first_turn, max(turn) AS last_turn, array_to_string(list_sort(list_distinct(list(role))), ', ') AS participants,

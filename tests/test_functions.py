@@ -79,11 +79,59 @@ def test_python_functions():
     assert U.wrapped("aaa bbb ccc\n\nverylongword x", 7) == "aaa bbb\nccc\n\nverylongword\nx"
     cases = {'a {"x": "}{"} b': {"x": "}{"}, "```json\n{\"a\": 1}\n```": {"a": 1}, "{bad} then {\"b\": [2]}": {"b": [2]}, "none": None, "[1]": None, None: None}
     assert {k: U.first_json(k) for k in cases} == cases
-    assert U.bare_labels("A's plan, Plan A's, Mr A and candidate B; A candidacy", {"A": "Ada", "B": "Bo"}) == "Ada's plan, Plan A's, Mr Ada and candidate Bo; Ada candidacy"
+    assert U.ascii_of("a \u2014 b\u2022c\u00b7d\u2010e\u2011f\u2012g\u2015h\u00a0i\u2009j\u202fk\u200bl\ufeffm") == "a -- b-c-d-e-f-g--h i j klm"
+    assert U.mail_lines("From: a\nTo: b\n\n\n hello\n\nyou\n \n> quoted\nmore") == [" hello", "", "you"] and U.mail_lines("From: a") == U.mail_lines(None) == []
     assert U.mime_body(b"From: ada@x.example\nContent-Type: text/plain\n\nhello\n> quoted") == ("ada@x.example", "hello")
     assert U.mime_body(None)[1] == ""
 
 
+def test_json_is_found_in_linear_time():
+    import json
+    import time
+
+    began = time.time()
+    assert U.first_json("{" * 200_000) is None
+    assert U.first_json('{"a":' * 100_000) is None
+    assert U.first_json('{"a":' * 100_000 + "bad" + "}" * 100_000) is None
+    assert U.first_json('{"a":' * 100_000 + "1" + "}" * 100_000) is None
+    assert U.first_json('{"a": "x' * 20_000 + '{"b": 1}') == {"b": 1}
+    assert time.time() - began < 20
+    cases = {'{"a": {"b": 1}, bad': {"b": 1}, '{"not {"a":1}': {"a": 1}, '{"a" 1} {"c": "}"}': {"c": "}"}, "{} x": {}, '{"a": [1, {"b": [2,]}, {"c": 3}]}': {"c": 3}, '{"a":1,}{"b":-1.5e3}': {"b": -1500.0}, '[{"a": null}]': {"a": None}, '{"a":tru}': None, '{"a\n": 1}': None}
+    assert {k: U.first_json(k) for k in cases} == cases
+
+    def brute(s):
+        for i, c in enumerate(s):
+            if c == "{":
+                try:
+                    found, _ = json.JSONDecoder().raw_decode(s, i)
+                except ValueError:
+                    continue
+                return found
+        return None
+
+    import random
+
+    rnd = random.Random(5)
+    for _ in range(4000):
+        s = "".join(rnd.choice(['{"a":', "{", "}", '"', "[", "]", ",", ":", "1", " ", '"b"', "null", '{"c":2}']) for _ in range(rnd.randint(1, 14)))
+        assert U.first_json(s) == brute(s), s
+
+
+def test_reground(spark):
+    names = {"Person A": "Ada Reed", "Person B": "Bo Ek", "Person J": "Jo"}
+    cases = {
+        "Person A's and personA@x, PERSON_B, person-b, PersonA.": "Ada Reed's and ada.reed@x, Bo Ek, Bo Ek, Ada Reed.",
+        "Annex A's, option  B's, Exhibit A's stay; A's own, Dr. A, Dr A, Mrs. B, candidate J, J candidacy": "Annex A's, option  B's, Exhibit A's stay; Ada Reed's own, Dr. Ada Reed, Dr Ada Reed, Mrs. Bo Ek, candidate Jo, Jo candidacy",
+        "A application, Mr D, Personal A, <<FIRM>>": "A application, Mr D, Personal A, Acme",
+        "": "",
+    }
+    rows = spark.createDataFrame([*map(list, zip(cases)), [None]], "value string").select("value", T.reground("value", names, [("<<FIRM>>", "Acme")]).alias("a"), T.labels_left("value").alias("left"), T.labels_in("value").alias("names"))
+    got = {r.value: r for r in rows.collect()}
+    assert {k: got[k].a for k in cases} == cases and got[None].a == ""
+    assert got[list(cases)[1]].left == ["A's", "Dr. A", "Dr A", "Mrs. B", "candidate J", "J candidacy"]
+    assert got[list(cases)[0]].names == ["Person A"]
+
+
 def test_steps(spark):
     cases = {"THOUGHT: a\nACTION: SEARCH tariff filing": ("SEARCH", "tariff filing"), 'ACTION: ANSWER {"found": false}': ("ANSWER", '{"found": false}'), "ACTION: ANSWER READ e5\nx": ("READ", "e5"), '{"found": true}': ("ANSWER", '{"found": true}'), "ACTION: ANSWER maybe": (None, None)}
     tool, arg = P.step("value")

@@ -149,13 +149,15 @@ def test_generator_failures_are_empty(spark):
     def flaky():
         def run(prompts):
             if len(prompts) > 1 or "bad" in prompts[0]:
-                raise RuntimeError
+                raise ConnectionError
             return [p.upper() for p in prompts]
 
         return run
 
     df = spark.createDataFrame([("ok",), ("bad",), (None,)], "p string").coalesce(1)
     assert [r.x for r in df.select(models.generated(flaky, F.col("p")).alias("x")).collect()] == ["OK", "", ""]
+    with pytest.raises(Exception, match="ZeroDivisionError"):
+        df.select(models.generated(lambda: lambda prompts: [str(1 / 0)], F.col("p")).alias("x")).collect()
     said = spark.createDataFrame([('{"match": true}',), ('{"match": "true"}',), ("no",)], "s string")
     assert [r.m for r in said.select(models.strict_match(F.col("s")).alias("m")).collect()] == [True, False, False]
 
