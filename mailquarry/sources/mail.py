@@ -78,3 +78,63 @@ def dataset(cases: DataFrame) -> DataFrame:
     """Cases as published: an id of config and topic, and the register that the topic's first letter tells."""
     register = F.when(F.col("topic_id").startswith("W"), "work").otherwise("casual")
     return cases.select(F.concat_ws("-", "config", "topic_id").alias("id"), "config", "topic_id", register.alias("register"), *[c for c in cases.columns if c not in ("config", "topic_id", "status")])
+
+
+def with_address(people: DataFrame, known: DataFrame, name: str, domain: str) -> DataFrame:
+    """people with an address: that of known (name, address), else the name in small letters with dots, unknown for none."""
+    n = F.trim(F.coalesce(F.col(name), F.lit("")))
+    made = F.concat(F.coalesce(F.nullif(F.lower(F.replace(n, F.lit(" "), F.lit("."))), F.lit("")), F.lit("unknown")), F.lit(f"@{domain}"))
+    on_file = known.select(F.trim(name).alias("_n"), F.col("address").alias("_a"))
+    return people.join(on_file, n == F.col("_n"), "left").withColumn("address", F.coalesce("_a", made)).drop("_n", "_a")
+
+
+def load_topics(spark: SparkSession, path: str) -> DataFrame:
+    """(id, plot, secret, either_or, era) of topics in a JSON document {"kept": [...]} or {"topics": [...]}, or one a line; of
+    one id the last. The era keeps 10 characters."""
+    fields = "id string, topic_id string, plot string, secret string, either_or string, era string"
+    one = f"struct<{', '.join(x.replace(' ', ':', 1) for x in fields.split(', '))}>"
+    whole = spark.read.text(path, wholetext=True).select(F.from_json("value", f"kept array<{one}>, topics array<{one}>").alias("d"))
+    listed = whole.select(F.posexplode(F.coalesce("d.kept", "d.topics")).alias("n", "t")).select("n", "t.*")
+    lines = whole.where("d.kept is null and d.topics is null")
+    if lines.isEmpty():
+        rows = listed
+    else:
+        rows = spark.read.schema(fields).option("mode", "FAILFAST").json(path).select(F.monotonically_increasing_id().alias("n"), "*")
+    named = rows.withColumn("id", F.coalesce("id", "topic_id")).where("id is not null")
+    return named.groupBy("id").agg(F.max_by(F.struct("plot", "secret", "either_or", F.substring("era", 1, 10).alias("era")), "n").alias("t")).select("id", "t.*")
+
+
+def rows_from_logs(spark: SparkSession, path: str) -> DataFrame:
+    """Evaluation rows of logs as JSON lines (sample, epoch, logged, values, details, metadata, store, answer; the four as JSON
+    texts): the latest of each sample and epoch."""
+    rows = spark.read.schema("sample string, epoch int, logged string, values string, details string, metadata string, store string, answer string").json(path)
+    last = rows.groupBy("sample", "epoch").agg(F.max_by(F.struct("values", "details", "metadata", "store", "answer"), "logged").alias("r")).select("sample", "epoch", "r.*")
+    return flat_rows(last, "sample", "epoch")
+
+
+#: Column of an evaluation row: the places that may have it, in order.
+LADDER = {
+    "config": ("metadata", "store"), "final": ("values",), "budget": ("metadata", "details", "store"), "clue_recall": ("values", "details"), "turns": ("details", "store"),
+}
+
+
+def flat_rows(samples: DataFrame, *keys: str, ladder: dict[str, tuple[str, ...]] = LADDER) -> DataFrame:
+    """Samples, whose values, details, metadata and store are JSON texts, as flat rows: a column is blank where no place has it.
+    The secret is that of the details, else the answer, 400 characters of it."""
+    at = lambda place, name: F.get_json_object(place, f"$.{name}")
+    columns = [F.coalesce(*[at(p, name) for p in places], F.lit("")).alias(name) for name, places in ladder.items()]
+    return samples.select(*keys, *columns, F.substring(F.coalesce(at("details", "secret"), "answer", F.lit("")), 1, 400).alias("secret"))
+
+
+def metrics(df: DataFrame, column: str) -> DataFrame:
+    """df with a row for each entry of a map<string,string> that is a number, as metric and amount."""
+    rest = [c for c in df.columns if c != column]
+    each = df.select(*rest, F.explode(column).alias("metric", "_v")).withColumn("amount", F.col("_v").try_cast("double"))
+    return each.where(F.col("amount").isNotNull()).drop("_v")
+
+
+def run_fault(total: str, completed: str, csv_rows: str, status: str, expected: Column) -> Column:
+    """What is wrong with a run, empty if nothing."""
+    short = (F.col(total) == 0) | (F.col(completed) != F.col(total))
+    fault = F.when(expected.isNotNull() & (F.col(total) != expected), F.concat(F.lit("expected "), expected.cast("string"), F.lit(" samples"))).when(F.col(status) != "success", "status")
+    return fault.when(short, "incomplete").when(F.col(csv_rows) != F.col(completed), "rows").otherwise("")

@@ -218,3 +218,47 @@ def test_principal_directions_are_those_of_the_covariance(spark):
     w = np.array([v if v[abs(v).argmax()] > 0 else -v for v in vt[:2]])
     assert len(got) == 60 and np.allclose([got[i] for i in range(60)], c @ w.T, atol=1e-4)
     assert M.principal(df.where("v is null"), "id", "v").count() == 0
+
+
+def test_topics_of_all_shapes(spark, tmp_path):
+    from mailquarry.sources import mail
+
+    one = '{"id": "a", "plot": "p", "era": "2001-10-13T09"}, {"topic_id": "a", "plot": "q", "era": "2001-10-14T09"}, {"plot": "none"}'
+    for name, text in {"kept": '{"kept":\n[' + one + "]}", "topics": '{"topics": [' + one + "]}", "lines": one.replace("}, {", "}\n{")}.items():
+        (tmp_path / name).write_text(text)
+        assert [(r.id, r.plot, r.era) for r in mail.load_topics(spark, str(tmp_path / name)).collect()] == [("a", "q", "2001-10-14")]
+
+
+def test_rows_of_logs_are_the_latest(spark, tmp_path):
+    import json
+
+    from mailquarry.sources import mail
+
+    rows = [("s", 1, "2001", 0.5, {}), ("s", 1, "2002", 0.75, {"secret": "x" * 500}), ("s", 2, "2001", None, {})]
+    text = [json.dumps({"sample": s, "epoch": e, "logged": t, "values": json.dumps({} if f is None else {"final": f}), "details": json.dumps(x), "metadata": '{"config": "c"}', "answer": "said"}) for s, e, t, f, x in rows]
+    (tmp_path / "log").write_text("\n".join(text))
+    got = sorted((r.epoch, r.final, r.config, r.budget, len(r.secret)) for r in mail.rows_from_logs(spark, str(tmp_path / "log")).collect())
+    assert got == [(1, "0.75", "c", "", 400), (2, "", "c", "", 4)]
+
+
+def test_too_small_a_corpus_to_borrow_from(spark):
+    from mailquarry.operators import mailbox as X
+
+    clues = spark.createDataFrame([(1, -1, 0, "a", None, "2001"), (1, -1, 1, "b", "a", "2001")], "case int, thread int, position int, message_id string, in_reply_to string, date string")
+    corpus = spark.createDataFrame([(5, 0, "m5", "2000")], "thread int, position int, message_id string, date string")
+    none = spark.createDataFrame([], "case int, thread int")
+    with pytest.raises(Exception, match="too small to borrow"):
+        X.full_haystack(clues, corpus, none, none, 3, 1).collect()
+
+
+def test_similar_to_accepted_sets(spark):
+    import random
+
+    from mailquarry.operators import mailbox as X
+
+    rnd = random.Random(2)
+    rows = [(i, sorted({rnd.choice("abcdefghij") for _ in range(rnd.randint(0, 8))})) for i in range(120)]
+    accepted = [(i, sorted({rnd.choice("abcdefghijkl") for _ in range(rnd.randint(0, 6))})) for i in range(12)]
+    want = {i: not x or any(len({*x} & {*y}) / len({*x} | {*y}) >= 0.5 for _, y in accepted) for i, x in rows}
+    schema = "id int, toks array<string>"
+    assert {r.id: r.duplicate for r in X.like_any(spark.createDataFrame(rows, schema), spark.createDataFrame(accepted, schema), 0.5).collect()} == want
