@@ -283,7 +283,9 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     text hash, and a document without an id only where no other has one. Of rows that repeat an id and its text one stays."""
     rows = cut(fingerprints(docs), "fingerprints")
     order = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col("t1"), F.col("t2"))
-    keep = rows.join(_components(rows, TAU), "fp").groupBy("root").agg(F.min(order).alias("k")).select("k.d", "k.t1", "k.t2")
+    # the least of each fingerprint first: a fingerprint that a third of the rows share is one row of the join
+    least = rows.groupBy("fp").agg(F.min(order).alias("k")).join(_components(rows, TAU), "fp")
+    keep = least.groupBy("root").agg(F.min("k").alias("k")).select("k.d", "k.t1", "k.t2")
     names = free_names(docs, "d", "t1", "t2")
     t1, t2 = _text_key()
     keyed = docs.withColumns({names[0]: F.col("doc_id").cast("long"), names[1]: t1, names[2]: t2})
