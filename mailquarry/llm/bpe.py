@@ -1,12 +1,18 @@
 """BPE encoding by content-defined chunks, and decoding.
 
 A rolling hash over the last 32 bytes cuts each text where its low bits are zero, so a passage that documents share falls
-into the same chunks wherever it stands. A chunk is encoded once in a worker and its ids are kept, in bounded memory. Encoded
-alone, the ends of two neighbouring chunks need not be what the whole text would give; at each join the window from the last
-point in the left chunk to the first in the right one at which chunk-wise and whole encoding must agree is encoded anew. Such
-a point is a space between a visible ASCII character and an ASCII letter: the pre-tokenizer of byte-level BPE starts a piece
-there whatever stands around, and no piece crosses it. Where a chunk has no such point the window grows over it, at worst to
-the whole text. So the ids are exactly those of the whole text, however it is cut.
+into the same chunks wherever it stands. Encoded alone, the ends of two neighbouring chunks need not be what the whole text
+would give; at each join the window from the last point in the left chunk to the first in the right one at which chunk-wise
+and whole encoding must agree is encoded anew, as a chunk of its own. Such a point is a space between a visible ASCII
+character and an ASCII letter: the pre-tokenizer of byte-level BPE starts a piece there whatever stands around, and no piece
+crosses it. Where a chunk has no such point the window grows over it, at worst to the whole text. So the ids are exactly
+those of the whole text, however it is cut.
+
+Chunks are shared by all documents of a corpus. A first scan counts their 128-bit hashes, combined in each task before they
+are shuffled; a bit map of fixed size tells which occur more than once. In a second scan chunks that do not are encoded where
+they stand; the others are gathered by hash, encoded once in the whole cluster, and their ids joined back. A text without
+such chunks is finished in the scan; equal texts are one, by a 128-bit hash. The map's false hits cost time only, and where it
+fills up more chunks travel.
 
 Chunks of characters below U+0250 without a special token go through a second implementation of the same merges, which is
 about three times as fast: on those characters the two read the pre-tokenizer's classes alike, which a test goes through. Any
@@ -21,19 +27,26 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import struct
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-from mailquarry.llm.common import table, utf8
+from mailquarry.llm.common import cut, table, utf8
 
 TOKENIZER = "byte_bpe_50k.json"
 #: A chunk has 2 ** CHUNK_BITS bytes on average.
 CHUNK_BITS = 11
-#: Chunk bytes whose ids a worker keeps.
-KEEP_BYTES = 48 << 20
+#: Bits of the map of shared chunks.
+MAP_BITS = 1 << 24
+#: Chunks, or texts, that a task remembers at a time.
+FLUSH = 1 << 17
 _GEAR = np.array([int.from_bytes(hashlib.sha256(b"gear %d" % i).digest()[:4], "little") for i in range(256)], np.uint32)
 
 
@@ -91,23 +104,22 @@ def segments(data: bytes, bits: int = CHUNK_BITS) -> list[tuple[int, int]]:
 
 
 class Codec:
-    """A tokenizer with the ids of the chunks it has seen."""
+    """A tokenizer with both implementations."""
 
-    def __init__(self, path: str, keep: int = KEEP_BYTES):
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.inner = Tokenizer.from_file(path)
         self.inner.no_truncation()
         self.inner.no_padding()
-        self.seen: dict[bytes, np.ndarray] = {}
-        self.keep, self.kept = keep, 0
         self.pieces, self.special, ordered = token_bytes(path)
         self.quick = _merger(self.pieces, self.special) if ordered else None
 
-    def _encode_new(self, chunks: list[bytes]) -> dict[bytes, np.ndarray]:
+    def encode_chunks(self, chunks: list[bytes]) -> dict[bytes, np.ndarray]:
+        """The ids of each different chunk, encoded alone."""
         out, rest = {}, []
-        for c in chunks:
+        for c in dict.fromkeys(chunks):
             text = c.decode()
             if self.quick and (text.isascii() or max(text) < "\u0250") and not any(s in c for s in self.special.values()):
                 out[c] = np.array(self.quick(text), "<u4")
@@ -117,17 +129,10 @@ class Codec:
         return out | {c: np.array(e.ids, "<u4") for (c, _), e in zip(rest, encoded)}
 
     def encode(self, texts: list[bytes], bits: int = CHUNK_BITS) -> list[np.ndarray]:
+        """The ids of whole texts, from their chunks."""
         cuts = [[t[a:b] for a, b in segments(t, bits)] for t in texts]
-        new = list(dict.fromkeys(c for cs in cuts for c in cs if c not in self.seen))
-        ids = self._encode_new(new)
-        empty = np.zeros(0, "<u4")
-        out = [np.concatenate([empty, *[self.seen[c] if c in self.seen else ids[c] for c in cs]]) for cs in cuts]
-        for c in new:
-            if self.kept > self.keep:
-                self.seen, self.kept = {}, 0
-            self.seen[c] = ids[c]
-            self.kept += len(c) + ids[c].nbytes + 200
-        return out
+        ids = self.encode_chunks([c for cs in cuts for c in cs])
+        return [np.concatenate([np.zeros(0, "<u4"), *map(ids.__getitem__, cs)]) for cs in cuts]
 
     def decode(self, ids: np.ndarray) -> str:
         return b"".join(map(self.pieces.__getitem__, ids.tolist())).decode("utf-8", "replace")
@@ -167,30 +172,146 @@ def _codec(path: str) -> Codec:
     return _CODECS[path]
 
 
-def _batches(texts: list[bytes], most: int = 4 << 20):
-    """The texts in runs of about `most` bytes."""
-    run, size = [], 0
-    for t in texts:
-        run.append(t)
-        size += len(t)
-        if size >= most:
-            yield run
-            run, size = [], 0
-    if run:
-        yield run
+def _hash(chunk: bytes) -> tuple[int, int]:
+    return struct.unpack("<qq", xxhash.xxh3_128_digest(chunk))
+
+
+def _bits_of(hashes: list[tuple[int, int]]) -> np.ndarray:
+    return np.array([c1 for c1, _ in hashes], np.int64).view(np.uint64) % np.uint64(MAP_BITS)
+
+
+def _counts(batches):
+    """(c1, c2, n): how often each chunk occurs in a part of the partition."""
+    seen: dict[tuple[int, int], int] = {}
+
+    def send():
+        c1, c2 = zip(*seen)
+        return pa.RecordBatch.from_arrays([pa.array(c1, pa.int64()), pa.array(c2, pa.int64()), pa.array(list(seen.values()), pa.int64())], ["c1", "c2", "n"])
+
+    for batch in batches:
+        for text in batch.column("t").to_pylist():
+            for a, b in segments(text):
+                c = _hash(text[a:b])
+                seen[c] = seen.get(c, 0) + 1
+        if len(seen) > FLUSH:
+            yield send()
+            seen = {}
+    if seen:
+        yield send()
+
+
+def _marks(batches):
+    """The words of the map that this partition's chunks set."""
+    words = np.zeros(MAP_BITS // 64, np.uint64)
+    for batch in batches:
+        bits = batch.column("c1").to_numpy().view(np.uint64) % np.uint64(MAP_BITS)
+        np.bitwise_or.at(words, (bits >> np.uint64(6)).astype(np.int64), np.uint64(1) << (bits & np.uint64(63)))
+    at = np.flatnonzero(words)
+    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(words[at].view(np.int64))], ["word", "bits"])
+
+
+def _shared(texts: DataFrame) -> np.ndarray:
+    """The map of chunks that occur more than once in texts (t)."""
+    again = texts.select("t").mapInArrow(_counts, "c1 long, c2 long, n long").groupBy("c1", "c2").agg(F.sum("n").alias("n")).where("n > 1")
+    found = again.select("c1").mapInArrow(_marks, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    words = np.zeros(MAP_BITS // 64, np.uint64)
+    words[found.column("word").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
+    return words
+
+
+WHOLE, OWN, SHARED, CHUNK = 0, 1, 2, 3
+_PIECES = "kind int, t1 long, t2 long, seq int, c1 long, c2 long, data binary"
+
+
+def _pieces(tokenizer: str, held, finish):
+    """Of each different text of a task: what is finished (WHOLE), or its own runs of ids (OWN) and what it takes from shared
+    chunks (SHARED); and each shared chunk's bytes (CHUNK)."""
+
+    def run(batches):
+        codec, pack, words = _codec(tokenizer_path(tokenizer)), zstandard.ZstdCompressor(level=1).compress, held.value
+        texts, chunks = set(), set()
+        for batch in batches:
+            rows, cuts = [], []
+            for t1, t2, text in zip(*(batch.column(c).to_pylist() for c in ("t1", "t2", "t"))):
+                if (t1, t2) not in texts:
+                    texts.add((t1, t2))
+                    cuts.append((t1, t2, [text[a:b] for a, b in segments(text)]))
+            hashes = {c: _hash(c) for _, _, cs in cuts for c in cs}
+            bits = _bits_of(list(hashes.values()))
+            on = words[(bits >> np.uint64(6)).astype(np.int64)] >> (bits & np.uint64(63)) & np.uint64(1) == 1
+            common = dict(zip(hashes, on.tolist()))
+            ids = codec.encode_chunks([c for c in hashes if not common[c]])
+            for t1, t2, cs in cuts:
+                if not any(map(common.__getitem__, cs)):
+                    rows.append((WHOLE, t1, t2, 0, None, None, finish(codec, np.concatenate([np.zeros(0, "<u4"), *map(ids.__getitem__, cs)]))))
+                    continue
+                for is_common, run_ in groupby(enumerate(cs), lambda x: common[x[1]]):
+                    run_ = list(run_)
+                    if not is_common:
+                        rows.append((OWN, t1, t2, run_[0][0], None, None, pack(np.concatenate([ids[c] for _, c in run_]).tobytes())))
+                    else:
+                        rows.extend((SHARED, t1, t2, i, *hashes[c], None) for i, c in run_)
+            for c, h in hashes.items():
+                if common[c] and h not in chunks:
+                    chunks.add(h)
+                    rows.append((CHUNK, None, None, None, *h, pack(c)))
+            if len(texts) > FLUSH or len(chunks) > FLUSH:
+                texts, chunks = set(), set()
+            if rows:
+                kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], [c.split()[0] for c in _PIECES.split(", ")])
+
+    return run
+
+
+def _chunk_ids(tokenizer: str):
+    def run(batches):
+        codec, pack, unpack = _codec(tokenizer_path(tokenizer)), zstandard.ZstdCompressor(level=1).compress, zstandard.ZstdDecompressor().decompress
+        for batch in batches:
+            chunks = [unpack(x) for x in batch.column("data").to_pylist()]
+            ids = codec.encode_chunks(chunks)
+            yield pa.RecordBatch.from_arrays([batch.column("c1"), batch.column("c2"), pa.array([pack(ids[c].tobytes()) for c in chunks], pa.binary())], ["c1", "c2", "ids"])
+
+    return run
+
+
+def _assembled(tokenizer: str, finish):
+    def run(batches):
+        codec, unpack = _codec(tokenizer_path(tokenizer)), zstandard.ZstdDecompressor().decompress
+        for batch in batches:
+            done = [finish(codec, np.frombuffer(b"".join([unpack(p["data"]) for p in parts]), "<u4")) for parts in batch.column("parts").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("t1"), batch.column("t2"), pa.array(done, pa.binary())], ["t1", "t2", "data"])
+
+    return run
+
+
+def _finished(docs: DataFrame, key: str, tokenizer: str, finish) -> DataFrame:
+    """(key, data) for each row of docs (key, text): what finish(codec, ids) makes of the ids of the text."""
+    t = utf8("text")
+    rows = docs.select(F.col(key).alias("k"), F.xxhash64(t).alias("t1"), F.xxhash64(F.lit("second"), t).alias("t2"), t.alias("t"))
+    held = docs.sparkSession.sparkContext.broadcast(_shared(rows))
+    pieces = cut(rows.select("t1", "t2", "t").mapInArrow(_pieces(tokenizer, held, finish), _PIECES), "pieces")
+    chunks = pieces.where(F.col("kind") == CHUNK).groupBy("c1", "c2").agg(F.any_value("data").alias("data"))
+    ids = chunks.mapInArrow(_chunk_ids(tokenizer), "c1 long, c2 long, ids binary")
+    place = ["t1", "t2", "seq"]
+    taken = pieces.where(F.col("kind") == SHARED).select(*place, "c1", "c2").distinct().join(ids, ["c1", "c2"]).select(*place, F.col("ids").alias("data"))
+    own = pieces.where(F.col("kind") == OWN).groupBy(*place).agg(F.any_value("data").alias("data"))
+    parts = own.union(taken).groupBy("t1", "t2").agg(F.array_sort(F.collect_list(F.struct("seq", "data"))).alias("parts"))
+    whole = pieces.where(F.col("kind") == WHOLE).groupBy("t1", "t2").agg(F.any_value("data").alias("data"))
+    every = whole.union(parts.mapInArrow(_assembled(tokenizer, finish), "t1 long, t2 long, data binary"))
+    return rows.select("k", "t1", "t2").join(every, ["t1", "t2"]).select(F.col("k").alias(key), "data")
 
 
 def encode_documents(docs: DataFrame, key: str = "doc_id", tokenizer: str = TOKENIZER) -> DataFrame:
     """(key, ids array<int>) for each row of docs (key, text)."""
 
-    def run(batches):
-        codec = _codec(tokenizer_path(tokenizer))
+    def unpack(batches):
         for batch in batches:
-            ids = [x for ts in _batches(batch.column("t").to_pylist()) for x in codec.encode(ts)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.astype(np.int32) for x in ids], pa.list_(pa.int32()))], [key, "ids"])
+            ids = [np.frombuffer(x, "<i4") for x in batch.column("data").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], [key, "ids"])
 
-    kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, utf8("text").alias("t")).mapInArrow(run, f"`{key}` {kind}, ids array<int>")
+    found = _finished(docs, key, tokenizer, lambda codec, ids: ids.tobytes())
+    return found.mapInArrow(unpack, StructType([found.schema[key], StructField("ids", ArrayType(IntegerType()))]))
 
 
 def decode_documents(encoded: DataFrame, key: str = "doc_id", tokenizer: str = TOKENIZER) -> DataFrame:
@@ -202,25 +323,20 @@ def decode_documents(encoded: DataFrame, key: str = "doc_id", tokenizer: str = T
             texts = [codec.decode(np.array(x or [], np.int64)) for x in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], [key, "text"])
 
-    kind = encoded.schema[key].dataType.simpleString()
-    return encoded.select(key, "ids").mapInArrow(run, f"`{key}` {kind}, text string")
+    rows = encoded.select(key, "ids")
+    return rows.mapInArrow(run, StructType([rows.schema[key], StructField("text", StringType())]))
 
 
-def digest_documents(docs: DataFrame, key: str = "doc_id", tokenizer: str = TOKENIZER) -> DataFrame:
-    """(key, n_tokens, ids_sha256, decoded_sha256): encoded, decoded from the ids, and hashed where the text is."""
+def _digest(codec: Codec, ids: np.ndarray) -> bytes:
+    """The number of ids, and SHA-256 of the ids and of the text decoded from them."""
+    return struct.pack(">q", len(ids)) + hashlib.sha256(ids.tobytes()).digest() + hashlib.sha256(codec.decode(ids).encode()).digest()
 
-    def run(batches):
-        codec = _codec(tokenizer_path(tokenizer))
-        for batch in batches:
-            rows = []
-            for texts in _batches(batch.column("t").to_pylist()):
-                for ids in codec.encode(texts):
-                    rows.append((len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(codec.decode(ids).encode()).hexdigest()))
-            n, a, b = zip(*rows) if rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], [key, "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, utf8("text").alias("t")).mapInArrow(run, f"`{key}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+
+def digest_documents(docs: DataFrame, key: str = "doc_id", tokenizer: str = TOKENIZER) -> DataFrame:
+    """(key, n_tokens, ids_sha256, decoded_sha256): encoded, decoded from the ids, and hashed where the ids are."""
+    found = _finished(docs, key, tokenizer, _digest)
+    number = F.conv(F.hex(F.substring("data", 1, 8)), 16, 10).cast("long")
+    return found.select(key, number.alias("n_tokens"), F.lower(F.hex(F.substring("data", 9, 32))).alias("ids_sha256"), F.lower(F.hex(F.substring("data", 41, 32))).alias("decoded_sha256"))
 
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -525,7 +525,7 @@ def test_bpe_against_the_library(spark, library):
 def test_bpe_cut_anywhere(library):
     import numpy as np
 
-    codec, rnd = bpe.Codec(bpe.tokenizer_path(), keep=10_000), random.Random(1)
+    codec, rnd = bpe.Codec(bpe.tokenizer_path()), random.Random(1)
     parts = ["a", "B", " ", "  ", "\n", "é", "ß", "'s", "<|endoftext|>", "1", "!", " ", "日本", "\t", "I'll ", "x y", "🙂", "́"]
     for k in range(1500):
         text = "".join(rnd.choice(parts) if k % 2 else chr(rnd.randint(0, 0x24F)) for _ in range(rnd.randint(0, 60)))
@@ -541,6 +541,32 @@ def test_both_implementations_read_characters_alike(library):
             assert quick(text) == library.encode(text, add_special_tokens=False).ids
 
 
+def test_documents_of_shared_chunks(spark, library):
+    rnd = random.Random(6)
+    word = lambda: "".join(rnd.choice("abcdefg é日!") for _ in range(rnd.randint(1, 9)))
+    passages = [" ".join(word() for _ in range(rnd.choice([5, 60, 900]))) for _ in range(8)]
+    rows = [(i % 50 if i % 7 else None, "".join(rnd.choice([*passages, word()]) for _ in range(rnd.randint(0, 5))) or None) for i in range(120)]
+    rows += [(900 + i, passages[0]) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    encode = lambda t: library.encode(t or "", add_special_tokens=False).ids
+    got = sorted((r.doc_id is None, r.doc_id or 0, tuple(r.ids)) for r in bpe.encode_documents(docs).collect())
+    assert got == sorted((d is None, d or 0, tuple(encode(t))) for d, t in rows)
+    packed = [b"".join(i.to_bytes(4, "little") for i in encode(t)) for _, t in rows]
+    want = sorted((len(x) // 4, hashlib.sha256(x).hexdigest()) for x in packed)
+    assert sorted((r.n_tokens, r.ids_sha256) for r in bpe.digest_documents(docs).collect()) == want
+
+
+def test_shared_chunks_are_encoded_once(spark):
+    passage = " ".join(f"w{i}" for i in range(3000))
+    docs = spark.createDataFrame([(i, f"{i} starts " + passage + f" ends {i}") for i in range(30)] + [(99, "of its own")], "doc_id long, text string").repartition(3)
+    rows = docs.select(F.xxhash64("text").alias("t1"), F.lit(0).cast("long").alias("t2"), common.utf8("text").alias("t"))
+    held = spark.sparkContext.broadcast(bpe._shared(rows))
+    pieces = rows.mapInArrow(bpe._pieces(bpe.TOKENIZER, held, lambda codec, ids: ids.tobytes()), bpe._PIECES).collect()
+    shared = {(r.c1, r.c2) for r in pieces if r.kind == bpe.SHARED}
+    assert shared == {(r.c1, r.c2) for r in pieces if r.kind == bpe.CHUNK} and len(shared) >= 3
+    assert sum(r.kind == bpe.SHARED for r in pieces) == 30 * len(shared) and [r.t1 for r in pieces if r.kind == bpe.WHOLE] == [r.t1 for r in rows.where("t = cast('of its own' as binary)").collect()]
+
+
 def test_encode_and_decode_documents(spark, edges):
     texts = {(r.doc_id, r.text or "") for r in edges.collect()}
     encoded = bpe.encode_documents(edges)
