@@ -38,11 +38,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-from mailquarry.llm.common import cut, table, utf8
+from mailquarry.llm.common import cut, release, table, utf8
 
 TOKENIZER = "byte_bpe_50k.json"
 #: A chunk has 2 ** CHUNK_BITS bytes on average.
 CHUNK_BITS = 11
+#: A chunk of fewer bytes, such as the window over a join, costs less to encode again than to fetch.
+LEAST = 256
 #: Bits of the map of shared chunks.
 MAP_BITS = 1 << 24
 #: Chunks, or texts, that a task remembers at a time.
@@ -191,8 +193,9 @@ def _counts(batches):
     for batch in batches:
         for text in batch.column("t").to_pylist():
             for a, b in segments(text):
-                c = _hash(text[a:b])
-                seen[c] = seen.get(c, 0) + 1
+                if b - a >= LEAST:
+                    c = _hash(text[a:b])
+                    seen[c] = seen.get(c, 0) + 1
         if len(seen) > FLUSH:
             yield send()
             seen = {}
@@ -236,23 +239,24 @@ def _pieces(tokenizer: str, held, finish):
                 if (t1, t2) not in texts:
                     texts.add((t1, t2))
                     cuts.append((t1, t2, [text[a:b] for a, b in segments(text)]))
-            hashes = {c: _hash(c) for _, _, cs in cuts for c in cs}
+            known = list(dict.fromkeys(c for _, _, cs in cuts for c in cs))
+            hashes = {c: _hash(c) for c in known if len(c) >= LEAST}
             bits = _bits_of(list(hashes.values()))
             on = words[(bits >> np.uint64(6)).astype(np.int64)] >> (bits & np.uint64(63)) & np.uint64(1) == 1
-            common = dict(zip(hashes, on.tolist()))
-            ids = codec.encode_chunks([c for c in hashes if not common[c]])
+            common = {c for c, x in zip(hashes, on.tolist()) if x}
+            ids = codec.encode_chunks([c for c in known if c not in common])
             for t1, t2, cs in cuts:
-                if not any(map(common.__getitem__, cs)):
+                if common.isdisjoint(cs):
                     rows.append((WHOLE, t1, t2, 0, None, None, finish(codec, np.concatenate([np.zeros(0, "<u4"), *map(ids.__getitem__, cs)]))))
                     continue
-                for is_common, run_ in groupby(enumerate(cs), lambda x: common[x[1]]):
+                for is_common, run_ in groupby(enumerate(cs), lambda x: x[1] in common):
                     run_ = list(run_)
                     if not is_common:
                         rows.append((OWN, t1, t2, run_[0][0], None, None, pack(np.concatenate([ids[c] for _, c in run_]).tobytes())))
                     else:
                         rows.extend((SHARED, t1, t2, i, *hashes[c], None) for i, c in run_)
             for c, h in hashes.items():
-                if common[c] and h not in chunks:
+                if c in common and h not in chunks:
                     chunks.add(h)
                     rows.append((CHUNK, None, None, None, *h, pack(c)))
             if len(texts) > FLUSH or len(chunks) > FLUSH:
@@ -291,12 +295,15 @@ def _finished(docs: DataFrame, key: str, tokenizer: str, finish) -> DataFrame:
     rows = docs.select(F.col(key).alias("k"), F.xxhash64(t).alias("t1"), F.xxhash64(F.lit("second"), t).alias("t2"), t.alias("t"))
     held = docs.sparkSession.sparkContext.broadcast(_shared(rows))
     pieces = cut(rows.select("t1", "t2", "t").mapInArrow(_pieces(tokenizer, held, finish), _PIECES), "pieces")
+    release(docs.sparkSession)
     chunks = pieces.where(F.col("kind") == CHUNK).groupBy("c1", "c2").agg(F.any_value("data").alias("data"))
     ids = chunks.mapInArrow(_chunk_ids(tokenizer), "c1 long, c2 long, ids binary")
     place = ["t1", "t2", "seq"]
-    taken = pieces.where(F.col("kind") == SHARED).select(*place, "c1", "c2").distinct().join(ids, ["c1", "c2"]).select(*place, F.col("ids").alias("data"))
-    own = pieces.where(F.col("kind") == OWN).groupBy(*place).agg(F.any_value("data").alias("data"))
-    parts = own.union(taken).groupBy("t1", "t2").agg(F.array_sort(F.collect_list(F.struct("seq", "data"))).alias("parts"))
+    taken = pieces.where(F.col("kind") == SHARED).select(*place, "c1", "c2").join(ids, ["c1", "c2"]).select(*place, F.col("ids").alias("data"))
+    own = pieces.where(F.col("kind") == OWN).select(*place, "data")
+    # each task sends a text's pieces once; what several tasks send is one again before a text's list is made, in one shuffle
+    once = own.union(taken).repartition("t1", "t2").groupBy(*place).agg(F.any_value("data").alias("data"))
+    parts = once.groupBy("t1", "t2").agg(F.array_sort(F.collect_list(F.struct("seq", "data"))).alias("parts"))
     whole = pieces.where(F.col("kind") == WHOLE).groupBy("t1", "t2").agg(F.any_value("data").alias("data"))
     every = whole.union(parts.mapInArrow(_assembled(tokenizer, finish), "t1 long, t2 long, data binary"))
     return rows.select("k", "t1", "t2").join(every, ["t1", "t2"]).select(F.col("k").alias(key), "data")
