@@ -96,6 +96,20 @@ def handles(messages: DataFrame, thread: str, position: str) -> DataFrame:
     return messages.withColumn("_p", place).join(starts, thread).withColumn("handle", F.concat(F.lit("e"), (F.col("_start") + F.col("_p")).cast("string"))).drop("_p", "_start")
 
 
+def numbered(df: DataFrame, order: list, block: Column, out: str, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Column out: 1, 2, ... within keys in the given order. Rows are numbered in blocks, and a block starts where the counts of
+    those before it end: block must not fall as the order goes on, so that no key's rows meet in one task."""
+    b = df.withColumn("_b", block)
+    counts = b.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_n"))
+    w = Window.partitionBy(*keys).orderBy("_b") if keys else Window.orderBy("_b")
+    starts = counts.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_b").alias("_kb"), (F.sum("_n").over(w) - F.col("_n")).alias("_start"))
+    on = F.col("_b").eqNullSafe(F.col("_kb"))
+    for i, k in enumerate(keys):
+        on = on & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    nth = F.row_number().over(Window.partitionBy(*keys, "_b").orderBy(*order))
+    return b.withColumn("_r", nth).join(starts, on).withColumn(out, F.col("_start") + F.col("_r")).drop("_b", "_kb", "_r", "_start", *[f"_k{i}" for i in range(len(keys))])
+
+
 def proper_subsets(n: int) -> Column:
     """Masks of all nonempty proper subsets of n things."""
     return F.sequence(F.lit(1), F.lit((1 << n) - 2))

@@ -11,7 +11,7 @@ from mailquarry.operators import mailbox as X
 from mailquarry.operators import models
 from mailquarry.operators import retrieval as S
 from mailquarry.plans.evaluation import _LOG, _log
-from mailquarry.plans.search import _Q, _SCORES, _SPACE, _TOKENS, _TOP, _token_sets, read
+from mailquarry.plans.search import _Q, _SCORES, _SPACE, _TOKENS, _TOP, _token_sets, planted, planted_sql, read, spread
 from mailquarry.sources import mail
 
 QUERIES: dict = {}
@@ -280,30 +280,14 @@ def answer_projection(spark, d):
 # ---- labels in whole texts
 
 _PEOPLE = {"Person A": "Ada Reed", "Person B": "Bo Ek", "Person C": "Cy Dahl"}
-_LABELS = [("a ", "Person A ", "Ada Reed "), ("e ", "person_b ", "Bo Ek "), ("n ", "PersonC@x.example ", "cy.dahl@x.example "), ("s ", "Plan A's ", "Plan A's "), ("t ", "A's ", "Ada Reed's ")]
+_LABELS = [("Person A ", "Ada Reed "), ("person_b ", "Bo Ek "), ("PersonC@x.example ", "cy.dahl@x.example "), ("Plan A's ", "Plan A's "), ("A's ", "Ada Reed's ")]
 
 
-def _planted(c, k):
-    """Labels behind commas and full stops of whole texts: what they are, or (k = 2) what they become."""
-    for i, mark in enumerate((". ", ", ")):
-        label = F.element_at(F.array(*[F.lit(x[k]) for x in _LABELS]), ((F.col("doc_id") + i) % len(_LABELS) + 1).cast("int"))
-        c = F.replace(c, F.lit(mark), F.concat(F.lit(mark), label))
-    return c
-
-
-def _planted_sql(k):
-    out = "text"
-    for i, mark in enumerate((". ", ", ")):
-        names = ", ".join("'" + x[k].replace("'", "''") + "'" for x in _LABELS)
-        out = f"replace({out}, '{mark}', '{mark}' || [{names}][(doc_id + {i}) % {len(_LABELS)} + 1])"
-    return out
-
-
-@query(f"SELECT doc_id, {_planted_sql(2)} AS text FROM documents")
+@query(f"SELECT doc_id, {planted_sql(_LABELS, 1)} AS text FROM documents")
 def reground_texts(spark, d):
     """Whole texts with labels planted in them, and names put in their places."""
     docs = read(spark, d, "documents")
-    return docs.select("doc_id", T.reground(_planted(F.col("text"), 1), _PEOPLE).alias("text"))
+    return docs.select("doc_id", T.reground(planted(_LABELS, 0), _PEOPLE).alias("text"))
 
 
 @query(f"""SELECT conv_id, list(CASE WHEN turn % 2 = 0 THEN 'Ada Reed' ELSE 'Bo Ek' END ORDER BY turn)[1] AS first_from, string_agg('Ada: ' || coalesce(text, ''), chr(10) ORDER BY turn) AS bodies FROM conversations GROUP BY conv_id""")
@@ -316,9 +300,30 @@ def reground_records(spark, d):
     return g.select("conv_id", F.element_at("m", 1)["sender"].alias("first_from"), F.array_join(F.transform("m", lambda m: m["body"]), "\n").alias("bodies"))
 
 
-@query(f"SELECT doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all({_planted_sql(1)}, '\\bPerson [A-J]\\b'))), ',') AS labels FROM documents")
+@query(f"SELECT doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all({planted_sql(_LABELS, 0)}, '\\bPerson [A-J]\\b'))), ',') AS labels FROM documents")
 def label_roster(spark, d):
-    return read(spark, d, "documents").select("doc_id", F.array_join(T.labels_in(_planted(F.col("text"), 1)), ",").alias("labels"))
+    return read(spark, d, "documents").select("doc_id", F.array_join(T.labels_in(planted(_LABELS, 0)), ",").alias("labels"))
+
+
+@query(f"SELECT doc_id, CAST(len(regexp_extract_all(replace({planted_sql(_LABELS, 0)}, 'Plan A''s', ''), '\\bA''s\\b')) AS INT) AS before, 0 AS after FROM documents")
+def label_leaks(spark, d):
+    """Bare labels in a person's place, before and after regrounding."""
+    said = planted(_LABELS, 0)
+    return read(spark, d, "documents").select("doc_id", F.size(T.labels_left(said)).alias("before"), F.size(T.labels_left(T.reground(said, _PEOPLE))).alias("after"))
+
+
+@query(f"""WITH q AS (SELECT doc_id AS doc, {_TOKENS} AS tokens FROM documents), e AS (SELECT doc, len(tokens) AS dl, unnest(tokens) AS term FROM q), tf AS (SELECT doc, dl, term, count(*) AS c FROM e GROUP BY ALL),
+df AS (SELECT term, count(*) AS n FROM tf GROUP BY term HAVING count(*) >= 2), x AS (SELECT doc, term, c::DOUBLE / dl * ln((SELECT count(*) FROM q)::DOUBLE / n) AS x FROM tf JOIN df USING (term)),
+nn AS (SELECT doc, sqrt(sum(x * x)) + 1e-9 AS norm FROM x GROUP BY doc), w AS (SELECT doc, term, x / norm AS w FROM x JOIN nn USING (doc)),
+s AS (SELECT a.doc AS qid, b.doc, sum(a.w * b.w) AS cosine FROM w a JOIN w b USING (term) WHERE a.doc % 50 = 0 AND a.doc <> b.doc GROUP BY ALL)
+SELECT qid, doc, round(cosine, 6) AS cosine FROM s QUALIFY row_number() OVER (PARTITION BY qid ORDER BY round(cosine, 9) DESC, doc) <= 5""")
+def tfidf_nearest(spark, d):
+    """The five documents of the highest cosine with each whose id 50 divides."""
+    rows = spread(read(spark, d, "documents").select("doc_id", "text")).select(F.col("doc_id").alias("doc"), T.tokenize("text").alias("tokens"))
+    w = S.tfidf(rows)
+    asks = w.where("doc % 50 = 0").select(F.col("doc").alias("qid"), "term", F.col("w").alias("q"))
+    scores = asks.join(w, "term").where("qid <> doc").groupBy("qid", "doc").agg(F.sum(F.col("q") * F.col("w")).alias("score"))
+    return S.top_k(scores, 5).select("qid", "doc", F.round("score", 6).alias("cosine"))
 
 
 # ---- evaluation rows

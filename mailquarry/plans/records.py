@@ -17,7 +17,7 @@ from mailquarry.operators import models
 from mailquarry.operators import records as R
 from mailquarry.plans.evaluation import _LOG, _ROWS, _log, _rows
 from mailquarry.plans.search import ORACLE_SQL as _SEARCH
-from mailquarry.plans.search import read
+from mailquarry.plans.search import planted, planted_sql, read
 from mailquarry.sources import mail
 from mailquarry.streaming import sessions
 
@@ -53,28 +53,32 @@ def ascii_fold(spark, d):
     return read(spark, d, "documents").select("doc_id", U.to_ascii(said).alias("folded"))
 
 
-@query("SELECT event_id, '{\"k\": ' || json_extract_string(props, '$.k') || '}' AS found FROM events")
+@query("""SELECT doc_id, '{"doc_id": ' || doc_id || ', "source": "' || source || '"}' AS found FROM documents""")
 def json_in_prose(spark, d):
-    said = F.concat(F.lit("Well {not json} then "), F.col("props"), F.lit(" and {more}"))
-    return read(spark, d, "events").select("event_id", U.extract_json(said).alias("found"))
+    """The object in whole texts, behind braces that are none."""
+    said = F.concat("text", F.lit(" {not json} {"), F.to_json(F.struct("source", "doc_id")), F.lit(" and {more}"))
+    return read(spark, d, "documents").select("doc_id", U.extract_json(said).alias("found"))
 
 
-@query("""SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'READ' WHEN 1 THEN 'ANSWER' WHEN 2 THEN 'READ' END AS tool,
-CASE event_id % 4 WHEN 0 THEN 'e' || user_id WHEN 1 THEN '{"found": true}' WHEN 2 THEN 'e5' END AS arg FROM events""")
+@query("""SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'READ' WHEN 1 THEN 'ANSWER' WHEN 2 THEN 'READ' END AS tool,
+CASE doc_id % 4 WHEN 0 THEN 'e' || doc_id WHEN 1 THEN trim('{"found": true} ' || text, ' ') WHEN 2 THEN 'e5' END AS arg FROM documents""")
 def parse_step(spark, d):
-    k = F.col("event_id") % 4
-    said = F.when(k == 0, F.concat(F.lit("THOUGHT: x\nACTION: READ e"), F.col("user_id").cast("string"), F.lit(" \nmore"))).when(k == 1, F.lit('ACTION: ANSWER {"found": true}')).when(k == 2, F.lit("ACTION: ANSWER READ e5")).otherwise(F.lit("nothing"))
+    """Steps whose thoughts are whole texts."""
+    k, text = F.col("doc_id") % 4, F.col("text")
+    said = F.when(k == 0, F.concat(F.lit("THOUGHT: "), text, F.lit("\nACTION: READ e"), F.col("doc_id").cast("string"), F.lit(" \nmore"))).when(k == 1, F.concat(F.lit('ACTION: ANSWER {"found": true} '), text))
+    said = said.when(k == 2, F.concat(text, F.lit("\nACTION: ANSWER READ e5"))).otherwise(text)
     tool, arg = P.step("said")
-    return read(spark, d, "events").select("event_id", said.alias("said")).select("event_id", tool.alias("tool"), arg.alias("arg"))
+    return read(spark, d, "documents").select("doc_id", said.alias("said")).select("doc_id", tool.alias("tool"), arg.alias("arg"))
 
 
-@query("SELECT event_id, user_id % 2 = 0 AS found, CASE WHEN event_id % 3 = 0 THEN 's' || event_id ELSE '' END AS secret, '<a@b>,<c@d>' AS ids FROM events")
+@query("SELECT doc_id, doc_id % 2 = 0 AS found, CASE WHEN doc_id % 3 = 0 THEN trim(text, ' ') ELSE '' END AS secret, '<a@b>,<c@d>' AS ids FROM documents")
 def parse_solve(spark, d):
-    k = F.when(F.col("user_id") % 2 == 0, "true").otherwise("false")
-    good = F.concat(F.lit('{"found": '), k, F.lit(', "secret": " s'), F.col("event_id").cast("string"), F.lit(' ", "evidence_email_ids": ["<a@b>", "<c@d>", "<a@b>"]}'))
-    raw = F.when(F.col("event_id") % 3 == 0, good).otherwise(F.concat(F.lit("Found: "), k, F.lit(" by <a@b> and <c@d>, <a@b>")))
-    said = read(spark, d, "events").select("event_id", raw.alias("raw")).withColumn("json", F.when(F.try_parse_json("raw").isNotNull(), F.col("raw")))
-    return said.select("event_id", *P.solution(F.col("json"), F.col("raw"))).select("event_id", "found", "secret", F.array_join("evidence_ids", ",").alias("ids"))
+    """Answers of whole texts, as JSON or in prose."""
+    yes, text = F.col("doc_id") % 2 == 0, F.col("text")
+    good = F.to_json(F.struct(yes.alias("found"), text.alias("secret"), F.array(F.lit("<a@b>"), F.lit("<c@d>"), F.lit("<a@b>")).alias("evidence_email_ids")))
+    prose = F.concat(text, F.lit(" Found: "), yes.cast("string"), F.lit(" by <a@b> and <c@d>, <a@b>"))
+    said = read(spark, d, "documents").select("doc_id", F.when(F.col("doc_id") % 3 == 0, good).otherwise(prose).alias("raw")).withColumn("json", F.when(F.try_parse_json("raw").isNotNull(), F.col("raw")))
+    return said.select("doc_id", *P.solution(F.col("json"), F.col("raw"))).select("doc_id", "found", "secret", F.array_join("evidence_ids", ",").alias("ids"))
 
 
 @query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN trim(text, chr(10) || ' ') ELSE 'kept' END AS said FROM documents")
@@ -206,10 +210,13 @@ def deferred_final(spark, d):
 
 
 
-@query("SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'Audit.pdf' WHEN 1 THEN 'Med_Oct.pdf' WHEN 2 THEN 'Status_x' ELSE 'PersonCx' END AS name FROM part")
+_FILES = [("Audit_H.pdf ", "Audit.pdf "), ("Med_PersonC_Oct.pdf ", "Med_Oct.pdf "), ("H_Status__x ", "Status_x "), ("PersonCx ", "PersonCx ")]
+
+
+@query(f"SELECT doc_id, {planted_sql(_FILES, 1, text="regexp_replace(text, '[_-]{2,}', '_', 'g')")} AS text FROM documents")
 def scrub_labels(spark, d):
-    given = F.element_at(F.array(*map(F.lit, ["Audit_H.pdf", "Med_PersonC_Oct.pdf", "H_Status__x", "PersonCx"])), (F.col("p_partkey") % 4 + 1).cast("int"))
-    return read(spark, d, "part").select("p_partkey", T.scrub_labels(given).alias("name"))
+    """Whole texts with names of files planted in them, without labels."""
+    return read(spark, d, "documents").select("doc_id", T.scrub_labels(planted(_FILES, 0)).alias("text"))
 
 
 @query("SELECT conv_id, turn, array_to_string(list_filter(['The', 'Onth', 'Is'], lambda n: regexp_matches(text, '(^|[^A-Za-z0-9])' || n || '([^A-Za-z0-9]|$)')), ',') AS leaks FROM conversations")

@@ -40,6 +40,22 @@ _TOKENS = f"list_filter({_WORDS}, lambda x: x NOT IN ({_STOP}))"
 _SPACE = "regexp_replace({}, '[ \\t\\r\\n\\f]+', ' ', 'g')"
 
 
+def planted(labels, k, marks=(". ", ", ")):
+    """Whole texts with labels behind their full stops and commas: what is planted (k = 0), or what becomes of it (k = 1)."""
+    c = F.col("text")
+    for i, mark in enumerate(marks):
+        label = F.element_at(F.array(*[F.lit(x[k]) for x in labels]), ((F.col("doc_id") + i) % len(labels) + 1).cast("int"))
+        c = F.replace(c, F.lit(mark), F.concat(F.lit(mark), label))
+    return c
+
+
+def planted_sql(labels, k, marks=(". ", ", "), text="text"):
+    for i, mark in enumerate(marks):
+        names = ", ".join("'" + x[k].replace("'", "''") + "'" for x in labels)
+        text = f"replace({text}, '{mark}', '{mark}' || [{names}][(doc_id + {i}) % {len(labels)} + 1])"
+    return text
+
+
 def _docs(spark, d):
     return spread(read(spark, d, "documents").select("doc_id", "text")).select(F.col("doc_id").alias("doc"), T.tokenize("text").alias("tokens"))
 
@@ -196,10 +212,22 @@ def clean_prose_filter(spark, d):
     return read(spark, d, "documents").where(T.is_clean_prose("text")).select("doc_id")
 
 
-@query(f"""SELECT c.c_custkey, a.line FROM customer c JOIN (SELECT k, line FROM (VALUES (0, 'Thanks, noted.'), (2, 'Thank you')) v(k, line)) a ON c.c_custkey % 5 = a.k""")
+_ACKS = "WITH s AS (SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'Thank you' || chr(10) || 'Ada Reed' WHEN 1 THEN 'Thanks, noted. ' || text WHEN 2 THEN 'Got it ' || chr(10) || chr(10) || substr(text, 1, 30) WHEN 3 THEN chr(9) || 'Received and   filed.' || chr(13) || chr(10) || upper(substr(source, 1, 1)) || lower(substr(source, 2)) WHEN 4 THEN 'Noted noted, noted' ELSE text END AS said FROM documents), "
+_ACKS += "l AS (SELECT doc_id, list_filter(list_transform(string_split(coalesce(said, ''), chr(10)), lambda x: trim(regexp_replace(x, '[\\t\\r\\f]', ' ', 'g'))), lambda x: x <> '') AS lines FROM s), "
+_ACKS += f"k AS (SELECT doc_id, CASE WHEN len(lines) >= 2 AND regexp_matches(lines[-1], '{T.BARE_NAME}') AND NOT regexp_matches(lines[-1], '{T.RECEIPT_START}') THEN lines[1:len(lines) - 1] ELSE lines END AS kept FROM l), "
+_ACKS += "n AS (SELECT doc_id, len(kept) AS n, trim(regexp_replace(array_to_string(kept, ' '), '[ \\t]{2,}', ' ', 'g')) AS line FROM k), w AS (SELECT *, regexp_extract_all(lower(line), '[a-z]+') AS words FROM n) "
+_ACKS += f"SELECT doc_id, line FROM w WHERE n BETWEEN 1 AND 2 AND regexp_matches(line, '{T.RECEIPT_START}') AND NOT regexp_matches(line, '{T.RECEIPT_DROP}') AND NOT regexp_matches(line, '(?i)http|@|www\\.') AND NOT regexp_matches(line, '[0-9]') AND length(line) BETWEEN 6 AND 40 "
+_ACKS += f"AND len(words) > 0 AND len(list_filter(words, lambda x: x NOT IN ({', '.join(repr(x) for x in sorted(set(T.RECEIPT_WORDS)))}))) = 0 AND len(list_filter(words, lambda x: len(list_filter(words, lambda y: y = x)) >= 3)) = 0"
+
+
+@query(_ACKS)
 def ack_mining(spark, d):
-    said = F.element_at(F.array(F.lit("Thanks, noted."), F.lit("Got Zed"), F.lit("Thank you\nAda Reed"), F.lit("Thanks 4 that"), F.lit("thanks thanks thanks")), (F.col("c_custkey") % 5 + 1).cast("int"))
-    return read(spark, d, "customer").select("c_custkey", T.receipt(said).alias("line")).where("line is not null")
+    """Receipts among whole bodies: real texts, some behind a receipt's start, and some receipts."""
+    k, text = F.col("doc_id") % 6, F.col("text")
+    signed = F.concat(F.upper(F.substring("source", 1, 1)), F.lower(F.substring("source", 2, 1 << 20)))
+    said = F.when(k == 0, "Thank you\nAda Reed").when(k == 1, F.concat(F.lit("Thanks, noted. "), text)).when(k == 2, F.concat(F.lit("Got it \n\n"), F.substring(text, 1, 30)))
+    said = said.when(k == 3, F.concat(F.lit("\tReceived and   filed.\r\n"), signed)).when(k == 4, "Noted noted, noted").otherwise(text)
+    return read(spark, d, "documents").select("doc_id", T.receipt(said).alias("line")).where("line is not null")
 
 
 @query("SELECT n_nationkey, 'Dear ' || n_name || ' of ' || r_name || ', ' || n_name || '.' AS body FROM nation JOIN region ON n_regionkey = r_regionkey")
@@ -208,11 +236,13 @@ def template_fill(spark, d):
     return n.select("n_nationkey", T.fill(F.lit("Dear <<WHO>>, <<NAME>>."), {"WHO": F.concat(F.lit("<<NAME>> of "), "r_name"), "NAME": F.col("n_name")}).alias("body"))
 
 
-@query("""SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'Person A met Cara' WHEN 1 THEN 'Ada Stone met Person B' WHEN 2 THEN 'Person A, Person A Person B' ELSE 'Old Reed and Person A' END AS body FROM customer""")
+_NAMED = [("Quilla Vorst met ", "Person A met "), ("Quilla Stone met Jyx then ", "Quilla Stone met Person B then "), ("Quilla, Vorst Jyx Zwick said ", "Person A, Person A Person B said "), ("Old Vorst and Vorst went ", "Old Vorst and Person A went ")]
+
+
+@query(f"SELECT doc_id, {planted_sql(_NAMED, 1)} AS body FROM documents")
 def relabel_lookahead(spark, d):
-    said = F.element_at(F.array(*map(F.lit, ["Ada Reed met Cara", "Ada Stone met Bo", "Ada, Reed Bo Lund", "Old Reed and Reed"])), (F.col("c_custkey") % 4 + 1).cast("int"))
-    want = T.relabel(said, [("Ada Reed", "Person A"), ("Bo Lund", "Person B")])
-    return read(spark, d, "customer").select("c_custkey", want.alias("body"))
+    """Whole texts with names planted in them, and labels put in their places."""
+    return read(spark, d, "documents").select("doc_id", T.relabel(planted(_NAMED, 0), [("Quilla Vorst", "Person A"), ("Jyx Zwick", "Person B")]).alias("body"))
 
 
 # ---- records
@@ -285,11 +315,10 @@ def hash_sample_haystack(spark, d):
 @query("""WITH a AS (SELECT item_id, row_number() OVER (ORDER BY item_id) AS k FROM benchmark), b AS (SELECT doc_id, row_number() OVER (ORDER BY sha256('7:' || doc_id), doc_id) AS k FROM documents)
 SELECT item_id, doc_id AS borrowed FROM a JOIN b USING (k)""")
 def borrow_ids(spark, d):
-    items = read(spark, d, "benchmark").select("item_id").withColumn("k", F.row_number().over(Window.orderBy("item_id")))
-    n = items.count()
-    pool = R.sample(read(spark, d, "documents").select("doc_id"), "doc_id", max(n, 1), 7)
-    ranked = pool.withColumn("k", F.row_number().over(Window.orderBy(R.hash_order(F.col("doc_id"), 7), "doc_id")))
-    return items.join(ranked, "k").select("item_id", F.col("doc_id").alias("borrowed"))
+    items = R.numbered(read(spark, d, "benchmark").select("item_id"), ["item_id"], F.floor(F.col("item_id") / 65536), "k")
+    pool = read(spark, d, "documents").select(F.col("doc_id").alias("borrowed")).withColumn("h", R.hash_order(F.col("borrowed"), 7))
+    pool = R.numbered(pool, ["h", "borrowed"], F.substring("h", 1, 3), "k")
+    return items.join(pool, "k").select("item_id", "borrowed")
 
 
 @query("SELECT conv_id, turn, 'e' || row_number() OVER (ORDER BY conv_id, turn) AS handle FROM conversations")
@@ -322,8 +351,9 @@ def segment_pages(spark, d):
 @query("""WITH o AS (SELECT doc_id, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS n, count(*) OVER (PARTITION BY lang) AS total, lang FROM documents)
 SELECT lang, doc_id FROM o WHERE (n - 1) % greatest(1, total // 25) = 0 AND (n - 1) // greatest(1, total // 25) < 25""")
 def stride_sample(spark, d):
-    w = Window.partitionBy("lang")
-    o = read(spark, d, "documents").select("lang", "doc_id").withColumn("n", F.row_number().over(w.orderBy("doc_id")) - 1).withColumn("step", F.greatest(F.lit(1), F.floor(F.count(F.lit(1)).over(w) / 25)))
+    o = R.numbered(read(spark, d, "documents").select("lang", "doc_id"), ["doc_id"], F.floor(F.col("doc_id") / 65536), "n", ("lang",))
+    total = o.groupBy(F.col("lang").alias("of")).agg(F.greatest(F.lit(1), F.floor(F.count(F.lit(1)) / 25)).alias("step"))
+    o = o.join(total, F.col("lang").eqNullSafe(F.col("of"))).withColumn("n", F.col("n") - 1)
     return o.where("n % step = 0 and floor(n / step) < 25").select("lang", "doc_id")
 
 
@@ -336,8 +366,8 @@ def balanced_quota(spark, d):
 @query("WITH o AS (SELECT item_id, row_number() OVER (ORDER BY item_id) - 1 AS n, count(*) OVER () AS total FROM benchmark) SELECT item_id, 0 AS control FROM benchmark UNION ALL SELECT item_id, 1 FROM o WHERE n % greatest(1, total // 10) = 0 AND n // greatest(1, total // 10) < 10")
 def paired_controls(spark, d):
     b = read(spark, d, "benchmark").select("item_id")
-    step = F.greatest(F.lit(1), F.floor(F.count(F.lit(1)).over(Window.partitionBy()) / 10))
-    o = b.withColumn("n", F.row_number().over(Window.orderBy("item_id")) - 1).withColumn("step", step).where("n % step = 0 and floor(n / step) < 10")
+    step = b.agg(F.greatest(F.lit(1), F.floor(F.count(F.lit(1)) / 10)).alias("step"))
+    o = R.numbered(b, ["item_id"], F.floor(F.col("item_id") / 65536), "n").withColumn("n", F.col("n") - 1).crossJoin(F.broadcast(step)).where("n % step = 0 and floor(n / step) < 10")
     return b.withColumn("control", F.lit(0)).union(o.select("item_id", F.lit(1)))
 
 
