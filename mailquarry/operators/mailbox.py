@@ -125,3 +125,27 @@ def full_haystack(clues: DataFrame, corpus: DataFrame, cluster: DataFrame, exclu
     first = F.min("date").over(Window.partitionBy("case", "thread"))
     place = F.row_number().over(Window.partitionBy("case").orderBy("first", "thread", "position"))
     return both.withColumn("first", first).withColumn("place", place).select("case", "place", "thread", "position", "message_id", "in_reply_to", "clue")
+
+
+def event_cluster(anchors: DataFrame, related: DataFrame, corpus: DataFrame) -> DataFrame:
+    """(case, thread): the threads that tell of a case: its anchor's own and those of related messages. anchors and related
+    (case, id), corpus (thread, id)."""
+    return anchors.select("case", "id").union(related.select("case", "id")).join(corpus.select("thread", "id"), "id").select("case", "thread").distinct()
+
+
+def realized(text: Column, marks: list[str], bank: list[str], key: Column) -> Column:
+    """The text with each mark by an entry of the bank, chosen by a hash of key and mark, that any engine repeats."""
+    for m in marks:
+        at = F.conv(F.substring(F.sha2(F.concat_ws(":", key.cast("string"), F.lit(m)), 256), 1, 7), 16, 10).cast("int") % len(bank) + 1
+        text = F.replace(text, F.lit(m), F.element_at(F.array(*map(F.lit, bank)), at))
+    return text
+
+
+def dump(messages: DataFrame, group: str, position: str, shown: Column, most: int) -> DataFrame:
+    """(group, text): each group's messages in order, cut at `most` characters. Messages behind the cut are dropped before any
+    list is made, by running sums."""
+    w = Window.partitionBy(group).orderBy(position).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    m = messages.select(group, position, shown.alias("_s")).withColumn("_upto", F.sum(F.length("_s") + 2).over(w))
+    kept = m.where(F.col("_upto") - F.length("_s") - 4 < most)  # the blank line before it may still show
+    g = kept.groupBy(group).agg(F.array_sort(F.collect_list(F.struct(position, "_s"))).alias("m"))
+    return g.select(group, F.substring(F.array_join(F.transform("m", lambda x: x["_s"]), "\n\n"), 1, most).alias("text"))

@@ -213,6 +213,35 @@ def haystack_full(spark, d):
     return X.full_haystack(clues, c, cluster, c.where("thread % 17 = 0").select("thread"), 20, 11)
 
 
+@query(f"""WITH {_Q}{_MAIL_SCORES}, t AS (SELECT *, max(score) OVER (PARTITION BY qid) AS best, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, doc) AS rank FROM s WHERE score > 0),
+r AS (SELECT qid AS "case", doc AS id FROM t WHERE rank <= 20 AND score >= 2 AND score >= 0.15 * best UNION SELECT item_id, item_id * 5 FROM benchmark)
+SELECT DISTINCT "case", conv_id AS thread FROM r JOIN conversations ON conv_id * 8 + turn = id""")
+def event_clusters(spark, d):
+    """The threads to leave out of a case's archive: the anchor's, and those much like what is asked."""
+    b = read(spark, d, "benchmark")
+    c = read(spark, d, "conversations").select(F.col("conv_id").alias("thread"), (F.col("conv_id") * 8 + F.col("turn")).alias("id"), T.tokenize("text").alias("tokens"))
+    scores = S.bm25_scores(c.withColumnRenamed("id", "doc"), b.select(F.col("item_id").alias("qid"), T.tokenize("text").alias("tokens")))
+    near = S.related(scores).select(F.col("qid").alias("case"), F.col("doc").alias("id"))
+    return X.event_cluster(b.select(F.col("item_id").alias("case"), (F.col("item_id") * 5).alias("id")), near, c)
+
+
+_BANK = ["Q3_plan.xls", "memo.doc", "notes.txt"]
+
+
+@query(f"""SELECT doc_id, replace(replace(text, '. ', '. ' || ({_BANK})[('0x' || substr(sha256(doc_id || ':<<F1>>'), 1, 7))::INT % 3 + 1] || ' '), ', ', ', ' || ({_BANK})[('0x' || substr(sha256(doc_id || ':<<F2>>'), 1, 7))::INT % 3 + 1] || ' ') AS text FROM documents""")
+def realized_refs(spark, d):
+    """Whole texts with marks of files planted in them, and names from a bank in their places."""
+    said = F.replace(F.replace("text", F.lit(". "), F.lit(". <<F1>> ")), F.lit(", "), F.lit(", <<F2>> "))
+    return read(spark, d, "documents").select("doc_id", X.realized(said, ["<<F1>>", "<<F2>>"], _BANK, F.col("doc_id")).alias("text"))
+
+
+@query("SELECT conv_id, substr(string_agg(role || ': ' || coalesce(text, ''), chr(10) || chr(10) ORDER BY turn), 1, 900) AS text FROM conversations GROUP BY conv_id")
+def thread_dumps(spark, d):
+    """Threads as plain text of at most 900 characters."""
+    c = read(spark, d, "conversations")
+    return X.dump(c, "conv_id", "turn", F.concat("role", F.lit(": "), F.coalesce("text", F.lit(""))), 900)
+
+
 @query(f"""WITH x AS (SELECT doc_id, list_distinct({_TOKENS}) AS toks FROM documents), y AS (SELECT DISTINCT list_sort(list_distinct({_TOKENS})) AS toks, min(item_id) AS id FROM benchmark GROUP BY ALL),
 e AS (SELECT doc_id, unnest(toks) AS t FROM x), f AS (SELECT id, unnest(toks) AS t FROM y), p AS (SELECT doc_id, id, count(*) AS shared FROM e JOIN f USING (t) GROUP BY ALL)
 SELECT doc_id, len(toks) = 0 OR EXISTS (SELECT 1 FROM p JOIN y USING (id) WHERE p.doc_id = x.doc_id AND shared::DOUBLE / (len(x.toks) + len(y.toks) - shared) >= 0.5) AS duplicate FROM x""")

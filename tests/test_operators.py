@@ -262,3 +262,23 @@ def test_similar_to_accepted_sets(spark):
     want = {i: not x or any(len({*x} & {*y}) / len({*x} | {*y}) >= 0.5 for _, y in accepted) for i, x in rows}
     schema = "id int, toks array<string>"
     assert {r.id: r.duplicate for r in X.like_any(spark.createDataFrame(rows, schema), spark.createDataFrame(accepted, schema), 0.5).collect()} == want
+
+
+def test_a_session_of_the_mailbox(spark):
+    from mailquarry.operators.session import Mailbox
+
+    rows = [(1, 0, "a", "ann", "gas deal", "the gas tariff filing " * 60, "2001-02-01"), (2, 0, "b", "bob", "lunch", "sushi today", "2001-01-01"), (2, 1, "c", "ann", "re lunch", "tariff sushi filing", "2001-01-02"), (3, 0, "d", "cy", "hidden tariff", "tariff memo shredded", "2001-03-01")]
+    messages = spark.createDataFrame(rows, "thread int, position int, id string, sender string, subject string, body string, date string")
+    box = Mailbox(messages, spark.createDataFrame([("c",), ("d",)], "id string"), budget=6, segment_size=2, least_credit=3)
+    assert [r.thread_handle for r in box.list_threads()] == ["t2", "t1", "t3"] and [r.thread_handle for r in box.list_threads(2)] == ["t2", "t1"]
+    hits = box.call("SEARCH", "tariff memo")
+    assert hits[0].handle == "e4" and {r.handle for r in hits} == {"e1", "e3", "e4"} and not any(r.is_read for r in hits)
+    assert box.submit([{"secret": "x"}]) == "investigate"
+    assert [(r.handle, len(r.body)) for r in box.read("e3")] == [("e2", 11), ("e3", 19)] and len(box.read("t1")[0].body) <= 1500
+    assert [r.handle for r in box.expand("e4", log=False)] == [] and box.call("READ", "e99") == [] and box.exhausted and box.call("SEARCH", "sushi") == []
+    assert [box.submit(x) for x in ("x", [{"secret": "a"}, {"secret": "b"}], [{"secret": " "}], [{"secret": "a", "evidence": [1]}], [])] == ["not a list", "count", "no secret", "evidence", "scan"]
+    assert [len(box.call("SEGMENT")) for _ in range(3)] == [2, 1, 0] and box.submit([]) == "" and box.answer == []
+    m = box.metrics()
+    assert (m["n_search"], m["n_read"], m["n_emails_opened"], m["n_redundant_reads"], m["n_clues_total"], m["n_clues_read"], m["clue_recall"]) == (1, 3, 3, 0, 2, 1, 0.5)
+    assert box.submit([{"secret": " it ", "evidence": [" e4 "]}]) == "" and box.answer == [{"secret": "it", "evidence": ["e4"]}]
+    box.close()
