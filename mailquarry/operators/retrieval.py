@@ -11,7 +11,8 @@ K1, B = 1.5, 0.75
 def bm25_scores(docs: DataFrame, queries: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
     """(qid, doc, score) for each query and document that share a term. docs: (doc, tokens), queries: (qid, tokens). A term
     counts once in a query; a document's tokens are met by the queries' terms before they are grouped, so only postings that
-    can score are shuffled."""
+    can score are shuffled. The partition of a term that is frequent on both sides is split by the adaptive skew join; dealing
+    such terms into blocks by hand cost half the time again at sf0.1."""
     q = queries.select("qid", F.explode(F.array_distinct("tokens")).alias("term"))
     d = docs.select("doc", "tokens", F.size("tokens").alias("dl"))
     hit = d.select("doc", "dl", F.explode("tokens").alias("term")).join(q.select("term").distinct(), "term", "left_semi")

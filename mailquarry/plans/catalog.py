@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from mailquarry.plans import evaluation, mailbox, records, search, threads
+from mailquarry.plans import evaluation, mailbox, records, search, sources, threads
 
-QUERIES = {**search.QUERIES, **evaluation.QUERIES, **records.QUERIES, **threads.QUERIES, **mailbox.QUERIES}
-ORACLE_SQL = {**search.ORACLE_SQL, **evaluation.ORACLE_SQL, **records.ORACLE_SQL, **threads.ORACLE_SQL, **mailbox.ORACLE_SQL}
+QUERIES = {**search.QUERIES, **evaluation.QUERIES, **records.QUERIES, **threads.QUERIES, **mailbox.QUERIES, **sources.QUERIES}
+ORACLE_SQL = {**search.ORACLE_SQL, **evaluation.ORACLE_SQL, **records.ORACLE_SQL, **threads.ORACLE_SQL, **mailbox.ORACLE_SQL, **sources.ORACLE_SQL}

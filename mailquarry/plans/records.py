@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -18,6 +14,7 @@ from mailquarry.operators import records as R
 from mailquarry.plans.evaluation import _LOG, _ROWS, _log, _rows
 from mailquarry.plans.search import ORACLE_SQL as _SEARCH
 from mailquarry.plans.search import planted, planted_sql, read
+from mailquarry.plans.sources import scratch
 from mailquarry.sources import mail
 from mailquarry.streaming import sessions
 
@@ -195,12 +192,7 @@ def model_judge(spark, d):
 @query(f"""WITH {_LOG} SELECT user_id, count(*) AS n_tool_calls, count(*) FILTER (tool = 'READ') AS reads, count(*) FILTER (tool = 'SEARCH') AS searches,
 count(DISTINCT CASE WHEN tool = 'READ' THEN k END) AS opened, count(k) FILTER (tool = 'READ') - count(DISTINCT CASE WHEN tool = 'READ' THEN k END) AS redundant FROM log GROUP BY user_id""")
 def stream_session_metrics(spark, d):
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        named = f"file://{tempfile.mkdtemp(prefix='mailquarry-')}"
-    return sessions.replay(spark, _log(spark, d), f"{named}/sessions-{uuid.uuid4().hex}")
+    return sessions.replay(spark, _log(spark, d), scratch(spark, "sessions"))
 
 
 @query("SELECT o_orderkey, round(CASE WHEN o_orderstatus = 'F' THEN 1.0 ELSE 0.0 END * (o_custkey % 5) / 4, 6) AS final FROM orders")

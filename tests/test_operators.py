@@ -282,3 +282,4 @@ def test_a_session_of_the_mailbox(spark):
     assert (m["n_search"], m["n_read"], m["n_emails_opened"], m["n_redundant_reads"], m["n_clues_total"], m["n_clues_read"], m["clue_recall"]) == (1, 3, 3, 0, 2, 1, 0.5)
     assert box.submit([{"secret": " it ", "evidence": [" e4 "]}]) == "" and box.answer == [{"secret": "it", "evidence": ["e4"]}]
     box.close()
+
