@@ -17,6 +17,7 @@ EDGES = [
     (5, "the same text of some words", "en", "s", 27), (5, "the same text of some words", "en", "s", 27), (6, "word " * 30_000, "en", "s", 150_000), (7, "é" * 300, "fr", None, 300), (-8, "12 34 !!", "en", "s", 8),
 ]
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+CLASHES = "clash lang_pred score doc ranges _doc _ranges _key fp t t1 t2 k kind d n root part key runs items size shard at slot b g1 g2 handle c named mark data seq grp record offset media feature word bits there held_out".split()
 EXTRA = "component_id string, lang_pred string, score string, ranges string, key string, runs string"
 
 
@@ -35,7 +36,10 @@ def sf(spark, tmp_path_factory):
     pages = spark.createDataFrame([(1, "u", "<p>x"), (1, "u", "<p>x"), (None, None, None), (2, "u", ""), (3, "u", "<" * 500 + "a" * 50_000)], "page_id long, url string, html string")
     turns = spark.createDataFrame([(1, 0, "user", "a"), (1, 1, "assistant", "b"), (1, 1, "assistant", "b"), (None, None, None, None), (2, 0, "system", "s"), (3, 5, "user", ""), (3, 5, "bot", "z" * 9000)], "conv_id long, turn long, role string, text string")
     for name, df in {"documents": spark.createDataFrame(EDGES, SCHEMA), "pages": pages, "conversations": turns, "benchmark": spark.createDataFrame([(None, None), (1, "12 34"), (2, "")], "item_id long, text string")}.items():
-        df.withColumn("clash", F.lit(1)).coalesce(2).write.parquet(f"{at}/full/{name}.parquet")
+        for c in CLASHES:
+            if c not in df.columns:
+                df = df.withColumn(c, F.lit(1))
+        df.coalesce(2).write.parquet(f"{at}/full/{name}.parquet")
         df.limit(0).write.parquet(f"{at}/empty/{name}.parquet")
     return str(at)
 
