@@ -141,3 +141,22 @@ def distinct_searches(tokens: Column, limit: float = 0.8) -> Column:
         return F.when(new, F.concat(kept, F.array(t))).otherwise(kept)
 
     return F.size(F.aggregate(tokens, start, step))
+
+
+def accepted(topics: Column, quota: int, least: float) -> Column:
+    """The ids that a category takes, in order, of array<struct<pos,id,toks>>: those with words, below that similarity with all
+    taken before, until the quota is met."""
+    start = F.expr("cast(struct(array(), array()) as struct<ids: array<bigint>, kept: array<array<string>>>)")
+
+    def step(s, x):
+        new = (F.size(x["toks"]) > 0) & (F.size(s["ids"]) < quota) & F.forall(s["kept"], lambda k: T.jaccard(k, x["toks"]) < least)
+        return F.when(new, F.struct(F.concat(s["ids"], F.array(x["id"].cast("long"))).alias("ids"), F.concat(s["kept"], F.array(x["toks"])).alias("kept"))).otherwise(s)
+
+    return F.aggregate(topics, start, step)["ids"]
+
+
+def rewritten(df: DataFrame, rules: list[tuple[str, str]], texts: tuple[str, ...] = (), lists: tuple[str, ...] = ()) -> DataFrame:
+    """Ordered rules over all text fields of records, and over the entries of list fields; nulls stay."""
+    one = {c: F.when(F.col(c).isNotNull(), T.replace_all(F.col(c), rules)) for c in texts}
+    many = {c: F.transform(c, lambda x: T.replace_all(x, rules)) for c in lists}
+    return df.withColumns(one | many)

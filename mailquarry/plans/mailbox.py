@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from mailquarry.functions import text as T
 from mailquarry.operators import mailbox as X
 from mailquarry.operators import models
+from mailquarry.operators import records as R
 from mailquarry.operators import retrieval as S
 from mailquarry.plans.evaluation import _LOG, _log
 from mailquarry.plans.search import _Q, _SCORES, _SPACE, _TOKENS, _TOP, _token_sets, planted, planted_sql, read, spread
@@ -242,6 +243,18 @@ def thread_dumps(spark, d):
     return X.dump(c, "conv_id", "turn", F.concat("role", F.lit(": "), F.coalesce("text", F.lit(""))), 900)
 
 
+@query(f"""WITH RECURSIVE t AS (SELECT item_id % 4 AS category, item_id, row_number() OVER (PARTITION BY item_id % 4 ORDER BY item_id) AS k, list_distinct({_TOKENS}) AS toks FROM benchmark),
+f AS (SELECT DISTINCT category, 0::BIGINT AS k, []::BIGINT[] AS ids, []::VARCHAR[][] AS kept FROM t
+UNION ALL SELECT category, tk, CASE WHEN ok THEN list_append(ids, item_id) ELSE ids END, CASE WHEN ok THEN list_append(kept, toks) ELSE kept END
+FROM (SELECT f.*, t.item_id, t.k AS tk, t.toks, len(toks) > 0 AND len(ids) < 6 AND len(list_filter(kept, lambda o: len(list_intersect(o, toks))::DOUBLE / (len(o) + len(toks) - len(list_intersect(o, toks))) >= 0.06)) = 0 AS ok FROM f JOIN t ON f.category = t.category AND t.k = f.k + 1))
+SELECT category, array_to_string(ids, ',') AS accepted FROM f QUALIFY row_number() OVER (PARTITION BY category ORDER BY k DESC) = 1""")
+def accepted_topics(spark, d):
+    """Up to six topics of each category, in order, none too like one taken before."""
+    b = read(spark, d, "benchmark").select("item_id", F.array_distinct(T.tokenize("text")).alias("toks"))
+    g = b.groupBy((F.col("item_id") % 4).alias("category")).agg(F.array_sort(F.collect_list(F.struct(F.col("item_id").alias("pos"), F.col("item_id").alias("id"), "toks"))).alias("t"))
+    return g.select("category", F.array_join(F.transform(R.accepted(F.col("t"), 6, 0.06), lambda x: x.cast("string")), ",").alias("accepted"))
+
+
 @query(f"""WITH x AS (SELECT doc_id, list_distinct({_TOKENS}) AS toks FROM documents), y AS (SELECT DISTINCT list_sort(list_distinct({_TOKENS})) AS toks, min(item_id) AS id FROM benchmark GROUP BY ALL),
 e AS (SELECT doc_id, unnest(toks) AS t FROM x), f AS (SELECT id, unnest(toks) AS t FROM y), p AS (SELECT doc_id, id, count(*) AS shared FROM e JOIN f USING (t) GROUP BY ALL)
 SELECT doc_id, len(toks) = 0 OR EXISTS (SELECT 1 FROM p JOIN y USING (id) WHERE p.doc_id = x.doc_id AND shared::DOUBLE / (len(x.toks) + len(y.toks) - shared) >= 0.5) AS duplicate FROM x""")
@@ -355,6 +368,19 @@ def tfidf_nearest(spark, d):
     return S.top_k(scores, 5).select("qid", "doc", F.round("score", 6).alias("cosine"))
 
 
+_OLD = [("Quilla Vorst", "quilla.vorst@old.example", "Mara Thorn", "mara.thorn@new.example")]
+_ANON = [("Quilla Vorst wrote ", "Mara Thorn wrote "), ("quilla.vorst@OLD.example ", "mara.thorn@new.example "), ("Vorst and Quilla, jyx@old.example ", "Thorn and Mara, jyx@new.example "), ("Zwickcorp, Zwickcorps ", "Oakcorp, Zwickcorps ")]
+
+
+@query(f"SELECT doc_id, 'Mara Thorn' AS sender, 'mara.thorn@new.example;jyx@new.example' AS receivers, CASE WHEN doc_id % 2 = 0 THEN 'Re: Oakcorp' END AS subject, {planted_sql(_ANON, 1, (". ",))} AS body FROM documents")
+def anonymize_records(spark, d):
+    """Messages with new names in all their fields: bodies are whole texts with names planted in them."""
+    rules = T.substitutions(_OLD, [("@old.example", "@new.example")], [("Zwickcorp", "Oakcorp")])
+    m = read(spark, d, "documents").select("doc_id", F.lit("Quilla Vorst").alias("sender"), F.array(F.lit("quilla.vorst@old.example"), F.lit("jyx@old.example")).alias("receivers"), F.when(F.col("doc_id") % 2 == 0, "Re: Zwickcorp").alias("subject"), planted(_ANON, 0, (". ",)).alias("body"))
+    done = R.rewritten(m, rules, ("sender", "subject", "body"), ("receivers",))
+    return done.withColumn("receivers", F.array_join("receivers", ";"))
+
+
 # ---- evaluation rows
 
 #: Log samples made of orders, in expressions that both engines read.

@@ -50,6 +50,15 @@ def load_cases(spark: SparkSession, paths: dict[str, str], schema: str, per_conf
     return out.withColumn("_n", n).where(F.col("_n") <= F.when(work, per_config // 2).otherwise(per_config - per_config // 2)).drop("_n")
 
 
+def clue_sets(spec: str) -> dict[str, str]:
+    """Labels and paths of "file[:label],...": a file without a label has its name's stem."""
+    out = {}
+    for part in filter(str.strip, spec.split(",")):
+        path, _, label = part.strip().partition(":")
+        out[label or path.rstrip("/").rpartition("/")[2].rpartition(".")[0] or path] = path
+    return out
+
+
 def exclusions(spark: SparkSession, path: str) -> DataFrame:
     """One id a line, # starts a comment."""
     return spark.read.text(path).select(F.trim(F.split("value", "#")[0]).alias("message_id")).where("message_id <> ''").distinct()

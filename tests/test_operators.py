@@ -283,3 +283,8 @@ def test_a_session_of_the_mailbox(spark):
     assert box.submit([{"secret": " it ", "evidence": [" e4 "]}]) == "" and box.answer == [{"secret": "it", "evidence": ["e4"]}]
     box.close()
 
+
+def test_clue_set_specs():
+    from mailquarry.sources import mail
+
+    assert mail.clue_sets("a/com_n2.jsonl, b/x.jsonl:pal ,plain,") == {"com_n2": "a/com_n2.jsonl", "pal": "b/x.jsonl", "plain": "plain"}
