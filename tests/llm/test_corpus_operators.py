@@ -35,7 +35,10 @@ def sf(spark, tmp_path_factory):
     at = tmp_path_factory.mktemp("edges")
     pages = spark.createDataFrame([(1, "u", "<p>x"), (1, "u", "<p>x"), (None, None, None), (2, "u", ""), (3, "u", "<" * 500 + "a" * 50_000)], "page_id long, url string, html string")
     turns = spark.createDataFrame([(1, 0, "user", "a"), (1, 1, "assistant", "b"), (1, 1, "assistant", "b"), (None, None, None, None), (2, 0, "system", "s"), (3, 5, "user", ""), (3, 5, "bot", "z" * 9000)], "conv_id long, turn long, role string, text string")
-    for name, df in {"documents": spark.createDataFrame(EDGES, SCHEMA), "pages": pages, "conversations": turns, "benchmark": spark.createDataFrame([(None, None), (1, "12 34"), (2, "")], "item_id long, text string")}.items():
+    far = [0.5] * 63
+    vectors = [(0, [1.0, *far], 1), (0, [1.0, *far], 1), (50, [1.0, *far], 1), (1, [0.7, *far], 2), (2, None, 1), (3, [float("nan"), *far], 1), (4, [None, *far], 1), (5, far, 1), (6, [], 2), (None, [0.9, *far], 2), (7, [0.9, *far], None), (8, [3e38, *far], 3)]
+    embeddings = spark.createDataFrame(vectors, "vec_id long, embedding array<float>, label int")
+    for name, df in {"documents": spark.createDataFrame(EDGES, SCHEMA), "embeddings": embeddings, "pages": pages, "conversations": turns, "benchmark": spark.createDataFrame([(None, None), (1, "12 34"), (2, "")], "item_id long, text string")}.items():
         for c in CLASHES:
             if c not in df.columns:
                 df = df.withColumn(c, F.lit(1))
@@ -52,7 +55,7 @@ def test_edge_and_empty_tables(spark, sf, name):
     assert full.columns == empty.columns
     # op3 also tells the records that the damaged replica has besides
     n = len([r for r in full.collect() if "state" not in full.columns or r.state != "added"])
-    if name.startswith(("op1_", "op4_", "op5_", "op6_", "op7_", "op9_", "op10_")):
+    if name.startswith(("op1_", "op4_", "op5_", "op6_", "op7_", "op9_", "op10_", "op12_")):
         assert n == len(EDGES)
     elif name.startswith(("op2_", "op3_")):
         assert n == 5
