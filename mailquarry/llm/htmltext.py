@@ -2,7 +2,7 @@
 
 A page is cut into leaf blocks, the runs of text between block-level tags; inline tags do not cut, and scripts, styles, heads,
 templates, embedded objects and form controls have no blocks. Each block has features of its ancestors (tags, and words of
-their class, id and role) and of its text. The field has two labels, article and other, one weight for each feature and one
+their class, id and role), of its text, and of its neighbours' size and links. The field has two labels, article and other, one weight for each feature and one
 for each pair of neighbouring labels; it is trained on labelled pages by maximum likelihood with gradients from
 forward-backward sums, and decoded by Viterbi. The labelled pages are made here from a seed: layouts, containers, names,
 lengths and words vary, and each block's label is known as it is written.
@@ -11,7 +11,8 @@ Blocks labelled article are joined in page order by a newline, with character re
 single spaces; a headline inside the article belongs to it. Null or empty html, and pages without text, give the empty text.
 Whole pages are read. Tags that are missing, unclosed, self-closed or of unknown names do no harm: an element without blocks
 is passed over only up to its own end tag, and where it has none only its tag is; but a script or style without an end, and a
-comment, reach to the end of the page. Rows are independent: repeated rows give equal rows, an
+comment, reach to the end of the page. Reading takes time in proportion to the page, whatever its tags, quotes and nesting are
+like. Rows are independent: repeated rows give equal rows, an
 empty table an empty result, and further columns are ignored.
 """
 
@@ -20,6 +21,7 @@ from __future__ import annotations
 import html as _html
 import random
 import re
+from bisect import bisect_right
 from functools import cache
 
 import numpy as np
@@ -29,8 +31,11 @@ from pyspark.sql import functions as F
 
 from mailquarry.llm.common import table
 
-_TOKEN = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[!?/a-zA-Z][^>]*+>", re.S)
-_SELF_CLOSED = re.compile(r"(?:^|[\s\"'])/\s*$")
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*+")
+_UNQUOTED = re.compile(r"[^\"'>]*+")
+_COMMENT_END = re.compile(r"--!?>")
+#: References to characters whose numbers no parser of integers should have to read.
+_FAR = re.compile(r"&#0*([0-9]*);?")
 #: Elements whose content is not markup, and those whose content is but has no blocks.
 _RAW = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>", re.I) for t in "script style textarea title iframe noscript noembed noframes".split()}
 _SKIPPED = frozenset("template svg math select button object canvas audio video".split())
@@ -44,24 +49,68 @@ _ENDS = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"
 _ENDS_P = BLOCKS - {"html", "body", "caption", "td", "th", "tr", "tbody", "thead", "tfoot", "title", "legend", "summary"}
 
 
+class _Tags:
+    """Where tags end, each part of a page being read once however its quotes and brackets stand."""
+
+    def __init__(self, page: str):
+        self.page, self.last = page, {c: page.rfind(c) for c in "\"'>"}
+        #: Places outside quotes from which no end is found.
+        self.endless: set[int] = set()
+
+    def end(self, at: int) -> int:
+        """Behind the first > from here that is not in quotes; -1 if there is none, as where a quote stays open."""
+        page, passed = self.page, []
+        while at not in self.endless and at <= self.last[">"]:
+            passed.append(at)
+            at = _UNQUOTED.match(page, at).end()
+            if at == len(page):
+                break
+            quote = page[at]
+            if quote == ">":
+                return at + 1
+            if self.last[quote] <= at:
+                break
+            at = page.index(quote, at + 1) + 1
+        self.endless.update(passed)
+        return -1
+
+    def next(self, at: int) -> tuple[int, int, str, str, str] | None:
+        """(from, to, slash of an end tag, tag, attributes) of the next piece of markup from here; comments, declarations and
+        tags whose quotes stay open have no tag."""
+        page = self.page
+        while (start := page.find("<" if at < self.last[">"] else "<!--", at)) >= 0:
+            if page.startswith("<!--", start):
+                if page.startswith((">", "->"), start + 4):
+                    return start, page.index(">", start) + 1, "", "", ""
+                end = _COMMENT_END.search(page, start + 4)
+                return start, end.end() if end else len(page), "", "", ""
+            slash = page[start + 1 : start + 2] == "/"
+            name = _NAME.match(page, start + 1 + slash)
+            end = self.end(name.end()) if name else -1
+            if end >= 0:
+                return start, end, "/" * slash, name[0].lower(), page[name.end() : end - 1]
+            if (name or page[start + 1 : start + 2] in ("!", "?", "/")) and self.last[">"] > start + 1:
+                return start, page.index(">", start + 1) + 1, "", "", ""
+            at = start + 1
+        return None
+
+
 def tokens(page: str) -> list[tuple[int, int, str, str, str]]:
     """(from, to, slash of an end tag, tag, attributes) of each piece of markup, whole elements without blocks being one piece
     without a tag."""
     out: list[tuple[int, int, str, str, str]] = []
     opened: dict[str, list[int]] = {}
-    endless, at = set(), 0
-    while m := _TOKEN.search(page, at):
-        start, at = m.span()
-        slash, tag, rest = m.groups()
-        tag = tag.lower() if tag else ""
-        if tag in _RAW and not slash and tag not in endless and not _SELF_CLOSED.search(rest):
-            end = _RAW[tag].search(page, at)
+    tags, endless, at = _Tags(page), set(), 0
+    while found := tags.next(at):
+        start, at, slash, tag, rest = found
+        if tag in _RAW and not slash and tag not in endless and not _self_closed(rest):
+            end = _RAW[tag].search(page, at, tags.last[">"] + 1)
             if end or tag in ("script", "style"):
                 at = end.end() if end else len(page)
                 tag = ""
             else:
                 endless.add(tag)
-        elif tag in _SKIPPED and not _SELF_CLOSED.search(rest):
+        elif tag in _SKIPPED and not _self_closed(rest):
             if not slash:
                 opened.setdefault(tag, []).append(len(out))
             elif opened.get(tag):
@@ -72,24 +121,74 @@ def tokens(page: str) -> list[tuple[int, int, str, str, str]]:
                         held.pop()
                 del out[first:]
                 tag = ""
-        out.append((start, at, slash or "", tag, rest or ""))
+        out.append((start, at, slash, tag, rest))
     return out
 
 
-def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
-    """(ancestor names from the root, text, characters of it in links) of each leaf block that is not empty. A name is a tag
-    and, behind a bar, the words of its class, id and role."""
-    out: list[tuple[tuple[str, ...], str, int]] = []
-    stack: list[tuple[str, str]] = []
+def _self_closed(attributes: str) -> bool:
+    left = attributes.rstrip()
+    return left.endswith("/") and (len(left) == 1 or left[-2] in "\"'" or left[-2].isspace())
+
+
+def _decoded(text: str) -> str:
+    def near(m: re.Match) -> str:
+        return f"&#{m[1]};" if 0 < len(m[1]) < 8 else m[0] if not m[1] and len(m[0]) < 99 else "\ufffd"
+
+    return _html.unescape(_FAR.sub(near, text) if "&#" in text else text)
+
+
+class Path:
+    """An element and those around it. `fresh` are the features that none of those has."""
+
+    __slots__ = ("above", "fresh", "score", "tag")
+
+    def __init__(self, above: Path | None, tag: str, fresh: list[str]):
+        self.above, self.tag, self.fresh, self.score = above, tag, fresh, None
+
+
+class _Open:
+    """The open elements, with the places of each tag among them."""
+
+    def __init__(self):
+        self.paths: list[Path] = [Path(None, "", [])]
+        self.places: dict[str, list[int]] = {}
+        self.has: set[str] = set()
+
+    def last(self, tags) -> int:
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=0)
+
+    def first(self, tags, after: int) -> int:
+        """The outermost of these tags behind a place, 0 if there is none."""
+        found = [at[i] for t in tags if (at := self.places.get(t)) and (i := bisect_right(at, after)) < len(at)]
+        return min(found, default=0)
+
+    def close(self, place: int) -> None:
+        """End this element and those in it."""
+        for path in self.paths[place:]:
+            self.places[path.tag].pop()
+            self.has.difference_update(path.fresh)
+        del self.paths[place:]
+
+    def open(self, tag: str, words: set[str]) -> None:
+        fresh = [f for f in (f"in {tag}", *(f"named {w}" for w in sorted(words))) if f not in self.has]
+        self.has.update(fresh)
+        self.places.setdefault(tag, []).append(len(self.paths))
+        self.paths.append(Path(self.paths[-1], tag, fresh))
+
+
+def blocks(page: str) -> list[tuple[Path, str, int]]:
+    """(path, text, characters of it in links) of each leaf block that is not empty. What is in links counts as it is written."""
+    out: list[tuple[Path, str, int]] = []
+    held = _Open()
     parts: list[str] = []
     linked, in_link, at = 0, False, 0
 
     def close() -> None:
         nonlocal linked, parts
         if parts:
-            text = " ".join(_html.unescape("".join(parts)).split())
+            text = " ".join(_decoded("".join(parts)).split())
             if text:
-                out.append((tuple(name for _, name in stack), text, min(linked, len(text))))
+                out.append((held.paths[-1], text, min(linked, len(text))))
             parts, linked = [], 0
 
     for start, end, slash, tag, attributes in tokens(page):
@@ -108,39 +207,29 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
         close()
         in_link = False
         if slash:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    del stack[i:]
-                    break
+            if place := held.last((tag,)):
+                held.close(place)
             continue
-        if tag in _ENDS_P and stack and stack[-1][0] == "p":
-            stack.pop()
+        if tag in _ENDS_P and held.paths[-1].tag == "p":
+            held.close(len(held.paths) - 1)
         if tag in _ENDS:
             ended, within = _ENDS[tag]
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] in within:
-                    break
-                if stack[i][0] in ended:
-                    del stack[i:]
-                    break
+            if place := held.first(ended, held.last(within)):
+                held.close(place)
         if tag != "hr":
-            words = sorted({w.lower() for a in _NAMED.finditer(attributes) for w in _PART.findall(a[2] or a[3] or a[4] or "")}) if "=" in attributes else []
-            stack.append((tag, f"{tag}|{' '.join(words)}"))
+            held.open(tag, {w.lower() for a in _NAMED.finditer(attributes) for w in _PART.findall(a[2] or a[3] or a[4] or "")} if "=" in attributes else set())
     if at < len(page):
         parts.append(page[at:])
     close()
     return out
 
 
-def ancestor_features(names: tuple[str, ...]) -> list[str]:
-    found = {"bias"}
-    for name in names:
-        tag, _, words = name.partition("|")
-        found.add(f"in {tag}")
-        found.update(f"named {w}" for w in words.split())
-    if names:
-        found.add(f"tag {names[-1].partition('|')[0]}")
-    return sorted(found)
+def path_features(path: Path) -> list[str]:
+    out = ["bias", f"tag {path.tag}"]
+    while path:
+        out += path.fresh
+        path = path.above
+    return out
 
 
 def text_features(text: str, linked: int) -> list[str]:
@@ -155,20 +244,44 @@ def text_features(text: str, linked: int) -> list[str]:
     return out
 
 
+def near_features(found: list[tuple[Path, str, int]], i: int) -> list[str]:
+    """Size and links of the neighbours, and whether they stand in the same element."""
+    out = []
+    for side, j in (("before", i - 1), ("after", i + 1)):
+        if 0 <= j < len(found):
+            path, text, linked = found[j][:3]
+            out += [f"{side} size {min(len(text).bit_length(), 10)}", f"{side} links {-(-4 * linked // len(text))}"]
+            if path.above is found[i][0].above:
+                out.append(f"{side} beside")
+        else:
+            out.append(f"{side} none")
+    return out
+
+
+def features(found: list[tuple[Path, str, int]], i: int) -> list[str]:
+    return path_features(found[i][0]) + text_features(*found[i][1:3]) + near_features(found, i)
+
+
 class Field:
     """The trained field: a weight for each feature, for the label article against other, and transitions."""
 
     def __init__(self, weights: dict[str, float], start: np.ndarray, step: np.ndarray):
         self.weights, self.start, self.step = weights, start.tolist(), step.tolist()
-        self.ancestors: dict[tuple[str, ...], float] = {}
 
-    def score(self, names: tuple[str, ...], text: str, linked: int) -> float:
-        known = self.ancestors.get(names)
-        if known is None:
-            if len(self.ancestors) > 50_000:
-                self.ancestors.clear()
-            known = self.ancestors[names] = sum(self.weights.get(f, 0.0) for f in ancestor_features(names))
-        return known + sum(self.weights.get(f, 0.0) for f in text_features(text, linked))
+    def _path(self, path: Path) -> float:
+        todo = []
+        while path and path.score is None:
+            todo.append(path)
+            path = path.above
+        score = path.score if path else self.weights.get("bias", 0.0)
+        for path in reversed(todo):
+            score = path.score = score + sum(self.weights.get(f, 0.0) for f in path.fresh)
+        return score
+
+    def scores(self, found: list[tuple[Path, str, int]]) -> list[float]:
+        """Each block's weight for the label article. A path is scored once, from the one above it."""
+        known = self.weights.get
+        return [self._path(b[0]) + known(f"tag {b[0].tag}", 0.0) + sum(known(f, 0.0) for f in text_features(*b[1:3]) + near_features(found, i)) for i, b in enumerate(found)]
 
     def decode(self, scores: list[float]) -> list[bool]:
         """Viterbi: the most probable labels."""
@@ -188,20 +301,20 @@ class Field:
 
     def main_text(self, page: str | None) -> str:
         found = blocks(page) if page else []
-        keep = self.decode([self.score(*b) for b in found])
+        keep = self.decode(self.scores(found))
         return "\n".join([text for (_, text, _), k in zip(found, keep) if k])
 
 
-def train(pages: list[list[tuple[tuple[str, ...], str, int, bool]]], steps: int = 250, ridge: float = 1.0, rate: float = 0.1) -> Field:
+def train(pages: list[list[tuple[Path, str, int, bool]]], steps: int = 250, ridge: float = 1.0, rate: float = 0.1) -> Field:
     """Maximum likelihood with a Gaussian prior on (blocks with labels) pages, by Adam on exact gradients."""
     index: dict[str, int] = {}
-    rows = [[sorted({index.setdefault(f, len(index)) for f in ancestor_features(n) + text_features(t, k)}) for n, t, k, _ in page] for page in pages]
+    rows = [[sorted({index.setdefault(f, len(index)) for f in features(page, i)}) for i in range(len(page))] for page in pages]
     longest, count = max(map(len, rows)), len(rows)
     x = np.zeros((count * longest, len(index)), np.float32)
     y, real = np.zeros((count, longest), np.int64), np.zeros((count, longest), bool)
     for i, page in enumerate(rows):
-        for j, features in enumerate(page):
-            x[i * longest + j, features] = 1
+        for j, columns in enumerate(page):
+            x[i * longest + j, columns] = 1
             y[i, j], real[i, j] = pages[i][j][3], True
     size = len(index)
     theta = np.zeros(size + 6)
@@ -256,11 +369,13 @@ def labelled_page(rnd: random.Random) -> tuple[str, str]:
     def end(tag: str) -> str:
         return f"</{tag}>" if shut or tag not in ("p", "li") else ""
 
-    def say(tag: str, text: str, keep: bool, extra: str = "") -> str:
+    def say(tag: str, text: str, keep: bool, extra: str = "", link: bool = False) -> str:
         if keep:
             main.append(text)
         inner = text
-        if keep and rnd.random() < 0.25:
+        if link:
+            inner = f'<a href="/{word()}">{text}</a>'
+        elif keep and rnd.random() < 0.25:
             inner = f"<{(t := rnd.choice(['b', 'em', 'span', 'strong']))}>{text}" + (f"</{t}>" if rnd.random() < 0.8 else "")
         elif keep and len(text) > 80 and rnd.random() < 0.2:
             cut_at = text.index(" ", len(text) // 2) if " " in text[len(text) // 2 :] else None
@@ -307,13 +422,16 @@ def labelled_page(rnd: random.Random) -> tuple[str, str]:
     def comments() -> str:
         tag = rnd.choice(["section", "div"])
         each = "".join(rnd.choice([f'<{named("comment reply")}><b>{word()}</b><p>{prose(1, 4)}{end("p")}</div>', f"<li><p>{prose(1, 3)}{end('p')}{end('li')}"]) for _ in range(rnd.randint(1, 6)))
-        return f'<{named("comments comments replies discussion respond", tag)}><h3>{words(1, 2)}</h3>{each}</{tag}>'
+        opened = named("comments comments replies discussion respond", tag) if rnd.random() < 0.6 else f'{tag} {rnd.choice(["id", "class"])}="{word()}_{word()}"'
+        return f'<{opened}>{rnd.choice(["", f"<h3>{words(1, 2)}</h3>"])}{each}</{tag}>'
 
     def article() -> str:
         out = [say(rnd.choice(["h1", "h1", "h2"]), words(2, 12), True)] if rnd.random() < 0.85 else []
         for _ in range(rnd.choice([0, 1, 2, 3, 5, 8, 14])):
             kind = rnd.random()
-            if kind < 0.72:
+            if kind < 0.05:
+                out.append("<ul>" + "".join(say("li", words(1, 7), True, link=rnd.random() < 0.9) for _ in range(rnd.randint(2, 6))) + "</ul>")
+            elif kind < 0.72:
                 out.append(say("p", prose(1, 7), True))
             elif kind < 0.78:
                 out.append(say(rnd.choice(["h2", "h3"]), words(1, 7), True))
@@ -336,6 +454,10 @@ def labelled_page(rnd: random.Random) -> tuple[str, str]:
     before = "".join(f() for f in rnd.sample([header, menu, advert, notice, form, aside], rnd.randint(0, 4)))
     middle = article()
     after = "".join(f() for f in [*rnd.sample([aside, comments, form, advert, notice, menu], rnd.randint(0, 3)), *([footer] if rnd.random() < 0.85 else [])])
+    if rnd.random() < 0.2 and middle.startswith(("<article", "<main")):
+        # a name says little where an article stands in it
+        wrap = named("comments comment sidebar widget related menu nav header footer banner share ad popup")
+        middle = f"<{wrap}>{middle}</div>"
     if rnd.random() < 0.3:
         wrap = named("wrapper container page site layout")
         before, after = f"<{wrap}>{before}", f"{after}</div>"
@@ -343,13 +465,13 @@ def labelled_page(rnd: random.Random) -> tuple[str, str]:
     return f"<!DOCTYPE html><html>{head}<body>{before}<!-- {word()} -->{middle}{after}" + ("</body></html>" if rnd.random() < 0.9 else ""), "\n".join(main)
 
 
-def labelled_blocks(page: str, main: str) -> list[tuple[tuple[str, ...], str, int, bool]]:
+def labelled_blocks(page: str, main: str) -> list[tuple[Path, str, int, bool]]:
     """The page's blocks with their labels: those of the main text, in order, are article."""
     wanted, out, k = main.split("\n"), [], 0
-    for names, text, linked in blocks(page):
+    for path, text, linked in blocks(page):
         hit = k < len(wanted) and text == wanted[k]
         k += hit
-        out.append((names, text, linked, hit))
+        out.append((path, text, linked, hit))
     if main and k != len(wanted):
         raise ValueError("a block of the main text is not in the page")
     return out

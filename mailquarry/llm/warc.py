@@ -113,7 +113,7 @@ def read_files(spark: SparkSession, folder: str) -> DataFrame:
     def run(batches):
         for batch in batches:
             for grp, part, content in zip(*(batch.column(c).to_pylist() for c in ("grp", "part", "content"))):
-                data = _unzip(content)
+                data, _ = unzipped(content)
                 rows = [(grp, part, page, a, b - a, hashlib.sha256(memoryview(data)[a:b]).hexdigest()) for page, a, b in read_records(data)]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), _KINDS)], _NAMES)
@@ -125,14 +125,78 @@ _NAMES = ["grp", "part", "page_id", "offset", "n_bytes", "record_sha256"]
 _KINDS = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
 
 
-def _unzip(data: bytes) -> bytes:
-    """All members of a gzip file."""
-    out = []
-    while data:
-        member = zlib.decompressobj(31)
-        out.append(member.decompress(data))
-        data = member.unused_data
-    return b"".join(out)
+MAGIC, SLICE, TRIED = b"\x1f\x8b\x08", 1 << 16, 4096
+
+
+def _member(data: bytes, at: int) -> tuple[list[bytes], int, bool]:
+    """What can be read of the gzip member at this place, where reading ended, and whether it ended as it should."""
+    out, member = [], zlib.decompressobj(31)
+    while not member.eof and at < len(data):
+        before = member.copy()
+        try:
+            out.append(member.decompress(data[at : at + SLICE]))
+            at += SLICE
+        except zlib.error:
+            # the slice anew, up to the damage
+            for to in range(at, at + SLICE, 16):
+                try:
+                    out.append(before.decompress(data[to : to + 16]))
+                except zlib.error:
+                    return out, to, False
+    return out, min(at, len(data)) - len(member.unused_data), member.eof
+
+
+def _next_member(data: bytes, at: int) -> int:
+    """Where the next member starts that can be read for a while; else the end."""
+    while (at := data.find(MAGIC, at)) >= 0:
+        try:
+            zlib.decompressobj(31).decompress(data[at : at + TRIED])
+            return at
+        except zlib.error:
+            at += 1
+    return len(data)
+
+
+def unzipped(data: bytes) -> tuple[bytes, list[tuple[int, int]]]:
+    """What can be read of all members of a gzip file, and the ranges of stored bytes that cannot. Behind a damaged member,
+    a member that is cut off, or bytes between members, reading goes on at the next start of one; of a damaged one what
+    stands before the damage is kept."""
+    out, bad, at = [], [], 0
+    while at < len(data):
+        read, end, sound = _member(data, at)
+        if not sound:
+            after = _next_member(data, at + 1)
+            # a member that is cut off runs into the next one
+            read, to, _ = _member(data[at:after], 0) if after < end else (read, end - at, False)
+            bad.append((min(at + to, after - 1), after))
+            end = after
+        out += read
+        at = end
+    return b"".join(out), bad
+
+
+def unreadable(spark: SparkSession, folder: str) -> DataFrame:
+    """(grp, part, first, behind) of the ranges of stored bytes in a replica's files that give no records."""
+
+    def run(batches):
+        for batch in batches:
+            for grp, part, content in zip(*(batch.column(c).to_pylist() for c in ("grp", "part", "content"))):
+                if found := unzipped(content)[1]:
+                    first, behind = zip(*found)
+                    n = len(found)
+                    yield pa.RecordBatch.from_arrays([pa.array([grp] * n, pa.int64()), pa.array([part] * n, pa.int32()), pa.array(first, pa.int64()), pa.array(behind, pa.int64())], [*FILE, "first", "behind"])
+
+    return _files(spark, folder).mapInArrow(run, "grp long, part int, first long, behind long")
+
+
+def audit_storage(spark: SparkSession, one: str, other: str) -> DataFrame:
+    """As audit(), of the files in two folders: a record that is lost from a file of the other of which a range cannot be read
+    is called unreadable."""
+    found = audit(*(cut(read_files(spark, x), "records") for x in (one, other)))
+    bad = unreadable(spark, other).select(F.col("grp").alias("g"), F.col("part").alias("p")).distinct().withColumn("bad", F.lit(True))
+    said = found.join(bad, F.col("grp").eqNullSafe(F.col("g")) & (F.col("part") == F.col("p")), "left")
+    fault = F.when(F.col("bad") & (F.col("fault") == "lost"), "unreadable").otherwise(F.col("fault"))
+    return said.withColumn("fault", fault).select(found.columns)
 
 
 def tree(records: DataFrame, levels: int = LEVELS) -> list[DataFrame]:
@@ -194,7 +258,7 @@ def damaged_copy(spark: SparkSession, folder: str, every: int = 97) -> str:
     def run(batches):
         for batch in batches:
             for grp, part, content in zip(*(batch.column(c).to_pylist() for c in ("grp", "part", "content"))):
-                data, out = _unzip(content), []
+                data, out = unzipped(content)[0], []
                 for page, a, b in read_records(data):
                     x, way = data[a:b], -1 if page is None else page % every
                     out.append({0: x[:-5] + (b"!" if x[-5:-4] != b"!" else b"?") + x[-4:], 1: b"", 2: x[:-9], 3: x + x}.get(way, x))
