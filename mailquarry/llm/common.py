@@ -40,6 +40,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 #: Folders that cut() has made and nothing has deleted yet, each with the configuration that reaches it.
 _MADE: dict[str, tuple] = {}
+#: Of the folders of bucketed(), the session and the name in its catalogue.
+_NAMED: dict[str, tuple[SparkSession, str]] = {}
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
@@ -68,6 +70,7 @@ def bucketed(df: DataFrame, key: str, buckets: int, name: str) -> DataFrame:
     path = new_folder(spark, name)
     called = path.rpartition("/")[2].replace("-", "_")
     df.repartition(buckets, key).write.format("parquet").bucketBy(buckets, key).option("path", path).saveAsTable(called)
+    _NAMED[path] = spark, called
     out = spark.table(called)
     out._cut_at = path
     return out
@@ -81,6 +84,9 @@ def drop_cut(*tables: DataFrame) -> None:
 
 def drop_folder(path: str) -> None:
     jvm, conf = _MADE.pop(path)
+    if path in _NAMED:
+        spark, called = _NAMED.pop(path)
+        spark.sql(f"DROP TABLE IF EXISTS {called}")
     at = jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(conf).delete(at, True)
 
@@ -99,6 +105,7 @@ def sweep() -> None:
             drop_folder(path)
         except Exception:  # noqa: BLE001  the JVM may be gone already
             _MADE.pop(path, None)
+            _NAMED.pop(path, None)
 
 
 atexit.register(sweep)

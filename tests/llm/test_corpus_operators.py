@@ -962,6 +962,16 @@ def digests(found):
     return suffixdedup.digests(found).collect()
 
 
+def test_no_table_is_left_in_the_catalogue(spark):
+    before = {t.name for t in spark.catalog.listTables()}
+    held = common.bucketed(spark.range(9).toDF("k"), "k", 2, "some-name")
+    assert held.count() == 9 and len(spark.catalog.listTables()) == len(before) + 1
+    common.drop_cut(held)
+    registry.QUERIES["op10_suffix_array_dedup"](spark, DATA).count()
+    common.sweep()
+    assert {t.name for t in spark.catalog.listTables()} == before
+
+
 def test_repeats_of_real_documents(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     got = {r[0]: tuple(r)[1:] for r in registry.QUERIES["op10_suffix_array_dedup"](spark, DATA).collect()}
