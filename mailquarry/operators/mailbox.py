@@ -13,8 +13,8 @@ from mailquarry.operators import retrieval as S
 def mailbox(messages: DataFrame, thread: str, position: str) -> DataFrame:
     """messages with `handle`, e1, e2, ..., and `thread_handle`, t1, t2, ..., in the order of threads and positions."""
     threads = R.handles(messages.select(thread).distinct().withColumn("_zero", F.lit(0)), thread, "_zero")
-    threads = threads.select(thread, F.concat(F.lit("t"), F.substring("handle", 2, 20)).alias("thread_handle"))
-    return R.handles(messages, thread, position).join(threads, thread)
+    threads = threads.select(F.col(thread).alias("_kt"), F.concat(F.lit("t"), F.substring("handle", 2, 20)).alias("thread_handle"))
+    return R.handles(messages, thread, position).join(threads, F.col(thread).eqNullSafe(F.col("_kt"))).drop("_kt")
 
 
 def number(handle: str) -> Column:
@@ -87,28 +87,31 @@ def like_any(rows: DataFrame, accepted: DataFrame, least: float) -> DataFrame:
     return rows.join(hits, "id", "left").select("id", ((F.size("toks") == 0) | F.coalesce("_hit", F.lit(False))).alias("duplicate"))
 
 
-def full_haystack(clues: DataFrame, corpus: DataFrame, cluster: DataFrame, excluded: DataFrame, noise: int, seed: int) -> DataFrame:
+def full_haystack(clues: DataFrame, corpus: DataFrame, cluster: DataFrame, excluded: DataFrame, noise: int, seed: int, short_ok: bool = False) -> DataFrame:
     """(case, place, thread, position, message_id, in_reply_to, clue): each case's archive, by date.
 
     clues (case, thread, position, message_id, in_reply_to, date) and corpus (thread, position, message_id, date) are messages.
     The threads of cluster (case, thread) and excluded (thread) stay out. Clue messages borrow real ids: those of the cluster
-    first, then those of whole threads that are pulled from the pool, which leave it; replies are linked anew. Too few ids are
-    an error. The pool is one seeded order of the corpus, of which only as many threads are met with a case as it may need."""
+    first, then those of whole threads that are pulled from the pool, which leave it; replies are linked anew. A thread without
+    ids has none to lend and stays in the pool. Too few ids are an error, and so are too few threads of noise unless short_ok.
+    The pool is one seeded order of the corpus without the excluded threads, of which only as many threads are met with a case
+    as it may need: the first ones, and the first of those that can lend."""
     h = lambda c: R.hash_order(c, seed)
     own = clues.select("case", "thread").distinct()
-    shut = cluster.select("case", "thread").union(own).union(clues.select("case").distinct().crossJoin(F.broadcast(excluded.select("thread").distinct()))).distinct()
+    shut = cluster.select("case", "thread").union(own).distinct()
     need = clues.groupBy("case").agg(F.count(F.lit(1)).alias("need"))
     most = shut.groupBy("case").count().agg(F.coalesce(F.max("count"), F.lit(0)).alias("m")).first()["m"]
     wanted = need.agg(F.coalesce(F.max("need"), F.lit(0)).alias("m")).first()["m"]
-    sizes = corpus.groupBy("thread").agg(F.count("message_id").alias("n"))
-    pool = sizes.orderBy(h(F.col("thread")), "thread").limit(noise + int(most) + int(wanted))
+    sizes = corpus.join(excluded.select("thread"), "thread", "left_anti").groupBy("thread").agg(F.count("message_id").alias("n"))
+    ordered = lambda x: x.orderBy(h(F.col("thread")), "thread")
+    pool = ordered(sizes).limit(noise + int(most) + int(wanted)).union(ordered(sizes.where("n > 0")).limit(int(most) + int(wanted))).distinct()
     from_cluster = cluster.join(corpus, "thread").where("message_id is not null")
     nth = F.row_number().over(Window.partitionBy("case").orderBy(h(F.col("message_id")), "message_id"))
     lent = from_cluster.withColumn("k", nth).join(need, "case").where("k <= need").select("case", "k", "message_id")
     short = need.join(lent.groupBy("case").agg(F.count(F.lit(1)).alias("have")), "case", "left").select("case", "need", F.coalesce("have", F.lit(0)).alias("have"))
     w = Window.partitionBy("case").orderBy(h(F.col("thread")), "thread")
     may = short.crossJoin(pool).join(shut, ["case", "thread"], "left_anti").withColumn("before", F.sum("n").over(w) - F.col("n"))
-    may = may.withColumn("pulled", F.col("before") < F.col("need") - F.col("have"))
+    may = may.withColumn("pulled", (F.col("n") > 0) & (F.col("before") < F.col("need") - F.col("have")))
     more = may.where("pulled").join(corpus.where("message_id is not null"), "thread")
     nth = F.row_number().over(Window.partitionBy("case").orderBy("before", h(F.col("thread")), "thread", "position")) + F.col("have")
     lent = lent.union(more.select("case", nth.alias("k"), "message_id"))
@@ -120,6 +123,10 @@ def full_haystack(clues: DataFrame, corpus: DataFrame, cluster: DataFrame, exclu
     clue_rows = given.select("case", "thread", "position", F.col("new").alias("message_id"), F.coalesce("to", "in_reply_to").alias("in_reply_to"), "date", F.lit(True).alias("clue"))
     nth = F.row_number().over(w)
     kept = may.where("not pulled").withColumn("k", nth).where(F.col("k") <= noise).select("case", "thread")
+    if not short_ok:
+        there = need.join(kept.groupBy("case").agg(F.count(F.lit(1)).alias("there")), "case", "left").select("case", F.coalesce("there", F.lit(0)).alias("there"))
+        lack = F.raise_error(F.concat(F.lit("the corpus is too small for the noise of case "), F.col("case").cast("string")))
+        clue_rows = clue_rows.join(there, "case").withColumn("clue", F.when(F.col("there") < noise, lack.cast("boolean")).otherwise(F.col("clue"))).drop("there")
     noise_rows = kept.join(corpus, "thread").select("case", "thread", "position", "message_id", F.lit(None).cast("string").alias("in_reply_to"), "date", F.lit(False).alias("clue"))
     both = clue_rows.union(noise_rows)
     first = F.min("date").over(Window.partitionBy("case", "thread"))

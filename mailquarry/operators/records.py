@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from mailquarry.functions import text as T
+from mailquarry.shared import written
 
 
 def signature(c: str, n: int = 240) -> Column:
@@ -85,15 +87,20 @@ def latest(df: DataFrame, keys: list[str], order: str) -> DataFrame:
 
 
 def handles(messages: DataFrame, thread: str, position: str) -> DataFrame:
-    """Message handles e1, e2, ... in the order of threads and positions. Threads are counted first, so that numbers within a
-    thread need only that thread."""
+    """Message handles e1, e2, ... in the order of threads and positions, null threads first. Threads are counted first, so that
+    numbers within a thread need only that thread. Whole numbers are put in order in blocks of 4,096; threads of other types in
+    ranges of a sorted table, which is written so that the ranges stay."""
     sizes = messages.groupBy(thread).agg(F.count(F.lit(1)).alias("_n"))
-    blocks = sizes.withColumn("_b", F.floor(F.col(thread) / 4096))
-    base = blocks.groupBy("_b").agg(F.sum("_n").alias("_m")).select("_b", (F.sum("_m").over(Window.orderBy("_b")) - F.col("_m")).alias("_base"))
+    if isinstance(messages.schema[thread].dataType, IntegralType):
+        blocks = sizes.withColumn("_b", F.floor(F.col(thread) / 4096))
+    else:
+        blocks, _ = written(sizes.repartitionByRange(F.col(thread).asc()).withColumn("_b", F.spark_partition_id().cast("long")), "threads")
+    base = blocks.groupBy("_b").agg(F.sum("_n").alias("_m")).select(F.col("_b").alias("_kb"), (F.sum("_m").over(Window.orderBy("_b")) - F.col("_m")).alias("_base"))
     inner = F.sum("_n").over(Window.partitionBy("_b").orderBy(thread)) - F.col("_n")
-    starts = blocks.withColumn("_in", inner).join(base, "_b").select(thread, (F.col("_base") + F.col("_in")).alias("_start"))
+    starts = blocks.withColumn("_in", inner).join(base, F.col("_b").eqNullSafe(F.col("_kb"))).select(F.col(thread).alias("_kt"), (F.col("_base") + F.col("_in")).alias("_start"))
     place = F.row_number().over(Window.partitionBy(thread).orderBy(position))
-    return messages.withColumn("_p", place).join(starts, thread).withColumn("handle", F.concat(F.lit("e"), (F.col("_start") + F.col("_p")).cast("string"))).drop("_p", "_start")
+    numbered_ = messages.withColumn("_p", place).join(starts, F.col(thread).eqNullSafe(F.col("_kt")))
+    return numbered_.withColumn("handle", F.concat(F.lit("e"), (F.col("_start") + F.col("_p")).cast("string"))).drop("_p", "_start", "_kt")
 
 
 def numbered(df: DataFrame, order: list, block: Column, out: str, keys: tuple[str, ...] = ()) -> DataFrame:
@@ -143,18 +150,6 @@ def distinct_searches(tokens: Column, limit: float = 0.8) -> Column:
     return F.size(F.aggregate(tokens, start, step))
 
 
-def accepted(topics: Column, quota: int, least: float) -> Column:
-    """The ids that a category takes, in order, of array<struct<pos,id,toks>>: those with words, below that similarity with all
-    taken before, until the quota is met."""
-    start = F.expr("cast(struct(array(), array()) as struct<ids: array<bigint>, kept: array<array<string>>>)")
-
-    def step(s, x):
-        new = (F.size(x["toks"]) > 0) & (F.size(s["ids"]) < quota) & F.forall(s["kept"], lambda k: T.jaccard(k, x["toks"]) < least)
-        return F.when(new, F.struct(F.concat(s["ids"], F.array(x["id"].cast("long"))).alias("ids"), F.concat(s["kept"], F.array(x["toks"])).alias("kept"))).otherwise(s)
-
-    return F.aggregate(topics, start, step)["ids"]
-
-
 def rewritten(df: DataFrame, rules: list[tuple[str, str]], texts: tuple[str, ...] = (), lists: tuple[str, ...] = ()) -> DataFrame:
     """Ordered rules over all text fields of records, and over the entries of list fields; nulls stay."""
     one = {c: F.when(F.col(c).isNotNull(), T.replace_all(F.col(c), rules)) for c in texts}

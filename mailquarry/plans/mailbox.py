@@ -7,6 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from mailquarry.functions import text as T
+from mailquarry.operators import choices as C
 from mailquarry.operators import mailbox as X
 from mailquarry.operators import models
 from mailquarry.operators import records as R
@@ -204,14 +205,15 @@ rows AS (SELECT g."case", g.thread, g.position, g.new AS message_id, coalesce(r.
 f AS (SELECT *, min(date) OVER (PARTITION BY "case", thread) AS first FROM rows)
 SELECT "case", CAST(row_number() OVER (PARTITION BY "case" ORDER BY first, thread, position) AS INT) AS place, thread, position, message_id, in_reply_to, clue FROM f""")
 def haystack_full(spark, d):
-    """Archives with the event's threads left out, clue messages under borrowed ids, replies linked anew, by date."""
+    """Archives with the event's threads left out, clue messages under borrowed ids, replies linked anew, by date. The smallest
+    tables have fewer threads than an archive's noise; then it takes all there are."""
     c = read(spark, d, "conversations").select(F.col("conv_id").alias("thread"), F.col("turn").alias("position"), F.concat(F.lit("m"), F.concat_ws("-", "conv_id", "turn")).alias("message_id"), F.format_string("2001-%02d-%02dT%02d", 1 + F.col("conv_id") % 12, 1 + F.col("conv_id") % 28, 9 + F.col("turn")).alias("date"))
     items = read(spark, d, "benchmark").select(F.col("item_id").alias("case"))
     name = lambda p: F.concat(F.lit("c"), F.concat_ws("-", "case", p.cast("string")))
     clues = items.withColumn("p", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
     clues = clues.select("case", (-1 - F.col("case") * 2 - (F.col("p") > 0).cast("int")).alias("thread"), F.greatest(F.col("p") - 1, F.lit(0)).cast("long").alias("position"), name(F.col("p")).alias("message_id"), F.when(F.col("p") == 2, name(F.lit(1))).alias("in_reply_to"), F.format_string("2001-%02d-15T%02d", 1 + F.col("case") % 12, 9 + F.col("p")).alias("date"))
     cluster = items.distinct().withColumn("thread", F.col("case") * 3)
-    return X.full_haystack(clues, c, cluster, c.where("thread % 17 = 0").select("thread"), 20, 11)
+    return X.full_haystack(clues, c, cluster, c.where("thread % 17 = 0").select("thread"), 20, 11, short_ok=True)
 
 
 @query(f"""WITH {_Q}{_MAIL_SCORES}, t AS (SELECT *, max(score) OVER (PARTITION BY qid) AS best, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, doc) AS rank FROM s WHERE score > 0),
@@ -250,9 +252,10 @@ FROM (SELECT f.*, t.item_id, t.k AS tk, t.toks, len(toks) > 0 AND len(ids) < 6 A
 SELECT category, array_to_string(ids, ',') AS accepted FROM f QUALIFY row_number() OVER (PARTITION BY category ORDER BY k DESC) = 1""")
 def accepted_topics(spark, d):
     """Up to six topics of each category, in order, none too like one taken before."""
-    b = read(spark, d, "benchmark").select("item_id", F.array_distinct(T.tokenize("text")).alias("toks"))
-    g = b.groupBy((F.col("item_id") % 4).alias("category")).agg(F.array_sort(F.collect_list(F.struct(F.col("item_id").alias("pos"), F.col("item_id").alias("id"), "toks"))).alias("t"))
-    return g.select("category", F.array_join(F.transform(R.accepted(F.col("t"), 6, 0.06), lambda x: x.cast("string")), ",").alias("accepted"))
+    topics = read(spark, d, "benchmark").select((F.col("item_id") % 4).alias("category"), F.col("item_id").alias("id"), F.array_distinct(T.tokenize("text")).alias("toks"))
+    ids = C.accepted(topics, 6, 0.06).groupBy("category").agg(F.array_sort(F.collect_list("id")).alias("ids"))
+    every = topics.select("category").distinct().join(ids, "category", "left")
+    return every.select("category", F.array_join(F.transform(F.coalesce("ids", F.array().cast("array<bigint>")), lambda x: x.cast("string")), ",").alias("accepted"))
 
 
 @query(f"""WITH x AS (SELECT doc_id, list_distinct({_TOKENS}) AS toks FROM documents), y AS (SELECT DISTINCT list_sort(list_distinct({_TOKENS})) AS toks, min(item_id) AS id FROM benchmark GROUP BY ALL),

@@ -2,20 +2,15 @@
 
 from __future__ import annotations
 
-import atexit
-import re
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mailquarry.plans.search import read
+from mailquarry.shared import scratch
 from mailquarry.sources import mail
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
-_MADE: list[tuple] = []
 
 
 def query(sql: str):
@@ -27,28 +22,6 @@ def query(sql: str):
     return add
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share; what is written there goes as the driver ends."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        named = f"file://{tempfile.mkdtemp(prefix='mailquarry-')}"
-    path = f"{named}/{name}-{uuid.uuid4().hex}"
-    _MADE.append((spark._jvm, spark._jsc.hadoopConfiguration(), path))
-    return path
-
-
-@atexit.register
-def _sweep() -> None:
-    for jvm, conf, path in _MADE:
-        try:
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(conf).delete(at, True)
-        except Exception:  # noqa: BLE001  the JVM may be gone already
-            return
-
-
 @query("SELECT doc_id, text, lang FROM documents")
 def jsonl_round_trip(spark, d):
     path = scratch(spark, "jsonl")
