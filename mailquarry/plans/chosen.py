@@ -8,6 +8,7 @@ from mailquarry.functions import text as T
 from mailquarry.operators import choices as C
 from mailquarry.operators import index as I
 from mailquarry.operators import mailbox as X
+from mailquarry.operators import rewriting as W
 from mailquarry.operators import retrieval as S
 from mailquarry.plans.search import _CLEAN, _Q, _SCORES, _TOP, _asks, _docs, read
 from mailquarry.shared import scratch
@@ -76,3 +77,16 @@ def loaded_mailbox_search(spark, d):
     hits = S.top_k(S.bm25_scores(box.select(X.number("handle").alias("doc"), T.tokenize("index_text").alias("tokens")), _asks(spark, d)), 12)
     named = hits.join(box.select(X.number("handle").alias("doc"), "handle", "thread_handle"), "doc")
     return named.select("qid", "handle", "thread_handle", F.round("score", 6).alias("score"), "rank")
+
+
+@query("""WITH RECURSIVE n AS (SELECT name, min(label) AS label, row_number() OVER (ORDER BY length(name) DESC, name) AS k
+ FROM (SELECT regexp_extract(text, '[A-Za-z0-9]+ [A-Za-z0-9]+') AS name, 'Person ' || item_id AS label FROM benchmark UNION ALL SELECT regexp_extract(text, '[A-Za-z0-9]{5,}'), 'Place ' || item_id FROM benchmark) WHERE name <> '' GROUP BY name),
+f AS (SELECT 0::BIGINT AS k, doc_id, text FROM documents UNION ALL SELECT n.k, doc_id, regexp_replace(text, '\\b' || regexp_escape(name) || '\\b', label, 'g') FROM f JOIN n ON n.k = f.k + 1)
+SELECT doc_id, text FROM f WHERE k = (SELECT count(*) FROM n)""")
+def names_rewritten(spark, d):
+    """Whole texts with the names of a table, here words of the passages, replaced in one scan; the SQL replaces one after the
+    other."""
+    b = read(spark, d, "benchmark")
+    part = lambda pattern, kind: b.select(F.regexp_extract("text", pattern, 0).alias("name"), F.concat(F.lit(f"{kind} "), F.col("item_id").cast("string")).alias("label"))
+    names = part("[A-Za-z0-9]+ [A-Za-z0-9]+", "Person").union(part("[A-Za-z0-9]{5,}", "Place"))
+    return W.with_names(read(spark, d, "documents").select("doc_id", "text"), names, "text")

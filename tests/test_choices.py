@@ -109,3 +109,39 @@ def test_handles_of_named_and_missing_threads(spark):
     assert {(r.thread, r.position): (r.handle, r.thread_handle) for r in box} == {r: (f"e{i}", f"t{threads.index(r[0]) + 1}") for i, r in enumerate(order, 1)}
     numbers = X.mailbox(spark.createDataFrame([(5, 0), (None, 0), (9000, 0)], "thread long, position int"), "thread", "position")
     assert {(r.thread, r.handle, r.thread_handle) for r in numbers.collect()} == {(None, "e1", "t1"), (5, "e2", "t2"), (9000, "e3", "t3")}
+
+
+def test_one_scan_is_one_replacement_after_the_other(spark):
+    import re
+
+    from mailquarry.operators import rewriting as W
+
+    rnd = random.Random(13)
+    names = [("".join(rnd.choice("ab_ ") for _ in range(rnd.randint(1, 6))).strip() or "a", f"<{i}>") for i in range(40)] + [("Ann Lee", "P1"), ("Lee", "P2"), ("Ann", "P3"), ("Lee Ann", "P4")]
+    names = list({n: (n, label) for n, label in reversed(names)}.values())
+    texts = ["".join(rnd.choice("ab_ .é") for _ in range(300)) for _ in range(30)] + ["Ann Lee Ann Leeds, Ann-Lee Ann", "", None]
+    order = sorted(names, key=lambda x: (-len(x[0]), x[0]))
+
+    def chain(text):
+        for n, label in order:
+            text = re.sub(rf"(?a:\b){re.escape(n)}(?a:\b)", label, text)
+        return text
+
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    table = spark.createDataFrame([*names, (None, "x"), ("", "y")], "name string, label string")
+    for most in (1 << 20, 60):
+        got = {r.i: r.text for r in W.with_names(df, table, "text", most=most).collect()}
+        assert got == {i: t if t is None else chain(t) for i, t in enumerate(texts)}
+    assert len(list(W.blocks(table, 60))) > 3 and W.with_names(df, table.limit(0), "text").columns == df.columns
+
+
+def test_scan_for_very_many_names():
+    import time
+
+    from mailquarry.operators import rewriting as W
+
+    machine = W.automaton([(f"name {i} of{i}", str(i)) for i in range(100_000)])
+    began = time.process_time()
+    text = " ".join(f"name {i} of{i} and" for i in range(0, 100_000, 3))
+    assert W.rewritten(text, machine) == " ".join(f"{i} and" for i in range(0, 100_000, 3))
+    assert time.process_time() - began < 5
