@@ -3,7 +3,7 @@
 Search is by the general pigeonhole principle: the bits are dealt into m groups of correlated bits with thresholds
 t_1..t_m that sum to tau - m + 1, each at least -1; two fingerprints within tau agree within t_i on some group i, else they
 would differ in at least sum(t_i + 1) = tau + 1 bits. m and the thresholds come from a dynamic program over the estimated
-cost of each group's probes and candidates. Each candidate is verified on all 64 bits, so the links are exact.
+cost of each group's probes and candidates, which are counted on a bounded sample of pairs. Each candidate is verified on all 64 bits, so the links are exact.
 
 Nulls and empty texts: no words, fingerprint zero, linked like any other. Equal texts share a fingerprint, which is searched
 for once however many rows have it. Rows with a null doc_id get a fingerprint and the smallest doc_id of their group, null
@@ -30,6 +30,8 @@ HOT = 256
 BLOCK = 2048
 #: Shingles hashed at a time, which bounds the memory for a very long text.
 SLICE = 1 << 16
+#: Fingerprints in the sample by which candidates are estimated.
+SAMPLE = 4096
 #: Relative cost of a row shuffled for a probe, in verified candidates.
 PROBE_COST = 30
 
@@ -108,20 +110,42 @@ def group_bits(n: int, together: np.ndarray, m: int) -> list[list[int]]:
     return groups
 
 
-def allocate(n: int, p: np.ndarray, groups: list[list[int]], tau: int = TAU) -> tuple[float, list[int]]:
-    """The least cost, and the thresholds of the groups that have it: a dynamic program over groups and what is left of
-    tau - m + 1. A group's cost at t is its probes and the expected pairs within t on its bits."""
-    m, most = len(groups), tau - len(groups) + 1
-    costs = []
+def sampled(distinct: DataFrame, most: int = SAMPLE) -> np.ndarray:
+    """At most `most` fingerprints, those with the least hashes: they serve to estimate costs and nothing else."""
+    rows = distinct.select("fp").orderBy(F.xxhash64(F.lit("sample"), "fp"), "fp").limit(most).collect()
+    return np.array([r.fp for r in rows], np.int64).view(np.uint64)
+
+
+def pairs_within(n: int, p: np.ndarray, groups: list[list[int]], sample: np.ndarray, tau: int = TAU) -> list[list[float]]:
+    """For each group and t from 0 to tau the expected pairs of n fingerprints that differ in at most t of the group's bits: the
+    share of such pairs in the sample, which sees how the bits depend on each other. Shares that the sample is too small to
+    show are those of bits that do not; a group of dependent bits has no fewer."""
+    out, pairs = [], n * (n - 1) / 2
     for group in groups:
-        within = np.ones(1)
+        apart = np.ones(1)
         for b in group:
             differ = 2 * p[b] * (1 - p[b])
-            within = np.convolve(within, [1 - differ, differ])
+            apart = np.convolve(apart, [1 - differ, differ])
+        least = np.cumsum(apart)
+        seen, mask = np.zeros(BITS + 1), np.uint64(sum(1 << b for b in group))
+        keys = sample & mask
+        for i in range(1, len(keys)):
+            seen += np.bincount(np.bitwise_count(keys[:i] ^ keys[i]), minlength=BITS + 1)
+        seen = np.cumsum(seen) / max(len(keys) * (len(keys) - 1) / 2, 1)
+        out.append([pairs * max(float(seen[t]), float(least[min(t, len(least) - 1)])) for t in range(tau + 1)])
+    return out
+
+
+def allocate(n: int, groups: list[list[int]], within: list[list[float]], tau: int = TAU) -> tuple[float, list[int]]:
+    """The least cost, and the thresholds of the groups that have it: a dynamic program over groups and what is left of
+    tau - m + 1. A group's cost at t is its probes and the candidates, the pairs within t on its bits."""
+    m, most = len(groups), tau - len(groups) + 1
+    costs = []
+    for group, pairs in zip(groups, within):
         cost, probes = {-1: 0.0}, 1
         for t in range(0, tau + 1):
             probes += 0 if t == 0 else len(list(combinations(range(len(group)), t))) / 2 if t <= 3 else 1e9
-            cost[t] = n * PROBE_COST * probes + within[: t + 1].sum() * n * n / 2 * probes
+            cost[t] = n * PROBE_COST * probes + pairs[t]
         costs.append(cost)
     best: dict[int, tuple[float, list[int]]] = {0: (0.0, [])}
     for cost in costs:
@@ -135,13 +159,13 @@ def allocate(n: int, p: np.ndarray, groups: list[list[int]], tau: int = TAU) ->
     return best[most]
 
 
-def plan(n: int, together: np.ndarray, tau: int = TAU) -> list[tuple[list[int], int]]:
+def plan(n: int, together: np.ndarray, sample: np.ndarray, tau: int = TAU) -> list[tuple[list[int], int]]:
     """The groups of bits and their thresholds, for the number of groups at which the estimated cost is least."""
     p = together.diagonal() / max(n, 1)
     options = []
     for m in range(2, tau + 2):
         groups = group_bits(n, together, m)
-        cost, thresholds = allocate(n, p, groups, tau)
+        cost, thresholds = allocate(n, groups, pairs_within(n, p, groups, sample, tau), tau)
         options.append((cost, m, [(g, t) for g, t in zip(groups, thresholds) if t >= 0]))
     return min(options)[2]
 
@@ -226,7 +250,7 @@ def links(distinct: DataFrame, tau: int = TAU, parts: list[tuple[list[int], int]
     n, together = bit_counts(distinct)
     if not n:
         return distinct.select(F.col("fp").alias("a"), F.col("fp").alias("b"))
-    parts = parts or plan(n, together, tau)
+    parts = parts or plan(n, together, sampled(distinct), tau)
     masks = [_bits(group) for group, _ in parts]
     base = distinct.select("fp", F.explode(_keys(parts, False)).alias("k")).select("k.part", "k.key", "fp")
     near = distinct.select("fp", F.explode(_keys(parts, True)).alias("k")).select("k.part", "k.key", "fp")

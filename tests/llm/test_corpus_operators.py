@@ -178,10 +178,34 @@ def test_thresholds_cover_the_distance():
         for m in range(2, 6):
             groups = simhash.group_bits(n, together, m)
             assert sorted(b for g in groups for b in g) == list(range(64))
-            _, ts = simhash.allocate(n, together.diagonal() / n, groups)
+            within = simhash.pairs_within(n, together.diagonal() / n, groups, np.zeros(0, np.uint64))
+            _, ts = simhash.allocate(n, groups, within)
             assert sum(ts) == simhash.TAU - m + 1 and min(ts) >= -1
 
 
+def test_candidates_of_dependent_bits_are_estimated_as_they_are():
+    """Twelve bits that are always equal: they are grouped, the estimate is near the truth, and the plan avoids them."""
+    import numpy as np
+
+    rnd = np.random.default_rng(3)
+    fps = rnd.integers(0, 1 << 63, 20_000, dtype=np.uint64)
+    same = sum(1 << b for b in range(0, 60, 5))
+    fps = np.unique(np.where(fps & np.uint64(1 << 62), fps | np.uint64(same), fps & ~np.uint64(same)))
+    bits = (fps[:, None] >> np.arange(64, dtype=np.uint64) & np.uint64(1)).astype(np.float64)
+    n, together, sample = len(fps), bits.T @ bits, fps[rnd.permutation(len(fps))[: simhash.SAMPLE]]
+    p = together.diagonal() / n
+    for m in (4, 5):
+        groups = simhash.group_bits(n, together, m)
+        assert any(sum(same >> b & 1 for b in g) == 12 for g in groups)
+        for group, pairs in zip(groups, simhash.pairs_within(n, p, groups, sample)):
+            keys, t = fps & np.uint64(sum(1 << b for b in group)), 0
+            counts = np.unique(keys, return_counts=True)[1].astype(np.float64)
+            truth = (counts * (counts - 1) / 2).sum()
+            assert truth / 2 <= pairs[t] <= max(2 * truth, n)
+    for group, t in simhash.plan(n, together, sample):
+        assert t < 1 or sum(same >> b & 1 for b in group) < 12 or len(group) > 20
+
+
 def test_components_of_paths_and_stars(spark):
     edges = [(i, i + 1) for i in range(100, 140)] + [(1000, i) for i in range(2000, 2300)] + [(7, 8), (8, 7), (9, 9)]
     got = {r.node: r.root for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
