@@ -3,9 +3,9 @@
 A rolling hash over the last 32 bytes cuts each text where its low bits are zero, so a passage that documents share falls
 into the same chunks wherever it stands. Encoded alone, the ends of two neighbouring chunks need not be what the whole text
 would give; at each join the window from the last point in the left chunk to the first in the right one at which chunk-wise
-and whole encoding must agree is encoded anew, as a chunk of its own. Such a point is a space between a visible ASCII
-character and an ASCII letter: the pre-tokenizer of byte-level BPE starts a piece there whatever stands around, and no piece
-crosses it. Where a chunk has no such point the window grows over it, at worst to the whole text. So the ids are exactly
+and whole encoding must agree is encoded anew, as a chunk of its own. Such a point is a space between characters that are
+no white space, of any script, or an East Asian stop behind a Chinese character: the pre-tokenizer of byte-level BPE starts a
+piece there whatever stands around, and no piece crosses it. Where a chunk has no such point the window grows over it, at worst to the whole text. So the ids are exactly
 those of the whole text, however it is cut.
 
 Chunks are shared by all documents of a corpus. A first scan counts their 128-bit hashes, combined in each task before they
@@ -70,12 +70,47 @@ def cut_points(data: np.ndarray, bits: int = CHUNK_BITS) -> np.ndarray:
     return np.flatnonzero(h >> np.uint32(32 - bits) == 0) + 1
 
 
+#: White space beyond ASCII, as UTF-8.
+_SPACES = [chr(c).encode() for c in (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
+#: Full stops and commas of East Asian scripts, as UTF-8.
+_STOPS = [c.encode() for c in "、。！，：；？"]
+
+
+def _at(data: np.ndarray, what: list[bytes]) -> np.ndarray:
+    """Whether one of these byte strings starts at each place."""
+    out = np.zeros(len(data), bool)
+    for w in what:
+        hit = data == w[0]
+        if hit.any():
+            for i, byte in enumerate(w[1:], 1):
+                hit[:-i] &= data[i:] == byte
+                hit[-i:] = False
+            out |= hit
+    return out
+
+
 def safe_points(data: np.ndarray) -> np.ndarray:
-    """Where a piece of the pre-tokenizer starts in any context."""
+    """Where a piece of the pre-tokenizer starts in any context: at a space between characters that are no white space, since
+    no piece goes on over it and it leads the piece behind it; and at an East Asian stop behind a Chinese character, since a
+    run of letters ends there."""
     if len(data) < 3:
         return np.zeros(0, np.int64)
-    before, after = data[:-2], data[2:] | 0x20
-    return np.flatnonzero((data[1:-1] == 0x20) & (before > 0x20) & (before < 0x7F) & (after >= 0x61) & (after <= 0x7A)) + 1
+    spaces = np.flatnonzero(data[1:-1] == 0x20) + 1
+    before, after = data[spaces - 1], data[spaces + 1]
+    good = (before > 0x20) & (before != 0x7F) & (after > 0x20) & (after != 0x7F)
+    if data.max() < 0x80:
+        return spaces[good]
+    starts = _at(data, _SPACES)
+    good &= ~starts[spaces + 1]
+    for size in (2, 3):
+        back = spaces - size
+        ends = _at(data, [w for w in _SPACES if len(w) == size])
+        good &= ~((back >= 0) & ends[np.maximum(back, 0)])
+    stops = np.flatnonzero(_at(data, _STOPS))
+    lead = data[np.maximum(stops - 3, 0)]
+    # U+5000 to U+8FFF are letters throughout
+    stops = stops[(stops >= 3) & (lead >= 0xE5) & (lead <= 0xE8)]
+    return np.sort(np.concatenate((spaces[good], stops)))
 
 
 def segments(data: bytes, bits: int = CHUNK_BITS) -> list[tuple[int, int]]:

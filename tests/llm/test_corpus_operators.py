@@ -665,6 +665,27 @@ def test_bpe_cut_anywhere(library):
         assert ids.tolist() == want and codec.decode(ids.astype(np.int64)) == library.decode(want, skip_special_tokens=False)
 
 
+@pytest.mark.parametrize("signs", ["абвгд ежз", "漢字明日学校，。、！", "ab  cd 　 e", "é à ü 1 2 . '", "  x y z", "a\x1c b\x7f c\x85 d", "１２ 三四，五", " 😀 ok's it's"])
+def test_bpe_cut_anywhere_in_any_script(library, signs):
+    codec, rnd = bpe.Codec(bpe.tokenizer_path()), random.Random(2)
+    for n in (30, 400, 4000):
+        for _ in range(6):
+            text = "".join(rnd.choice(signs) for _ in range(n))
+            want = library.encode(text, add_special_tokens=False).ids
+            assert all(codec.encode([text.encode()], bits)[0].tolist() == want for bits in (3, 6, 11))
+
+
+def test_texts_of_any_script_have_chunks_to_share():
+    rnd = random.Random(2)
+    word = lambda a: "".join(rnd.choice(a) for _ in range(6))
+    for text in ("，".join(word("明日学校人大小中国") for _ in range(3000)), " ".join(word("абвгдежз") for _ in range(5000))):
+        passage = text.encode()
+        a, b = bpe.segments(passage), bpe.segments("другое 始 начало ".encode() + passage[120:])
+        assert len(a) > 40 and len({passage[x:y] for x, y in a}) > 40
+        cut = lambda t: {t[x:y] for x, y in bpe.segments(t)}
+        assert sum(map(len, cut(passage) & cut("другое 始 начало ".encode() + passage[120:]))) > 0.7 * len(passage) and b
+
+
 def test_both_implementations_read_characters_alike(library):
     quick = bpe.Codec(bpe.tokenizer_path()).quick
     for x in range(0x250):
