@@ -139,17 +139,6 @@ def fit_budget(items: Column, budget: int) -> Column:
     return F.aggregate(items, start, step)["kept"]
 
 
-def distinct_searches(tokens: Column, limit: float = 0.8) -> Column:
-    """How many of the token sets, in order, are below the limit against every one kept before."""
-    start = F.expr("cast(array() as array<array<string>>)")
-
-    def step(kept, t):
-        new = (F.size(t) > 0) & F.forall(kept, lambda k: T.jaccard(k, t) < limit)
-        return F.when(new, F.concat(kept, F.array(t))).otherwise(kept)
-
-    return F.size(F.aggregate(tokens, start, step))
-
-
 def rewritten(df: DataFrame, rules: list[tuple[str, str]], texts: tuple[str, ...] = (), lists: tuple[str, ...] = ()) -> DataFrame:
     """Ordered rules over all text fields of records, and over the entries of list fields; nulls stay."""
     one = {c: F.when(F.col(c).isNotNull(), T.replace_all(F.col(c), rules)) for c in texts}

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from mailquarry.functions import text as T
 from mailquarry.operators import measures as M
-from mailquarry.operators import records as R
+from mailquarry.operators import rules as U
 from mailquarry.plans.search import _ASCII, _STOP, read, spread
 
 QUERIES: dict = {}
@@ -85,26 +85,28 @@ def coverage_remaining(spark, d):
     return _log(spark, d).groupBy("user_id").agg((10 - F.countDistinct(F.when(F.col("tool") == "SEGMENT", F.col("k") % 10))).alias("left_over"))
 
 
-@query(f"""WITH {_LOG}, w AS (SELECT *, sum(CASE WHEN tool IN ('LIST', 'SEARCH', 'READ') THEN 1 ELSE 0 END) OVER p AS used, sum(CASE WHEN tool IN ('SEARCH', 'READ') THEN 1 ELSE 0 END) OVER p AS credit,
+@query(f"""WITH {_LOG}, w AS (SELECT *, sum(CASE WHEN tool IN ('LIST', 'SEARCH', 'READ') THEN 1 ELSE 0 END) OVER p AS used, sum(CASE WHEN tool = 'READ' THEN 1 ELSE 0 END) OVER p + count(DISTINCT CASE WHEN tool = 'SEARCH' THEN k END) OVER p AS credit,
 lag(tool) OVER q AS last, lag(k) OVER q AS hits FROM log WINDOW q AS (PARTITION BY user_id ORDER BY event_id), p AS (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING))
 SELECT user_id, event_id, CASE WHEN used < 40 AND credit < 3 THEN 'investigate' WHEN used < 40 AND coalesce(last = 'SEARCH' AND hits > 0, false) THEN 'unread' WHEN value < 5 THEN 'scan' ELSE 'accepted' END AS verdict FROM w WHERE tool = 'ANSWER'""")
 def answer_gate(spark, d):
+    """When an answer is taken; a search's only word is its number."""
     q = Window.partitionBy("user_id").orderBy("event_id")
     p = q.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    log = _log(spark, d)
-    log = log.withColumn("used", F.sum(F.col("tool").isin("LIST", "SEARCH", "READ").cast("int")).over(p)).withColumn("credit", F.sum(F.col("tool").isin("SEARCH", "READ").cast("int")).over(p)).withColumn("last", F.lag("tool").over(q)).withColumn("hits", F.lag("k").over(q))
-    free = F.col("used") < 40
-    verdict = F.when(free & (F.col("credit") < 3), "investigate").when(free & F.coalesce((F.col("last") == "SEARCH") & (F.col("hits") > 0), F.lit(False)), "unread").when(F.col("value") < 5, "scan").otherwise("accepted")
+    log = _log(spark, d).withColumn("used", F.sum(F.col("tool").isin("LIST", "SEARCH", "READ").cast("int")).over(p)).withColumn("last", F.lag("tool").over(q)).withColumn("hits", F.lag("k").over(q))
+    log = U.with_credit(log, "user_id", "event_id", "tool", F.when(F.col("k").isNotNull(), F.array(F.col("k").cast("string"))))
+    verdict = F.coalesce(U.too_early(F.col("used"), 40, F.col("credit"), 3, F.col("last"), F.col("hits")), F.when(F.col("value") < 5, "scan"), F.lit("accepted"))
     return log.where("tool = 'ANSWER'").select("user_id", "event_id", verdict.alias("verdict"))
 
 
-@query(f"""WITH RECURSIVE t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k, list_distinct(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+')) AS toks FROM conversations WHERE role = 'user'),
-f AS (SELECT DISTINCT conv_id, 0::BIGINT AS k, []::VARCHAR[][] AS kept FROM t
-UNION ALL SELECT f.conv_id, t.k, CASE WHEN len(toks) > 0 AND len(list_filter(kept, lambda o: len(list_intersect(o, toks))::DOUBLE / (len(o) + len(toks) - len(list_intersect(o, toks))) >= 0.8)) = 0 THEN list_append(kept, toks) ELSE kept END FROM f JOIN t ON f.conv_id = t.conv_id AND t.k = f.k + 1)
-SELECT conv_id, CAST(len(kept) AS INT) AS credit FROM f QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY k DESC) = 1""")
+@query(f"""WITH RECURSIVE t AS (SELECT conv_id, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k, list_distinct(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+')) AS toks FROM conversations),
+f AS (SELECT DISTINCT conv_id, 0::BIGINT AS k, 0 AS reads, []::VARCHAR[][] AS kept FROM t
+UNION ALL SELECT f.conv_id, t.k, reads + (role = 'assistant')::INT, CASE WHEN role = 'user' AND len(toks) > 0 AND len(list_filter(kept, lambda o: len(list_intersect(o, toks))::DOUBLE / (len(o) + len(toks) - len(list_intersect(o, toks))) >= 0.8)) = 0 THEN list_append(kept, toks) ELSE kept END FROM f JOIN t ON f.conv_id = t.conv_id AND t.k = f.k + 1)
+SELECT conv_id, CAST(reads + len(kept) AS INT) AS credit FROM f QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY k DESC) = 1""")
 def greedy_credit(spark, d):
-    c = read(spark, d, "conversations").where("role = 'user'").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", T.query_tokens("text").alias("t")))).alias("s"))
-    return c.select("conv_id", R.distinct_searches(F.transform("s", lambda x: x["t"])).alias("credit"))
+    """Credit of dialogues as sessions: a user's turn is a search for it, an assistant's a read."""
+    tool = F.when(F.col("role") == "user", "SEARCH").when(F.col("role") == "assistant", "READ")
+    log = read(spark, d, "conversations").select("conv_id", "turn", tool.alias("tool"), T.query_tokens("text").alias("toks"))
+    return U.with_credit(log, "conv_id", "turn", "tool", F.col("toks")).groupBy("conv_id").agg(F.max_by("credit", "turn").alias("credit"))
 
 
 # ---- scores

@@ -12,6 +12,7 @@ from mailquarry.operators import mailbox as X
 from mailquarry.operators import models
 from mailquarry.operators import records as R
 from mailquarry.operators import retrieval as S
+from mailquarry.operators import rules as U
 from mailquarry.plans.evaluation import _LOG, _log
 from mailquarry.plans.search import _Q, _SCORES, _SPACE, _TOKENS, _TOP, _token_sets, planted, planted_sql, read, spread
 from mailquarry.sources import mail
@@ -158,7 +159,7 @@ _CANDIDATES = """CASE event_id % 6 WHEN 0 THEN '[]' WHEN 1 THEN '[{"secret": " s
  WHEN 3 THEN '[{"secret": " ", "evidence_email_ids": []}]' WHEN 4 THEN '[{"secret": "s", "evidence_email_ids": [' || k || ']}]' ELSE '{"secret": "s"}' END"""
 
 
-@query(f"""WITH {_LOG}, w AS (SELECT *, sum(CASE WHEN tool IN ('LIST', 'SEARCH', 'READ') THEN 1 ELSE 0 END) OVER p AS used, sum(CASE WHEN tool IN ('SEARCH', 'READ') THEN 1 ELSE 0 END) OVER p AS credit, lag(tool) OVER q AS last, lag(k) OVER q AS hits,
+@query(f"""WITH {_LOG}, w AS (SELECT *, sum(CASE WHEN tool IN ('LIST', 'SEARCH', 'READ') THEN 1 ELSE 0 END) OVER p AS used, sum(CASE WHEN tool = 'READ' THEN 1 ELSE 0 END) OVER p + count(DISTINCT CASE WHEN tool = 'SEARCH' THEN k END) OVER p AS credit, lag(tool) OVER q AS last, lag(k) OVER q AS hits,
  10 - len(list_distinct(list(CASE WHEN tool = 'SEGMENT' THEN k % 10 END) OVER p)) AS left_over FROM log WINDOW q AS (PARTITION BY user_id ORDER BY event_id), p AS (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING))
 SELECT user_id, event_id, CASE event_id % 6 WHEN 5 THEN 'not a list' WHEN 2 THEN 'count' WHEN 3 THEN 'no secret' WHEN 4 THEN 'evidence' ELSE
  CASE WHEN used < 40 AND credit < 3 THEN 'investigate' WHEN used < 40 AND coalesce(last = 'SEARCH' AND hits > 0, false) THEN 'unread' WHEN event_id % 6 = 0 AND left_over > 0 THEN 'scan ' || left_over ELSE 'accepted' END END AS verdict,
@@ -168,22 +169,15 @@ def submit_candidates(spark, d):
     investigation and unread results unless the budget is spent; and for an empty answer, forced or not, the whole scan."""
     q = Window.partitionBy("user_id").orderBy("event_id")
     p = q.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    log = _log(spark, d)
-    log = log.withColumn("used", F.sum(F.col("tool").isin("LIST", "SEARCH", "READ").cast("int")).over(p)).withColumn("credit", F.sum(F.col("tool").isin("SEARCH", "READ").cast("int")).over(p)).withColumn("last", F.lag("tool").over(q)).withColumn("hits", F.lag("k").over(q))
-    log = log.withColumn("left_over", 10 - F.size(F.collect_set(F.when(F.col("tool") == "SEGMENT", F.col("k") % 10)).over(p))).where("tool = 'ANSWER'").withColumn("said", F.expr(_CANDIDATES.replace("|| k ||", "|| cast(k as string) ||")))
-    v = F.try_parse_json("said")
-    kind = lambda path: F.regexp_extract(F.schema_of_variant(F.try_variant_get(v, path, "variant")), "^[A-Z]+", 0)
-    n = F.when(kind("$") == "ARRAY", F.size(F.try_variant_get(v, "$", "array<variant>")))
-    secret = F.when(kind("$[0].secret") == "STRING", F.trim(F.try_variant_get(v, "$[0].secret", "string")))
-    listed = F.try_variant_get(v, "$[0].evidence_email_ids", "array<variant>")
-    sound = listed.isNull() | F.forall(listed, lambda x: F.schema_of_variant(x) == "STRING")
-    free = F.col("used") < 40
-    verdict = F.when(n.isNull(), "not a list").when(n > 1, "count").when((n == 1) & (F.coalesce(secret, F.lit("")) == ""), "no secret").when((n == 1) & ~sound, "evidence")
-    verdict = verdict.when(free & (F.col("credit") < 3), "investigate").when(free & F.coalesce((F.col("last") == "SEARCH") & (F.col("hits") > 0), F.lit(False)), "unread")
-    verdict = verdict.when((n == 0) & (F.col("left_over") > 0), F.concat(F.lit("scan "), F.col("left_over").cast("string"))).otherwise("accepted")
-    out = log.select("user_id", "event_id", verdict.alias("verdict"), secret.alias("secret"))
-    bad = F.col("verdict").isin("not a list", "count", "no secret", "evidence")
-    return out.select("user_id", "event_id", "verdict", F.when(bad, "").otherwise(F.coalesce("secret", F.lit(""))).alias("secret"))
+    log = _log(spark, d).withColumn("used", F.sum(F.col("tool").isin("LIST", "SEARCH", "READ").cast("int")).over(p)).withColumn("last", F.lag("tool").over(q)).withColumn("hits", F.lag("k").over(q))
+    log = log.withColumn("left_over", 10 - F.size(F.collect_set(F.when(F.col("tool") == "SEGMENT", F.col("k") % 10)).over(p)))
+    log = U.with_credit(log, "user_id", "event_id", "tool", F.when(F.col("k").isNotNull(), F.array(F.col("k").cast("string"))))
+    log = log.where("tool = 'ANSWER'").withColumn("said", F.expr(_CANDIDATES.replace("|| k ||", "|| cast(k as string) ||"))).withColumn("fault", U.misshapen(F.col("said"), 1))
+    said = U.candidates(F.col("said"))
+    scan = F.when((F.size(said) == 0) & (F.col("left_over") > 0), F.concat(F.lit("scan "), F.col("left_over").cast("string")))
+    verdict = F.coalesce("fault", U.too_early(F.col("used"), 40, F.col("credit"), 3, F.col("last"), F.col("hits")), scan, F.lit("accepted"))
+    secret = F.when(F.col("fault").isNull(), U.secret_of(F.get(said, 0)))
+    return log.select("user_id", "event_id", verdict.alias("verdict"), F.coalesce(secret, F.lit("")).alias("secret"))
 
 
 # ---- assembly

@@ -95,9 +95,25 @@ def test_a_small_item_may_follow_one_that_did_not_fit(spark):
     assert spark.range(1).select(R.fit_budget(items, 100)).first()[0] == [0, 2, 3]
 
 
-def test_searches_like_an_earlier_kept_one_do_not_count(spark):
-    said = F.array(*[F.array(*map(F.lit, s)) for s in ("abcde", "abcde", "abcdx", "xyz")], F.array().cast("array<string>"))
-    assert spark.range(1).select(R.distinct_searches(said)).first()[0] == 3
+def test_credit_counts_every_read_and_searches_unlike_those_before(spark):
+    from mailquarry.operators import rules as U
+
+    events = [("SEARCH", "abcde"), ("READ", ""), ("SEARCH", "abcde"), ("SEARCH", "abcdx"), ("READ", ""), ("SEARCH", ""), ("LIST", ""), ("SEARCH", "xyz"), (None, "")]
+    log = spark.createDataFrame([(1, i, tool, list(words)) for i, (tool, words) in enumerate(events)] + [(2, 0, "LIST", [])], "s int, i int, tool string, w array<string>")
+    got = sorted((r.s, r.i, r.credit) for r in U.with_credit(log, "s", "i", "tool", F.col("w")).collect())
+    assert got == [(1, i, c) for i, c in enumerate([1, 2, 2, 3, 4, 4, 4, 5, 5])] + [(2, 0, 0)]
+
+
+def test_answers_of_several_candidates(spark):
+    import json
+
+    from mailquarry.operators import rules as U
+
+    good, blank, odd = {"secret": " a "}, {"secret": " "}, {"secret": "b", "evidence_email_ids": [1]}
+    cases = [([good, good], None), ([good], "count"), ([], None), ([good, blank], "no secret"), ([odd, blank], "evidence"), ([good, {"secret": "b", "evidence_email_ids": "e1"}], "evidence"), ({"secret": "a"}, "not a list"), ([1, 2], "no secret"), ([good, {"secret": "b", "evidence_email_ids": ["e1"]}], None)]
+    df = spark.createDataFrame([(i, json.dumps(x)) for i, (x, _) in enumerate(cases)] + [(99, "no json"), (100, None)], "i int, said string")
+    got = {r.i: r.f for r in df.select("i", U.misshapen(F.col("said"), 2).alias("f")).collect()}
+    assert got == {**{i: f for i, (_, f) in enumerate(cases)}, 99: "not a list", 100: "not a list"}
 
 
 def test_two_readings_of_evidence(spark):
