@@ -383,18 +383,28 @@ def anonymize_records(spark, d):
 #: Log samples made of orders, in expressions that both engines read.
 _SAMPLE = {
     "values": "CASE WHEN o_orderkey % 3 = 0 THEN '{\"final\": ' || o_custkey || ', \"clue_recall\": 0.5}' END",
-    "details": "CASE WHEN o_orderkey % 5 <> 0 THEN '{\"budget\": 7, \"clue_recall\": 0.25, \"secret\": \"' || o_orderpriority || '\"}' ELSE '{}' END",
-    "metadata": "CASE WHEN o_orderkey % 2 = 0 THEN '{\"config\": \"com\", \"budget\": 9}' ELSE '{}' END",
-    "store": "'{\"config\": \"stored\", \"budget\": 11, \"turns\": ' || (o_orderkey % 4) || '}'",
+    "details": "CASE WHEN o_orderkey % 5 <> 0 THEN '{\"budget\": 7, \"n_search\": ' || (o_orderkey % 9) || ', \"n_clues_total\": 3, \"budget_hit\": 1, \"clue_recall\": 0.25, \"secret\": \"' || o_orderpriority || '\"}' ELSE '{}' END",
+    "metadata": "CASE WHEN o_orderkey % 2 = 0 THEN '{\"config\": \"com\", \"budget\": 9, \"topic\": \"W1\", \"rep\": 2, \"n_clues\": 4}' ELSE '{}' END",
+    "store": "'{\"config\": \"stored\", \"budget\": 11, \"tester_chars\": 5, \"budget_hit\": ' || CASE WHEN o_orderkey % 7 = 0 THEN 'true' ELSE 'false' END || ', \"turns\": ' || (o_orderkey % 4) || '}'",
     "answer": "o_orderstatus",
+    "total_time": "CASE WHEN o_orderkey % 4 <> 1 THEN CAST(o_custkey % 1000 AS DOUBLE) / 8 END",
 }
 _SAMPLE_SQL = f"SELECT o_orderkey, {', '.join(f'{x} AS {chr(34)}{name}{chr(34)}' for name, x in _SAMPLE.items())} FROM orders"
 
 
-@query(f"""SELECT o_orderkey, coalesce(metadata ->> '$.config', store ->> '$.config') AS config, coalesce("values" ->> '$.final', '') AS final, coalesce(metadata ->> '$.budget', details ->> '$.budget', store ->> '$.budget') AS budget,
-coalesce("values" ->> '$.clue_recall', details ->> '$.clue_recall', '') AS clue_recall, coalesce(details ->> '$.turns', store ->> '$.turns') AS turns, substr(coalesce(details ->> '$.secret', answer, ''), 1, 400) AS secret FROM ({_SAMPLE_SQL})""")
+def _rows_sql() -> str:
+    place = lambda p, name: f"{chr(34)}{p.partition(':')[0]}{chr(34)} ->> '$.{p.partition(':')[2] or name}'"
+    columns = {name: f"coalesce({', '.join([*[place(p, name) for p in places], repr(mail.WITHOUT.get(name, ''))])})" for name, places in mail.LADDER.items()}
+    columns["budget_hit"] = "coalesce(details ->> '$.budget_hit', CASE WHEN store ->> '$.budget_hit' = 'true' THEN '1' ELSE '0' END)"
+    columns["latency_s"] = "coalesce(CAST(round(total_time, 3) AS VARCHAR), '')"
+    columns["secret"] = "substr(coalesce(details ->> '$.secret', answer, ''), 1, 400)"
+    return f"SELECT o_orderkey, {', '.join(f'{x} AS {name}' for name, x in columns.items())} FROM ({_SAMPLE_SQL})"
+
+
+@query(_rows_sql())
 def evaluation_rows(spark, d):
-    """Log samples as flat rows: each column from the first place that has it, scores, their details, the sample, the store."""
+    """Log samples as flat rows of all 25 columns: each from the first place that has it, scores, their details, the sample, the
+    store."""
     samples = read(spark, d, "orders").select("o_orderkey", *[F.expr(x).alias(name) for name, x in _SAMPLE.items()])
     return mail.flat_rows(samples, "o_orderkey")
 

@@ -114,25 +114,38 @@ def load_topics(spark: SparkSession, path: str) -> DataFrame:
 
 
 def rows_from_logs(spark: SparkSession, path: str) -> DataFrame:
-    """Evaluation rows of logs as JSON lines (sample, epoch, logged, values, details, metadata, store, answer; the four as JSON
-    texts): the latest of each sample and epoch."""
-    rows = spark.read.schema("sample string, epoch int, logged string, values string, details string, metadata string, store string, answer string").json(path)
-    last = rows.groupBy("sample", "epoch").agg(F.max_by(F.struct("values", "details", "metadata", "store", "answer"), "logged").alias("r")).select("sample", "epoch", "r.*")
+    """Evaluation rows of logs as JSON lines (sample, epoch, logged, values, details, metadata, store, answer, total_time; the four
+    as JSON texts): the latest of each sample and epoch."""
+    parts = ["values", "details", "metadata", "store", "answer"]
+    rows = spark.read.schema(f"sample string, epoch int, logged string, {', '.join(f'{p} string' for p in parts)}, total_time double").json(path)
+    last = rows.groupBy("sample", "epoch").agg(F.max_by(F.struct(*parts, "total_time"), "logged").alias("r")).select("sample", "epoch", "r.*")
     return flat_rows(last, "sample", "epoch")
 
 
-#: Column of an evaluation row: the places that may have it, in order.
+#: Columns of an evaluation row, in their fixed order, and the places that may have each, first to last; none for one that
+#: controls fill. Names and order are those of the result files.
 LADDER = {
-    "config": ("metadata", "store"), "final": ("values",), "budget": ("metadata", "details", "store"), "clue_recall": ("values", "details"), "turns": ("details", "store"),
+    "config": ("metadata", "store"), "topic": ("metadata", "store"), "control": (), "rep": ("metadata",), "budget": ("metadata", "details", "store"),
+    "found": ("values",), "secret_match": ("values",), "ev_recall": ("values",), "ev_precision": ("values",), "final": ("values",), "false_positive": (),
+    "n_tool_calls": ("details",), "n_search": ("details",), "n_read": ("details",), "n_emails_opened": ("details",), "n_redundant_reads": ("details",),
+    "n_clues_total": ("details", "metadata:n_clues"), "n_clues_read": ("details",), "clue_recall": ("values", "details"), "turns": ("details", "store"), "budget_hit": ("details",),
+    "certified": (), "latency_s": (), "tester_chars": ("details", "store"), "secret": (),
 }
+#: What a column has where no place has it, if that is not blank.
+WITHOUT = {"control": "0", "rep": "0"}
 
 
 def flat_rows(samples: DataFrame, *keys: str, ladder: dict[str, tuple[str, ...]] = LADDER) -> DataFrame:
-    """Samples, whose values, details, metadata and store are JSON texts, as flat rows: a column is blank where no place has it.
-    The secret is that of the details, else the answer, 400 characters of it."""
-    at = lambda place, name: F.get_json_object(place, f"$.{name}")
-    columns = [F.coalesce(*[at(p, name) for p in places], F.lit("")).alias(name) for name, places in ladder.items()]
-    return samples.select(*keys, *columns, F.substring(F.coalesce(at("details", "secret"), "answer", F.lit("")), 1, 400).alias("secret"))
+    """Samples, whose values, details, metadata and store are JSON texts, as flat rows of texts: a column is blank where no place
+    has it. The secret is that of the details, else the answer, 400 characters of it. Whether the budget was hit is 1 or 0;
+    total_time, a number of seconds, is rounded to three decimals."""
+    at = lambda place, name: F.get_json_object(place.partition(":")[0], f"$.{place.partition(':')[2] or name}")
+    columns = {name: F.coalesce(*[at(p, name) for p in places], F.lit(WITHOUT.get(name, ""))) for name, places in ladder.items()}
+    hit = F.coalesce(at("store", "budget_hit"), F.lit("")).isin("true", "1")
+    columns["budget_hit"] = F.coalesce(at("details", "budget_hit"), hit.cast("int").cast("string"))
+    columns["latency_s"] = F.coalesce(F.round("total_time", 3).cast("string"), F.lit(""))
+    columns["secret"] = F.substring(F.coalesce(at("details", "secret"), "answer", F.lit("")), 1, 400)
+    return samples.select(*keys, *[c.alias(name) for name, c in columns.items()])
 
 
 def metrics(df: DataFrame, column: str) -> DataFrame:
