@@ -10,9 +10,11 @@ from mailquarry.operators import index as I
 from mailquarry.operators import mailbox as X
 from mailquarry.operators import rewriting as W
 from mailquarry.operators import retrieval as S
+from mailquarry.plans.evaluation import _LOG, _log
 from mailquarry.plans.search import _CLEAN, _Q, _SCORES, _TOP, _asks, _docs, read
 from mailquarry.shared import scratch
 from mailquarry.sources import mail
+from mailquarry.streaming import restored
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -90,3 +92,17 @@ def names_rewritten(spark, d):
     part = lambda pattern, kind: b.select(F.regexp_extract("text", pattern, 0).alias("name"), F.concat(F.lit(f"{kind} "), F.col("item_id").cast("string")).alias("label"))
     names = part("[A-Za-z0-9]+ [A-Za-z0-9]+", "Person").union(part("[A-Za-z0-9]{5,}", "Place"))
     return W.with_names(read(spark, d, "documents").select("doc_id", "text"), names, "text")
+
+
+@query(f"""WITH {_LOG} SELECT user_id, count(*) AS calls, count(*) FILTER (tool IN ('LIST', 'SEARCH', 'READ')) AS used, count(DISTINCT CASE WHEN tool = 'READ' THEN k END) AS opened,
+count(*) FILTER (tool IN ('LIST', 'SEARCH', 'READ')) >= 40 AS exhausted, max(event_id) AS last_call FROM log GROUP BY user_id""")
+def stream_restored(spark, d):
+    """The log as a stream in which every third call comes twice, stopped midway and started again from its state. The stream runs
+    as the query is planned."""
+    log = _log(spark, d).select("user_id", "event_id", "tool", "k")
+    at = scratch(spark, "restored")
+    half = F.col("event_id") % 2 == 0
+    for part in (log.where(half), log.where(~half).union(log.where("event_id % 3 = 0"))):
+        part.coalesce(1).write.mode("append").parquet(f"{at}/log")
+        restored.advance(spark, log.schema, f"{at}/log", at, 40)
+    return restored.latest(spark, at)

@@ -145,3 +145,20 @@ def test_scan_for_very_many_names():
     text = " ".join(f"name {i} of{i} and" for i in range(0, 100_000, 3))
     assert W.rewritten(text, machine) == " ".join(f"{i} and" for i in range(0, 100_000, 3))
     assert time.process_time() - began < 5
+
+
+def test_a_stream_goes_on_from_its_state(spark):
+    from mailquarry.streaming import restored
+
+    rnd, at = random.Random(17), scratch(spark, "restored")
+    log = [(rnd.randrange(4), i, rnd.choice(["READ", "SEARCH", "SEGMENT", None]), rnd.choice([None, 1, 2, 3])) for i in range(60)]
+    schema = "user_id long, event_id long, tool string, k int"
+    for part in (log[:25], log[10:40] + log[10:12], log[5:], log):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(f"{at}/log")
+        restored.advance(spark, spark.createDataFrame([], schema).schema, f"{at}/log", at, 6)
+    want = []
+    for u in sorted({r[0] for r in log}):
+        own = [r for r in log if r[0] == u]
+        used = sum(t in ("LIST", "SEARCH", "READ") for _, _, t, _ in own)
+        want.append((u, len(own), used, len({k for _, _, t, k in own if t == "READ" and k}), used >= 6, max(i for _, i, _, _ in own)))
+    assert sorted(map(tuple, restored.latest(spark, at).collect())) == want
