@@ -42,6 +42,44 @@ def generated(make: Callable[[], Generate], prompt: Column, tries: int = 3, erro
     return run(prompt)
 
 
+def paid_once(df: DataFrame, make: Callable[[], Generate], prompt: str, ledger: str, out: str = "answer", a_task: int = 64, tries: int = 3, errors: tuple[type[Exception], ...] = SERVICE_ERRORS, wait: float = 1.0, rate: float | None = None) -> DataFrame:
+    """df with the answers to its prompts, from a ledger: a table of answers by the prompts' hashes, in a folder that outlives the
+    job. Only prompts that it does not have are sent, each different one once.
+
+    A task has at most about `a_task` prompts and its answers are in the ledger as soon as it ends, also if the job fails later
+    or an executor is lost: what a next run pays for anew is the unfinished tasks. An error may say how long to wait, as
+    `retry_after`; else waits double from `wait`. A batch that fails to the end fails its task and so leaves no answer. `rate` is
+    the prompts a second that all tasks together may send; each waits as if all cores sent. Null prompts have no answer."""
+    spark = df.sparkSession
+    asked = df.where(F.col(prompt).isNotNull()).select(F.sha2(F.col(prompt), 256).alias("_h"), F.col(prompt).alias("_p")).dropDuplicates(["_h"])
+    schema = "_h string, _a string"
+    at = spark._jvm.org.apache.hadoop.fs.Path(ledger)
+    known = spark.read.schema(schema).parquet(ledger) if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at) else spark.createDataFrame([], schema)
+    new = asked.join(known.select("_h"), "_h", "left_anti")
+    pause = spark.sparkContext.defaultParallelism / rate if rate else 0.0
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        generate = make()
+        for batch in batches:
+            time.sleep(pause * len(batch))
+            for n in range(tries):
+                try:
+                    answers = list(generate(batch["_p"].tolist()))
+                    break
+                except errors as e:
+                    if n == tries - 1:
+                        raise
+                    time.sleep(getattr(e, "retry_after", None) or wait * 2**n)
+            yield pd.DataFrame({"_h": batch["_h"], "_a": answers})
+
+    # the second kind of committer moves a task's file into the table when the task ends
+    tasks = max(1, -(-new.count() // a_task))
+    new.repartition(tasks, "_h").mapInPandas(run, schema).write.option("mapreduce.fileoutputcommitter.algorithm.version", "2").mode("append").parquet(ledger)
+    # a run that broke off and one beside it may both have an answer: the least counts
+    answers = spark.read.schema(schema).parquet(ledger).groupBy("_h").agg(F.min("_a").alias(out))
+    return df.withColumn("_h", F.sha2(F.col(prompt), 256)).join(answers, "_h", "left").drop("_h")
+
+
 def echo() -> Generate:
     """A deterministic stand-in: a verdict that depends on the prompt alone."""
     return lambda prompts: [f'{{"match": {"true" if hashlib.sha256(p.encode()).digest()[0] % 2 else "false"}}}' for p in prompts]

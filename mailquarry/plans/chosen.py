@@ -8,12 +8,13 @@ from mailquarry.functions import text as T
 from mailquarry.operators import choices as C
 from mailquarry.operators import index as I
 from mailquarry.operators import mailbox as X
+from mailquarry.operators import models
 from mailquarry.operators import rewriting as W
 from mailquarry.operators import retrieval as S
 from mailquarry.plans.evaluation import _LOG, _log
 from mailquarry.plans.search import _CLEAN, _Q, _SCORES, _TOP, _asks, _docs, read
 from mailquarry.shared import scratch
-from mailquarry.sources import mail
+from mailquarry.sources import mail, published
 from mailquarry.streaming import restored
 
 QUERIES: dict = {}
@@ -106,3 +107,22 @@ def stream_restored(spark, d):
         part.coalesce(1).write.mode("append").parquet(f"{at}/log")
         restored.advance(spark, log.schema, f"{at}/log", at, 40)
     return restored.latest(spark, at)
+
+
+@query("SELECT o_orderkey, '{\"match\": ' || CASE WHEN ('0x' || substr(sha256('Is customer ' || o_custkey || ' a match?'), 1, 2))::INT % 2 = 1 THEN 'true' ELSE 'false' END || '}' AS answer FROM orders")
+def answers_paid_once(spark, d):
+    """Answers from a ledger that a first run over a part of the orders has begun."""
+    orders = read(spark, d, "orders").select("o_orderkey", F.concat(F.lit("Is customer "), F.col("o_custkey").cast("string"), F.lit(" a match?")).alias("prompt"))
+    ledger = scratch(spark, "ledger")
+    for part in (orders.where("o_orderkey % 2 = 0"), orders):
+        out = models.paid_once(part, models.echo, "prompt", ledger, a_task=4096)
+    return out.select("o_orderkey", "answer")
+
+
+@query("SELECT 1 AS version, doc_id, text, lang FROM documents WHERE lang = 'en' UNION ALL SELECT 2, doc_id, text, lang FROM documents")
+def published_versions(spark, d):
+    """Two versions of a published set, read back."""
+    docs, at = read(spark, d, "documents").select("doc_id", "text", "lang"), scratch(spark, "published")
+    numbers = [published.publish(x, at) for x in (docs.where("lang = 'en'"), docs)]
+    one, two = (published.read_published(spark, at, version=n).withColumn("version", F.lit(n)) for n in numbers)
+    return one.union(two).select("version", "doc_id", "text", "lang")

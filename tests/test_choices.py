@@ -162,3 +162,96 @@ def test_a_stream_goes_on_from_its_state(spark):
         used = sum(t in ("LIST", "SEARCH", "READ") for _, _, t, _ in own)
         want.append((u, len(own), used, len({k for _, _, t, k in own if t == "READ" and k}), used >= 6, max(i for _, i, _, _ in own)))
     assert sorted(map(tuple, restored.latest(spark, at).collect())) == want
+
+
+def test_no_prompt_is_paid_twice(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from mailquarry.operators import models
+
+    sent, ledger = tmp_path / "sent", f"file://{tmp_path}/ledger"
+    sent.mkdir()
+    prompts = spark.createDataFrame([(i, f"p{i % 40}" if i % 9 else None) for i in range(120)], "i int, prompt string")
+
+    def maker(fail):
+        def make():
+            def generate(batch):
+                if fail and any(p == fail for p in batch):
+                    raise ValueError("broken")
+                import uuid
+
+                (sent / uuid.uuid4().hex).write_text("\n".join(batch))
+                return [f"to {p}" for p in batch]
+
+            return generate
+
+        return make
+
+    paid = lambda: [p for f in sent.iterdir() for p in f.read_text().split("\n")]
+    with pytest.raises(Exception, match="broken"):
+        models.paid_once(prompts, maker("p7"), "prompt", ledger, a_task=4)
+    before = paid()
+    answered = spark.read.parquet(ledger).count()
+    assert "p7" not in before and len(before) == len(set(before)) == answered > 0
+    out = models.paid_once(prompts, maker(None), "prompt", ledger, a_task=4)
+    assert {(r.i, r.answer) for r in out.collect()} == {(i, f"to p{i % 40}" if i % 9 else None) for i in range(120)}
+    assert sorted(paid()) == sorted({f"p{i % 40}" for i in range(120) if i % 9})
+    again = len(paid())
+    assert models.paid_once(prompts, maker("p1"), "prompt", ledger).where(F.col("answer").isNull()).count() == 14 and len(paid()) == again
+
+
+def test_waits_are_those_that_the_error_names(spark, tmp_path):
+    from mailquarry.operators import models
+
+    mark = tmp_path / "mark"
+
+    def make():
+        def generate(batch):
+            if not mark.exists():
+                mark.write_text("")
+                e = ConnectionError("busy")
+                e.retry_after = 0.01
+                raise e
+            return batch
+
+        return generate
+
+    out = models.paid_once(spark.createDataFrame([("x",)], "prompt string"), make, "prompt", f"file://{tmp_path}/ledger", wait=1e6, rate=1e6)
+    assert out.first().answer == "x"
+
+
+def test_a_set_is_published_whole_or_not_at_all(spark, tmp_path):
+    from pathlib import Path
+
+    from pyspark.sql import functions as F
+
+    from mailquarry.sources import published as P
+
+    at = f"file://{tmp_path}/set"
+    assert P.versions(spark, at) == []
+    assert P.publish(spark.range(100).repartition(4), at) == 1
+
+    @F.udf("long")
+    def breaks(x):
+        if x == 77:
+            raise ValueError("killed")
+        return x
+
+    with pytest.raises(Exception, match="killed"):
+        P.publish(spark.range(100).repartition(8).select(breaks("id").alias("id")), at)
+    assert P.versions(spark, at) == [1] and [p.name for p in (tmp_path / "set").iterdir()] == ["v1"]
+    (tmp_path / "set" / "_hidden-left").mkdir()
+    assert P.publish(spark.range(7), at) == 2 and P.read_published(spark, at).count() == 7 and P.read_published(spark, at, version=1).count() == 100
+    assert not (tmp_path / "set" / "_hidden-left").exists()
+    with pytest.raises(FileNotFoundError):
+        P.read_published(spark, at, version=3)
+    assert P.damage(spark, at, 1).count() == 0
+    files = sorted(p for p in (Path(tmp_path) / "set/v1/data").iterdir() if p.name.startswith("part-"))
+    for crc in files[0].parent.glob(".*.crc"):
+        crc.unlink()
+    data = bytearray(files[0].read_bytes())
+    data[9] ^= 1
+    files[0].write_bytes(data)
+    files[1].rename(files[1].with_name("part-other.parquet"))
+    found = {r.file: r.state for r in P.damage(spark, at, 1).collect()}
+    assert found == {files[0].name: "changed", files[1].name: "missing", "part-other.parquet": "added"}
