@@ -78,3 +78,50 @@ def principal(rows: DataFrame, key: str, vector: str, k: int = 2) -> DataFrame:
         along = F.aggregate(F.zip_with("_v", F.array(*map(F.lit, w.tolist())), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
         out.append((along - float(sum(m * x for m, x in zip(means, w)))).alias(name))
     return known.select(key, *out)
+
+
+def _apart(a: Column, b: Column) -> Column:
+    """The Euclidean distance of two vectors."""
+    square = lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))
+    return F.sqrt(F.aggregate(F.zip_with(a, b, square), F.lit(0.0), lambda s, x: s + x))
+
+
+def pivots_of(rows: DataFrame, count: int) -> DataFrame:
+    """One row, `pivots`: the vectors of `count` rows (id, v) chosen by a hash."""
+    chosen = rows.where("v is not null").select("v").distinct().orderBy(F.xxhash64("v"), "v").limit(count)
+    return chosen.agg(F.collect_list("v").alias("pivots"))
+
+
+def in_cells(rows: DataFrame, pivots: DataFrame) -> DataFrame:
+    """rows with v, with `to`, their distances to the pivots, `cell`, the nearest pivot, and `off`, its distance. Rows without a
+    vector have no cell."""
+    to = F.transform("pivots", lambda p, i: F.struct(_apart(F.col("v"), p).alias("off"), i.alias("cell")))
+    placed = rows.where("v is not null").crossJoin(F.broadcast(pivots)).withColumn("to", to).drop("pivots").withColumn("_n", F.array_min("to"))
+    return placed.where("_n is not null").withColumn("cell", F.col("_n.cell")).withColumn("off", F.col("_n.off")).drop("_n")
+
+
+def cell_pairs(queries: DataFrame, rows: DataFrame, k: int = 1, count: int = 64, slack: float = 1e-6) -> DataFrame:
+    """(qid, id, q, v) of queries (qid, v) and rows (id, v) that must be compared for the k nearest rows of each query. The k
+    nearest of its own cell bound what can still be nearer. By the triangle inequality a cell has nothing within the bound unless
+    its pivot is within bound and radius, and a row of it is not within the bound unless its distance to the pivot is that near
+    to the query's. The pivots, `count` vectors, are all that is broadcast."""
+    pivots = pivots_of(rows, count)
+    placed = in_cells(rows, pivots).select("id", "v", "cell", "off")
+    radii = placed.groupBy("cell").agg(F.max("off").alias("radius"))
+    asked = in_cells(queries, pivots).withColumnRenamed("v", "q")
+    own = asked.select("qid", "q", "cell").join(placed, "cell").where("qid <> id").select("qid", _apart(F.col("q"), F.col("v")).alias("distance"))
+    nth = F.row_number().over(Window.partitionBy("qid").orderBy("distance"))
+    bound = own.withColumn("n", nth).where(F.col("n") == k).select("qid", (F.col("distance") + slack).alias("bound"))
+    each = asked.join(bound, "qid", "left").select("qid", "q", F.coalesce("bound", F.lit(float("inf"))).alias("bound"), F.explode("to").alias("t"))
+    each = each.select("qid", "q", "bound", F.col("t.cell").alias("cell"), F.col("t.off").alias("away"))
+    may = each.join(radii, "cell").where(F.col("away") - F.col("radius") <= F.col("bound"))
+    near = may.join(placed, "cell").where((F.col("qid") != F.col("id")) & (F.abs(F.col("away") - F.col("off")) <= F.col("bound")))
+    return near.select("qid", "id", "q", "v")
+
+
+def nearest_in_cells(queries: DataFrame, rows: DataFrame, k: int = 1, count: int = 64) -> DataFrame:
+    """As nearest(), comparing only what cell_pairs() leaves: (qid, id, distance, rank). Ties of distances, to 9 decimals, go to
+    the smaller id."""
+    w = Window.partitionBy("qid").orderBy(F.round("distance", 9), "id")
+    pairs = cell_pairs(queries, rows, k, count).select("qid", "id", _apart(F.col("q"), F.col("v")).alias("distance"))
+    return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

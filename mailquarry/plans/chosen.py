@@ -8,6 +8,7 @@ from mailquarry.functions import text as T
 from mailquarry.operators import choices as C
 from mailquarry.operators import index as I
 from mailquarry.operators import mailbox as X
+from mailquarry.operators import measures as M
 from mailquarry.operators import models
 from mailquarry.operators import rewriting as W
 from mailquarry.operators import retrieval as S
@@ -126,3 +127,11 @@ def published_versions(spark, d):
     numbers = [published.publish(x, at) for x in (docs.where("lang = 'en'"), docs)]
     one, two = (published.read_published(spark, at, version=n).withColumn("version", F.lit(n)) for n in numbers)
     return one.union(two).select("version", "doc_id", "text", "lang")
+
+
+@query("""WITH p AS (SELECT q.vec_id AS qid, r.vec_id AS id, sqrt(list_sum(list_transform(list_zip(q.embedding, r.embedding), lambda x: (x[1]::DOUBLE - x[2]::DOUBLE) * (x[1]::DOUBLE - x[2]::DOUBLE)))) AS distance FROM embeddings q JOIN embeddings r ON q.vec_id <> r.vec_id)
+SELECT qid, id, round(distance, 5) AS distance FROM p QUALIFY row_number() OVER (PARTITION BY qid ORDER BY round(distance, 9), id) = 1""")
+def knn_in_cells(spark, d):
+    """The nearest other row of every row, without comparing all pairs."""
+    rows = read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    return M.nearest_in_cells(rows.withColumnRenamed("id", "qid"), rows).select("qid", "id", F.round("distance", 5).alias("distance"))

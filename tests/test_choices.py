@@ -255,3 +255,19 @@ def test_a_set_is_published_whole_or_not_at_all(spark, tmp_path):
     files[1].rename(files[1].with_name("part-other.parquet"))
     found = {r.file: r.state for r in P.damage(spark, at, 1).collect()}
     assert found == {files[0].name: "changed", files[1].name: "missing", "part-other.parquet": "added"}
+
+
+def test_nearest_in_cells_are_the_nearest(spark):
+    from mailquarry.operators import measures as M
+
+    rnd = random.Random(23)
+    centres = [[rnd.uniform(-9, 9) for _ in range(3)] for _ in range(12)]
+    rows = [(i, [x + rnd.gauss(0, 0.3) for x in rnd.choice(centres)]) for i in range(300)] + [(900 + i, centres[0]) for i in range(40)] + [(999, None)]
+    df = spark.createDataFrame(rows, "id long, v array<double>")
+    queries = df.where("id % 3 = 0 or id >= 930").withColumnRenamed("id", "qid")
+    key = lambda x: sorted((r.qid, r["rank"], r.id, round(r.distance, 6)) for r in x.collect() if r.distance is not None)
+    for k, count in ((1, 16), (4, 5), (3, 500)):
+        assert key(M.nearest_in_cells(queries, df, k, count)) == key(M.nearest(queries.where("qid <> 999"), df.where("id <> 999"), k))
+    assert M.cell_pairs(queries, df, 1, 16).count() < 0.25 * queries.count() * len(rows)
+    one = df.where("id = 5")
+    assert M.nearest_in_cells(one.withColumnRenamed("id", "qid"), one).collect() == [] and M.nearest_in_cells(queries, df.limit(0)).collect() == []
