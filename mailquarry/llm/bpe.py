@@ -70,22 +70,19 @@ def cut_points(data: np.ndarray, bits: int = CHUNK_BITS) -> np.ndarray:
     return np.flatnonzero(h >> np.uint32(32 - bits) == 0) + 1
 
 
-#: White space beyond ASCII, as UTF-8.
-_SPACES = [chr(c).encode() for c in (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
-#: Full stops and commas of East Asian scripts, as UTF-8.
-_STOPS = [c.encode() for c in "、。！，：；？"]
-
-
-def _at(data: np.ndarray, what: list[bytes]) -> np.ndarray:
-    """Whether one of these byte strings starts at each place."""
-    out = np.zeros(len(data), bool)
-    for w in what:
-        hit = data == w[0]
-        if hit.any():
-            for i, byte in enumerate(w[1:], 1):
-                hit[:-i] &= data[i:] == byte
-                hit[-i:] = False
-            out |= hit
+#: White space beyond ASCII, and full stops and commas of East Asian scripts, by the bytes of UTF-8 as numbers.
+_SPACES = np.array([int.from_bytes(chr(c).encode()) for c in (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)])
+_STOPS = np.array([int.from_bytes(c.encode()) for c in "、。！，：；？"])
+
+#: The bytes that those begin with: texts without them, as in Latin and Cyrillic letters, need no closer look.
+_LEADS = [bytes([x]) for x in (0xC2, 0xE1, 0xE2, 0xE3, 0xEF)]
+
+
+def _read(data: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+    """The bytes from each place as a number, 0 where they reach beyond the ends."""
+    out, inside = np.zeros(len(at), np.int64), (at >= 0) & (at + size <= len(data))
+    for i in range(size):
+        out[inside] = out[inside] << 8 | data[at[inside] + i]
     return out
 
 
@@ -97,20 +94,20 @@ def safe_points(data: np.ndarray) -> np.ndarray:
         return np.zeros(0, np.int64)
     spaces = np.flatnonzero(data[1:-1] == 0x20) + 1
     before, after = data[spaces - 1], data[spaces + 1]
-    good = (before > 0x20) & (before != 0x7F) & (after > 0x20) & (after != 0x7F)
-    if data.max() < 0x80:
-        return spaces[good]
-    starts = _at(data, _SPACES)
-    good &= ~starts[spaces + 1]
-    for size in (2, 3):
-        back = spaces - size
-        ends = _at(data, [w for w in _SPACES if len(w) == size])
-        good &= ~((back >= 0) & ends[np.maximum(back, 0)])
-    stops = np.flatnonzero(_at(data, _STOPS))
-    lead = data[np.maximum(stops - 3, 0)]
+    spaces = spaces[(before > 0x20) & (before != 0x7F) & (after > 0x20) & (after != 0x7F)]
+    raw = data.tobytes()
+    if not any(lead in raw for lead in _LEADS):
+        return spaces
+    good = np.ones(len(spaces), bool)
+    for near, step in ((np.flatnonzero(data[spaces + 1] >= 0x80), 1), (np.flatnonzero(data[spaces - 1] >= 0x80), -1)):
+        for size in (2, 3):
+            good[near] &= ~np.isin(_read(data, spaces[near] + (1 if step > 0 else -size), size), _SPACES)
+    stops = np.flatnonzero((data == 0xE3) | (data == 0xEF))
+    stops = stops[stops >= 3]
     # U+5000 to U+8FFF are letters throughout
-    stops = stops[(stops >= 3) & (lead >= 0xE5) & (lead <= 0xE8)]
-    return np.sort(np.concatenate((spaces[good], stops)))
+    stops = stops[(data[stops - 3] >= 0xE5) & (data[stops - 3] <= 0xE8)]
+    stops = stops[np.isin(_read(data, stops, 3), _STOPS)]
+    return np.sort(np.concatenate((spaces[good], stops))) if len(stops) else spaces[good]
 
 
 def segments(data: bytes, bits: int = CHUNK_BITS) -> list[tuple[int, int]]:
