@@ -66,6 +66,11 @@ def tokenize(c: Column | str, stop: Sequence[str] = STOPWORDS) -> Column:
     return F.filter(words(c), lambda w: ~w.isin(*sorted(set(stop))))
 
 
+def topic_signature(*fields: Column | str) -> Column:
+    """The set of words in a topic's fields, by which topics are told apart; sorted, so that equal sets are equal arrays."""
+    return F.array_sort(F.array_distinct(tokenize(F.concat_ws(" ", *fields))))
+
+
 def query_tokens(c: Column | str) -> Column:
     """The set of tokens by which searches are compared: single characters count, stop words too."""
     return F.array_distinct(F.regexp_extract_all(F.lower(_text(c)), F.lit("[a-z0-9]+"), F.lit(0)))

@@ -432,3 +432,32 @@ def certify_controls(spark, d):
     draw = lambda i: F.conv(F.substring(F.sha2(F.concat(F.lit(f"{5 + 1000 * i}:"), F.col("item_id").cast("string")), 256), 1, 2), 16, 10).cast("int")
     tries = F.coalesce(*[F.when(draw(i) >= 128, i) for i in range(6)], F.lit(6))
     return read(spark, d, "benchmark").select("item_id", tries.alias("tries")).withColumn("certified", F.col("tries") < 6)
+
+
+@query(f"""WITH {_LOG}, {_BOX}, rd AS (SELECT user_id, event_id, b.conv_id FROM log JOIN box b ON n = k WHERE tool = 'READ' AND user_id % 50 = 0),
+fm AS (SELECT conv_id, id, text FROM box QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn) = 1), ask AS (SELECT event_id AS qid, fm.id AS doc, text FROM rd JOIN fm USING (conv_id)),
+q AS (SELECT DISTINCT qid, unnest({_TOKENS}) AS term FROM ask), {_MAIL_SCORES},
+shut AS (SELECT DISTINCT a.event_id AS qid, b.id AS doc FROM rd a JOIN rd o ON o.user_id = a.user_id AND o.event_id <= a.event_id JOIN box b ON b.conv_id = o.conv_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, doc) AS rank FROM s WHERE score > 0 AND NOT EXISTS (SELECT 1 FROM shut WHERE shut.qid = s.qid AND shut.doc = s.doc))
+SELECT qid AS event_id, 'e' || n AS handle, round(score, 6) AS score, CAST(rank AS INT) AS rank FROM r JOIN box b ON b.id = r.doc WHERE rank <= 8""")
+def read_related(spark, d):
+    """What each READ shows beside the chain: the messages most like its first one that the session has not opened by then. Queries:
+    the reads of sessions whose number 50 divides, against all messages."""
+    box = _box(spark, d)
+    reads = _reads(spark, d, box).where("user_id % 50 = 0 and conv_id is not null")
+    first = box.groupBy("conv_id").agg(F.min_by("id", "turn").alias("doc"))
+    asks = reads.join(first, "conv_id").select(F.col("event_id").alias("qid"), "doc")
+    before = reads.select("user_id", F.col("event_id").alias("_at"), "conv_id")
+    opened = reads.select("user_id", F.col("event_id").alias("qid")).join(before, "user_id").where("_at <= qid").select("qid", "conv_id").distinct()
+    seen = X.opened(opened, box, "qid", "conv_id", "id").select("qid", F.col("id").alias("doc"))
+    hits = X.expand(box.select(F.col("id").alias("doc"), T.tokenize("text").alias("tokens")), asks, seen)
+    return hits.join(box.select(F.col("id").alias("doc"), "handle"), "doc").select(F.col("qid").alias("event_id"), "handle", F.round("score", 6).alias("score"), "rank")
+
+
+@query(f"""SELECT min(doc_id) AS doc_id, count(*) AS topics, CAST(len(sig) AS INT) AS words, sha256(array_to_string(sig, ' ')) AS digest
+FROM (SELECT doc_id, list_sort(list_distinct({_TOKENS.replace("coalesce(text, '')", "concat_ws(' ', source, text, lang)")})) AS sig FROM documents) GROUP BY sig""")
+def topic_signatures(spark, d):
+    """Topics that have the same words in their fields are one: the first stays. Here the fields are source, text and language."""
+    sig = T.topic_signature("source", "text", "lang")
+    g = read(spark, d, "documents").groupBy(sig.alias("sig")).agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("topics"))
+    return g.select("doc_id", "topics", F.size("sig").alias("words"), F.sha2(F.array_join("sig", " "), 256).alias("digest"))
