@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
 from mailquarry.functions import text as T
+from mailquarry.operators import rewriting as W
 from mailquarry.shared import written
 
 
@@ -25,7 +26,7 @@ def keep_first(df: DataFrame, key: Column, order: str) -> DataFrame:
 def holding(docs: DataFrame, passages: DataFrame) -> DataFrame:
     """doc_id of each of docs (doc_id, text) that contains one of the passages (passage). The pieces of a passage between
     spaces, but for the first and the last, are whole pieces of any text that contains it: they meet on the first three of
-    those. Passages with fewer are looked for in every text."""
+    those. Passages with fewer are looked for in every text by one automaton for all of them, in blocks of bounded size."""
     pieces = F.split("passage", "\\s+")
     key = lambda w, i: F.concat_ws(" ", F.get(w, i), F.get(w, i + 1), F.get(w, i + 2))
     asked = passages.distinct().withColumn("w", pieces)
@@ -34,7 +35,9 @@ def holding(docs: DataFrame, passages: DataFrame) -> DataFrame:
     # the text stays behind while its pieces are met: only ids travel, and a text is joined back once
     grams = docs.select("doc_id", F.split("text", "\\s+").alias("w")).select("doc_id", F.explode(F.array_distinct(triples)).alias("k"))
     met = grams.join(long, "k").select("doc_id", "passage").distinct().join(docs, "doc_id").where(F.contains("text", "passage")).select("doc_id")
-    return met.union(docs.join(short, F.contains("text", "passage")).select("doc_id")).distinct()
+    known = docs.where("text is not null")
+    empty = known.join(F.broadcast(short.where("passage = ''").limit(1)), F.lit(True)).select("doc_id")
+    return met.union(known.where(W.holds_any(short, "text")).select("doc_id")).union(empty).distinct()
 
 
 def set_classes(rows: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MAX_BYTES = 32 << 20
@@ -90,3 +90,21 @@ def with_names(df: DataFrame, names: DataFrame, *columns: str, most: int = MAX_B
         run = _rewriter(df.sparkSession.sparkContext.broadcast(block))
         df = df.withColumns({c: run(F.col(c)) for c in columns})
     return df
+
+
+def _holder(held):
+    @F.pandas_udf("boolean")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        machine = automaton(held.value)
+        for texts in batches:
+            yield texts.map(lambda t: t is not None and next(machine.iter(t), None) is not None).astype(bool)
+
+    return run
+
+
+def holds_any(passages: DataFrame, column: str, most: int = MAX_BYTES) -> Column:
+    """Whether a text holds one of the passages (passage), in any place; the empty passage is in no text here."""
+    held = F.lit(False)
+    for block in blocks(passages.select(F.col("passage").alias("name"), F.lit("").alias("label")), most):
+        held = held | _holder(passages.sparkSession.sparkContext.broadcast(block))(F.col(column))
+    return held

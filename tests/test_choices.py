@@ -271,3 +271,14 @@ def test_nearest_in_cells_are_the_nearest(spark):
     assert M.cell_pairs(queries, df, 1, 16).count() < 0.25 * queries.count() * len(rows)
     one = df.where("id = 5")
     assert M.nearest_in_cells(one.withColumnRenamed("id", "qid"), one).collect() == [] and M.nearest_in_cells(queries, df.limit(0)).collect() == []
+
+
+def test_texts_that_hold_passages_of_any_length(spark):
+    from mailquarry.operators import records as R
+
+    rnd = random.Random(29)
+    texts = [" ".join(rnd.choice(["ab", "c", "de f", "x\ny"]) for _ in range(12)) for _ in range(60)] + [None, "", "b"]
+    for passages in (["ab c", "e f x", "y c c ab c de", "zz"], ["b"], [None, "zz"], ["", "zz"]):
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+        got = {r.doc_id for r in R.holding(docs, spark.createDataFrame([(p,) for p in passages], "passage string")).collect()}
+        assert got == {i for i, t in enumerate(texts) if t is not None and any(p is not None and p in t for p in passages)}
