@@ -137,3 +137,16 @@ def search(index: Index, queries: DataFrame, k: int, k1: float = S.K1, b: float
     pairs = may.select("qid", "doc").join(forward, "doc").select("qid", "doc", "dl", F.explode("terms").alias("t")).select("qid", "doc", "dl", "t.term", "t.f")
     exact = pairs.join(weighed.select("qid", "term", "idf"), ["qid", "term"]).groupBy("qid", "doc").agg(F.sum(F.col("idf") * share("f", "dl")).alias("score"))
     return S.top_k(exact.where("qid <> doc") if apart else exact, k)
+
+
+def scores(index: Index, queries: DataFrame, k1: float = S.K1, b: float = S.B) -> DataFrame:
+    """(qid, doc, score) for each of queries (qid, tokens) and document that share a term, as retrieval.bm25_scores(): every
+    posting of the queries' terms is read, but no text."""
+    docs, average = index.sizes()
+    blocks = index.live("blocks").select("term", "n", "postings")
+    asked = queries.select("qid", F.explode(F.array_distinct("tokens")).alias("term"))
+    held = blocks.join(asked.select("term").distinct(), "term", "left_semi")
+    idf = F.log(1 + (docs - F.sum("n") + 0.5) / (F.sum("n") + 0.5))
+    weighed = asked.join(held.groupBy("term").agg(idf.alias("idf")), "term")
+    each = weighed.join(blocks, "term").select("qid", "idf", F.explode("postings").alias("p"))
+    return each.groupBy("qid", F.col("p.doc").alias("doc")).agg(F.sum(F.col("idf") * _share(F.col("p.f"), F.col("p.dl"), average, k1, b)).alias("score"))

@@ -32,6 +32,7 @@ def test_index_search_reads_what_matters_and_gives_all(spark, monkeypatch, light
     assert set(before) < set(index.table("blocks").inputFiles())
     docs = first.union(more)
     assert got(5) == want(docs, asks, 5)
+    assert sorted((r.qid, r["rank"], r.doc, round(r.score, 6)) for r in S.top_k(I.scores(index, asks), 5).collect()) == want(docs, asks, 5)
     own = docs.where("doc % 50 = 0").selectExpr("doc AS qid", "tokens")
     found = sorted((r.qid, r["rank"], r.doc) for r in I.search(index, own, 4, light=light, apart=True).collect())
     assert found == sorted((r.qid, r["rank"], r.doc) for r in S.by_document(docs, docs.where("doc % 50 = 0"), 4).collect())
