@@ -105,19 +105,20 @@ def mail_lines(text: str | None) -> list[str]:
     return kept[full[0] : full[-1] + 1] if full else []
 
 
-def mime_body(raw: bytes | None) -> tuple[str, str]:
-    """Sender and the first plain text part up to a quoted or forwarded line."""
-    m = email.message_from_bytes(raw or b"", policy=email.policy.default)
-    part = m.get_body(preferencelist=("plain",)) if raw else None
+def plain_text(m: email.message.Message) -> str:
+    """The first plain text part, empty if there is none; one of an unknown character set as Latin-1."""
+    part = m.get_body(preferencelist=("plain",))
     try:
         text = part.get_content() if part else ""
     except (LookupError, UnicodeError):
         text = (part.get_payload(decode=True) or b"").decode("latin-1")
-    kept = []
-    for line in text.replace("\r\n", "\n").split("\n"):
-        if _QUOTE.match(line):
-            break
-        kept.append(line)
+    return text.replace("\r\n", "\n")
+
+
+def mime_body(raw: bytes | None) -> tuple[str, str]:
+    """Sender and the first plain text part up to a quoted or forwarded line."""
+    m = email.message_from_bytes(raw or b"", policy=email.policy.default)
+    kept = itertools.takewhile(lambda line: not _QUOTE.match(line), (plain_text(m) if raw else "").split("\n"))
     return str(m.get("From", "")), "\n".join(kept).strip()
 
 

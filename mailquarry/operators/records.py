@@ -11,9 +11,10 @@ from mailquarry.operators import rewriting as W
 from mailquarry.shared import written
 
 
-def signature(c: str, n: int = 240) -> Column:
-    """The first n characters, lower case, in single spaces."""
-    return F.substring(F.trim(F.regexp_replace(F.lower(F.coalesce(F.col(c), F.lit(""))), "[ \\t\\r\\n\\f]+", " ")), 1, n)
+def signature(c: str, n: int | None = 240) -> Column:
+    """The first n characters, or all, in small letters and single spaces."""
+    plain = F.trim(F.regexp_replace(F.lower(F.coalesce(F.col(c), F.lit(""))), "[ \\t\\r\\n\\f]+", " "))
+    return plain if n is None else F.substring(plain, 1, n)
 
 
 def keep_first(df: DataFrame, key: Column, order: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from mailquarry.operators import rounds
 from mailquarry.plans.search import read
 from mailquarry.shared import scratch
+from mailquarry.sources import mbox
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -75,3 +76,14 @@ def build_rounds(spark, d):
     rounds.begin(cases, at, "doc_id", ways=ways)
     out = rounds.run(spark, at, _STAGES, 2)
     return out.select("doc_id", "n", "status", "way", "tries", "plot", "email", "round", F.array_join("log", ">").alias("log"))
+
+
+@query("SELECT doc_id, 'ada@x.example' AS sender, coalesce(text, '') AS body FROM documents")
+def mbox_scan(spark, d):
+    """Whole documents as messages of mbox files, read back in ranges of 256 KB."""
+    said = F.regexp_replace(F.coalesce("text", F.lit("")), "(?m)^(>*From )", ">$1")
+    head = "From ada@x.example Thu Jan  1 00:00:00 1998\nFrom: ada@x.example\nSubject: %d\nContent-Type: text/plain; charset=utf-8\nContent-Transfer-Encoding: 8bit\n\n%s"
+    at = scratch(spark, "mbox")
+    read(spark, d, "documents").select(F.format_string(head, "doc_id", said).alias("value")).write.text(at)
+    mail = mbox.read_mail(spark, at, schema="sender string, subject string, body string", split=1 << 18)
+    return mail.select(F.col("subject").cast("long").alias("doc_id"), "sender", "body")

@@ -248,12 +248,13 @@ def relabel_lookahead(spark, d):
 # ---- records
 
 
-_SIG = "substr(trim(regexp_replace(lower(coalesce(text, '')), '[ \\t\\r\\n\\f]+', ' ', 'g')), 1, 240)"
+_SIG = "trim(regexp_replace(lower(coalesce(text, '')), '[ \\t\\r\\n\\f]+', ' ', 'g'))"
 
 
 @query(f"SELECT min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY {_SIG}")
 def signature_dedup(spark, d):
-    return read(spark, d, "documents").groupBy(R.signature("text").alias("s")).agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies")).drop("s")
+    """Documents of one text in small letters and single spaces, by a hash of all of it."""
+    return read(spark, d, "documents").groupBy(F.sha2(R.signature("text", None), 256).alias("s")).agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies")).drop("s")
 
 
 @query(f"""WITH s AS (SELECT min(doc_id) AS id, toks FROM (SELECT doc_id, list_sort(list_distinct({_TOKENS})) AS toks FROM documents) WHERE len(toks) > 0 GROUP BY toks),
@@ -270,12 +271,14 @@ def jaccard_members(spark, d):
     return R.set_classes(_token_sets(spark, d)).select(F.col("id").alias("doc_id"), F.col("class").alias("class_id"))
 
 
-@query("""WITH n AS (SELECT DISTINCT 2 AS n UNION ALL SELECT 3 UNION ALL SELECT 4), m AS (SELECT n, unnest(range(1, (1 << n) - 1)) AS mask FROM n)
-SELECT n, CAST(mask AS INT) AS mask, CAST(bit_count(CAST(mask AS INT)) AS INT) AS size, array_to_string(list_filter(range(1, n + 1), lambda i: (mask >> (i - 1)) & 1 = 1), ',') AS members FROM m""")
+@query("""WITH c AS (SELECT conv_id, CAST(least(count(*), 4) AS INT) AS n FROM conversations GROUP BY conv_id), m AS (SELECT conv_id, n, unnest(range(1, (1 << n) - 1)) AS mask FROM c WHERE n >= 2)
+SELECT conv_id, n, CAST(mask AS INT) AS mask, CAST(bit_count(CAST(mask AS INT)) AS INT) AS size, array_to_string(list_filter(range(1, n + 1), lambda i: (mask >> (i - 1)) & 1 = 1), ',') AS members FROM m""")
 def subset_enumeration(spark, d):
-    parts = [spark.range(1).select(F.lit(n).alias("n"), F.explode(R.proper_subsets(n)).alias("mask")) for n in (2, 3, 4)]
-    masks = parts[0].union(parts[1]).union(parts[2])
-    return masks.select("n", "mask", F.bit_count("mask").alias("size"), F.array_join(F.transform(R.members(F.col("mask")), lambda i: i.cast("string")), ",").alias("members"))
+    """The proper subsets of the two to four clues of every conversation, as many as it has turns and four at most."""
+    c = read(spark, d, "conversations").groupBy("conv_id").agg(F.least(F.count(F.lit(1)), F.lit(4)).cast("int").alias("n"))
+    subsets = F.when(F.col("n") == 2, R.proper_subsets(2)).when(F.col("n") == 3, R.proper_subsets(3)).otherwise(R.proper_subsets(4))
+    masks = c.where("n >= 2").select("conv_id", "n", F.explode(subsets).alias("mask"))
+    return masks.select("conv_id", "n", "mask", F.bit_count("mask").alias("size"), F.array_join(F.transform(R.members(F.col("mask")), lambda i: i.cast("string")), ",").alias("members"))
 
 
 @query(f"""WITH c AS (SELECT doc_id, {_TOKENS} AS have FROM documents), b AS (SELECT item_id, list_filter({_TOKENS}, lambda x: x NOT IN ({", ".join(f"'{w}'" for w in T.CARRIER_STOPWORDS)}) AND length(x) > 2) AS w FROM benchmark),

@@ -113,13 +113,25 @@ def load_topics(spark: SparkSession, path: str) -> DataFrame:
     return named.groupBy("id").agg(F.max_by(F.struct("plot", "secret", "either_or", F.substring("era", 1, 10).alias("era")), "n").alias("t")).select("id", "t.*")
 
 
+_PARTS = ["values", "details", "metadata", "store", "answer"]
+_SAMPLE = f"sample string, epoch int, logged string, {', '.join(f'{p} string' for p in _PARTS)}, total_time double"
+
+
+def _latest(rows: DataFrame) -> DataFrame:
+    last = rows.groupBy("sample", "epoch").agg(F.max_by(F.struct(*_PARTS, "total_time"), "logged").alias("r")).select("sample", "epoch", "r.*")
+    return flat_rows(last, "sample", "epoch")
+
+
 def rows_from_logs(spark: SparkSession, path: str) -> DataFrame:
     """Evaluation rows of logs as JSON lines (sample, epoch, logged, values, details, metadata, store, answer, total_time; the four
     as JSON texts): the latest of each sample and epoch."""
-    parts = ["values", "details", "metadata", "store", "answer"]
-    rows = spark.read.schema(f"sample string, epoch int, logged string, {', '.join(f'{p} string' for p in parts)}, total_time double").json(path)
-    last = rows.groupBy("sample", "epoch").agg(F.max_by(F.struct(*parts, "total_time"), "logged").alias("r")).select("sample", "epoch", "r.*")
-    return flat_rows(last, "sample", "epoch")
+    return _latest(spark.read.schema(_SAMPLE).json(path))
+
+
+def rows_of_samples(content: DataFrame) -> DataFrame:
+    """As rows_from_logs, of a table whose `content` is a sample as JSON, such as the members of zipped logs. A broken one raises."""
+    one = F.from_json("content", _SAMPLE, {"mode": "FAILFAST"})
+    return _latest(content.select(one.alias("s")).select("s.*"))
 
 
 #: Columns of an evaluation row, in their fixed order, and the places that may have each, first to last; none for one that

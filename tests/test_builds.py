@@ -1,11 +1,17 @@
 """Builds in rounds and mailbox files."""
 
+import json
+import mailbox
+import random
+import re
+import zipfile
+
 import pytest
 from pyspark.sql import functions as F
 
 from mailquarry.operators import models, rounds
 from mailquarry.shared import scratch
-from mailquarry.sources import published
+from mailquarry.sources import mail, mbox, published
 
 
 def settled(df):
@@ -99,3 +105,78 @@ def test_rounds_of_nothing_and_faults(spark):
     rounds.begin(spark.createDataFrame([(1, 0, 0, False)], CASES), at, "id")
     with pytest.raises(Exception, match="no such stage"):
         rounds.step(spark, at, [rounds.Stage("s", lambda df: df.withColumn("verdict", F.lit("nowhere")))], 2)
+
+
+def made_mail(n, seed=5):
+    """Messages as (header lines, body lines) with all that may be mistaken for a message's start."""
+    rnd = random.Random(seed)
+    lines = ["plain words", "", "From here on", ">From there", ">>From afar", "From", "héllo wörld", "x" * 300, "> quoted", " From x"]
+    return [[rnd.choice(lines) for _ in range(rnd.choice([0, 1, 3, 12]))] for _ in range(n)]
+
+
+def as_mbox(path, mails):
+    with open(path, "wb") as f:
+        for k, body in enumerate(mails):
+            kept = [re.sub(r"^(>*From )", r">\1", x) for x in body]
+            head = [f"From a@b {k}", f"From: p{k}@x", f"Message-ID: <{k}>", f"Subject: s{k}", "Content-Type: text/plain; charset=utf-8", "Content-Transfer-Encoding: 8bit", ""]
+            f.write("\n".join(head + kept).encode() + b"\n\n" * bool(kept) + b"\n" * (not kept))
+
+
+@pytest.mark.parametrize("crossing", [1, 7, 100, 999, 10**6])
+def test_ranges_of_an_mbox_have_each_message_once(tmp_path, crossing):
+    mails = made_mail(60)
+    as_mbox(tmp_path / "a.mbox", mails)
+    size = (tmp_path / "a.mbox").stat().st_size
+    starts = [m.start() for m in re.finditer(rb"^From ", (tmp_path / "a.mbox").read_bytes(), re.M)]
+    for body in (True, False):
+        found = []
+        with open(tmp_path / "a.mbox", "rb") as f:
+            for a in range(0, size, crossing):
+                found += [(at, mbox.fields(raw, ["message_id", "body"] if body else ["message_id"], "f", at, True)) for at, raw in mbox.messages(f, a, min(a + crossing, size), body)]
+        assert [at for at, _ in found] == starts
+        assert [x[0] for _, x in found] == [f"<{k}>" for k in range(60)]
+        if body:
+            assert [x[1].rstrip("\n") for _, x in found] == ["\n".join(b).rstrip("\n") for b in mails]
+            whole = [m.get_payload(decode=True).decode() for m in mailbox.mbox(tmp_path / "a.mbox")]
+            assert [re.sub(r"(?m)^>(>*From )", r"\1", w).rstrip("\n") for w in whole] == [x[1].rstrip("\n") for _, x in found]
+
+
+def test_mail_is_read_by_planned_splits(spark, tmp_path):
+    mails = made_mail(40)
+    (tmp_path / "box").mkdir()
+    as_mbox(tmp_path / "box" / "a.mbox", mails)
+    as_mbox(tmp_path / "box" / "b.mbox", mails[:3])
+    (tmp_path / "box" / "_hidden").write_text("From x\n\nno\n")
+    whole = mbox.read_mail(spark, str(tmp_path / "box"), split=2000)
+    assert whole.rdd.getNumPartitions() > 4
+    assert sorted((r.file[-6:], r.message_id, r.body.rstrip("\n")) for r in whole.collect()) == sorted((n, f"<{k}>", "\n".join(b).rstrip("\n")) for n, part in (("a.mbox", mails), ("b.mbox", mails[:3])) for k, b in enumerate(part))
+    pruned = mbox.read_mail(spark, f"file://{tmp_path}/box", schema="subject string, receivers string", files="*b.mbox")
+    assert sorted(map(tuple, pruned.collect())) == [(f"s{k}", None) for k in range(3)] and pruned.rdd.getNumPartitions() == 1
+    (tmp_path / "dir").mkdir()
+    odd = [b"", b"no header at all", b"From: =?bad?=\nSubject: [\n\nx", b"Content-Type: text/plain; charset=none-such\n\n\xe9", b"From: a@b\r\nSubject: long\r\n\r\nline\r\nFrom you\r\n", b"Subject: " + b"y" * 100_000 + b"\n\nend"]
+    for k, raw in enumerate(odd):
+        (tmp_path / "dir" / f"{k}.").write_bytes(raw)
+    single = mbox.read_mail(spark, str(tmp_path / "dir"), "files")
+    assert single.rdd.getNumPartitions() == 1
+    assert [r.body for r in sorted(single.collect())] == ["", "", "x", "é", "line\nFrom you\n", "end"]
+    assert mbox.read_mail(spark, str(tmp_path / "dir"), "files", split=1).rdd.getNumPartitions() == len(odd)
+    (tmp_path / "none").mkdir()
+    assert mbox.read_mail(spark, str(tmp_path / "none")).count() == 0
+    with pytest.raises(Exception, match="FileNotFound"):
+        mbox.read_mail(spark, str(tmp_path / "nowhere")).count()
+    with pytest.raises(Exception, match="no such fields"):
+        mbox.read_mail(spark, str(tmp_path / "box"), schema="colour string").count()
+
+
+def test_members_of_archives_are_dealt_out(spark, tmp_path):
+    for name, n in (("a.eval", 30), ("b.eval", 2), ("c.eval", 0)):
+        with zipfile.ZipFile(tmp_path / name, "w") as z:
+            z.writestr("header.json", "{}")
+            for k in range(n):
+                z.writestr(f"samples/{k}.json", json.dumps({"sample": f"{name}{k}", "epoch": 1, "logged": "2001", "values": '{"found": %d}' % (k % 2), "answer": "é" * 50}))
+    logs = mbox.read_zipped(spark, str(tmp_path), "samples/*.json", split=1500)
+    assert logs.rdd.getNumPartitions() > 3
+    assert sorted(json.loads(r.content)["sample"] for r in logs.collect()) == sorted([f"a.eval{k}" for k in range(30)] + ["b.eval0", "b.eval1"])
+    assert mbox.read_zipped(spark, str(tmp_path), schema="member string").where("member = 'header.json'").count() == 3
+    rows = mail.rows_of_samples(mbox.read_zipped(spark, str(tmp_path), "samples/*.json", "content string"))
+    assert sorted((r.sample, r.found) for r in rows.where("sample like 'b%'").collect()) == [("b.eval0", "0"), ("b.eval1", "1")] and rows.count() == 32
