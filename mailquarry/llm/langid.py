@@ -5,12 +5,12 @@ both have over the geometric mean of the numbers each has, averaged over n. Nyst
 into vectors, on which one ridge regression for each language is fitted against the rest. Whole texts are scored, a batch at
 a time, as products of a 0/1 matrix of n-grams with the landmarks' and then with the regression's weights.
 
-Letters are lower-cased; a run of anything else is one boundary. The n-grams are those of the training sample in at least
-MIN_DF texts, for each n the most frequent MAX_GRAMS or GRAMS_A_LANGUAGE for each language, whichever is more; all letters of
-the sample are told apart, however many there are. The fit uses a bounded sample: of each language at most PER_LANGUAGE
-labelled texts, fewer where MAX_SAMPLE texts in all would be passed, but one at least, chosen by a hash of doc_id. A sampled
-text is read whole, and reaches the driver as its different n-grams (for each n at most TEXT_GRAMS, those of least hash).
-About LANDMARKS of the texts are landmarks, one at least for each language. Prediction reads every text.
+Letters are lower-cased; a run of anything else is one boundary. All n-grams of all texts count: what two texts share is found
+among the landmarks' n-grams, whose number is that of a few texts, and a text's own number is that of all its different ones.
+The fit uses a bounded sample: of each language at most PER_LANGUAGE labelled texts, fewer where MAX_SAMPLE texts in all would
+be passed, but one at least, chosen by a hash of doc_id and read whole. About LANDMARKS of them are landmarks, at least one for
+each language: the first by that hash of those with up to LONG different n-grams, then the shortest others. The driver gets the
+landmarks' n-grams and the sample's kernel with them, a row of about LANDMARKS numbers a text. Prediction reads every text.
 
 A text that is null or has no letter is `und` with score 0, as is every text where nothing was learnt. Rows with a null
 doc_id are scored and not held out, and never learnt from. Ties go to the language that sorts first. Repeated rows give equal
@@ -26,15 +26,15 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from mailquarry.llm.common import table
+from mailquarry.llm.common import cut, drop_cut, table
 
 NS = (1, 2, 3)
 PER_LANGUAGE, MAX_SAMPLE, LANDMARKS = 250, 8000, 160
-MIN_DF, MAX_GRAMS, GRAMS_A_LANGUAGE, TEXT_GRAMS, RIDGE = 2, 2000, 100, 1 << 16, 1e-2
+LONG, RIDGE = 1 << 14, 1e-2
 #: Code points take so many bits in an n-gram's key.
 POINT_BITS = 21
-#: n-grams of few letters are looked up in a table of this size at most, others by binary search.
-TABLE = 1 << 22
+#: Columns of a 0/1 matrix at a time.
+BLOCK = 1 << 14
 _TABLES: list[np.ndarray] = []
 
 
@@ -65,126 +65,92 @@ def gram_keys(points: np.ndarray, n: int) -> np.ndarray:
     out = points[: max(0, len(points) - n + 1)].astype(np.int64)
     for k in range(1, n):
         out = out << POINT_BITS | points[k : len(points) - n + 1 + k]
-    out = np.unique(out)
-    if len(out) > TEXT_GRAMS:
-        mixed = out.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        out = np.sort(out[np.argsort(mixed ^ mixed >> np.uint64(29), kind="stable")[:TEXT_GRAMS]])
-    return out
-
-
-class Grams:
-    """The n-grams of a model, numbered. keys: for each n their sorted keys."""
-
-    def __init__(self, keys: dict[int, np.ndarray]):
-        letters = [keys[n] >> POINT_BITS * k & (1 << POINT_BITS) - 1 for n in NS for k in range(n)]
-        alphabet = np.unique(np.concatenate(letters))
-        alphabet = alphabet[alphabet > 0]
-        self.base = len(alphabet) + 2  # 0: boundary; last: a letter of no n-gram here
-        self.code = np.full(0x110000, self.base - 1, np.int64 if self.base > 1000 else np.int32)
-        self.code[alphabet] = np.arange(1, len(alphabet) + 1)
-        self.code[0] = 0
-        self.size = sum(map(len, keys.values()))
-        self.slices, self.tables, self.sorted, at = {}, {}, {}, 0
+    return np.unique(out)
+
+
+def grams(text: str | None) -> dict[int, np.ndarray] | None:
+    """A text's n-grams by n, none for one without a letter."""
+    points = letters(text or "")
+    return {n: gram_keys(points, n) for n in NS} if points.any() else None
+
+
+class Landmarks:
+    """The n-grams of the landmark texts, and by bits which of the texts has which."""
+
+    def __init__(self, texts: list[dict[int, np.ndarray]]):
+        self.count = len(texts)
+        self.keys, self.bits, self.sizes = {}, {}, {}
         for n in NS:
-            number = np.zeros(len(keys[n]), np.int64)
-            for k in reversed(range(n)):
-                number = number * self.base + self.code[keys[n] >> POINT_BITS * k & (1 << POINT_BITS) - 1]
-            if self.base**n <= TABLE:
-                place = np.full(self.base**n, self.size, np.int32)
-                place[number] = np.arange(at, at + len(number))
-                self.tables[n] = place
-            else:
-                self.sorted[n] = number  # as the keys are: letters are numbered in order
-            self.slices[n] = slice(at, at + len(number))
-            at += len(number)
-
-    def of(self, codes: np.ndarray, n: int) -> np.ndarray:
-        """The number of the n-gram at each place, `size` where the model has none."""
-        out = codes[: max(0, len(codes) - n + 1)]
-        for k in range(1, n):
-            out = out * self.base + codes[k : len(codes) - n + 1 + k]
-        if n in self.tables:
-            return self.tables[n][out]
-        known = self.sorted[n]
-        if not len(known):
-            return np.full(len(out), self.size)
-        at = np.minimum(np.searchsorted(known, out), len(known) - 1)
-        return np.where(known[at] == out, self.slices[n].start + at, self.size)
-
-    def matrix(self, texts: list[np.ndarray]) -> np.ndarray:
-        """A row of zeros and ones for each text."""
-        out = np.zeros((len(texts), self.size + 1), np.float32)
-        for row, points in zip(out, texts):
-            codes = self.code[points]
-            for n in NS:
-                row[self.of(codes, n)] = 1
-        return out[:, : self.size]
-
-    def matrix_of_keys(self, keys: dict[int, np.ndarray], texts: list[dict[int, np.ndarray]]) -> np.ndarray:
-        """The same of texts given as their n-grams' keys."""
-        out = np.zeros((len(texts), self.size), np.float32)
-        for row, text in zip(out, texts):
-            for n in NS:
-                row[self.slices[n]] = np.isin(keys[n], text[n], assume_unique=True)
-        return out
+            self.sizes[n] = np.array([len(t[n]) for t in texts])
+            self.keys[n], at = np.unique(np.concatenate([t[n] for t in texts]), return_inverse=True)
+            owner = np.repeat(np.arange(self.count), self.sizes[n])
+            self.bits[n] = np.zeros((len(self.keys[n]), -(-self.count // 8)), np.uint8)
+            np.bitwise_or.at(self.bits[n], (at, owner // 8), (128 >> owner % 8).astype(np.uint8))
+
+    def kernel(self, texts: list[dict[int, np.ndarray]]) -> np.ndarray:
+        """Of each text with each landmark."""
+        out = np.zeros((len(texts), self.count), np.float32)
+        for n in NS:
+            keys, sizes = self.keys[n], np.array([len(t[n]) for t in texts])
+            found, row = np.concatenate([t[n] for t in texts]), np.repeat(np.arange(len(texts)), sizes)
+            if not len(keys):
+                continue
+            at = np.minimum(np.searchsorted(keys, found), len(keys) - 1)
+            known = keys[at] == found
+            at, row = at[known], row[known]
+            shared = np.zeros((len(texts), self.count), np.float32)
+            for start in range(0, len(keys), BLOCK):
+                has = np.unpackbits(self.bits[n][start : start + BLOCK], axis=1, count=self.count).astype(np.float32)
+                here = (at >= start) & (at < start + BLOCK)
+                x = np.zeros((len(texts), len(has)), np.float32)
+                x[row[here], at[here] - start] = 1
+                shared += x @ has
+            out += shared / np.sqrt(np.maximum(np.outer(sizes, self.sizes[n]), 1))
+        return out / len(NS)
+
+
+def chosen_landmarks(sizes: list[int], languages: list[str]) -> list[int]:
+    """The places of the landmarks in a sample in order; sizes: the numbers of different n-grams."""
+    by: dict[str, list[int]] = {}
+    for i in sorted(range(len(sizes)), key=lambda i: (max(0, sizes[i] - LONG), i)):
+        by.setdefault(languages[i], []).append(i)
+    each = max(1, LANDMARKS // max(1, len(by)))
+    return [i for g in sorted(by) for i in by[g][:each]]
 
 
 class Model:
-    """A fitted classifier. texts and languages: the training sample; a text may be given as its n-grams' keys by n."""
+    """A fitted classifier, from the landmarks, the kernel of the sample with them, the sample's languages, and which of the sample
+    the landmarks are. It has no languages if the sample is empty."""
 
-    def __init__(self, texts: list, languages: list[str]):
-        rows = [(t if isinstance(t, dict) else {n: gram_keys(letters(t), n) for n in NS}, g) for t, g in zip(texts, languages)]
-        rows = [(t, g) for t, g in rows if t[1].any()]
-        self.languages = sorted({g for _, g in rows})
-        if not rows:
+    def __init__(self, landmarks: Landmarks | None, k: np.ndarray, languages: list[str], which: list[int]):
+        self.landmarks, self.languages = landmarks, sorted(set(languages))
+        if not languages:
             return
-        most, keys = max(MAX_GRAMS, GRAMS_A_LANGUAGE * len(self.languages)), {}
-        for n in NS:
-            found, counts = np.unique(np.concatenate([t[n] for t, _ in rows]), return_counts=True)
-            often = np.argsort(-counts, kind="stable")[:most]
-            keys[n] = np.sort(found[often[counts[often] >= min(MIN_DF, len(rows))]])
-        self.grams = Grams(keys)
-        x = self.grams.matrix_of_keys(keys, [t for t, _ in rows])
-        by: dict[str, list[int]] = {}
-        for i, (_, g) in enumerate(rows):
-            by.setdefault(g, []).append(i)
-        each = max(1, LANDMARKS // len(by))
-        self.landmarks = x[[i for g in self.languages for i in by[g][:each]]]
-        self.sides = {n: np.sqrt(np.maximum(self.landmarks[:, s].sum(1), 1)) for n, s in self.grams.slices.items()}
-        k = self.kernel(x)
-        value, vector = np.linalg.eigh(self.kernel(self.landmarks))
+        value, vector = np.linalg.eigh(k[which])
         some = value > 1e-6 * value.max()
         to_features = vector[:, some] / np.sqrt(value[some])
-        features = np.hstack([k @ to_features, np.ones((len(x), 1))])
-        y = np.array([[1.0 if g == h else -1.0 for h in self.languages] for _, g in rows])
-        weight = np.array([len(rows) / (len(by) * len(by[g])) for _, g in rows])[:, None]
+        features = np.hstack([k @ to_features, np.ones((len(k), 1))])
+        y = np.array([[1.0 if g == h else -1.0 for h in self.languages] for g in languages])
+        count = {g: languages.count(g) for g in self.languages}
+        weight = np.array([len(k) / (len(count) * count[g]) for g in languages])[:, None]
         ridge = RIDGE * np.eye(features.shape[1])
         ridge[-1, -1] = 1e-9
         beta = np.linalg.solve(features.T @ (weight * features) + ridge, features.T @ (weight * y))
         self.weights, self.offset = (to_features @ beta[:-1]).astype(np.float32), beta[-1].astype(np.float32)
 
-    def kernel(self, x: np.ndarray) -> np.ndarray:
-        """Of each row of x with each landmark."""
-        out = 0.0
-        for n, s in self.grams.slices.items():
-            side = np.sqrt(np.maximum(x[:, s].sum(1), 1))
-            out = out + (x[:, s] @ self.landmarks[:, s].T) / np.outer(side, self.sides[n])
-        return out / len(NS)
-
     def predict(self, texts: list[str | None], batch: int = 256) -> tuple[list[str], list[float]]:
         names, scores = ["und"] * len(texts), [0.0] * len(texts)
         if not self.languages:
             return names, scores
         for at in range(0, len(texts), batch):
-            points = [(at + i, letters(t)) for i, t in enumerate(texts[at : at + batch]) if t]
-            points = [(i, p) for i, p in points if p.any()]
-            if not points:
+            held = [(at + i, g) for i, t in enumerate(texts[at : at + batch]) if (g := grams(t)) is not None]
+            if not held:
                 continue
-            value = self.kernel(self.grams.matrix([p for _, p in points])) @ self.weights + self.offset
+            value = self.landmarks.kernel([g for _, g in held]) @ self.weights + self.offset
             best = value.argmax(1)
             top = np.sort(value, axis=1)
             lead = (top[:, -1] - top[:, -2]) / 2 if value.shape[1] > 1 else (top[:, -1] + 1) / 2
-            for (i, _), b, s in zip(points, best.tolist(), np.clip(lead, 0, 1).tolist()):
+            for (i, _), b, s in zip(held, best.tolist(), np.clip(lead, 0, 1).tolist()):
                 names[i], scores[i] = self.languages[b], float(s)
         return names, scores
 
@@ -193,31 +159,71 @@ def held_out(key: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def _keys_of(batches):
+def learn(texts: list[str], languages: list[str]) -> Model:
+    """A model of a few texts at hand."""
+    rows = [(t, g) for t, g in zip(map(grams, texts), languages) if t is not None]
+    if not rows:
+        return Model(None, np.zeros((0, 0)), [], [])
+    which = chosen_landmarks([sum(map(len, t.values())) for t, _ in rows], [g for _, g in rows])
+    landmarks = Landmarks([rows[i][0] for i in which])
+    return Model(landmarks, landmarks.kernel([t for t, _ in rows]), [g for _, g in rows], which)
+
+
+def _sizes(batches):
     for batch in batches:
-        found = [[gram_keys(p, n) for n in NS] for p in map(letters, batch.column("text").to_pylist())]
-        columns = [pa.array([f[i] for f in found], pa.list_(pa.int64())) for i in range(len(NS))]
+        found = [None if (g := grams(t)) is None else sum(map(len, g.values())) for t in batch.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("r"), pa.array(found, pa.int64())], ["lang", "r", "size"])
+
+
+def _keys(batches):
+    for batch in batches:
+        found = [grams(t) for t in batch.column("text").to_pylist()]
+        columns = [pa.array([g[n] for g in found], pa.list_(pa.int64())) for n in NS]
         yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("r"), *columns], ["lang", "r", *[f"k{n}" for n in NS]])
 
 
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, most: int = MAX_SAMPLE) -> Model:
-    """A model of the documents that are not held out and have text, lang and doc_id. The driver gets the n-grams of
-    per_language texts of a language at most, of `most` texts in all unless there are more languages."""
+    """A model of the documents that are not held out and have text, lang and doc_id, of per_language texts of a language at most,
+    of `most` in all unless there are more languages."""
     known = docs.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
     known = known.select("doc_id", F.col("lang").cast("string").alias("lang"), "text")
     counts = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy("lang").collect()
     if not counts:
-        return Model([], [])
+        return learn([], [])
     each = max(1, min(per_language, most // len(counts)))
     slots = 1 << 24
     most_of = F.create_map(*[x for r in counts for x in (F.lit(r.lang), F.lit(min(slots, 1 + 2 * each * slots // r.n)))])
     likely = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(slots)) < most_of[F.col("lang")])
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "text"))
     chosen = likely.select("lang", "text", rank.alias("r")).where(F.col("r") <= each)
-    rows = chosen.mapInArrow(_keys_of, "lang string, r int, " + ", ".join(f"k{n} array<long>" for n in NS)).toArrow()
-    order = sorted(range(rows.num_rows), key=list(zip(rows.column("lang").to_pylist(), rows.column("r").to_pylist())).__getitem__)
-    languages, columns = rows.column("lang").to_pylist(), {n: rows.column(f"k{n}") for n in NS}
-    return Model([{n: np.asarray(columns[n][i].values, np.int64) for n in NS} for i in order], [languages[i] for i in order])
+    sample = cut(chosen, "languages")
+    rows = sorted((r.lang, r.r, r.size) for r in sample.mapInArrow(_sizes, "lang string, r int, size long").where("size is not null").collect())
+    if not rows:
+        drop_cut(sample)
+        return learn([], [])
+    languages = [g for g, _, _ in rows]
+    which = chosen_landmarks([n for _, _, n in rows], languages)
+    names = docs.sparkSession.createDataFrame([rows[i][:2] for i in which], "lang string, r int")
+    keys = sample.join(F.broadcast(names), ["lang", "r"], "left_semi").mapInArrow(_keys, "lang string, r int, " + ", ".join(f"k{n} array<long>" for n in NS)).toArrow().to_pylist()
+    by = {(x["lang"], x["r"]): {n: np.array(x[f"k{n}"], np.int64) for n in NS} for x in keys}
+    landmarks = Landmarks([by[rows[i][:2]] for i in which])
+    held = docs.sparkSession.sparkContext.broadcast(landmarks)
+
+    def kernels(batches):
+        for batch in batches:
+            found = [grams(t) for t in batch.column("text").to_pylist()]
+            some = [i for i, g in enumerate(found) if g is not None]
+            if some:
+                k = held.value.kernel([found[i] for i in some])
+                kept = batch.take(pa.array(some, pa.int64()))
+                yield pa.RecordBatch.from_arrays([kept.column("lang"), kept.column("r"), pa.array(list(k), pa.list_(pa.float32()))], ["lang", "r", "k"])
+
+    got = sample.mapInArrow(kernels, "lang string, r int, k array<float>").toArrow()
+    order = sorted(range(got.num_rows), key=list(zip(got.column("lang").to_pylist(), got.column("r").to_pylist())).__getitem__)
+    k = got.column("k").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(got.num_rows, landmarks.count)[order]
+    held.destroy()
+    drop_cut(sample)
+    return Model(landmarks, k.astype(np.float64), languages, which)
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:

@@ -530,8 +530,8 @@ def test_language_of_texts_without_letters(spark, edges):
 
 
 def test_kernel_is_a_blended_presence_spectrum():
-    model = langid.Model(["abc abd", "abc abd", "xyz xyw", "xyz xyw"], ["p", "p", "q", "q"])
-    k = model.kernel(model.landmarks)
+    model = langid.learn(["abc abd", "abc abd", "xyz xyw", "xyz xyw"], ["p", "p", "q", "q"])
+    k = model.landmarks.kernel([langid.grams(t) for t in ("abc abd", "abc abd", "xyz xyw", "xyz xyw")])
     assert abs(k.diagonal() - 1).max() < 1e-5 and abs(k - k.T).max() < 1e-6 and model.languages == ["p", "q"]
 
 
@@ -542,27 +542,26 @@ def brute_grams(text, n):
     return {low[i : i + n] for i in range(len(low) - n + 1)}
 
 
-@pytest.mark.parametrize("table", [langid.TABLE, 1])
-def test_kernel_and_prediction_against_sets(monkeypatch, table):
+@pytest.mark.parametrize("block", [langid.BLOCK, 3])
+def test_kernel_and_prediction_against_sets(monkeypatch, block):
     import numpy as np
 
-    monkeypatch.setattr(langid, "TABLE", table)
+    monkeypatch.setattr(langid, "BLOCK", block)
     rnd = random.Random(7)
     words = {"a": ["der", "Und", "nicht", "über"], "b": ["the", "and", "Not", "over"], "c": ["山水", "木火", "土金", "日月山"]}
     texts = [(" ".join(rnd.choice(words[g]) + rnd.choice(["", "!", " 12 "]) for _ in range(30)), g) for g in "abc" for _ in range(8)]
-    model = langid.Model([t for t, _ in texts], [g for _, g in texts])
-    kept = {n: {k for k in set().union(*(brute_grams(t, n) for t, _ in texts)) if sum(k in brute_grams(t, n) for t, _ in texts) >= 2} for n in (1, 2, 3)}
+    model = langid.learn([t for t, _ in texts], [g for _, g in texts])
     marks = [t for g in "abc" for t, h in texts if g == h]
 
     def kernel(x, y):
         out = 0
         for n in (1, 2, 3):
-            p, q = brute_grams(x, n) & kept[n], brute_grams(y, n) & kept[n]
+            p, q = brute_grams(x, n), brute_grams(y, n)
             out += len(p & q) / max(1, len(p) * len(q)) ** 0.5
         return out / 3
 
     new = ["über der 山", "not", "山水木", "zzz", "и"]
-    got = model.kernel(model.grams.matrix([langid.letters(t) for t in new]))
+    got = model.landmarks.kernel([langid.grams(t) for t in new])
     want = np.array([[kernel(t, m) for m in marks] for t in new])
     assert abs(got - want).max() < 1e-5
     assert model.predict(["nicht über und der", "over and not the", "木火日月山", "12", None])[0] == ["a", "b", "c", "und", "und"]
@@ -572,11 +571,17 @@ def test_languages_of_many_letters_are_told_apart():
     rnd = random.Random(1)
     of = {"x": [chr(0x4E00 + i) for i in range(0, 300)], "y": [chr(0x4E00 + i) for i in range(200, 500)], "z": [chr(0xAC00 + i) for i in range(600)], "e": list("abcdefghijklmnopqrstuvwxyz")}
     make = lambda g: "".join(rnd.choice(of[g]) for _ in range(60))
-    model = langid.Model([make(g) for g in of for _ in range(60)], [g for g in of for _ in range(60)])
+    model = langid.learn([make(g) for g in of for _ in range(60)], [g for g in of for _ in range(60)])
     new = [(make(g), g) for g in of for _ in range(40)]
     assert sum(a == g for a, (_, g) in zip(model.predict([t for t, _ in new])[0], new)) / len(new) > 0.97
 
 
+def test_landmarks_are_short_texts_where_there_are_any(monkeypatch):
+    monkeypatch.setattr(langid, "LANDMARKS", 4)
+    monkeypatch.setattr(langid, "LONG", 10)
+    assert langid.chosen_landmarks([50, 3, 20, 10, 11, 40, 30], list("aaaabbb")) == [1, 3, 4, 6]
+
+
 def test_stage_of_clashing_columns(spark, edges):
     got = langid.stage(spark, edges, "")
     assert got.columns == edges.columns and {r.lang_pred for r in got.collect()} == {"clash"}
