@@ -10,6 +10,7 @@ import json
 import re
 import textwrap
 import unicodedata
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -95,6 +96,70 @@ def first_json(s: str | None) -> dict | None:
     return None
 
 
+def _complete(s: str) -> Iterator[tuple[int, int]]:
+    """(from, to) of every JSON object in a text, those within others and within their strings too, in order."""
+    known, broken, at = {}, set(), 0
+    while (at := s.find("{", at)) >= 0:
+        if at not in known and at not in broken:
+            done, opened = _objects(s, at)
+            known.update(done)
+            broken.update(opened)
+        if at in known:
+            yield at, known[at]
+        at += 1
+
+
+def _loaded(s: str) -> dict | list | None:
+    try:
+        return json.loads(s)
+    except (ValueError, RecursionError):
+        return None
+
+
+_STRING_OR_MARK = re.compile(r'"(?:[^"\\]|\\.)*+(?:"|\\?\Z)|[{}\[\]]', re.S)
+
+
+def balanced_json(s: str | None, mark: str = "{") -> dict | list | None:
+    """What stands between the first { (or [) and the mark that closes it, strings apart; nothing behind it is tried."""
+    s, close, depth = s or "", {"{": "}", "[": "]"}[mark], 0
+    start = s.find(mark)
+    for m in _STRING_OR_MARK.finditer(s, start) if start >= 0 else ():
+        depth += (m[0] == mark) - (m[0] == close)
+        if not depth:
+            return _loaded(s[start : m.end()])
+    return None
+
+
+def fenced_json(s: str | None) -> dict | None:
+    """What stands between the first { and the last } of a text, a code fence around it taken off."""
+    s = (s or "").strip()
+    s = s.removeprefix("```").removeprefix("json") if s.startswith("```") else s
+    s = s.strip().removesuffix("```")
+    a, b = s.find("{"), s.rfind("}")
+    return _loaded(s[a : b + 1]) if 0 <= a < b else None
+
+
+def _closes(s: str, quotes: bool) -> dict[int, int]:
+    """Behind which } each { ends: counting all marks, or those between as many quotes as the {, escaped ones too."""
+    out, opened, side = {}, ([], []), 0
+    for m in re.finditer(r'[{}"]' if quotes else "[{}]", s):
+        if m[0] == "{":
+            opened[side].append(m.start())
+        elif m[0] == '"':
+            side = 1 - side
+        elif opened[side]:
+            out[opened[side].pop()] = m.end()
+    return out
+
+
+def counted_json(s: str | None, quotes: bool = True) -> dict | None:
+    """The first {...} that is a JSON object, where its end is found by counting braces: those outside quotes, each quote taken as
+    one, or all. An object with an escaped quote or with a brace in a string may thus be passed over."""
+    s = s or ""
+    ends = _closes(s, quotes)
+    return next((_loaded(s[a:b]) for a, b in _complete(s) if ends.get(a) == b), None)
+
+
 def mail_lines(text: str | None) -> list[str]:
     """The lines of a plain mail file behind its header, the part to the first blank line, up to a quoted or forwarded line,
     without blank lines at either end."""
@@ -143,6 +208,16 @@ def extract_json(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if (j := first_json(x)) is None else json.dumps(j, sort_keys=True, ensure_ascii=False))
 
 
+def json_by(rule: Callable[[str | None], dict | list | None]):
+    """A column function for one of the rules above: what it finds as canonical JSON, null if there is nothing."""
+
+    @F.pandas_udf(StringType())
+    def found(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: None if (j := rule(x)) is None else json.dumps(j, sort_keys=True, ensure_ascii=False))
+
+    return found
+
+
 @F.pandas_udf(StructType([StructField("sender", StringType()), StructField("body", StringType())]))
 def mail_body(raw: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([mime_body(x) for x in raw], columns=["sender", "body"])

@@ -57,6 +57,24 @@ def json_in_prose(spark, d):
     return read(spark, d, "documents").select("doc_id", U.extract_json(said).alias("found"))
 
 
+_FOUND = "CASE WHEN doc_id % 4 IN ({}) THEN doc_id END"
+
+
+@query(f"""SELECT doc_id, {_FOUND.format('1, 2, 3')} AS first_balanced, {_FOUND.format('0, 1, 2, 3')} AS first_list, {_FOUND.format('1, 3')} AS fenced, {_FOUND.format('0, 1, 2')} AS quoted, {_FOUND.format('1, 2')} AS braced FROM documents""")
+def json_variants(spark, d):
+    """What each rule finds in whole texts: behind braces that are none, in a fence, before other braces, with escaped quotes."""
+    k, text = F.col("doc_id") % 4, F.coalesce("text", F.lit(""))
+    plain = F.to_json(F.struct("doc_id", "source"))
+    odd = F.to_json(F.struct("doc_id", F.lit("a } b").alias("t")))
+    said = F.when(k == 0, F.concat(text, F.lit(" {not json} "), odd)).when(k == 1, F.concat(F.lit("```json\n"), F.to_json(F.struct("doc_id", text.alias("text"))), F.lit("\n```")))
+    said = said.when(k == 2, F.concat(text, plain, F.lit(" and {more}"))).otherwise(F.concat(text, F.to_json(F.struct("doc_id", F.lit('say "{').alias("t")))))
+    said = F.concat(said, F.lit("["), F.col("doc_id").cast("string"), F.lit("]"))
+    rules = {"first_balanced": U.balanced_json, "fenced": U.fenced_json, "quoted": U.counted_json, "braced": lambda x: U.counted_json(x, False)}
+    told = {name: F.get_json_object(U.json_by(rule)("said"), "$.doc_id").cast("long") for name, rule in rules.items()}
+    listed = F.get_json_object(U.json_by(lambda x: U.balanced_json(x, "["))("said"), "$[0]").cast("long")
+    return read(spark, d, "documents").select("doc_id", said.alias("said")).select("doc_id", listed.alias("first_list"), *[c.alias(name) for name, c in told.items()])
+
+
 @query("""SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'READ' WHEN 1 THEN 'ANSWER' WHEN 2 THEN 'READ' END AS tool,
 CASE doc_id % 4 WHEN 0 THEN 'e' || doc_id WHEN 1 THEN trim('{"found": true} ' || text, ' ') WHEN 2 THEN 'e5' END AS arg FROM documents""")
 def parse_step(spark, d):

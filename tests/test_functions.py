@@ -117,6 +117,46 @@ def test_json_is_found_in_linear_time():
         assert U.first_json(s) == brute(s), s
 
 
+def test_rules_for_json_in_prose():
+    import itertools
+    import json
+    import random
+    import time
+
+    assert U.balanced_json('x {"a": "}"} {') == {"a": "}"} and U.balanced_json('{bad} {"a": 1}') is None and U.balanced_json('{"a": 1') is None
+    assert U.balanced_json('a [1, "]", [2]] ]', "[") == [1, "]", [2]] and U.balanced_json(None) is U.balanced_json("", "[") is None
+    assert U.balanced_json('it"s {"a": "b\\"}"}') == {"a": 'b"}'}
+    assert U.fenced_json('```json\n{"a": {"b": 1}}\n```') == {"a": {"b": 1}} == U.fenced_json('```{"a": {"b": 1}}```') == U.fenced_json('so: {"a": {"b": 1}} !')
+    assert U.fenced_json('{"a": 1} {"b": 2}') is U.fenced_json("} {") is U.fenced_json(None) is None
+    assert U.counted_json('{bad} {"a": "}"}') == {"a": "}"} and U.counted_json('{bad} {"a": "}"}', False) is None
+    assert U.counted_json('{"a": "\\"{"} {"b": 1}') == {"b": 1} and U.counted_json('{"a": {"b": "{"}, "c": {}}', False) == {}
+
+    def brute(s, quotes):
+        for i in (i for i, c in enumerate(s) if c == "{"):
+            depth, inside = 0, False
+            for j, c in enumerate(s[i:], i):
+                if quotes and c == '"':
+                    inside = not inside
+                depth += 0 if inside else (c == "{") - (c == "}")
+                if not depth and not inside:
+                    try:
+                        return json.loads(s[i : j + 1])
+                    except ValueError:
+                        break
+        return None
+
+    rnd = random.Random(11)
+    parts = ["{", "}", '"', '"a":', "1", ",", "\\", '"x"', '{"b":2}', "[", "]", " "]
+    for _ in range(20_000):
+        s = "".join(rnd.choices(parts, k=rnd.randrange(14)))
+        assert [U.counted_json(s, q) for q in (True, False)] == [brute(s, q) for q in (True, False)], s
+    began, n = time.time(), 100_000
+    for s in ("{" * n, '{"a":' * n, '{"a":' * n + "1" + "}" * n, '{"a":' * n + "bad" + "}" * n, '{"' * n, '{"a\\"{' * n, '{"a": "' + "{" * n + '"}', '"' * n + "{" * n, '{"a": "{\\"b\\":' * n, "}" * n + "{}", "[" * n, "```" * n):
+        for rule in (U.balanced_json, U.fenced_json, U.counted_json, lambda x: U.counted_json(x, False), lambda x: U.balanced_json(x, "[")):
+            rule(s)
+    assert time.time() - began < 60
+
+
 def test_reground(spark):
     names = {"Person A": "Ada Reed", "Person B": "Bo Ek", "Person J": "Jo"}
     cases = {
