@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegralType
+from pyspark.sql.types import IntegralType, StructType
 
 from mailquarry.functions import text as T
 from mailquarry.operators import rewriting as W
@@ -148,3 +150,44 @@ def rewritten(df: DataFrame, rules: list[tuple[str, str]], texts: tuple[str, ...
     one = {c: F.when(F.col(c).isNotNull(), T.replace_all(F.col(c), rules)) for c in texts}
     many = {c: F.transform(c, lambda x: T.replace_all(x, rules)) for c in lists}
     return df.withColumns(one | many)
+
+
+def regrounded_message(m: Column, kind: StructType, full: dict[str, str], first: dict[str, str], firm: Sequence[tuple[str, str]] = ()) -> Column:
+    """A message with names for labels: full ones in from, to and cc, first ones in subject and body, and the same in the message
+    that it forwards, to any depth its type has. Other fields, nulls and what is not there stay."""
+    of = lambda x, names: F.when(x.isNotNull(), T.reground(x, names, firm))
+    done = []
+    for f in kind.fields:
+        x = m.getField(f.name)
+        if f.name == "from":
+            x = of(x, full)
+        elif f.name in ("subject", "body"):
+            x = of(x, first)
+        elif f.name in ("to", "cc"):
+            x = F.transform(x, lambda one: of(one, full))
+        elif f.name == "forward" and isinstance(f.dataType, StructType):
+            x = regrounded_message(x, f.dataType, full, first, firm)
+        done.append(x.alias(f.name))
+    return F.when(m.isNotNull(), F.struct(*done))
+
+
+def regrounded(df: DataFrame, full: dict[str, str], firm: Sequence[tuple[str, str]] = (), clues: str | None = "clues", atoms: str | None = "atoms", texts: Sequence[str] = ()) -> DataFrame:
+    """Records with names for labels: in the plots and messages of their clues, the facts of their atoms (arrays of structs) and the
+    columns `texts`, which hold answers. full: label to full name; its first word is the first name."""
+    first = {label: name.split()[0] for label, name in full.items()}
+    out = {c: F.when(F.col(c).isNotNull(), T.reground(c, full, firm)) for c in texts}
+    if clues:
+        kind = df.schema[clues].dataType.elementType
+
+        def clue(c: Column) -> Column:
+            if "plot" in kind.names:
+                c = c.withField("plot", F.when(c["plot"].isNotNull(), T.reground(c["plot"], full, firm)))
+            if "messages" in kind.names:
+                one = kind["messages"].dataType.elementType
+                c = c.withField("messages", F.transform(c["messages"], lambda m: regrounded_message(m, one, full, first, firm)))
+            return c
+
+        out[clues] = F.transform(clues, clue)
+    if atoms:
+        out[atoms] = F.transform(atoms, lambda a: a.withField("fact", F.when(a["fact"].isNotNull(), T.reground(a["fact"], full, firm))))
+    return df.withColumns(out)

@@ -133,7 +133,8 @@ def segment_blocks(spark, d):
 p AS (SELECT conv_id, substr(string_agg('[e' || n || '] ' || role || ': ' || text, chr(10) || chr(10) ORDER BY n), 1, 4000) AS prompt, string_agg('e' || n, ' ' ORDER BY n) AS handles FROM box GROUP BY conv_id)
 SELECT user_id, event_id, handles || ' -- ' || '{{"match": ' || CASE WHEN ('0x' || substr(sha256(prompt), 1, 2))::INT % 2 = 1 THEN 'true' ELSE 'false' END || '}}' AS note FROM f JOIN p USING (conv_id)""".replace("{{", "{").replace("}}", "}"))
 def thread_notes(spark, d):
-    """A line of notes when a session first reads a thread, by a generator (here a deterministic one); each thread's is made once."""
+    """A line of notes when a session first reads a thread, by a generator (here a deterministic one); each thread's is made once.
+    The prompt has the first 4,000 characters of a thread, which is the size that the note is defined on."""
     box = _box(spark, d)
     first = _reads(spark, d, box).where("conv_id is not null").groupBy("user_id", "conv_id").agg(F.min("event_id").alias("event_id"))
     one = F.struct("turn", "handle", F.concat(F.lit("["), "handle", F.lit("] "), "role", F.lit(": "), "text").alias("x"))
@@ -339,6 +340,24 @@ def reground_records(spark, d):
     return g.select("conv_id", F.element_at("m", 1)["sender"].alias("first_from"), F.array_join(F.transform("m", lambda m: m["body"]), "\n").alias("bodies"))
 
 
+@query("""SELECT doc_id, 'Ada Reed knew' AS plot, 'Ada Reed' AS sender, 'bo.ek@x.example;Cy Dahl' AS receivers, 'Ada: ' || coalesce(text, '') AS body, 'Bo Ek' AS second_from, 'Bo: ' || coalesce(text, '') AS second_body,
+'Cy: ' || coalesce(text, '') AS third_body, 'Cy Dahl filed it' AS fact, 'Bo Ek hid it' AS secret FROM documents""")
+def reground_forwards(spark, d):
+    """Records of whole texts, whose messages forward others that forward others."""
+    said = lambda who: F.concat(F.lit(f"{who}: "), F.coalesce("text", F.lit("")))
+    third = F.struct(F.lit("personC").alias("from"), said("Person-C").alias("body"))
+    second = F.struct(F.lit("Person B").alias("from"), said("person_b").alias("body"), third.alias("forward"))
+    top = F.struct(F.lit("PERSON A").alias("from"), F.array(F.lit("personB@x.example"), F.lit("Person C")).alias("to"), said("Person A").alias("body"), second.alias("forward"))
+    clue = F.struct(F.lit("Person A knew").alias("plot"), F.array(top).alias("messages"))
+    records = read(spark, d, "documents").select("doc_id", F.array(clue).alias("clues"), F.array(F.struct(F.lit("Person C filed it").alias("fact"))).alias("atoms"), F.lit("person b hid it").alias("secret"))
+    out = R.regrounded(records, _PEOPLE, texts=["secret"]).select("doc_id", "secret", F.col("clues")[0].alias("c"), F.col("atoms")[0]["fact"].alias("fact"))
+    m = out.select("doc_id", "secret", "fact", "c.plot", F.col("c.messages")[0].alias("m"))
+    return m.select(
+        "doc_id", "plot", F.col("m.from").alias("sender"), F.array_join("m.to", ";").alias("receivers"), "m.body", F.col("m.forward.from").alias("second_from"), F.col("m.forward.body").alias("second_body"),
+        F.col("m.forward.forward.body").alias("third_body"), "fact", "secret",
+    )
+
+
 @query(f"SELECT doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all({planted_sql(_LABELS, 0)}, '\\bPerson [A-J]\\b'))), ',') AS labels FROM documents")
 def label_roster(spark, d):
     return read(spark, d, "documents").select("doc_id", F.array_join(T.labels_in(planted(_LABELS, 0)), ",").alias("labels"))

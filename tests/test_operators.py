@@ -304,3 +304,27 @@ def test_clue_set_specs():
     from mailquarry.sources import mail
 
     assert mail.clue_sets("a/com_n2.jsonl, b/x.jsonl:pal ,plain,") == {"com_n2": "a/com_n2.jsonl", "pal": "b/x.jsonl", "plain": "plain"}
+
+
+def test_records_with_names_for_labels(spark):
+    """Messages to the depth that their type has, against the same written out."""
+    deep = "struct<`from`:string,to:array<string>,cc:array<string>,subject:string,body:string,note:string,forward:{}>"
+    plain = "struct<`from`:string,body:string>"
+    kind = f"id int, clues array<struct<i:int,plot:string,messages:array<{deep.format(deep.format(plain))}>>>, atoms array<struct<role:string,fact:string>>, actor string"
+
+    def message(label, name, first, forward):
+        of = lambda x, y: (x, [f"{x}@x", None], None, f"Re {y}", f"{y}'s", "Person A", forward)
+        return of(label, label), (name, [f"{name.lower().replace(' ', '.')}@x", None], None, f"Re {first}", f"{first}'s", "Person A", None)
+
+    full = {"Person A": "Ada Reed", "Person B": "Bo Ek"}
+    inner, inner_done = message("Person B", "Bo Ek", "Bo", ("person-a", "<<FIRM>> of Person B"))
+    outer, outer_done = message("personA", "Ada Reed", "Ada", inner)
+    inner_done = (*inner_done[:6], ("Ada Reed", "Acme of Bo"))
+    outer_done = (*outer_done[:6], inner_done)
+    rows = [(1, [(1, "Person A", [outer, None]), (2, None, None)], [("x", "Person B's"), ("y", None)], "Person B"), (2, None, None, None), (3, [], [], "")]
+    want = [(1, [(1, "Ada Reed", [outer_done, None]), (2, None, None)], [("x", "Bo Ek's"), ("y", None)], "Bo Ek"), (2, None, None, None), (3, [], [], "")]
+    df = spark.createDataFrame(rows, kind)
+    got = R.regrounded(df, full, [("<<FIRM>>", "Acme")], texts=["actor"])
+    assert got.dtypes == df.dtypes
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, spark.createDataFrame(want, kind).collect()))
+    assert R.regrounded(df.select("id", "actor"), full, clues=None, atoms=None).count() == 3
