@@ -66,6 +66,21 @@ def tokenize(c: Column | str, stop: Sequence[str] = STOPWORDS) -> Column:
     return F.filter(words(c), lambda w: ~w.isin(*sorted(set(stop))))
 
 
+#: What begins a quoted or forwarded part.
+QUOTE_MARKS = ">|-{3,}|_{3,}|from:|to:|sent:|subject:|cc:|original message|forwarded"
+_LINE_END = "\\r\\n|[\\n\\r\\x0B\\f\\x1C-\\x1E\\x85\\u2028\\u2029]"
+
+
+def mail_lines(c: Column | str) -> Column:
+    """The lines of a plain mail behind its header, which is what stands before the first blank line, up to a quoted or forwarded
+    line and without blank lines at either end; none without a blank line."""
+    first = lambda a, f: F.array_position(F.transform(a, f), F.lit(True)).cast("int")
+    blank, said = lambda x: ~x.rlike("(?U)\\S"), lambda x: x.rlike("(?U)\\S")
+    behind = let(F.split(_text(c), _LINE_END), lambda a: let(first(a, blank), lambda p: F.when(p > 0, F.slice(a, p + 1, F.size(a))).otherwise(F.slice(a, 1, 0))))
+    kept = let(behind, lambda a: let(first(a, lambda x: x.rlike(f"(?iU)^\\s*(?:{QUOTE_MARKS})")), lambda p: F.when(p > 0, F.slice(a, 1, p - 1)).otherwise(a)))
+    return let(kept, lambda a: let(first(a, said), lambda p: F.when(p > 0, F.slice(a, p, F.size(a) - first(F.reverse(a), said) + 2 - p)).otherwise(F.slice(a, 1, 0))))
+
+
 def topic_signature(*fields: Column | str) -> Column:
     """The set of words in a topic's fields, by which topics are told apart; sorted, so that equal sets are equal arrays."""
     return F.array_sort(F.array_distinct(tokenize(F.concat_ws(" ", *fields))))

@@ -14,14 +14,16 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType, StructField, StructType
+from pyspark.sql.types import StringType, StructField, StructType
+
+from mailquarry.functions.text import QUOTE_MARKS
 
 # Typographic characters and what they become before others are folded or dropped.
 PUNCTUATION = {
     "\u2014": "--", "\u2013": "-", "\u2012": "-", "\u2015": "--", "\u2018": "'", "\u2019": "'", "\u201c": '"', "\u201d": '"',
     "\u2026": "...", "\u2022": "-", "\u00b7": "-", "\u2010": "-", "\u2011": "-", "\u00a0": " ", "\u2009": " ", "\u202f": " ", "\u200b": "", "\ufeff": "",
 }
-_QUOTE = re.compile(r"^\s*(>|-{3,}|_{3,}|from:|to:|sent:|subject:|cc:|original message|forwarded)", re.I)
+_QUOTE = re.compile(f"^\\s*(?:{QUOTE_MARKS})", re.I)
 
 
 def ascii_of(s: str | None) -> str:
@@ -160,16 +162,6 @@ def counted_json(s: str | None, quotes: bool = True) -> dict | None:
     return next((_loaded(s[a:b]) for a, b in _complete(s) if ends.get(a) == b), None)
 
 
-def mail_lines(text: str | None) -> list[str]:
-    """The lines of a plain mail file behind its header, the part to the first blank line, up to a quoted or forwarded line,
-    without blank lines at either end."""
-    lines = (text or "").splitlines()
-    start = next((i for i, x in enumerate(lines) if not x.strip()), len(lines))
-    kept = list(itertools.takewhile(lambda x: not _QUOTE.match(x), lines[start + 1 :]))
-    full = [i for i, x in enumerate(kept) if x.strip()]
-    return kept[full[0] : full[-1] + 1] if full else []
-
-
 def plain_text(m: email.message.Message) -> str:
     """The first plain text part, empty if there is none; one of an unknown character set as Latin-1."""
     part = m.get_body(preferencelist=("plain",))
@@ -192,11 +184,6 @@ def to_ascii(s: pd.Series) -> pd.Series:
     return s.map(ascii_of)
 
 
-@F.pandas_udf(ArrayType(StringType()))
-def header_skip(text: pd.Series) -> pd.Series:
-    return text.map(mail_lines)
-
-
 @F.pandas_udf(StringType())
 def ascii_wrap(s: pd.Series) -> pd.Series:
     return s.map(wrapped)

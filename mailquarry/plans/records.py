@@ -57,6 +57,17 @@ def json_in_prose(spark, d):
     return read(spark, d, "documents").select("doc_id", U.extract_json(said).alias("found"))
 
 
+_QUOTED = f"CAST(coalesce(nullif(list_position(list_transform(a, lambda x: regexp_matches(x, '^\\s*(?:{T.QUOTE_MARKS})', 'i')), true), 0), len(a) + 1) AS INT)"
+
+
+@query(f"""WITH l AS (SELECT doc_id, string_split(' ' || chr(10) || replace(coalesce(text, ''), '. ', '.' || chr(10)), chr(10)) AS a FROM documents), k AS (SELECT doc_id, array_to_string(a[:{_QUOTED} - 1], chr(10)) AS s FROM l)
+SELECT doc_id, CASE WHEN regexp_matches(s, '[^ \\t\\n]') THEN regexp_replace(regexp_replace(s, '^(?:[ \\t]*\\n)+', ''), '(?:\\n[ \\t]*)+$', '') ELSE '' END AS body FROM k""")
+def header_skip(spark, d):
+    """Mails of whole texts, a sentence a line, without header and quoted part."""
+    said = F.concat(F.lit("From: ada@x.example\nTo: bo@x.example\n\n \n"), F.replace(F.coalesce("text", F.lit("")), F.lit(". "), F.lit(".\n")), F.lit("\n\n> quoted\nmore"))
+    return read(spark, d, "documents").select("doc_id", F.array_join(T.mail_lines(said), "\n").alias("body"))
+
+
 _FOUND = "CASE WHEN doc_id % 4 IN ({}) THEN doc_id END"
 
 

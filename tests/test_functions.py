@@ -80,7 +80,6 @@ def test_python_functions():
     cases = {'a {"x": "}{"} b': {"x": "}{"}, "```json\n{\"a\": 1}\n```": {"a": 1}, "{bad} then {\"b\": [2]}": {"b": [2]}, "none": None, "[1]": None, None: None}
     assert {k: U.first_json(k) for k in cases} == cases
     assert U.ascii_of("a \u2014 b\u2022c\u00b7d\u2010e\u2011f\u2012g\u2015h\u00a0i\u2009j\u202fk\u200bl\ufeffm") == "a -- b-c-d-e-f-g--h i j klm"
-    assert U.mail_lines("From: a\nTo: b\n\n\n hello\n\nyou\n \n> quoted\nmore") == [" hello", "", "you"] and U.mail_lines("From: a") == U.mail_lines(None) == []
     assert U.mime_body(b"From: ada@x.example\nContent-Type: text/plain\n\nhello\n> quoted") == ("ada@x.example", "hello")
     assert U.mime_body(None)[1] == ""
 
@@ -182,3 +181,25 @@ def test_steps(spark):
 def test_style_of_nothing(spark):
     row = T.stylometrics(spark.range(1).select(F.lit("").alias("t")), "t").first()
     assert row.log_chars == 0 and row.lines == 1 and row.types == 0
+
+
+def test_mail_behind_its_header(spark):
+    import itertools
+    import random
+    import re
+
+    quote = re.compile(r"^\s*(>|-{3,}|_{3,}|from:|to:|sent:|subject:|cc:|original message|forwarded)", re.I)
+
+    def brute(text):
+        lines = (text or "").splitlines()
+        start = next((i for i, x in enumerate(lines) if not x.strip()), len(lines))
+        kept = list(itertools.takewhile(lambda x: not quote.match(x), lines[start + 1 :]))
+        full = [i for i, x in enumerate(kept) if x.strip()]
+        return kept[full[0] : full[-1] + 1] if full else []
+
+    rnd = random.Random(2)
+    parts = ["From: a", "", " ", " hello", "you", "\u00a0", "> quoted", " ----", "--", "Forwarded by", "x" * 5000]
+    texts = [None, "", "From: a", "\n", "a\n\n b \n", "a\r\n\r\nb\r\n"] + [rnd.choice(["\n", "\r\n"]).join(rnd.choices(parts, k=rnd.randrange(9))) for _ in range(400)]
+    assert brute("From: a\nTo: b\n\n\n hello\n\nyou\n \n> quoted\nmore") == [" hello", "", "you"]
+    got = spark.createDataFrame([[t] for t in texts], "t string").select("t", T.mail_lines("t").alias("m")).collect()
+    assert [r.m for r in got] == [brute(r.t) for r in got]
