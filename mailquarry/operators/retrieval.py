@@ -52,6 +52,21 @@ def rerank(pool: DataFrame, relevance, show: int = 8) -> DataFrame:
     return pool.withColumn("shown", F.row_number().over(w)).where(F.col("shown") <= show)
 
 
+def reranked(pool: DataFrame, said: str, show: int = 8, handle: str = "handle") -> DataFrame:
+    """The messages of each query's pool that a model's text names, in the order in which it first names them, `show` at most; what
+    it names beside the pool does not count. The first `show` of the pool where it names none (or is null), and where the pool
+    has no more, for which no model need be asked. pool: (qid, rank, ...) with the handles e1, e2, ... and the text, one for a
+    query; the result has `shown`, from 1."""
+    named = F.array_distinct(F.regexp_extract_all(F.coalesce(F.col(said), F.lit("")), F.lit("e[0-9]+"), F.lit(0)))
+    whole = Window.partitionBy("qid")
+    asked = F.count(F.lit(1)).over(whole) > show
+    place = F.nullif(F.array_position(named, F.col(handle)), F.lit(0))
+    p = pool.withColumn("_asked", asked).withColumn("_place", F.when(F.col("_asked"), place))
+    p = p.withColumn("_any", F.count("_place").over(whole) > 0)
+    nth = F.row_number().over(whole.orderBy(F.asc_nulls_last("_place"), "rank"))
+    return p.withColumn("shown", nth).where((F.col("shown") <= show) & (~F.col("_any") | F.col("_place").isNotNull())).drop("_asked", "_place", "_any")
+
+
 def related(scores: DataFrame, top: int = 20, floor: float = 2.0, share: float = 0.15) -> DataFrame:
     """Of each query's top documents those at or above both the floor and a share of the best."""
     best = F.max("score").over(Window.partitionBy("qid"))

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
-from mailquarry.operators import rounds
-from mailquarry.plans.search import read
+from mailquarry.operators import models, rounds
+from mailquarry.operators import retrieval as S
+from mailquarry.plans.search import _Q, _SCORES, _TOP, _asks, _docs, read
 from mailquarry.shared import scratch
+from mailquarry.sources import mail as files
 from mailquarry.sources import mbox
 
 QUERIES: dict = {}
@@ -87,3 +91,47 @@ def mbox_scan(spark, d):
     read(spark, d, "documents").select(F.format_string(head, "doc_id", said).alias("value")).write.text(at)
     mail = mbox.read_mail(spark, at, schema="sender string, subject string, body string", split=1 << 18)
     return mail.select(F.col("subject").cast("long").alias("doc_id"), "sender", "body")
+
+
+def _picks():
+    """A stand-in for a model: names the even handles of a prompt from the last to the first, one twice and one that is none; says
+    nothing to the point for every third query."""
+
+    def answer(prompt: str) -> str:
+        head, *lines = prompt.split("\n")
+        even = [h for h in lines if int(h[1:]) % 2 == 0][::-1]
+        return "no idea" if int(re.sub("[^0-9]", "", head)) % 3 == 0 else f"best: {', '.join(even[:1] + even)}, e999999999"
+
+    return lambda prompts: [answer(p) for p in prompts]
+
+
+@query(f"""WITH {_Q}{_SCORES},{_TOP}, pools AS (SELECT qid, doc, rank, count(*) OVER (PARTITION BY qid) AS n, doc % 2 = 0 AND qid % 3 <> 0 AS named FROM r WHERE rank <= 20),
+asked AS (SELECT *, count(*) FILTER (named) OVER (PARTITION BY qid) > 0 AND n > 8 AS hit FROM pools)
+SELECT qid, doc, CAST(row_number() OVER (PARTITION BY qid ORDER BY CASE WHEN hit THEN -rank ELSE rank END) AS INT) AS shown FROM asked WHERE NOT hit OR named
+QUALIFY row_number() OVER (PARTITION BY qid ORDER BY CASE WHEN hit THEN -rank ELSE rank END) <= 8""")
+def rerank_model(spark, d):
+    """Pools of 20 documents of every passage, of which a model names up to eight; the pool's order where it names none."""
+    pool = S.top_k(S.bm25_scores(_docs(spark, d), _asks(spark, d)), 20).withColumn("handle", F.concat(F.lit("e"), F.col("doc").cast("string")))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("rank", "handle"))), lambda x: x["handle"])
+    asks = pool.groupBy("qid").agg(listed.alias("h")).where(F.size("h") > 8)
+    prompt = F.concat_ws("\n", F.concat(F.lit("passage "), F.col("qid").cast("string")), F.array_join("h", "\n"))
+    said = asks.select("qid", models.generated(_picks, prompt).alias("said"))
+    return S.reranked(pool.join(said, "qid", "left"), "said", 8).select("qid", "doc", "shown")
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS id, coalesce(text, '') AS plot, source AS secret, NULL::VARCHAR AS either_or, '2001-02-03' AS era FROM documents")
+def topics_load(spark, d):
+    """Topics of whole texts as JSON lines, each written twice; the later row of an id counts."""
+    path = scratch(spark, "topics")
+    t = read(spark, d, "documents").select(F.col("doc_id").cast("string").alias("id"), F.coalesce("text", F.lit("")).alias("plot"), F.col("source").alias("secret"), F.lit("2001-02-03T04:05").alias("era"))
+    files.write_jsonl(t.withColumn("plot", F.lit("old")).union(t).coalesce(1), path)
+    return files.load_topics(spark, path)
+
+
+@query("""SELECT CAST(user_id AS VARCHAR) AS sample, CAST(event_id % 3 AS INT) AS epoch, CAST(max_by(value, event_id) > 50 AS VARCHAR) AS found, max_by(event_type, event_id) AS secret FROM events GROUP BY user_id, event_id % 3""")
+def log_rows(spark, d):
+    """Evaluation rows of logs as JSON lines: the latest sample of each user and epoch."""
+    path = scratch(spark, "logs")
+    e = read(spark, d, "events")
+    files.write_jsonl(e.select(F.col("user_id").cast("string").alias("sample"), (F.col("event_id") % 3).cast("int").alias("epoch"), F.format_string("%012d", "event_id").alias("logged"), F.to_json(F.struct((F.col("value") > 50).alias("found"))).alias("values"), F.col("event_type").alias("answer")), path)
+    return files.rows_from_logs(spark, path).select("sample", "epoch", "found", "secret")

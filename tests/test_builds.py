@@ -10,6 +10,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from mailquarry.operators import models, rounds
+from mailquarry.operators import retrieval as S
+from mailquarry.operators.session import Mailbox
 from mailquarry.shared import scratch
 from mailquarry.sources import mail, mbox, published
 
@@ -180,3 +182,28 @@ def test_members_of_archives_are_dealt_out(spark, tmp_path):
     assert mbox.read_zipped(spark, str(tmp_path), schema="member string").where("member = 'header.json'").count() == 3
     rows = mail.rows_of_samples(mbox.read_zipped(spark, str(tmp_path), "samples/*.json", "content string"))
     assert sorted((r.sample, r.found) for r in rows.where("sample like 'b%'").collect()) == [("b.eval0", "0"), ("b.eval1", "1")] and rows.count() == 32
+
+
+def test_what_a_reranker_names_is_shown(spark):
+    handles = [f"e{k}" for k in (5, 3, 12, 1, 7)]
+    said = {0: "e1, then e12 (e1 again), e99, e7", 1: "none of these", 2: None, 3: "e3e5"}
+    rows = [(q, k + 1, h, s) for q, s in said.items() for k, h in enumerate(handles)] + [(4, 1, "e5", "e3 e5"), (4, 2, "e3", "e3 e5")]
+    got = {}
+    for r in S.reranked(spark.createDataFrame(rows, "qid int, rank int, handle string, said string"), "said", 2).orderBy("qid", "shown").collect():
+        got.setdefault(r.qid, []).append(r.handle)
+    assert got == {0: ["e1", "e12"], 1: ["e5", "e3"], 2: ["e5", "e3"], 3: ["e3", "e5"], 4: ["e5", "e3"]}
+
+
+def test_search_with_a_reranker(spark):
+    rows = [(k, 0, k, "a", f"budget {k}", "budget " * (9 - k), "2001-01-01") for k in range(6)]
+    box = Mailbox(spark.createDataFrame(rows, "thread int, position int, id int, sender string, subject string, body string, date string"), pool=5, show=2)
+    asked = []
+    first = [r.handle for r in box.search("budget")]
+    assert len(first) == 2 and len(box.log[-1]["returned"]) == 5
+    pool = box.log[-1]["returned"]
+    told = lambda q, lines, n: asked.append((q, lines.count("\n"), n)) or f"{pool[4]} and {pool[0]}"
+    assert [r.handle for r in box.search("budget", reranker=told)] == [pool[4], pool[0]] and asked == [("budget", 4, 2)]
+    assert [r.handle for r in box.search("budget", reranker=lambda *_: "sorry")] == first == pool[:2]
+    box.close()
+    with pytest.raises(ValueError):
+        Mailbox(spark.createDataFrame(rows, "thread int, position int, id int, sender string, subject string, body string, date string"), show=0)
