@@ -639,6 +639,27 @@ def test_slots_and_digests(spark):
     assert all(sorted(s) == list(range(len(s))) for s in by.values()) and len(by) == 8
 
 
+def test_propagation_itself_lowers_the_cut(spark):
+    """From shards by a hash, with a little room in each, as a count of copies in each shard."""
+    rnd = random.Random(4)
+    counts = {}
+    for g in range(60):
+        for _ in range(5):
+            key = (g, rnd.randrange(4))
+            counts[key] = counts.get(key, 0) + 1
+    capacity = [max(sum(n for (_, s), n in counts.items() if s == k) for k in range(4)) + 4] * 4
+    state = common.cut(spark.createDataFrame([(g, g, s, n) for (g, s), n in counts.items()], "g1 long, g2 long, shard int, n long"), "state")
+    pairs = lambda rows: sum(n * (n - 1) // 2 for n in rows)
+    before = 60 * 10 - pairs(counts.values())
+    out = sharding.propagate(state, capacity, 8).collect()
+    of, load = {}, [0] * 4
+    for r in out:
+        of[r.g1] = of.get(r.g1, 0) + r.n
+        load[r.shard] += r.n
+    assert set(of.values()) == {5} and len(of) == 60 and all(a <= b for a, b in zip(load, capacity))
+    assert 60 * 10 - pairs(r.n for r in out) < before / 3
+
+
 # ---- 6
 
 
