@@ -21,6 +21,14 @@ def step(c: str) -> tuple[Column, Column]:
     return name, value
 
 
+def whole_object(raw: Column | str) -> Column:
+    """The text if all of it is one JSON object, else null. Spark's parser is content with a value at the start, so prose behind a
+    number, a word in quotes or an object would pass; in a list and in an object of one field nothing can stand behind it."""
+    raw = F.col(raw) if isinstance(raw, str) else raw
+    alone = lambda a, b: F.try_parse_json(F.concat(F.lit(a), raw, F.lit(b))).isNotNull()
+    return F.when(raw.rlike("^\\s*\\{"), F.when(alone("[", "]") & alone('{"a":', "}"), raw))
+
+
 def solution(json_column: Column, raw: Column, ids: str = "<[^<>\\s]+@[^<>\\s]+>") -> list[Column]:
     """found, secret and cited ids: from the JSON object if there is one, else from the text."""
     said = F.get_json_object(json_column, "$.found")

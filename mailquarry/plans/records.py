@@ -103,7 +103,7 @@ def parse_solve(spark, d):
     yes, text = F.col("doc_id") % 2 == 0, F.col("text")
     good = F.to_json(F.struct(yes.alias("found"), text.alias("secret"), F.array(F.lit("<a@b>"), F.lit("<c@d>"), F.lit("<a@b>")).alias("evidence_email_ids")))
     prose = F.concat(text, F.lit(" Found: "), yes.cast("string"), F.lit(" by <a@b> and <c@d>, <a@b>"))
-    said = read(spark, d, "documents").select("doc_id", F.when(F.col("doc_id") % 3 == 0, good).otherwise(prose).alias("raw")).withColumn("json", F.when(F.try_parse_json("raw").isNotNull(), F.col("raw")))
+    said = read(spark, d, "documents").select("doc_id", F.when(F.col("doc_id") % 3 == 0, good).otherwise(prose).alias("raw")).withColumn("json", P.whole_object("raw"))
     return said.select("doc_id", *P.solution(F.col("json"), F.col("raw"))).select("doc_id", "found", "secret", F.array_join("evidence_ids", ",").alias("ids"))
 
 

@@ -203,3 +203,10 @@ def test_mail_behind_its_header(spark):
     assert brute("From: a\nTo: b\n\n\n hello\n\nyou\n \n> quoted\nmore") == [" hello", "", "you"]
     got = spark.createDataFrame([[t] for t in texts], "t string").select("t", T.mail_lines("t").alias("m")).collect()
     assert [r.m for r in got] == [brute(r.t) for r in got]
+
+
+def test_prose_behind_a_json_value_is_no_json_object(spark):
+    texts = ['{"found": true}', ' {"a": {}} ', "4703 Acht und <a@b>", '"said" he', "true words", "[1] cited", "{} and more }", "{}, {}", "{}] x", "{}} x", "", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, raw string")
+    got = {r.i: r.j for r in df.select("i", P.whole_object("raw").alias("j")).collect()}
+    assert [i for i, j in got.items() if j is not None] == [0, 1]
