@@ -328,3 +328,26 @@ def test_records_with_names_for_labels(spark):
     assert got.dtypes == df.dtypes
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, spark.createDataFrame(want, kind).collect()))
     assert R.regrounded(df.select("id", "actor"), full, clues=None, atoms=None).count() == 3
+
+
+def test_search_in_blocks_equals_scoring_all_pairs(spark, monkeypatch):
+    """In small blocks too, with ties, repeats, words that all have, texts without words, and pairs left out."""
+    import random
+
+    from mailquarry.operators import blocks
+
+    rnd = random.Random(3)
+    words = ["all", *[f"w{i}" for i in range(40)]]
+    rows = [(i, ["all"] * (i % 4) + rnd.choices(words, k=rnd.randint(0, 12))) for i in range(200)] + [(500 + i, rows_) for i, rows_ in enumerate([["all", "w1"]] * 30 + [[], None])]
+    docs_ = spark.createDataFrame(rows, "doc long, tokens array<string>").repartition(3)
+    asks = docs_.where("doc % 7 = 0 and tokens is not null").select(F.col("doc").alias("qid"), "tokens")
+    out = asks.select("qid", F.explode(F.array(F.col("qid"), F.col("qid") + 1, F.lit(505))).alias("doc"))
+    seen = lambda df: sorted((r.qid, r["rank"], r.doc, round(r.score, 6)) for r in df.collect())
+    known = docs_.where("tokens is not null")
+    for sizes in ((4096, 512), (16, 5)):
+        monkeypatch.setattr(blocks, "DOCS", sizes[0])
+        monkeypatch.setattr(blocks, "QUERIES", sizes[1])
+        assert seen(S.best(known, asks, 6)) == seen(S.top_k(S.bm25_scores(known, asks), 6))
+        assert seen(S.best(known, asks, 6, out)) == seen(S.top_k(S.bm25_scores(known, asks).join(out, ["qid", "doc"], "left_anti"), 6))
+    plan = S.best(known, asks, 6)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastNestedLoopJoin" in plan or "CartesianProduct" in plan
