@@ -351,3 +351,17 @@ def test_search_in_blocks_equals_scoring_all_pairs(spark, monkeypatch):
         assert seen(S.best(known, asks, 6, out)) == seen(S.top_k(S.bm25_scores(known, asks).join(out, ["qid", "doc"], "left_anti"), 6))
     plan = S.best(known, asks, 6)._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastNestedLoopJoin" in plan or "CartesianProduct" in plan
+
+
+def test_tfidf_shuffles_no_postings(spark):
+    """Weights and cosines against the formula; nothing is grouped by document and term."""
+    rows = [(0, ["a", "b", "b", "x"]), (1, ["a", "b"]), (2, ["b", "c", "c"]), (3, []), (4, ["c", "a", "only"])]
+    df = spark.createDataFrame(rows, "doc long, tokens array<string>").repartition(2)
+    n = {t: sum(t in w for _, w in rows) for _, ws in rows for t in ws}
+    x = {(d, t): w.count(t) / len(w) * math.log(5 / n[t]) for d, w in rows for t in w if n[t] >= 2}
+    norm = {d: math.sqrt(sum(v * v for (e, _), v in x.items() if e == d)) + 1e-9 for d, _ in rows}
+    want = {(d, t): v / norm[d] for (d, t), v in x.items()}
+    assert {(r.doc, r.term): r.w for r in S.tfidf(df).collect()} == pytest.approx(want)
+    cosine = {(a, b): sum(want.get((a, t), 0) * want.get((b, t), 0) for t in n) for a in (0, 2, 4) for b in range(5) if a != b}
+    got = {(r.qid, r.doc): r.score for r in S.nearest_by_tfidf(df, 2, 9).collect()}
+    assert got == pytest.approx({k: v for k, v in cosine.items() if v > 0})
