@@ -111,7 +111,7 @@ SELECT qid, doc, CAST(row_number() OVER (PARTITION BY qid ORDER BY CASE WHEN hit
 QUALIFY row_number() OVER (PARTITION BY qid ORDER BY CASE WHEN hit THEN -rank ELSE rank END) <= 8""")
 def rerank_model(spark, d):
     """Pools of 20 documents of every passage, of which a model names up to eight; the pool's order where it names none."""
-    pool = S.top_k(S.bm25_scores(_docs(spark, d), _asks(spark, d)), 20).withColumn("handle", F.concat(F.lit("e"), F.col("doc").cast("string")))
+    pool = S.best(_docs(spark, d), _asks(spark, d), 20).withColumn("handle", F.concat(F.lit("e"), F.col("doc").cast("string")))
     listed = F.transform(F.array_sort(F.collect_list(F.struct("rank", "handle"))), lambda x: x["handle"])
     asks = pool.groupBy("qid").agg(listed.alias("h")).where(F.size("h") > 8)
     prompt = F.concat_ws("\n", F.concat(F.lit("passage "), F.col("qid").cast("string")), F.array_join("h", "\n"))
@@ -124,7 +124,7 @@ def topics_load(spark, d):
     """Topics of whole texts as JSON lines, each written twice; the later row of an id counts."""
     path = scratch(spark, "topics")
     t = read(spark, d, "documents").select(F.col("doc_id").cast("string").alias("id"), F.coalesce("text", F.lit("")).alias("plot"), F.col("source").alias("secret"), F.lit("2001-02-03T04:05").alias("era"))
-    files.write_jsonl(t.withColumn("plot", F.lit("old")).union(t).coalesce(1), path)
+    files.write_jsonl(t.withColumn("plot", F.lit("old")).union(t), path)
     return files.load_topics(spark, path)
 
 

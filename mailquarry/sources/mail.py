@@ -99,16 +99,31 @@ def with_address(people: DataFrame, known: DataFrame, name: str, domain: str) ->
 
 def load_topics(spark: SparkSession, path: str) -> DataFrame:
     """(id, plot, secret, either_or, era) of topics in a JSON document {"kept": [...]} or {"topics": [...]}, or one a line; of
-    one id the last. The era keeps 10 characters."""
+    one id the last, in the order of files' names and of lines. The era keeps 10 characters. Lines are never read as one text: a first
+    line that is an object of its own without such a list tells them."""
     fields = "id string, topic_id string, plot string, secret string, either_or string, era string"
     one = f"struct<{', '.join(x.replace(' ', ':', 1) for x in fields.split(', '))}>"
+    head = spark.read.text(path).where("trim(value) <> ''").limit(1).select(F.try_parse_json("value").alias("v"))
+    lined = F.schema_of_variant("v").startswith("OBJECT") & F.try_variant_get("v", "$.kept", "variant").isNull() & F.try_variant_get("v", "$.topics", "variant").isNull()
+    if not head.where(lined).isEmpty():
+        return _last_topics(_topic_lines(spark, path, fields))
     whole = spark.read.text(path, wholetext=True).select(F.from_json("value", f"kept array<{one}>, topics array<{one}>").alias("d"))
     listed = whole.select(F.posexplode(F.coalesce("d.kept", "d.topics")).alias("n", "t")).select("n", "t.*")
     lines = whole.where("d.kept is null and d.topics is null")
     if lines.isEmpty():
         rows = listed
     else:
-        rows = spark.read.schema(fields).option("mode", "FAILFAST").json(path).select(F.monotonically_increasing_id().alias("n"), "*")
+        rows = _topic_lines(spark, path, fields)
+    return _last_topics(rows)
+
+
+def _topic_lines(spark: SparkSession, path: str, fields: str) -> DataFrame:
+    """Topics one a line, with their place `n`: file, part of the file, line. A part is read in one run, so numbers rise in it."""
+    place = F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("line"))
+    return spark.read.schema(fields).option("mode", "FAILFAST").json(path).select(place.alias("n"), "*")
+
+
+def _last_topics(rows: DataFrame) -> DataFrame:
     named = rows.withColumn("id", F.coalesce("id", "topic_id")).where("id is not null")
     return named.groupBy("id").agg(F.max_by(F.struct("plot", "secret", "either_or", F.substring("era", 1, 10).alias("era")), "n").alias("t")).select("id", "t.*")
 
