@@ -44,7 +44,7 @@ def publish(df: DataFrame, path: str, rows_a_file: int = 1_000_000) -> int:
     hidden = f"{path}/_hidden-{uuid.uuid4().hex}"
     try:
         df.write.option("maxRecordsPerFile", rows_a_file).parquet(f"{hidden}/data")
-        hashes(spark, f"{hidden}/data").coalesce(1).write.json(f"{hidden}/manifest")
+        hashes(spark, f"{hidden}/data").repartition(1).write.json(f"{hidden}/manifest")
         number = max(versions(spark, path), default=0) + 1
         target = _fs(spark, f"{path}/v{number}")[0]
         if fs.exists(target) or not fs.rename(_fs(spark, hidden)[0], target):
