@@ -365,3 +365,21 @@ def test_tfidf_shuffles_no_postings(spark):
     cosine = {(a, b): sum(want.get((a, t), 0) * want.get((b, t), 0) for t in n) for a in (0, 2, 4) for b in range(5) if a != b}
     got = {(r.qid, r.doc): r.score for r in S.nearest_by_tfidf(df, 2, 9).collect()}
     assert got == pytest.approx({k: v for k, v in cosine.items() if v > 0})
+
+
+def test_nearest_in_blocks_equals_all_pairs(spark, monkeypatch):
+    """In blocks of any size, with copies, far vectors and such that are near to nothing."""
+    import random
+
+    rnd = random.Random(5)
+    rows = [(i, [rnd.uniform(-1, 1) + (1e6 if i % 10 == 0 else 0) for _ in range(5)]) for i in range(60)]
+    rows += [(100 + i, rows[i % 3][1]) for i in range(9)]
+    odd = [(200, None), (201, [1.0, None, 1.0, 1.0, 1.0]), (202, [float("nan")] * 5), (203, [1.0])]
+    df = spark.createDataFrame(rows + odd, "id long, v array<double>").repartition(3)
+    want = {}
+    for i, x in rows:
+        far = sorted((round(math.dist(x, y), 9), j) for j, y in rows if j != i)
+        want |= {(i, r): j for r, (_, j) in enumerate(far[:3], 1)}
+    for size in (4096, 7):
+        monkeypatch.setattr(M, "ROWS", size)
+        assert {(r.qid, r["rank"]): r.id for r in M.nearest(df.withColumnRenamed("id", "qid"), df, 3).collect()} == want
