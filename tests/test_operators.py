@@ -62,6 +62,23 @@ def test_similar_sets_miss_no_pair(spark):
         assert got == want
 
 
+def test_whole_sets_travel_for_near_pairs_only(spark, monkeypatch):
+    """All sets meet on tokens that are rarer than the others, yet few are similar: the parities tell, and the rest does not travel."""
+    import random
+
+    rnd = random.Random(2)
+    common = [f"w{i}" for i in range(600)]
+    rows = [(i, sorted({*rnd.sample(common, 120), *[f"r{j}" for j in range(30)]})) for i in range(60)]
+    rows += [(100 + i, sorted({*s[:140], f"x{i}"})) for i, s in rows[:10]] + [(200, rows[0][1]), (201, None), (202, [])]
+    seen, write = {}, R.written
+    monkeypatch.setattr(R, "written", lambda df, name: seen.setdefault(name, write(df, name)))
+    got = {(r.a, r.b): r.jaccard for r in R.similar_sets(spark.createDataFrame(rows, "id long, toks array<string>"), 0.8).collect()}
+    sets = {i: set(s) for i, s in rows if s and i != 200}
+    want = {(i, j): len(s & t) / len(s | t) for i, s in sets.items() for j, t in sets.items() if i < j and len(s & t) / len(s | t) >= 0.8}
+    assert got == want and len(want) == 10
+    assert seen["pairs"][0].count() <= 2 * len(want)
+
+
 def test_passages_are_found_wherever_they_stand(spark):
     passages = ["one two\nthree four five six", "a b c d", "two words", "x", "  lead\t\tby spaces and  more ", "cut at both ends he", None]
     texts = [*[f"so {p}, and" for p in passages[:4]], f"({passages[4]})", "we{}re".format(passages[5]), "one two three four five six", "two  words", None, ""]
