@@ -1,15 +1,16 @@
-"""Balanced shards that keep linked documents together: label propagation under capacity quotas.
+"""Balanced shards that keep linked documents together: label propagation with the best flows under capacities.
 
 Documents with equal texts are linked. The law is `rows`: shard sizes are at most one row apart. Linked documents start one
 group after the other, the same number in each shard, so at most the groups at the borders of shards are cut. In each round a
-document wants the shard where most of its neighbours are; what goes from shard i to shard j is bounded by what comes back
-from j to i plus the room of j, and the moves of most gain go first. Where none is possible, shards without room are no
-targets for a round. A group has one target a round, so each move leaves fewer edges cut, and rounds end when no document can
-move. Documents without a link fill the room that is left, so they cost no edge.
+document wants the shard where most of its neighbours are; how many go from shard i to shard j is the optimum of a linear
+program, the most gain in all with no shard over its capacity, cycles of several shards included, and the moves of most gain
+go first. Where none is possible, shards without room are no targets for a round. A group has one target a round, so each move
+leaves fewer edges cut, and rounds end when no document can move. Documents without a link fill the room that is left, so they
+cost no edge.
 
 Copies of one text within one shard are alike, so the state is one row for each (text, shard) with a count; a text that holds
-a third of all rows is eight rows. Only sums over pairs of shards reach the driver. Rows are numbered in hash buckets, so no
-shard's or text's rows meet in one task.
+a third of all rows is eight rows. Only sums over pairs of shards and gains reach the driver, for a pair at most as many as the
+root of twice the rows. Rows are numbered in hash buckets, so no shard's or text's rows meet in one task.
 
 Null text counts as empty: size 1, and linked to other empty texts. Null doc_ids and repeated rows are rows like any other,
 each with its own slot. An empty table gives an empty result; further columns are ignored.
@@ -58,15 +59,55 @@ def _start(groups: DataFrame, shards: int, buckets: int) -> DataFrame:
     return parts.select(*G, "c.shard", (F.least(F.col("at") + F.col("n"), "c.y") - F.greatest("at", "c.x")).alias("n"))
 
 
-def _quotas(wanted: dict[tuple[int, int], int], room: list[int]) -> dict[tuple[int, int], int]:
-    """What may go from i to j: as much as comes back, and a part of j's room."""
-    out, left = {}, list(room)
-    for (i, j), n in sorted(wanted.items()):
-        swap = min(n, wanted.get((j, i), 0))
-        more = min(n - swap, max(0, left[j]))
-        left[j] -= more
-        out[i, j] = swap + more
-    return out
+def best_flows(wanted: dict[tuple[int, int], dict[int, int]], room: list[int]) -> dict[tuple[int, int], int]:
+    """How many documents go from i to j so that the sum of their gains is the most that any flows have that bring no shard more
+    than its room: the linear program of balanced label propagation, whose utilities are concave, as moves of most gain go
+    first. wanted has for (i, j) how many documents have each gain, 1 at least. It is solved exactly as a flow of least cost:
+    all moves are made, and what that brings a shard too much goes back by the cheapest paths of moves undone or made again."""
+    steps = {k: sorted(x.items()) for k, x in wanted.items()}
+    undone = {k: [0, 0] for k in steps}  # of a pair: the step that is being undone, and how many of it are
+    pool, over, into = len(room), [0] * (len(room) + 1), [0] * len(room)
+    for (i, j), x in steps.items():
+        n = sum(n for _, n in x)
+        over[i], over[j] = over[i] - n, over[j] + n
+
+    def arcs():
+        for (i, j), x in steps.items():
+            at, n = undone[i, j]
+            if at < len(x):
+                yield j, i, x[at][0], x[at][1] - n, (i, j), 1
+            if n or at:
+                gain, size = x[at if n else at - 1]
+                yield i, j, -gain, n or size, (i, j), -1
+        for j, r in enumerate(room):
+            yield j, pool, 0, r - into[j], j, 1
+            yield pool, j, 0, float("inf"), j, -1
+
+    while any(x > 0 for x in over):
+        cost, by = [0 if x > 0 else float("inf") for x in over], {}
+        open_, nearer = [x for x in arcs() if x[3] > 0], True
+        while nearer:
+            nearer = False
+            for x in open_:
+                if cost[x[0]] + x[2] < cost[x[1]]:
+                    cost[x[1]], by[x[1]], nearer = cost[x[0]] + x[2], x, True
+        end = min((j for j, x in enumerate(over) if x < 0), key=lambda j: cost[j])
+        path, start = [], end
+        while start in by:
+            path.append(by[start])
+            start = by[start][0]
+        n = min(over[start], -over[end], *[x[3] for x in path])
+        over[start], over[end] = over[start] - n, over[end] + n
+        for _, _, _, _, k, way in path:
+            if isinstance(k, int):
+                into[k] += way * n
+                continue
+            at, m = undone[k]
+            at, m = (at - 1, steps[k][at - 1][1]) if way < 0 and not m else (at, m)
+            m += way * n
+            undone[k] = [at + 1, 0] if m == steps[k][at][1] else [at, m]
+    left = {k: sum(n for _, n in x[undone[k][0] :]) - undone[k][1] for k, x in steps.items()}
+    return {k: n for k, n in left.items() if n}
 
 
 def propagate(state: DataFrame, capacity: list[int], buckets: int) -> DataFrame:
@@ -77,12 +118,15 @@ def propagate(state: DataFrame, capacity: list[int], buckets: int) -> DataFrame:
         room = [c - load.get(s, 0) for s, c in enumerate(capacity)]
         targets = [s for s, r in enumerate(room) if r > 0 or not only_open]
         best = state.where(F.col("shard").isin(targets)).groupBy(*G).agg(F.max_by(F.struct("shard", "n"), F.struct("n", F.xxhash64(*G, "shard"))).alias("to"))
-        moves = state.join(best, G).withColumn("gain", F.col("to.n") - F.col("n")).withColumnRenamed("shard", "from")
+        # the one that goes is no neighbour of itself
+        moves = state.join(best, G).withColumn("gain", F.col("to.n") - F.col("n") + 1).withColumnRenamed("shard", "from")
         # a group has one target a round, so equal gains cannot swing: any move to it leaves fewer edges cut
-        moves = moves.where((F.col("from") != F.col("to.shard")) & (F.col("gain") >= 0))
-        moves = cut(moves.select(*G, "from", F.col("to.shard").alias("to"), "n", (63 - F.floor(F.log2(F.col("gain") + 1))).cast("int").alias("rank"), F.pmod("g1", F.lit(buckets)).alias("b")), "moves")
-        wanted = {(r["from"], r["to"]): r.n for r in moves.groupBy("from", "to").agg(F.sum("n").alias("n")).collect()}
-        quota = {k: q for k, q in _quotas(wanted, room).items() if q}
+        moves = moves.where((F.col("from") != F.col("to.shard")) & (F.col("gain") > 0))
+        moves = cut(moves.select(*G, "from", F.col("to.shard").alias("to"), "n", F.col("gain"), F.pmod("g1", F.lit(buckets)).alias("b")), "moves")
+        wanted = {}
+        for r in moves.groupBy("from", "to", "gain").agg(F.sum("n").alias("n")).collect():
+            wanted.setdefault((r["from"], r["to"]), {})[r["gain"]] = r.n
+        quota = best_flows(wanted, room)
         if not quota:
             drop_cut(moves)
             if only_open or not wanted:
@@ -91,10 +135,10 @@ def propagate(state: DataFrame, capacity: list[int], buckets: int) -> DataFrame:
             continue
         only_open = False
         may = F.coalesce(F.create_map(*[F.lit(x) for (i, j), q in quota.items() for x in (i * len(capacity) + j, q)])[F.col("from") * len(capacity) + F.col("to")], F.lit(0))
-        sums = moves.groupBy("from", "to", "rank", "b").agg(F.sum("n").alias("m"))
-        base = sums.withColumn("base", F.sum("m").over(Window.partitionBy("from", "to").orderBy("rank", "b")) - F.col("m")).drop("m")
-        before = F.sum("n").over(Window.partitionBy("from", "to", "rank", "b").orderBy(*G)) - F.col("n")
-        placed = moves.withColumn("before", before).join(base, ["from", "to", "rank", "b"])
+        sums = moves.groupBy("from", "to", "gain", "b").agg(F.sum("n").alias("m"))
+        base = sums.withColumn("base", F.sum("m").over(Window.partitionBy("from", "to").orderBy(F.desc("gain"), "b")) - F.col("m")).drop("m")
+        before = F.sum("n").over(Window.partitionBy("from", "to", "gain", "b").orderBy(*G)) - F.col("n")
+        placed = moves.withColumn("before", before).join(base, ["from", "to", "gain", "b"])
         goes = placed.withColumn("go", F.greatest(F.lit(0), F.least("n", may - F.col("base") - F.col("before")))).where("go > 0")
         change = goes.select(*G, F.explode(F.array(F.struct(F.col("from").alias("shard"), (-F.col("go")).alias("n")), F.struct(F.col("to").alias("shard"), F.col("go").alias("n")))).alias("c")).select(*G, "c.shard", "c.n")
         then = cut(state.union(change.select(*G, "shard", "n")).groupBy(*G, "shard").agg(F.sum("n").alias("n")).where("n > 0"), "state")

@@ -2,6 +2,7 @@
 further columns."""
 
 import hashlib
+import itertools
 import random
 import zlib
 
@@ -660,6 +661,35 @@ def test_propagation_itself_lowers_the_cut(spark):
     assert 60 * 10 - pairs(r.n for r in out) < before / 3
 
 
+def test_flows_are_the_best_there_are():
+    """Against all flows between three shards, and at once over a cycle of shards without room."""
+    rnd = random.Random(5)
+    pairs = [(i, j) for i in range(3) for j in range(3) if i != j]
+    for _ in range(60):
+        wanted = {k: {g: rnd.randint(1, 2) for g in rnd.sample(range(1, 6), rnd.randint(1, 2))} for k in pairs if rnd.random() < 0.7}
+        room = [rnd.choice((0, 0, 1, 2)) for _ in range(3)]
+        each = {k: sorted((g for g, n in x.items() for _ in range(n)), reverse=True) for k, x in wanted.items()}
+
+        def gain(flows, each=each):
+            return sum(sum(each[k][:n]) for k, n in flows.items())
+
+        def fits(flows, room=room):
+            return all(sum(n * ((j == s) - (i == s)) for (i, j), n in flows.items()) <= room[s] for s in range(3))
+
+        most = max(gain(f) for x in itertools.product(*[range(len(v) + 1) for v in each.values()]) if fits(f := dict(zip(each, x))))
+        got = sharding.best_flows(wanted, room)
+        assert fits(got) and gain(got) == most
+    assert sharding.best_flows({(0, 1): {3: 2}, (1, 2): {3: 2}, (2, 0): {3: 1}}, [0, 0, 0]) == {(0, 1): 1, (1, 2): 1, (2, 0): 1}
+
+
+def test_documents_go_round_full_shards(spark):
+    """Each of three full shards has a document that wants the next: no two shards can swap, all three can."""
+    rows = [(g, g, s, n) for g in range(3) for s, n in ((g, 1), ((g + 1) % 3, 3))]
+    state = common.cut(spark.createDataFrame(rows, "g1 long, g2 long, shard int, n long"), "state")
+    out = sharding.propagate(state, [4, 4, 4], 8).collect()
+    assert sorted((r.g1, r.shard, r.n) for r in out) == [(0, 1, 4), (1, 2, 4), (2, 0, 4)]
+
+
 # ---- 6
 
 
