@@ -231,3 +231,39 @@ def test_a_long_text_of_names_is_relabelled_fast(spark):
     started = time.time()
     got = df.select(T.relabel("t", [("Quilla Vorst", "Person A")]).alias("x")).first().x
     assert got.endswith("Person A left. Old Vorst stayed. Person A met him.") and time.time() - started < 30
+
+
+def _plainly(c, names):
+    """reground() as every rule after the other."""
+    rules = []
+    for x, n in names.items():
+        spelt = f"(?i)\\bperson[\\s_-]*{x}\\b"
+        rules += [(spelt + "(?=@)", n.lower().replace(" ", ".")), (spelt, n)]
+    thing = f"(?<!(?i:\\b(?:{'|'.join(T.NO_PERSON_AFTER)})\\s{{1,40}}))"
+    rules += [(f"\\b(?={x}'s\\b){thing}{x}(?='s\\b)", n) for x, n in names.items()]
+    rules += [(f"\\b({'|'.join(T.TITLES)}){x}\\b", f"$1{n}") for x, n in names.items()]
+    return T.replace_all(c, rules + [(f"\\b{x}(?=\\s+candidacy\\b)", n) for x, n in names.items()])
+
+
+def test_labels_are_looked_for_where_they_can_be(spark):
+    """The same as rule after rule, whatever stands together; in texts without most of them in less time."""
+    import random
+    import time
+
+    rnd = random.Random(6)
+    parts = ["Person A", "person_b", "PERSON-C", "personA@x", "person", " ", "_", "-", "A", "B's", "A's", "Plan A's", "Mr. ", "Mrs B", "Dr\nC", "candidate A", "C candidacy", "B  candidacy", "x", ".", "@", "\n", "é", "Persona", "Ada"]
+    texts = ["".join(rnd.choice(parts) + rnd.choice(["", " "]) for _ in range(rnd.randint(0, 25))) for _ in range(3000)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for full in (["Ada Reed", "Bo Ek", "Cy Dahl"], ["B. Reed", "Person C", "Mr A"]):
+        names = dict(zip("ABC", full))
+        both = df.select(T.reground("t", {f"Person {x}": n for x, n in names.items()}).alias("x"), _plainly(F.col("t"), names).alias("y"))
+        assert both.where("x <> y").count() == 0 and both.where("x <> ''").count() > 2000
+    names = dict(zip("ABCDEFGHJ", ["Ada Reed"] * 9))
+    long = spark.range(40).select(F.concat(F.lit("Person A: "), F.repeat(F.lit("nobody is named in these plain words, "), 2000)).alias("t")).cache()
+    long.count()
+    took = []
+    for c in (T.reground("t", {f"Person {x}": n for x, n in names.items()}), _plainly(F.col("t"), names)):
+        began = time.time()
+        long.select(c.alias("t")).write.format("noop").mode("overwrite").save()
+        took.append(time.time() - began)
+    assert took[0] < 0.6 * took[1]
