@@ -84,7 +84,7 @@ def build_rounds(spark, d):
 
 @query("SELECT doc_id, 'ada@x.example' AS sender, coalesce(text, '') AS body FROM documents")
 def mbox_scan(spark, d):
-    """Whole documents as messages of mbox files, read back in ranges of 256 KB."""
+    """Whole documents as messages of mbox files, read back in ranges of 256 KB at least."""
     said = F.regexp_replace(F.coalesce("text", F.lit("")), "(?m)^(>*From )", ">$1")
     head = "From ada@x.example Thu Jan  1 00:00:00 1998\nFrom: ada@x.example\nSubject: %d\nContent-Type: text/plain; charset=utf-8\nContent-Transfer-Encoding: 8bit\n\n%s"
     at = scratch(spark, "mbox")

@@ -4,13 +4,14 @@ archive's members dealt out. Reading goes through Arrow's file systems, so paths
     mbox.read_mail(spark, "hdfs:///mail", schema="sender string, subject string").where("subject like 'Re:%'")
 
 Only what the schema names is parsed: without `body` a message is kept to the end of its header. The option `files`, a pattern of
-paths, is met when splits are planned."""
+paths, is met when splits are planned. `split` is the least that a task reads: a task of Python costs a tenth of a second however
+little it reads, so where there is more than A_CORE splits a core, splits are as much larger, up to SPLIT."""
 
 from __future__ import annotations
 
-import email
 import email.errors
-import email.policy
+import email.message
+import email.parser
 import fnmatch
 import io
 import re
@@ -27,10 +28,14 @@ MAIL = "file string, at long, sender string, receivers string, subject string, d
 ZIPPED = "file string, member string, content string"
 HEADERS = {"sender": "From", "receivers": "To", "subject": "Subject", "date": "Date", "message_id": "Message-ID"}
 SPLIT = 64 << 20
+#: Ranges that each core gets, if there is that much to read.
+A_CORE = 4
 #: What opening a file costs, in bytes read meanwhile: a task takes at most SPLIT / OPENING files.
 OPENING = 1 << 16
 _BROKEN = (ValueError, TypeError, AttributeError, LookupError, email.errors.MessageError)
 _ESCAPED = re.compile(rb"^>(>*From )", re.M)
+_BLANK = re.compile(rb"(?:\A|\n)\r?\n")
+_PARSER = email.parser.BytesParser(policy=U.MAIL_POLICY)
 
 
 def _system(path: str):
@@ -110,13 +115,25 @@ def _header(m: email.message.Message, name: str) -> str | None:
     return None if value is None else str(value).encode("utf-8", "replace").decode()
 
 
+def _message(head: bytes, rest: bytes) -> email.message.Message:
+    """The message of a header with the blank line behind it and of a body. Only a body of parts is parsed, or one that the header
+    is not clearly set off from; any other is taken as it is, as the parser would after looking at each of its lines."""
+    m = _PARSER.parsebytes(head, headersonly=True)
+    if m.defects or m.get_payload() or m.get_content_maintype() in ("multipart", "message"):
+        return _PARSER.parsebytes(head + rest)
+    m.set_payload(rest.decode("ascii", "surrogateescape"))
+    return m
+
+
 def fields(raw: bytes, names: list[str], file: str, at: int, mbox: bool) -> tuple:
     """What is asked of a message; a header that it does not have is null, a body without plain text is empty."""
     body = "body" in names
-    head, blank, rest = raw.partition(b"\n\n") if b"\r\n\r\n" not in raw else raw.partition(b"\r\n\r\n")
+    blank = _BLANK.search(raw)
+    end = blank.end() if blank else len(raw)
+    rest = raw[end:] if body else b""
     if mbox and body:
         rest = _ESCAPED.sub(rb"\1", rest).removesuffix(b"\n")  # the line end before the next From line
-    m = email.message_from_bytes(head + blank + (rest if body else b""), policy=email.policy.default)
+    m = _message(raw[:end], rest)
     known = {"file": file, "at": at}
     return tuple(known[n] if n in known else U.plain_text(m) if n == "body" else _header(m, HEADERS[n]) for n in names)
 
@@ -125,11 +142,15 @@ class _Reader(DataSourceReader):
     def __init__(self, schema, options):
         self.names = [f.name for f in schema.fields]
         self.path = options["path"]
-        self.split = int(options.get("split", SPLIT))
+        self.least = int(options.get("split", SPLIT))
+        self.tasks = int(options.get("tasks", 0))
         self.only = options.get("files", "*")
 
-    def files(self) -> list[tuple[str, int]]:
-        return [x for x in _files(self.path) if fnmatch.fnmatch(x[0], self.only)]
+    def files(self) -> tuple[list[tuple[str, int]], int]:
+        """Files and the bytes of a split."""
+        files = [x for x in _files(self.path) if fnmatch.fnmatch(x[0], self.only)]
+        even = -(-sum(n for _, n in files) // self.tasks) if self.tasks else 0
+        return files, max(self.least, min(SPLIT, even))
 
 
 class MailReader(_Reader):
@@ -141,10 +162,10 @@ class MailReader(_Reader):
 
     def partitions(self):
         """Large mbox files in ranges, small ones and single mails many to a task."""
-        files = self.files()
-        large = [x for x in files if self.mbox and x[1] > self.split]
-        cut = [Pieces([(file, a, min(a + self.split, n))]) for file, n in large for a in range(0, n, self.split)]
-        return cut + list(packed([x for x in files if not (self.mbox and x[1] > self.split)], self.split)) or [Pieces([])]
+        files, split = self.files()
+        large = [x for x in files if self.mbox and x[1] > split]
+        cut = [Pieces([(file, a, min(a + split, n))]) for file, n in large for a in range(0, n, split)]
+        return cut + list(packed([x for x in files if not (self.mbox and x[1] > split)], split)) or [Pieces([])]
 
     def read(self, partition):
         body = "body" in self.names
@@ -176,10 +197,10 @@ class ZippedReader(_Reader):
 
     def partitions(self):
         """Small archives many to a task; the members of a large one are dealt to as many tasks as it has splits."""
-        files = self.files()
-        large = [x for x in files if x[1] > self.split]
-        dealt = [Pieces([(file, k, of)]) for file, n in large for of in [-(-n // self.split)] for k in range(of)]
-        small = [Pieces([(file, 0, 1) for file, _, _ in p.pieces]) for p in packed([x for x in files if x[1] <= self.split], self.split)]
+        files, split = self.files()
+        large = [x for x in files if x[1] > split]
+        dealt = [Pieces([(file, k, of)]) for file, n in large for of in [-(-n // split)] for k in range(of)]
+        small = [Pieces([(file, 0, 1) for file, _, _ in p.pieces]) for p in packed([x for x in files if x[1] <= split], split)]
         return dealt + small or [Pieces([])]
 
     def read(self, partition):
@@ -203,13 +224,17 @@ class ZippedSource(DataSource):
         return ZippedReader(schema, self.options)
 
 
+def _planned(spark: SparkSession, source: str, schema: str, split: int):
+    return spark.read.format(source).schema(schema).option("split", split).option("tasks", A_CORE * spark.sparkContext.defaultParallelism)
+
+
 def read_mail(spark: SparkSession, path: str, layout: str = "mbox", schema: str = MAIL, split: int = SPLIT, files: str = "*") -> DataFrame:
     """Mail of mbox files, or of folders with one mail a file (layout `files`), as those columns of MAIL that the schema has."""
     spark.dataSource.register(MailSource)
-    return spark.read.format("mail").schema(schema).option("layout", layout).option("split", split).option("files", files).load(path)
+    return _planned(spark, "mail", schema, split).option("layout", layout).option("files", files).load(path)
 
 
 def read_zipped(spark: SparkSession, path: str, members: str = "*", schema: str = ZIPPED, split: int = SPLIT) -> DataFrame:
     """Members of zip archives whose names fit a pattern, as those columns of ZIPPED that the schema has."""
     spark.dataSource.register(ZippedSource)
-    return spark.read.format("zipped").schema(schema).option("members", members).option("split", split).load(path)
+    return _planned(spark, "zipped", schema, split).option("members", members).load(path)

@@ -170,6 +170,61 @@ def test_mail_is_read_by_planned_splits(spark, tmp_path):
         mbox.read_mail(spark, str(tmp_path / "box"), schema="colour string").count()
 
 
+def test_splits_grow_with_what_there_is_to_read(spark, tmp_path):
+    mails, most = made_mail(400), mbox.A_CORE * spark.sparkContext.defaultParallelism
+    as_mbox(tmp_path / "a.mbox", mails)
+    whole = mbox.read_mail(spark, str(tmp_path), schema="subject string, at long, body string", split=256)
+    assert most // 2 <= whole.rdd.getNumPartitions() <= most < (tmp_path / "a.mbox").stat().st_size // 256
+    assert sorted((int(r.subject[1:]), r.body.rstrip("\n")) for r in whole.collect()) == [(k, "\n".join(b).rstrip("\n")) for k, b in enumerate(mails)]
+    (tmp_path / "zip").mkdir()
+    with zipfile.ZipFile(tmp_path / "zip" / "a.eval", "w") as z:
+        for k in range(300):
+            z.writestr(f"{k}.json", str(k))
+    dealt = mbox.read_zipped(spark, str(tmp_path / "zip"), split=64)
+    assert dealt.rdd.getNumPartitions() <= most and sorted(int(r.content) for r in dealt.collect()) == list(range(300))
+
+
+def test_equal_headers_are_parsed_once(monkeypatch):
+    import email.headerregistry
+
+    parsed, call = [], email.headerregistry.HeaderRegistry.__call__
+    monkeypatch.setattr(email.headerregistry.HeaderRegistry, "__call__", lambda self, name, value: parsed.append(name) or call(self, name, value))
+    for k in range(100):
+        raw = f"From: Ada <ada@once.example>\nSubject: once {k}\nContent-Type: text/plain; charset=utf-8\nContent-Transfer-Encoding: 8bit\n\nwörds\n".encode()
+        assert mbox.fields(raw, ["sender", "subject", "body"], "f", 0, True) == ("Ada <ada@once.example>", f"once {k}", "wörds")
+    assert parsed.count("Subject") == 100 and len(parsed) < 110
+
+
+def test_a_body_is_what_the_standard_parser_finds():
+    import email
+    import email.policy
+
+    from mailquarry.functions import udf as U
+
+    part = b"--b\nContent-Type: text/html\n\n<p>\n--b\nContent-Type: text/plain; charset=latin-1\n\n\xe9 part\n--b--\n"
+    heads = [
+        b"", b"\n", b"\r\n", b"Subject: a\n\n", b"Subject: a\r\n\r\n", b"Subject: a\n\r\n", b"no header\n\n", b" begins folded\nSubject: a\n\n", b"Subject: a\nnot a header\nX: b\n\n", b"Subject: a\n", b"Subject: a",
+        b"Content-Type: multipart/mixed; boundary=b\n\n", b"Content-Type: multipart/mixed\n\n", b"Content-Type: message/rfc822\n\n", b"Content-Type: text/html\n\n", b"Content-Type: image/png\n\n", b"Content-Type: nonsense\n\n",
+        b"Content-Type: text/plain; charset=none-such\n\n", b"Content-Type: text/plain; charset=latin-1\n\n", b"Content-Transfer-Encoding: base64\n\n", b"Content-Transfer-Encoding: quoted-printable\n\n", b"Content-Disposition: attachment\n\n",
+        b"Subject: =?bad?=\n\n", b"Subject: \xc3\xa9\n folded\n\n", b"Subject: " + b"y" * 1000 + b"\n\n",
+    ]
+    bodies = [b"", b"x", b"\n", b"From: inner\n\ninner\n", b"one\r\n\r\ntwo\rthree\x0bfour\x85\n", "wörds\u2028é".encode(), b"aGVsbG8=\n", b"=E9=\nx", part, b"\xff\x00\n"]
+    for raw in (h + b for h in heads for b in bodies):
+        m = email.message_from_bytes(raw, policy=email.policy.default)
+        subject = None if m["Subject"] is None else str(m["Subject"]).encode("utf-8", "replace").decode()
+        try:
+            want = subject, U.plain_text(m)
+        except Exception as e:  # noqa: BLE001  where the parser gives up, so does this
+            with pytest.raises(type(e)):
+                mbox.fields(raw, ["subject", "body"], "f", 0, False)
+            continue
+        assert mbox.fields(raw, ["subject", "body"], "f", 0, False) == want, raw
+
+
+def test_escaped_lines_above_an_empty_line_with_a_return():
+    assert mbox.fields(b"Subject: a\n\n>From b\r\n\r\n>>From c\n", ["body"], "f", 0, True) == ("From b\n\n>From c",)
+
+
 def test_members_of_archives_are_dealt_out(spark, tmp_path):
     for name, n in (("a.eval", 30), ("b.eval", 2), ("c.eval", 0)):
         with zipfile.ZipFile(tmp_path / name, "w") as z:
