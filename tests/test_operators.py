@@ -2,6 +2,8 @@
 
 import math
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -370,6 +372,48 @@ def test_search_in_blocks_equals_scoring_all_pairs(spark, monkeypatch):
     assert "BroadcastNestedLoopJoin" in plan or "CartesianProduct" in plan
 
 
+def kin_docs(spark):
+    """Documents of three kins and of none, with many copies, in one task's order."""
+    import random
+
+    rnd = random.Random(9)
+    kins = ["a", "b", "c", None]
+    rows = [(i, kins[i % 4], [f"{kins[i % 4]}{rnd.randrange(12)}" for _ in range(rnd.randint(0, 9))] + ["all"] * (i % 3)) for i in range(160)]
+    return spark.createDataFrame(rows + [(200 + i, "a", ["a1", "a2", "all"]) for i in range(40)], "doc long, kin string, tokens array<string>").coalesce(1)
+
+
+def test_a_task_gives_the_best_of_all_its_cells(spark, monkeypatch):
+    """k rows a query go on, however many blocks a task has; blocks hold one kin, and results are those of all pairs."""
+    from mailquarry.operators import blocks
+
+    docs_ = kin_docs(spark)
+    asks = docs_.where("doc % 9 = 0").select(F.col("doc").alias("qid"), "tokens")
+    want = S.top_k(S.bm25_scores(docs_, asks).where("qid <> doc"), 3)
+    want = sorted((r.qid, r["rank"], r.doc, round(r.score, 6)) for r in want.collect())
+    assert want == sorted((r.qid, r["rank"], r.doc, round(r.score, 6)) for r in S.by_document(docs_, docs_.where("doc % 9 = 0"), 3).collect())
+    # what a task does, in small steps
+    for name, size in (("DOCS", 16), ("QUERIES", 8), ("PAIRS", 64), ("STRIP", 40), ("EXACT", 3), ("HEAVY", 4)):
+        monkeypatch.setattr(blocks, name, size)
+    rows = docs_.collect()
+    n = {t: sum(t in r.tokens for r in rows) for r in rows for t in r.tokens}
+    idf, average = {t: math.log(1 + (len(rows) - x + 0.5) / (x + 0.5)) for t, x in n.items()}, sum(len(r.tokens) for r in rows) / len(rows)
+    table = pa.table({"doc": [r.doc for r in rows], "kin": pa.array([r.kin for r in rows], pa.string()), "tokens": pa.array([r.tokens for r in rows], pa.list_(pa.string()))})
+    packed = list(blocks._pack_docs(table.to_batches(max_chunksize=7)))
+    kin = {r.doc: r.kin for r in rows}
+    for p in packed:
+        assert {kin[int(i)] for i in np.frombuffer(p.column("ids")[0].as_py(), "<i8")} == {p.column("kin")[0].as_py()}
+    assert len(packed) >= 13 and sum(p.column("n")[0].as_py() for p in packed) == len(rows)
+    asked = [(r.doc, r.kin, sorted({*r.tokens}), [idf[t] for t in sorted({*r.tokens})], [r.doc]) for r in rows if r.doc % 9 == 0 and r.tokens]
+    kinds = [pa.int64(), pa.string(), pa.list_(pa.string()), pa.list_(pa.float64()), pa.list_(pa.int64())]
+    batch = pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*asked), kinds)], ["qid", "kin", "terms", "weights", "without"])
+    queries = list(blocks._pack_queries([batch]))
+    assert len(queries) > 1
+    cells = [pa.RecordBatch.from_arrays([*d.columns, *q.columns], [*d.schema.names, *q.schema.names]) for d in packed for q in queries]
+    found = [r for b in blocks._cells(3, lambda f, dl, norm: f * 2.5 / (f + 1.5 * (0.25 + 0.75 * dl / average)))(cells) for r in b.to_pylist()]
+    assert len(found) <= 3 * len(asked)
+    assert sorted((r["qid"], r["doc"], round(r["score"], 6)) for r in found) == sorted((q, doc, score) for q, _, doc, score in want)
+
+
 def test_tfidf_shuffles_no_postings(spark):
     """Weights and cosines against the formula; nothing is grouped by document and term."""
     rows = [(0, ["a", "b", "b", "x"]), (1, ["a", "b"]), (2, ["b", "c", "c"]), (3, []), (4, ["c", "a", "only"])]
