@@ -428,6 +428,25 @@ def test_tfidf_shuffles_no_postings(spark):
     assert got == pytest.approx({k: v for k, v in cosine.items() if v > 0})
 
 
+def test_tfidf_neighbours_in_blocks_of_kins(spark, monkeypatch):
+    """With copies and kins, against all pairs; the documents' frequencies come to the blocks once, not for queries too, and k rows a
+    query and task go on."""
+    from mailquarry.operators import blocks
+
+    joined, add, found, best = [], blocks.with_frequencies, [], blocks.best
+    monkeypatch.setattr(blocks, "with_frequencies", lambda b: joined.append(b) or add(b))
+    monkeypatch.setattr(blocks, "best", lambda *x: found.append(best(*x)) or found[-1])
+    df = kin_docs(spark)
+    got = sorted((r.qid, r["rank"], r.doc, round(r.score, 6)) for r in S.nearest_by_tfidf(df, 9, 4).collect())
+    assert len(joined) == 1
+    w = S.tfidf(df)
+    pairs = w.where("doc % 9 = 0").select(F.col("doc").alias("qid"), "term", F.col("w").alias("x")).join(w, "term").where("qid <> doc")
+    want = S.top_k(pairs.groupBy("qid", "doc").agg(F.sum(F.col("x") * F.col("w")).alias("score")), 4)
+    assert got == sorted((r.qid, r["rank"], r.doc, round(r.score, 6)) for r in want.collect())
+    tasks = found[0].select(F.spark_partition_id().alias("p")).distinct().count()
+    assert found[0].count() <= 4 * len({r[0] for r in got}) * tasks
+
+
 def test_nearest_in_blocks_equals_all_pairs(spark, monkeypatch):
     """In blocks of any size, with copies, far vectors and such that are near to nothing."""
     import random
