@@ -81,6 +81,31 @@ def test_whole_sets_travel_for_near_pairs_only(spark, monkeypatch):
     assert seen["pairs"][0].count() <= 2 * len(want)
 
 
+def test_near_sets_travel_about_once(spark, monkeypatch):
+    """In a crowd where many pairs are near, but few sets have the same least neighbour, and units are of bounded size."""
+    import random
+
+    rnd = random.Random(4)
+    core, more = [f"c{i}" for i in range(70)], [f"m{i}" for i in range(400)]
+    crowd, last = [], rnd.sample(more, 14)
+    for i in range(150):
+        last = [*last[2:], *rnd.sample(more, 2)]  # like those that are next to it
+        crowd.append((i, sorted({*core, *last})))
+    for unit in (1 << 17, 1000):
+        monkeypatch.setattr(R, "UNIT", unit)
+        seen, write = {}, getattr(R.written, "real", R.written)
+        keep = lambda df, name, write=write, seen=seen: seen.setdefault(name, []).append(write(df, name)) or seen[name][-1]
+        keep.real = write
+        monkeypatch.setattr(R, "written", keep)
+        got = {(r.a, r.b): r.jaccard for r in R.similar_sets(spark.createDataFrame(crowd, "id long, toks array<string>"), 0.8).collect()}
+        sets = {i: set(s) for i, s in crowd}
+        assert got == {(i, j): len(s & t) / len(s | t) for i, s in sets.items() for j, t in sets.items() if i < j and len(s & t) / len(s | t) >= 0.8}
+        assert len(got) > 500
+        if unit > 1000:
+            travels = seen["dealt"][0][0].select("cell", F.explode(F.array("a", "b")).alias("id")).distinct().count()
+            assert travels <= 2 * len(crowd)
+
+
 def test_passages_are_found_wherever_they_stand(spark):
     passages = ["one two\nthree four five six", "a b c d", "two words", "x", "  lead\t\tby spaces and  more ", "cut at both ends he", None]
     texts = [*[f"so {p}, and" for p in passages[:4]], f"({passages[4]})", "we{}re".format(passages[5]), "one two three four five six", "two  words", None, ""]
